@@ -28,6 +28,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import shared_table
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL_PATTERN = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Strengths (pseudo-counts) of the priors stay in this range.
@@ -88,7 +90,8 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645) ->
     """
     by_host = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     by_host = hosts.select("host").distinct().join(by_host, "host", "left").fillna(0, ["n", "bad"])
-    by_host = by_host.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    # a row a host, read seven times below
+    by_host = shared_table(by_host.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     by_domain = by_host.groupBy("domain", "suffix").agg(*sums)
     by_suffix = by_domain.groupBy("suffix").agg(*sums)
