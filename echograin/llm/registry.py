@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import line_quality, packing, piece_bpe, toxicity, url_filters
+from . import html_blocks, line_crf, line_quality, packing, piece_bpe, toxicity, url_filters
 
 QUERIES = {
     "op1_line_quality": line_quality.op1_line_quality,
     "op2_piece_bpe": piece_bpe.op2_piece_bpe,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_html_blocks": html_blocks.op5_html_blocks,
     "op6_packing": packing.op6_packing,
+    "op7_line_crf": line_crf.op7_line_crf,
     "op9_url_filters": url_filters.op9_url_filters,
 }
 
