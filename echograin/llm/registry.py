@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import html_blocks, line_crf, line_quality, packing, piece_bpe, toxicity, url_filters
+from . import html_blocks, line_crf, line_quality, packing, piece_bpe, substring_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_line_quality": line_quality.op1_line_quality,
     "op2_piece_bpe": piece_bpe.op2_piece_bpe,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_html_blocks": html_blocks.op5_html_blocks,
     "op6_packing": packing.op6_packing,
@@ -16,5 +17,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_line_quality": line_quality.SQL,
+    "op3_substring_dedup": substring_dedup.SQL,
     "op9_url_filters": url_filters.SQL,
 }
