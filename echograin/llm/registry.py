@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_blocks, line_crf, line_quality, packing, piece_bpe, substring_dedup, toxicity, url_filters
+from . import html_blocks, line_crf, line_quality, minhash, packing, piece_bpe, substring_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_line_quality": line_quality.op1_line_quality,
@@ -12,11 +12,13 @@ QUERIES = {
     "op5_html_blocks": html_blocks.op5_html_blocks,
     "op6_packing": packing.op6_packing,
     "op7_line_crf": line_crf.op7_line_crf,
+    "op8_minhash": minhash.op8_minhash,
     "op9_url_filters": url_filters.op9_url_filters,
 }
 
 ORACLES = {
     "op1_line_quality": line_quality.SQL,
     "op3_substring_dedup": substring_dedup.SQL,
+    "op8_minhash": minhash.SQL,
     "op9_url_filters": url_filters.SQL,
 }
