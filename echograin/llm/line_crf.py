@@ -232,6 +232,18 @@ def score_texts(docs: DataFrame, model: LineModel, with_lines: bool = False) ->
     return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, score double" + ", lines array<double>" * with_lines)
 
 
+def reject_poor(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **bounds) -> DataFrame:
+    """The rows of docs, all their columns, whose score reaches the threshold."""
+    model, at = learn(docs, labels, **bounds), docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mean = [model.raw(*line_features(data, offsets))[0] for _, _, data, offsets in column_chunks(batch.column(at))]
+            yield batch.filter(pa.array(model.quality(np.concatenate(mean)) >= threshold)) if mean else batch
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **bounds) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     scores = score_texts(docs, learn(docs, labels, **bounds))

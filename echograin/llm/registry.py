@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_blocks, line_crf, line_quality, minhash, packing, piece_bpe, substring_dedup, toxicity, url_filters
+from . import html_blocks, lattice, line_crf, line_quality, minhash, packing, piece_bpe, substring_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_line_quality": line_quality.op1_line_quality,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_line_crf": line_crf.op7_line_crf,
     "op8_minhash": minhash.op8_minhash,
     "op9_url_filters": url_filters.op9_url_filters,
+    "op10_lattice": lattice.op10_lattice,
 }
 
 ORACLES = {
@@ -21,4 +22,5 @@ ORACLES = {
     "op3_substring_dedup": substring_dedup.SQL,
     "op8_minhash": minhash.SQL,
     "op9_url_filters": url_filters.SQL,
+    "op10_lattice": lattice.SQL,
 }

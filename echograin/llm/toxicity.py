@@ -131,26 +131,46 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
     return fit_nnpu([x for k, x in rows if k], [x for k, x in rows if not k], prior)
 
 
+def _score_column(column: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
+    out = np.full(len(column), bias)
+    for a, b, data, offsets in column_chunks(column):
+        rows, buckets = token_buckets(data, offsets)
+        told = table[buckets] != 0
+        keys = np.unique(rows[told] << BITS | buckets[told])
+        out[a:b] += np.bincount(keys >> BITS, table[keys & ((1 << BITS) - 1)], b - a)
+    return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+
+
+def _weights(model: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
+    table = np.zeros(1 << BITS)
+    table[model[0]] = model[1]
+    return table
+
+
 def score_texts(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
     """(doc_id, score) of every row."""
-    chosen, weights, bias = model
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << BITS)
-        table[chosen] = weights
+        table = _weights(model)
         for batch in batches:
-            out = np.full(batch.num_rows, bias)
-            for a, b, data, offsets in column_chunks(batch.column(1)):
-                rows, buckets = token_buckets(data, offsets)
-                told = table[buckets] != 0
-                keys = np.unique(rows[told] << BITS | buckets[told])
-                out[a:b] += np.bincount(keys >> BITS, table[keys & ((1 << BITS) - 1)], b - a)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_score_column(batch.column(1), table, model[2]))], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, score double")
 
 
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **bounds) -> DataFrame:
+    """The rows of docs, all their columns, whose score is below the threshold."""
+    model, at = learn(docs, labels, **bounds), docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _weights(model)
+        for batch in batches:
+            yield batch.filter(pa.array(_score_column(batch.column(at), table, model[2]) < threshold))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **bounds) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     scores = score_texts(docs, learn(docs, labels, **bounds))
