@@ -96,25 +96,17 @@ def grid_columns(lat: Column, dist_km: float) -> Column:
     return F.ceil(2 * math.pi * EARTH_RADIUS_KM * F.cos(F.radians(lat)) / dist_km)
 
 
-def _edges(n: Column | float, span: float, k: Column) -> Column:
-    return k * (span / n)
-
-
 def grid_cell(lat: Column, lon: Column, dist_km: float) -> Column:
     """Struct of the cell that holds a point: row and column numbers from the equator and the zero meridian, names, and
     the cell's south-west corner.  Rows go up (U) and down (D), columns right (R) and left (L) from 0U and 0R."""
-    n = grid_rows(dist_km)
-    size = 180.0 / n
-    # lines lie at whole multiples of the row height from -90, wrapped so that the equator is a line when n is even
-    offset = 0.0 if n % 2 == 0 else size / 2
-    row = F.floor((lat - offset) / size + 1e-9).cast("int")
-    row_lat = row * size + offset
-    cols = grid_columns(row_lat, dist_km)
-    width = F.lit(360.0) / cols
-    half = F.when(cols % 2 == 0, 0.0).otherwise(0.5)
-    col = F.floor(lon / width - half + 1e-9).cast("int")
+    size = 180.0 / grid_rows(dist_km)
+    # lines lie at whole multiples of the cell size from the equator and the zero meridian
+    row = F.floor(lat / size + 1e-9).cast("int")
+    row_lat = row * size
+    width = F.lit(360.0) / grid_columns(row_lat, dist_km)
+    col = F.floor(lon / width + 1e-9).cast("int")
     name = lambda x, up, down: F.concat(F.abs(x).cast("string"), F.when(x < 0, down).otherwise(up))
-    return F.struct(row.alias("row"), col.alias("col"), F.concat(name(row, "U", "D"), F.lit("_"), name(col, "R", "L")).alias("name"), row_lat.alias("lat"), ((col + half) * width).alias("lon"))
+    return F.struct(row.alias("row"), col.alias("col"), F.concat(name(row, "U", "D"), F.lit("_"), name(col, "R", "L")).alias("name"), row_lat.alias("lat"), (col * width).alias("lon"))
 
 
 def step_name(name: Column, by: int, up: str, down: str) -> Column:
@@ -221,12 +213,8 @@ def region_within(region: Column, width: int, height: int) -> Column:
 def grid_points(spark: SparkSession, dist_km: float, lat_range: tuple[float, float] = (-85, 85), lon_range: tuple[float, float] = (-180, 180)) -> DataFrame:
     """All grid points within the ranges: rows come from a range, each explodes into its own columns on the executors."""
     n = grid_rows(dist_km)
-    size = 180.0 / n
-    offset = 0.0 if n % 2 == 0 else size / 2
-    rows = spark.range(-(n // 2) - 1, n // 2 + 1).select(F.col("id").cast("int").alias("row")).withColumn("lat", F.col("row") * size + offset).where(F.col("lat").between(*lat_range))
-    cols = grid_columns(F.col("lat"), dist_km)
-    half = F.when(F.col("n_cols") % 2 == 0, 0.0).otherwise(0.5)
-    spread = rows.withColumn("n_cols", cols).withColumn("col", F.explode(F.sequence(-F.floor(F.col("n_cols") / 2), F.ceil(F.col("n_cols") / 2) - 1)))
-    spread = spread.withColumn("lon", (F.col("col") + half) * 360.0 / F.col("n_cols")).where(F.col("lon").between(*lon_range))
+    rows = spark.range(-(n // 2), n - n // 2).select(F.col("id").cast("int").alias("row")).withColumn("lat", F.col("row") * (180.0 / n)).where(F.col("lat").between(*lat_range))
+    spread = rows.withColumn("n_cols", grid_columns(F.col("lat"), dist_km)).withColumn("col", F.explode(F.sequence(-F.floor(F.col("n_cols") / 2), F.ceil(F.col("n_cols") / 2) - 1)))
+    spread = spread.withColumn("lon", F.col("col") * 360.0 / F.col("n_cols")).where(F.col("lon").between(*lon_range))
     name = lambda x, up, down: F.concat(F.abs(x).cast("string"), F.when(x < 0, down).otherwise(up))
     return spread.select(F.concat(name(F.col("row"), "U", "D"), F.lit("_"), name(F.col("col"), "R", "L")).alias("name"), "row", F.col("col").cast("int").alias("col"), "lat", "lon", utm_epsg(F.col("lat"), F.col("lon")).alias("epsg"))

@@ -178,12 +178,12 @@ def set_tiles(spark, d):
 @query("win_rank_score", """
 WITH n AS (SELECT o_orderkey, o_orderpriority, (o_totalprice - min(o_totalprice) OVER w) / (max(o_totalprice) OVER w - min(o_totalprice) OVER w) AS c, o_custkey, 1 - (o_custkey - min(o_custkey) OVER w)::DOUBLE / (max(o_custkey) OVER w - min(o_custkey) OVER w) AS i FROM orders WINDOW w AS (PARTITION BY o_orderpriority)),
 s AS (SELECT o_orderkey, o_orderpriority, 0.7 * c + 0.3 * i AS score FROM n)
-SELECT o_orderkey, o_orderpriority, round(score, 6) AS score, row_number() OVER (PARTITION BY o_orderpriority ORDER BY round(score, 9) DESC, o_orderkey)::INT AS rank, percent_rank() OVER (PARTITION BY o_orderpriority ORDER BY round(score, 9)) AS pct_rank FROM s""")
+SELECT o_orderkey, o_orderpriority, round(score, 6) AS score, row_number() OVER (PARTITION BY o_orderpriority ORDER BY score DESC, o_orderkey)::INT AS rank, percent_rank() OVER (PARTITION BY o_orderpriority ORDER BY score) > 0.5 AS upper_half FROM s""")
 def win_rank_score(spark, d):
     o = _table(spark, d, "orders").withColumn("ck", F.col("o_custkey").cast("double"))
-    s = rel.weighted_score(o, ["o_orderpriority"], "o_totalprice", "ck", 0.7, 0.3).withColumn("score", _r(F.col("score"), 9))
+    s = rel.weighted_score(o, ["o_orderpriority"], "o_totalprice", "ck", 0.7, 0.3)
     out = rel.ranked(s, ["o_orderpriority"], "score", "o_orderkey")
-    return out.select("o_orderkey", "o_orderpriority", _r(F.col("score")).alias("score"), "rank", "pct_rank")
+    return out.select("o_orderkey", "o_orderpriority", _r(F.col("score")).alias("score"), "rank", (F.col("pct_rank") > 0.5).alias("upper_half"))
 
 
 @query("theta_pareto", "SELECT s_suppkey FROM supplier a WHERE NOT EXISTS (SELECT 1 FROM supplier b WHERE b.s_acctbal >= a.s_acctbal AND b.s_nationkey >= a.s_nationkey AND (b.s_acctbal > a.s_acctbal OR b.s_nationkey > a.s_nationkey))")

@@ -113,7 +113,7 @@ WITH w AS (SELECT event_id, (event_id * 7919) % 256 AS x FROM events),
 b AS (SELECT event_id, x::BIGINT AS b0, ((x + 31) % 256)::BIGINT AS b31, ((x + 35) % 256)::BIGINT AS b35, ((x + 36) % 256)::BIGINT AS b36, ((x + 37) % 256)::BIGINT AS b37, ((x + 53) % 256)::BIGINT AS b53, ((x + 57) % 256)::BIGINT AS b57,
       ((x + 4) % 256)::BIGINT AS b4, ((x + 5) % 256)::BIGINT AS b5, ((x + 1) % 256)::BIGINT AS b1, ((x + 2) % 256)::BIGINT AS b2, ((x + 3) % 256)::BIGINT AS b3, ((x + 44) % 256)::BIGINT AS b44, ((x + 45) % 256)::BIGINT AS b45, ((x + 46) % 256)::BIGINT AS b46 FROM w)
 SELECT event_id, ((b0 * 256 + b1) * 256 + b2) * 256 + b3 AS coarse_time, round((b4 * 256 + b5 + 0.5) / 65536, 9) AS fine_time, b31 >> 7 AS error_flag, b31 & 31 AS baq_mode,
-       round(b35 * (-0.5)::DOUBLE, 6) AS rx_gain, round((CASE WHEN b36 >= 128 THEN 1 ELSE -1 END) * (((b36 & 127) * 256 + b37) * (37.53472224e6 * 37.53472224e6 / 2097152)), 0) AS tx_pulse_ramp_rate,
+       round(b35 * (-0.5)::DOUBLE, 6) + 0.0 AS rx_gain, round((CASE WHEN b36 >= 128 THEN 1 ELSE -1 END) * (((b36 & 127) * 256 + b37) * (37.53472224e6 * 37.53472224e6 / 2097152)), 0) AS tx_pulse_ramp_rate,
        round(((b44 * 256 + b45) * 256 + b46) / 37.53472224e6, 9) AS pri, b53 >> 7 AS sas_ssb_flag, (b53 >> 4) & 7 AS polarisation, (b53 >> 2) & 3 AS temperature_compensation,
        b57 >> 4 AS signal_type, b57 & 1 AS swap_flag, (b31 & 31) IN (0, 3, 4, 5, 12, 13, 14) AS valid_baq FROM b""")
 def packet_secondary(spark, d):
@@ -181,7 +181,7 @@ def dem_tile(spark, d):
 @query("grid_cell", f"""
 WITH r AS (SELECT event_id, lon, floor(lat / (180.0 / 2004) + 1e-9)::INT AS row FROM {_LL}),
 c AS (SELECT event_id, lon, row, ceil(2 * pi() * 6378.137 * cos(radians(row * (180.0 / 2004))) / 10) AS n FROM r),
-k AS (SELECT event_id, row, floor(lon / (360.0 / n) - CASE WHEN n % 2 = 0 THEN 0 ELSE 0.5 END + 1e-9)::INT AS col FROM c)
+k AS (SELECT event_id, row, floor(lon / (360.0 / n) + 1e-9)::INT AS col FROM c)
 SELECT event_id, abs(row)::VARCHAR || CASE WHEN row < 0 THEN 'D' ELSE 'U' END || '_' || abs(col)::VARCHAR || CASE WHEN col < 0 THEN 'L' ELSE 'R' END AS name,
        abs(row + 1)::VARCHAR || CASE WHEN row + 1 < 0 THEN 'D' ELSE 'U' END AS up FROM k""")
 def grid_cell(spark, d):
