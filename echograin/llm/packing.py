@@ -24,6 +24,7 @@ columns are ignored.
 from __future__ import annotations
 
 import random
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -45,9 +46,16 @@ _FOLDED = byte_table(SPACE_BYTES, fold_case=True, seed=3)
 _AS_IT_IS = byte_table(SPACE_BYTES, seed=4)
 
 
+#: ASCII letters, and ASCII characters that are neither letters, digits, space, controls nor the apostrophe of contractions.
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = True
+
+
 class WordTokenizer:
     """Token ids of whole columns.  The tokenizer drops white space and never joins over
-    it, so equal words have equal ids and are given to the library once."""
+    it, nor a letter with a punctuation mark, so a text is cut there; equal parts have
+    equal ids and are given to the library once."""
 
     def __init__(self, file: str):
         import os
@@ -74,7 +82,7 @@ class WordTokenizer:
             out[i] = x
         if missing:
             for i, e in zip(missing, self.library.encode_batch_fast([words[i].decode() for i in missing], add_special_tokens=False), strict=True):
-                out[i] = np.array(e.ids, "<u4").tobytes()
+                out[i] = array("I", e.ids).tobytes()
                 if len(words[i]) <= 64:
                     self.recent[keys[i]] = out[i]
         if len(self.recent) >= KEPT:
@@ -86,8 +94,15 @@ class WordTokenizer:
         for _, _, data, offsets in column_chunks(column):
             raw = data.tobytes()
             # special tokens are found before the case is folded
-            sep, values = _AS_IT_IS if b"<|" in raw else _FOLDED
+            special = b"<|" in raw
+            sep, values = _AS_IT_IS if special else _FOLDED
             starts, ends, rows = spans(~sep[data], offsets)
+            if len(data) and not special:
+                letter, mark = _LETTER[data], _MARK[data]
+                inner = np.flatnonzero((letter[1:] & mark[:-1]) | (mark[1:] & letter[:-1])) + 1
+                inner = inner[~np.isin(inner, offsets)]  # a text's start is a start already
+                starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
+                rows = np.searchsorted(starts, offsets)
             keys, at, back = np.unique(hash_spans(data, starts, ends, values), return_index=True, return_inverse=True)
             found = self.words(keys.tolist(), [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
             all_ids = np.array([*found, None], object)[:-1][back].tolist()
