@@ -226,3 +226,124 @@ SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS sessio
 def stream_sessions(spark, d):
     s = sw.sessions(_table(spark, d, "events"))
     return s.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
+
+
+@query("glcm_texture", f"""
+WITH p AS (SELECT tile, r, c, least(7, floor(v * 8))::INT AS g FROM (SELECT tile, r, c, v / max(v) OVER () AS v FROM {_RASTER}) t),
+n AS (SELECT a.tile, a.g AS i, b.g AS j, count(*) AS n FROM p a JOIN p b ON a.tile = b.tile AND a.r = b.r AND b.c = a.c + 1 GROUP BY 1, 2, 3),
+s AS (SELECT tile, i, j, sum(n) AS n FROM (SELECT tile, i, j, n FROM n UNION ALL SELECT tile, j, i, n FROM n) t GROUP BY 1, 2, 3), q AS (SELECT tile, i, j, n / sum(n) OVER (PARTITION BY tile) AS p FROM s)
+SELECT tile, round(sum(p * (i - j) ** 2), 6) AS contrast, round(sum(p * abs(i - j)), 6) AS dissimilarity, round(sum(p / (1 + (i - j) ** 2)), 6) AS homogeneity, round(sum(p * p), 6) AS energy, round(-sum(p * ln(p)), 6) AS entropy FROM q GROUP BY tile""")
+def glcm_texture(spark, d):
+    from ..operators import product_ops as po
+
+    r = _raster(spark, d)
+    top = r.agg(F.max("v").alias("m")).withColumn("k", F.lit(1))
+    g = r.withColumn("k", F.lit(1)).join(F.broadcast(top), "k").withColumn("g", F.least(F.lit(7), F.floor(F.col("v") / F.col("m") * 8)).cast("int"))
+    out = po.glcm(g, ["tile"], "r", "c", "g")
+    return out.select("tile", *[_r(F.col(c)).alias(c) for c in ("contrast", "dissimilarity", "homogeneity", "energy", "entropy")])
+
+
+@query("mosaic_first", f"WITH p AS (SELECT * FROM {_RASTER}) SELECT r, c, round(arg_min(v, tile), 6) AS value FROM p GROUP BY r, c")
+def mosaic_first(spark, d):
+    from ..operators import product_ops as po
+
+    r = _raster(spark, d)
+    return po.mosaic([r.where(F.col("tile") == k) for k in range(6)], ["r", "c"], "v").withColumn("value", _r(F.col("value")))
+
+
+@query("stack_average", f"SELECT r, c, round(avg(v), 6) AS value FROM {_RASTER} GROUP BY r, c")
+def stack_average(spark, d):
+    from ..operators import product_ops as po
+
+    return po.stack_average(_raster(spark, d), ["r", "c"], "v").withColumn("value", _r(F.col("value")))
+
+
+@query("temporal_percentile", f"SELECT r, c, round(quantile_cont(v, 0.9), 6) AS value FROM {_RASTER} GROUP BY r, c")
+def temporal_percentile(spark, d):
+    from ..operators import product_ops as po
+
+    return po.temporal_percentile(_raster(spark, d), ["r", "c"], "v", 90).withColumn("value", _r(F.col("value")))
+
+
+@query("convert_datatype", f"WITH p AS (SELECT *, min(v) OVER () AS lo, max(v) OVER () AS hi FROM {_RASTER}) SELECT event_id, greatest(0, least(255, floor((v - lo) / (hi - lo) * 255)))::BIGINT AS value FROM p")
+def convert_datatype(spark, d):
+    from ..operators import product_ops as po
+
+    r = _raster(spark, d)
+    ends = r.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).withColumn("k", F.lit(1))
+    return r.withColumn("k", F.lit(1)).join(F.broadcast(ends), "k").select("event_id", po.converted(F.col("v"), F.col("lo"), F.col("hi")).alias("value"))
+
+
+@query("deburst", f"""
+SELECT tile * 30 + r AS line, c, round(v, 6) AS v FROM {_RASTER} WHERE r >= CASE WHEN tile > 0 THEN 5 ELSE 0 END AND r < 40 - CASE WHEN tile < (SELECT max(tile) FROM {_RASTER}) THEN 5 ELSE 0 END""")
+def deburst(spark, d):
+    from ..operators import product_ops as po
+
+    r = _raster(spark, d).select(F.lit("IW1").alias("swath"), F.col("tile").alias("burst"), F.col("r").alias("line"), "c", "v")
+    return po.debursted(r, ["swath"], 10).select("line", "c", _r(F.col("v")).alias("v"))
+
+
+@query("interferogram", "SELECT l_orderkey, l_linenumber, round(l_discount * l_tax + l_quantity * l_quantity / 100, 6) AS re, round((l_tax - l_discount) * l_quantity / 10, 6) + 0.0 AS im FROM lineitem")
+def interferogram(spark, d):
+    from ..operators import product_ops as po
+
+    q = F.col("l_quantity") / 10
+    pair = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("ar"), q.alias("ai"), F.col("l_tax").alias("br"), q.alias("bi"))
+    return po.interferogram(pair).select("l_orderkey", "l_linenumber", _r(F.col("re")).alias("re"), (_r(F.col("im")) + 0.0).alias("im"))
+
+
+@query("ssim_window", None)
+def ssim_window(spark, d):
+    from ..operators import product_ops as po
+
+    r = _raster(spark, d).withColumn("w", F.col("v") * 0.9 + F.col("c") / 100)
+    return po.ssim(r, ["tile"], "r", "c", "v", "w").withColumn("ssim", _r(F.col("ssim"), 5))
+
+
+@query("peaks", "WITH p AS (SELECT event_type, quantile_cont(value, 0.99) AS q FROM events GROUP BY 1) SELECT event_id FROM events JOIN p USING (event_type) WHERE value > q")
+def peaks(spark, d):
+    from ..operators import product_ops as po
+
+    return po.peaks(_table(spark, d, "events"), ["event_type"], "value").select("event_id")
+
+
+@query("unmix", "SELECT l_orderkey, l_linenumber, round(l_quantity / 50, 6) AS a, round(l_discount * 10, 6) AS b FROM lineitem")
+def unmix(spark, d):
+    """Mixtures of two endmembers give their shares back."""
+    from ..operators import product_ops as po
+
+    ends = [[1.0, 0.5, 0.2], [0.1, 0.7, 1.0]]
+    a, b = F.col("l_quantity") / 50, F.col("l_discount") * 10
+    share = po.unmixed(F.array(*[a * x + b * y for x, y in zip(*ends, strict=True)]), ends)
+    return _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (_r(share[0]) + 0.0).alias("a"), (_r(share[1]) + 0.0).alias("b"))
+
+
+_RESULTS = "(SELECT o_orderpriority AS grp, o_orderkey AS tile, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'partial' ELSE 'failed' END AS status, o_totalprice > 1000 AS bands_ok, o_custkey % 3 <> 0 AS meta_ok FROM orders)"
+
+
+def _results(spark, d) -> DataFrame:
+    s = F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "partial").otherwise("failed")
+    return _table(spark, d, "orders").select(F.col("o_orderpriority").alias("grp"), F.col("o_orderkey").alias("tile"), s.alias("status"), (F.col("o_totalprice") > 1000).alias("bands_ok"), (F.col("o_custkey") % 3 != 0).alias("meta_ok"))
+
+
+@query("validation_groups", f"SELECT grp, count(*) AS tiles, sum((status = 'success')::INT)::BIGINT AS passed, sum((status IN ('failed', 'missing'))::INT)::BIGINT AS failed, CASE WHEN sum((status IN ('failed', 'missing'))::INT) = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM {_RESULTS} GROUP BY grp")
+def validation_groups(spark, d):
+    from ..operators import validation as va
+
+    return va.group_summary(_results(spark, d))
+
+
+@query("validation_dashboard", f"""
+WITH r AS (SELECT * FROM {_RESULTS}), l AS (SELECT grp, 'bands_ok' AS check, bands_ok AS ok FROM r UNION ALL SELECT grp, 'meta_ok', meta_ok FROM r)
+SELECT grp, check, sum(ok::INT)::BIGINT AS passed, sum((NOT ok)::INT)::BIGINT AS failed, round(sum(ok::INT) * 100.0 / count(*), 1)::DOUBLE AS pass_pct FROM l GROUP BY 1, 2""".replace("check", '"check"'))
+def validation_dashboard(spark, d):
+    from ..operators import validation as va
+
+    return va.dashboard(_results(spark, d), ["bands_ok", "meta_ok"])
+
+
+@query("validation_failures", f"SELECT grp, tile, status, array_to_string(list_filter([CASE WHEN NOT bands_ok THEN 'bands_ok' END, CASE WHEN NOT meta_ok THEN 'meta_ok' END], lambda x: x IS NOT NULL), ', ') AS issues FROM {_RESULTS} WHERE status <> 'success'")
+def validation_failures(spark, d):
+    from ..operators import validation as va
+
+    return va.failure_rows(_results(spark, d), ["bands_ok", "meta_ok"])

@@ -206,3 +206,44 @@ def test_stream_is_the_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("tumbling").collect())) == sorted(map(tuple, windows.tumbling(events).collect()))
+
+
+def test_product_operators(spark):
+    from echograin.operators import product_ops as po
+
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 4, (6, 7))
+    g = po.glcm(raster(spark, a).withColumn("g", F.col("v").cast("int")), ["tile"], "r", "c", "g").first()
+    pairs = np.zeros((4, 4))
+    for x, y in zip(a[:, :-1].ravel(), a[:, 1:].ravel(), strict=True):
+        pairs[x, y] += 1
+        pairs[y, x] += 1
+    p = pairs / pairs.sum()
+    i, j = np.indices(p.shape)
+    assert np.isclose(g["contrast"], (p * (i - j) ** 2).sum()) and np.isclose(g["energy"], (p * p).sum())
+    b = rng.normal(size=(32, 32))
+    shifted = raster(spark, b).withColumnRenamed("v", "a").join(raster(spark, np.roll(b, (3, -2), (0, 1))).withColumnRenamed("v", "b"), ["tile", "r", "c"])
+    s = po.offsets(shifted, ["tile"], "r", "c").first()
+    assert (s["row_shift"], s["col_shift"]) == (3, -2)
+    same = raster(spark, b).withColumn("w", F.col("v"))
+    assert np.isclose(po.ssim(same, ["tile"], "r", "c", "v", "w").first()["ssim"], 1)
+    small = po.resampled_nearest(raster(spark, a), "r", "c", 6, 7, 3, 14)
+    assert small.count() == 42 and small.select(F.max("r"), F.max("c")).first()[:] == (2, 13)
+    z = raster(spark, np.zeros((32, 32))).select("tile", "r", "c", F.lit(1.0).alias("re"), F.lit(0.0).alias("im"))
+    assert abs(po.goldstein_filter(z, ["tile"], "r", "c").agg(F.avg("re")).first()[0] - 1) < 1e-9
+    joined = po.assembled_slices([raster(spark, a), raster(spark, a[:2])], "r")
+    assert joined.count() == 56 and joined.agg(F.max("r")).first()[0] == 7
+    spectra = spark.createDataFrame([([1.0, 0.1],), ([0.1, 1.0],)], "x array<double>")
+    assert [r[0] for r in spectra.select(po.nearest_class(F.col("x"), {"red": [1.0, 0.0], "blue": [0.0, 1.0]})).collect()] == ["red", "blue"]
+    packets = spark.createDataFrame([("f", k, 0 if k != 3 else 1, 10 if k < 6 else 12) for k in range(9)], "path string, n int, kind int, quads int")
+    assert sorted((r["first"], r["last"], r["n"]) for r in po.echo_bursts(packets, "n", "kind", "quads").collect()) == [(0, 5, 5), (6, 8, 3)]
+
+
+def test_missing_bands(spark):
+    from echograin.operators import validation as va
+
+    bands = spark.createDataFrame([("g", "a", "x"), ("g", "a", "y"), ("g", "b", "x"), ("h", "c", "z")], "grp string, tile string, band string")
+    assert [tuple(r) for r in va.missing_bands(bands).collect()] == [("g", "b", "y")]
+    assert [r["band"] for r in va.sample_bands(bands, {"z": 0}, 2).collect()] == ["z", "x"]
+    rows = spark.createDataFrame([(1, " ", None), (2, None, "q"), (3, "p", None)], "n int, a string, b string")
+    assert va.first_known(rows, "n", ["a", "b"]).first()["n"] == 2
