@@ -10,8 +10,10 @@ precision, within the same label only.
 
 Equal vectors of a label form a class with its smallest id, and only classes
 meet; a class's members are linked with each other, so a vector that a third
-of all rows share costs no more than one.  Lookups are spread over ``salt``
-parts of each cell's visitors, while each part gets the cell's residents.
+of all rows share costs no more than one.  The residents of cells are counted
+first; a cell of more than ``limit`` is cut into parts of its residents and
+parts of its visitors, and each pair of parts is a group of its own, so no
+group grows with a crowded cell.
 
 Defined results: a vector that is null, zero, or holds a null or non-finite
 component, and a vector without label, has no links and is its own component;
@@ -102,43 +104,42 @@ def _vectors(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
-_FILED_DDL = "key long, part int, id long, own boolean, vector binary"
-
-
-def _file(salt: int):
-    """(id, label, embedding) of class representatives to residents of their cells and visitors of these and of neighbours."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, labels = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            vectors = _vectors(batch.column(2))
-            for size in {len(v) for v in vectors if v is not None}:
-                some = np.array([i for i, v in enumerate(vectors) if v is not None and len(v) == size])
-                x = np.stack([vectors[i] for i in some])
-                raw = pa.array([v.tobytes() for v in x], pa.binary())
-                for t, matrix in enumerate(_projections(size)):
-                    y = x @ matrix
-                    y = np.pad(y, ((0, 0), (0, DIMENSIONS - y.shape[1])))
-                    cell, _ = nearest_e8(y)
-                    around = cell[:, None, :] + ROOTS[None, :, :]
-                    distance = ((around / 2 - y[:, None, :]) ** 2).sum(2)
-                    near = np.argpartition(distance, PROBES, 1)[:, :PROBES]
-                    own = _keys(cell, t, labels[some])
-                    rows = np.arange(len(some))
-                    keys, of, resident, part = [], [], [], []
-                    for p in range(salt):
-                        keys.append(own), of.append(rows), resident.append(np.ones(len(rows), bool)), part.append(np.full(len(rows), p))
-                    visit = (mix64(ids[some].astype(np.int64).view(np.uint64)) % np.uint64(salt)).astype(np.int64)
-                    for k in range(-1, PROBES):
-                        keys.append(own if k < 0 else _keys(around[rows, near[:, k]], t, labels[some]))
-                        of.append(rows), resident.append(np.zeros(len(rows), bool)), part.append(visit)
-                    of = np.concatenate(of)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(keys)), pa.array(np.concatenate(part), pa.int32()), pa.array(ids[some][of]), pa.array(np.concatenate(resident)), raw.take(pa.array(of))],
-                        names=["key", "part", "id", "own", "vector"],
-                    )
-
-    return run
+_FILED_DDL = "key long, id long, own boolean, vector binary"
+
+
+def _cells(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(rows, unit vectors, projections, cells, table) of the usable vectors of a batch (id, label, embedding), by length and table."""
+    vectors = _vectors(batch.column(2))
+    for size in sorted({len(v) for v in vectors if v is not None}):
+        some = np.array([i for i, v in enumerate(vectors) if v is not None and len(v) == size])
+        x = np.stack([vectors[i] for i in some])
+        for t, matrix in enumerate(_projections(size)):
+            y = x @ matrix
+            y = np.pad(y, ((0, 0), (0, DIMENSIONS - y.shape[1])))
+            yield some, x, y, nearest_e8(y)[0], t
+
+
+def _residents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, label, embedding) to the keys of the cells that hold each vector."""
+    for batch in batches:
+        labels = batch.column(1).to_numpy()
+        for some, _, _, cell, t in _cells(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(_keys(cell, t, labels[some]))], names=["key"])
+
+
+def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, label, embedding) to residents of their cells and visitors of these and of neighbours."""
+    for batch in batches:
+        ids, labels = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for some, x, y, cell, t in _cells(batch):
+            rows = np.arange(len(some))
+            around = cell[:, None, :] + ROOTS[None, :, :]
+            near = np.argpartition(((around / 2 - y[:, None, :]) ** 2).sum(2), PROBES, 1)[:, :PROBES]
+            own = _keys(cell, t, labels[some])
+            keys = np.concatenate([own, own, *[_keys(around[rows, near[:, k]], t, labels[some]) for k in range(PROBES)]])
+            of = np.tile(rows, PROBES + 2)
+            raw = pa.array([v.tobytes() for v in x], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[some][of]), pa.array(np.arange(len(of)) < len(rows)), raw.take(pa.array(of))], names=["key", "id", "own", "vector"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +181,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(rest)
 
 
-def linked_vectors(vectors: DataFrame, salt: int = 4) -> DataFrame:
+def linked_vectors(vectors: DataFrame, limit: int = 4096) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, label)."""
     kind = vectors.schema["vec_id"].dataType.simpleString()
     value = F.col("embedding")
@@ -194,7 +195,14 @@ def linked_vectors(vectors: DataFrame, salt: int = 4) -> DataFrame:
     known = rows.where("class is not null")
     classes = known.groupBy("class").agg(F.min("vec_id").alias("id"), F.count("*").alias("members"))
     leaders = known.join(classes, (known["class"] == classes["class"]) & (known["vec_id"] == classes["id"]), "left_semi").groupBy("class").agg(F.first("vec_id").cast("long").alias("id"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
-    filed = leaders.select("id", "label", "embedding").mapInArrow(_file(salt), _FILED_DDL)
+    leaders = shared_table(leaders.select("id", "label", "embedding"))
+    crowded = leaders.mapInArrow(_residents, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    filed = leaders.mapInArrow(_file, _FILED_DDL).join(crowded, "key", "left")
+    parts = F.coalesce(F.ceil(F.col("n") / limit), F.lit(1)).cast("int")
+    mine = F.pmod(F.xxhash64("id"), parts).cast("int")
+    every = F.sequence(F.lit(0), parts - 1)
+    # residents in part r meet visitors in part v in the group r * parts + v
+    filed = filed.withColumn("part", F.explode(F.when(F.col("own"), F.transform(every, lambda v: mine * parts + v)).otherwise(F.transform(every, lambda r: r * parts + mine)))).drop("n")
     links = filed.repartition("key", "part").sortWithinPartitions("key", "part", F.col("own").desc(), "id").mapInArrow(_verify, "a long, b long")
     links = shared_table(links.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"))
     sizes = classes.select(F.col("id").cast("long").alias("b"), "members")

@@ -393,7 +393,9 @@ def test_linked_vectors(spark):
         for j, f, m in ok:
             if i != j and k == m and len(e) == len(f) and e @ f / np.linalg.norm(e) / np.linalg.norm(f) >= 0.98:
                 links[i].add(j)
+    small = {r["vec_id"]: r for r in lattice.linked_vectors(df, limit=3).collect()}  # most cells are crowded
     got = {r["vec_id"]: r for r in lattice.linked_vectors(df).collect()}
+    assert small == got
     assert len(got) == len(data)
     assert {i: r["n_links"] for i, r in got.items()} == {i: len(links[i]) for i in got}
     for i, r in got.items():
