@@ -247,3 +247,13 @@ def test_missing_bands(spark):
     assert [r["band"] for r in va.sample_bands(bands, {"z": 0}, 2).collect()] == ["z", "x"]
     rows = spark.createDataFrame([(1, " ", None), (2, None, "q"), (3, "p", None)], "n int, a string, b string")
     assert va.first_known(rows, "n", ["a", "b"]).first()["n"] == 2
+
+
+def test_model_slots(spark):
+    from echograin.operators import slots
+
+    df = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "a double, b double")
+    run = slots.processor("biophysical", lambda p: p["a"] + p["b"])
+    assert [r["lai"] for r in run(df, ["a", "b"], "lai").collect()] == [3.0, 7.0]
+    with pytest.raises(NotImplementedError, match="elevation"):
+        slots.processor("terrain_correction")
