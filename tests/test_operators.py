@@ -257,3 +257,31 @@ def test_model_slots(spark):
     assert [r["lai"] for r in run(df, ["a", "b"], "lai").collect()] == [3.0, 7.0]
     with pytest.raises(NotImplementedError, match="elevation"):
         slots.processor("terrain_correction")
+
+
+def test_focus_measures(spark):
+    from echograin.operators import focus as fo
+
+    rng = np.random.default_rng(6)
+    a, b = rng.uniform(0, 1, (6, 5)), rng.uniform(0, 1, (6, 5))
+    df = raster(spark, a).join(raster(spark, b).withColumnRenamed("v", "t"), ["tile", "r", "c"])
+    i, j = np.indices(a.shape)
+    s = a.sum()
+    want = sum((a * (k - (a * k).sum() / s) ** 2).sum() / s for k in (i, j))
+    assert np.isclose(fo.centroid_variance(df, ["tile"], "r", "c", "v").first()["variance"], want, atol=1e-6)
+    p = a.ravel() / s
+    assert np.isclose(df.agg(fo.normalized_entropy(F.col("v"))).first()[0], -(p * np.log(p)).sum() / np.log(p.size))
+    d = a - b
+    assert np.isclose(fo.gradient_matching(df, ["tile"], "r", "c", "v", "t").first()["loss"], (np.diff(d, axis=0) ** 2).mean() + (np.diff(d, axis=1) ** 2).mean())
+    assert np.isclose(fo.symmetry_loss(df, ["tile"], "r", "c", "v").first()["loss"], ((a - a[:, ::-1]) ** 2).mean())
+    z = (b - b.mean()) / (b.std(ddof=1) + 1e-8)
+    assert np.isclose(fo.distribution_aware_mse(df, ["tile"], "v", "t").first()["loss"], (d**2 * z**2).mean())
+    lo, hi = min(a.min(), b.min()), max(a.max(), b.max())
+    h = [np.histogram(x, bins=100, range=(lo, hi))[0] for x in (a, b)]
+    assert np.isclose(fo.histogram_l1(df, ["tile"], "v", "t").first()["l1"], np.abs(h[0] - h[1]).sum() / a.size, atol=0.08)
+    assert df.agg(fo.moments_loss(F.col("v"), F.col("v"))).first()[0] == 0
+    assert fo.patch_windows(spark, 2500, 2100).count() == 4 and fo.patch_windows(spark, 2500, 2100, drop_incomplete=False).count() == 9
+    looks = spark.createDataFrame([(k, i, c, float(k + 1), 0.0) for k in range(3) for i in range(4) for c in range(3)], "look int, row int, col int, re double, im double")
+    assert {round(r["re"], 6) for r in fo.row_balance(looks, [], "row", "look", "re", "im").collect()} == {2.0}
+    v = spark.range(1).select(fo.effective_velocity(F.lit(7.07e6), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(7500.0), F.lit(0.0), 850e3)).first()[0]
+    assert 7000 < v < 7500
