@@ -41,6 +41,7 @@ LINKS_MOST = 0.5
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content isn't text of the page.
 RAW_TAGS = frozenset("script style noscript template textarea iframe svg math object canvas audio video select title".split())
@@ -60,11 +61,11 @@ GOOD, BAD, NEAR, UNDECIDED = "good", "bad", "near", "undecided"
 
 
 class Block:
-    __slots__ = ("text", "links", "out", "region")
+    __slots__ = ("heading", "links", "out", "region", "text")
 
-    def __init__(self, text: str, links: int, out: bool, region: int):
+    def __init__(self, text: str, links: int, out: bool, region: int, heading: bool):
         #: region: number of the article that the block is in, 0 outside
-        self.text, self.links, self.out, self.region = text, links, out, region
+        self.text, self.links, self.out, self.region, self.heading = text, links, out, region, heading
 
 
 def _out_by_names(tag: str, attributes: str, inside: bool) -> bool:
@@ -96,7 +97,7 @@ def read_blocks(html: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                blocks.append(Block(text, links, out, region))
+                blocks.append(Block(text, links, out, region, bool(stack) and stack[-1][0] in HEADINGS))
             parts.clear()
         links = 0
 
@@ -177,7 +178,7 @@ def first_pass(b: Block) -> str:
     if b.out or links > LINKS_MOST:
         return BAD
     if len(b.text) < SHORT:
-        return UNDECIDED
+        return NEAR if b.heading and not b.links else UNDECIDED  # a heading goes with a good block beside it
     density = stop_density(b.text)
     if density >= STOPS_HIGH:
         return GOOD if len(b.text) > LONG else NEAR

@@ -229,8 +229,8 @@ def test_main_text():
 
 def test_blocks_without_an_article():
     good = "The cat is on the mat and it was all that we had to do for the day, so we did it and then went on to the next of them. " * 2
-    html = f"<body><div id=top><a href=a>One</a> <a href=b>Two</a></div><div><p>{good}</p><p>Short words here</p><p>{good}</p></div><div class=footer>{good}</div>"
-    assert html_blocks.main_text(html).split("\n") == [good.strip(), "Short words here", good.strip()]
+    html = f"<body><div id=top><a href=a>One</a> <a href=b>Two</a></div><div><h2>On cats</h2><p>{good}</p><p>Short words here</p><p>{good}</p></div><div class=footer>{good}</div>"
+    assert html_blocks.main_text(html).split("\n") == ["On cats", good.strip(), "Short words here", good.strip()]
 
 
 @pytest.mark.parametrize("html", [None, "", "plain", "<", "<p", "<p>a<", "</p></div>", "<script>", "<!-- open", "<a href='x", "<p>&#x;&bogus;</p>", "<article></article>", "<div " * 50, "<p>" * 500 + "x"])
@@ -445,3 +445,11 @@ def test_pipeline(spark):
     assert kept["substring dedup"] == want
     packed = corpus_pipeline.run(spark, SF).toPandas()
     assert set(packed.doc_id) == set(want) and packed.groupby("sequence_id").length.sum().max() <= 4096
+
+
+def test_buckets_of_links_only():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 6]), pa.array([1, 2]), pa.nulls(2, pa.int32()), pa.nulls(2, pa.binary()), pa.array([3, 4])], schema=minhash._ROWS)
+    pairs = [tuple(x.values()) for b in minhash._meet(iter([batch])) for x in b.to_pylist()]
+    assert pairs == [(1, 3), (2, 4)]
