@@ -29,6 +29,7 @@ table gives an empty result; other columns pass through.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from hashlib import sha256
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textcols import SPACE_BYTES, byte_table, column_chunks, hash_spans, spans, window_hashes
+from .textcols import SPACE_BYTES, byte_table, column_chunks, hash_spans, mix64, spans, window_hashes
 
 _SEP, _VALUES = byte_table(SPACE_BYTES, seed=7)
 #: Text that one packed row group covers.
@@ -73,13 +74,31 @@ def _units(column: pa.Array) -> Iterator[_Unit]:
             yield _Unit(column, k, min(b, k + int(ALIGNED) - 1))
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """Whole numbers that mostly rise by little."""
-    return zlib.compress(np.diff(x.astype("<i8"), prepend=0).tobytes(), 1)
-
-
-def _unpacked(x: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(x), "<i8"))
+def _packed(x: np.ndarray, rising: bool = False) -> bytes:
+    """Whole numbers by byte planes, each deflated if its bytes are far from uniform; of rising numbers the steps."""
+    if rising:
+        x = np.diff(x, prepend=x.dtype.type(0))
+    planes = x.view(np.uint8).reshape(len(x), -1)
+    parts = [struct.pack("<cq", x.dtype.char.encode(), len(x))]
+    for k in range(planes.shape[1]):
+        plane = np.ascontiguousarray(planes[:, k])
+        share = np.bincount(plane[:4096], minlength=256) / max(1, len(plane[:4096]))
+        deflate = -(share[share > 0] * np.log2(share[share > 0])).sum() < 6.5
+        part = zlib.compress(plane.tobytes(), 1) if deflate else plane.tobytes()
+        parts += [struct.pack("<?q", deflate, len(part)), part]
+    return b"".join(parts)
+
+
+def _unpacked(x: bytes, rising: bool = False) -> np.ndarray:
+    kind, n = struct.unpack_from("<cq", x)
+    out = np.empty(n, np.dtype(kind.decode()))
+    planes, at = out.view(np.uint8).reshape(n, -1), 9
+    for k in range(out.itemsize):
+        deflated, size = struct.unpack_from("<?q", x, at)
+        part = x[at + 9 : at + 9 + size]
+        planes[:, k] = np.frombuffer(zlib.decompress(part) if deflated else part, np.uint8)
+        at += 9 + size
+    return np.cumsum(out, dtype=out.dtype) if rising else out
 
 
 def _groups(sorted_values: np.ndarray) -> np.ndarray:
@@ -106,12 +125,13 @@ def _by_key(keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, bytes]]
 
 _PROBES = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("hashes", pa.binary()), ("places", pa.binary()), ("id", pa.int64())])
 _PROBES_DDL = "bucket int, docs binary, hashes binary, places binary, id long"
-_HITS = pa.schema([("id", pa.int64()), ("bucket", pa.int32()), ("hashes", pa.binary())])
-_HITS_DDL = "id long, bucket int, hashes binary"
+# what goes back to documents is packed by parts of the ids, so that its rows don't grow with documents times buckets
+_HITS = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("codes", pa.binary())])
+_HITS_DDL = "part int, ids binary, codes binary"
 _WINDOWS = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("contents", pa.binary()), ("hashes", pa.binary()), ("places", pa.binary()), ("at", pa.binary()), ("id", pa.int64()), ("content", pa.int64())])
 _WINDOWS_DDL = "bucket int, ids binary, contents binary, hashes binary, places binary, at binary, id long, content long"
-_REPEATS = pa.schema([("id", pa.int64()), ("content", pa.int64()), ("at", pa.binary())])
-_REPEATS_DDL = "id long, content long, at binary"
+_REPEATS = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("contents", pa.binary()), ("at", pa.binary())])
+_REPEATS_DDL = "part int, ids binary, contents binary, at binary"
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -143,38 +163,62 @@ def _probe(block: int, buckets: int):
                     rows.append((doc % buckets, None, codes, None, int(ids[unit.first + doc])))
                 h, place, bucket = h[starts], row[starts].astype(np.uint16), bucket[starts]
                 place |= np.where(indexed, ALIGNED, np.uint16(0))
-                docs = _packed(ids[unit.first : unit.first + len(unit.rows) - 1])
+                docs = _packed(ids[unit.first : unit.first + len(unit.rows) - 1], True)
                 cuts = _groups(bucket)
                 for a, b in zip(cuts.tolist(), _ends(cuts, len(h)).tolist(), strict=True):
-                    rows.append((int(bucket[a]), docs, (h[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), place[a:b].tobytes(), None))
+                    rows.append((int(bucket[a]), docs, _packed((h[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32), True), _packed(place[a:b]), None))
                 yield _batch(rows, _PROBES)
 
     return run
 
 
-def _match(table: pa.Table) -> pa.Table:
+def _parts(ids: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, which entries) of a spread of ids over as many parts as there are buckets."""
+    part = (mix64(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((ids, part))
+    starts = _groups(part[order])
+    for a, b in zip(starts.tolist(), _ends(starts, len(order)).tolist(), strict=True):
+        yield int(part[order[a]]), order[a:b]
+
+
+def _match(buckets: int):
     """Probes of one bucket to its anchors, by the documents that hold them."""
-    out: list[tuple] = []
-    hashes, docs, marks = [], [], []
-    bucket = table.column("bucket")[0].as_py()
-    for d, h, p, own in zip(*(table.column(c).to_pylist() for c in ("docs", "hashes", "places", "id")), strict=True):
-        if d is None:
-            codes = np.frombuffer(h, "<i8")
-            out += [(own, int(b), codes_of) for b, codes_of in _by_key(codes >> 32, (codes & 0xFFFFFFFF).astype("<u4"))]
-            continue
-        place = np.frombuffer(p, np.uint16)
-        hashes.append(np.frombuffer(h, "<u4"))
-        docs.append(_unpacked(d)[place & ~ALIGNED])
-        marks.append(place & ALIGNED > 0)
-    if hashes:
-        h, doc, mark = np.concatenate(hashes), np.concatenate(docs), np.concatenate(marks)
-        order = np.argsort(h, kind="stable")
-        h, doc, mark = h[order], doc[order], mark[order]
-        starts = _groups(h)
-        met = np.diff(np.append(starts, len(h)))
-        hit = np.repeat((met > 1) & np.logical_or.reduceat(mark, starts), met)
-        out += [(d, bucket, x) for d, x in _by_key(doc[hit], h[hit])]
-    return pa.Table.from_batches([_batch(out, _HITS)], schema=_HITS)
+
+    def run(table: pa.Table) -> pa.Table:
+        hashes, docs, marks = [], [], []
+        hit_docs, hit_codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        bucket = table.column("bucket")[0].as_py()
+        for d, h, p, own in zip(*(table.column(c).to_pylist() for c in ("docs", "hashes", "places", "id")), strict=True):
+            if d is None:  # known from within a unit
+                hit_codes.append(np.frombuffer(h, "<i8"))
+                hit_docs.append(np.full(len(hit_codes[-1]), own, np.int64))
+                continue
+            place = _unpacked(p)
+            hashes.append(_unpacked(h, True))
+            docs.append(_unpacked(d, True)[place & ~ALIGNED])
+            marks.append(place & ALIGNED > 0)
+        if hashes:
+            h, doc, mark = np.concatenate(hashes), np.concatenate(docs), np.concatenate(marks)
+            order = np.argsort(h, kind="stable")
+            h, doc, mark = h[order], doc[order], mark[order]
+            starts = _groups(h)
+            met = np.diff(np.append(starts, len(h)))
+            hit = np.repeat((met > 1) & np.logical_or.reduceat(mark, starts), met)
+            hit_docs.append(doc[hit])
+            hit_codes.append(h[hit].astype(np.int64) | bucket << 32)
+        doc, code = np.concatenate(hit_docs), np.concatenate(hit_codes)
+        rows = [(part, _packed(doc[k], True), _packed(code[k])) for part, k in _parts(doc, buckets)]
+        return pa.Table.from_batches([_batch(rows, _HITS)], schema=_HITS)
+
+    return run
+
+
+def _gather_hits(table: pa.Table) -> pa.Table:
+    """Hits of one part of the ids to a row a document."""
+    doc = np.concatenate([_unpacked(x, True) for x in table.column("ids").to_pylist()])
+    code = np.concatenate([_unpacked(x) for x in table.column("codes").to_pylist()])
+    rows = list(_by_key(doc, code))
+    return pa.table({"id": pa.array([r[0] for r in rows], pa.int64()), HITS: pa.array([r[1] for r in rows], pa.binary())})
 
 
 def _extend(text_at: int, block: int, window: int, buckets: int):
@@ -185,7 +229,7 @@ def _extend(text_at: int, block: int, window: int, buckets: int):
             ids, contents, found_hits = batch.column(batch.num_columns - 3).to_numpy(), batch.column(batch.num_columns - 2).to_numpy(), batch.column(batch.num_columns - 1)
             for unit in _units(batch.column(text_at)):
                 n = len(unit.rows) - 1
-                hits = [np.frombuffer(x["hashes"], "<u4").astype(np.int64) | x["bucket"] << 32 for row in found_hits.slice(unit.first, n).to_pylist() for x in row or ()]
+                hits = [np.frombuffer(x, "<i8") for x in found_hits.slice(unit.first, n).to_pylist()]
                 if not hits:
                     continue
                 anchors = np.unique(np.concatenate(hits))
@@ -214,38 +258,52 @@ def _extend(text_at: int, block: int, window: int, buckets: int):
                 for a, b in zip(cuts.tolist(), _ends(cuts, len(h)).tolist(), strict=True):
                     own, there = np.unique(used[place[a:b]], return_inverse=True)
                     own += unit.first
-                    rows.append((int(bucket[a]), _packed(ids[own]), contents[own].astype("<i8").tobytes(), h[a:b].astype("<u8").tobytes(), there.astype("<u2").tobytes(), at[a:b].tobytes(), None, None))
+                    rows.append((int(bucket[a]), _packed(ids[own], True), contents[own].astype("<i8").tobytes(), _packed(h[a:b], True), _packed(there.astype(np.uint16)), _packed(at[a:b]), None, None))
                 yield _batch(rows, _WINDOWS)
 
     return run
 
 
-def _later(table: pa.Table) -> pa.Table:
+def _later(buckets: int):
     """Windows of one bucket to those whose words also start earlier."""
-    out: list[tuple] = []
-    parts: list[tuple] = []
-    for ids, contents, h, p, at, own, content in zip(*(table.column(c).to_pylist() for c in ("ids", "contents", "hashes", "places", "at", "id", "content")), strict=True):
-        if ids is None:
-            out.append((own, content, at))
-            continue
-        place = np.frombuffer(p, "<u2")
-        parts.append((np.frombuffer(h, "<u8"), _unpacked(ids)[place], np.frombuffer(contents, "<i8")[place], np.frombuffer(at, "<i4")))
-    if parts:
-        h, doc, content, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((at, content, doc, h))
-        h, doc, content, at = h[order], doc[order], content[order], at[order]
-        starts = _groups(h)
-        first = np.repeat(starts, np.diff(np.append(starts, len(h))))
-        later = np.flatnonzero((doc != doc[first]) | (content != content[first]) | (at != at[first]))
-        later = later[np.lexsort((content[later], doc[later]))]
-        doc, content, at = doc[later], content[later], at[later]
-        cuts = np.flatnonzero(np.append(len(doc) > 0, (doc[1:] != doc[:-1]) | (content[1:] != content[:-1]))) if len(doc) else np.zeros(0, np.int64)
-        for a, b in zip(cuts.tolist(), _ends(cuts, len(doc)).tolist(), strict=True):
-            out.append((int(doc[a]), int(content[a]), at[a:b].tobytes()))
-    return pa.Table.from_batches([_batch(out, _REPEATS)], schema=_REPEATS)
-
-
-ID, CONTENT = "__id", "__content"
+
+    def run(table: pa.Table) -> pa.Table:
+        found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
+        parts: list[tuple] = []
+        for ids, contents, h, p, at, own, content in zip(*(table.column(c).to_pylist() for c in ("ids", "contents", "hashes", "places", "at", "id", "content")), strict=True):
+            if ids is None:  # known from within a unit
+                starts = np.frombuffer(at, "<i4")
+                found.append((np.full(len(starts), own, np.int64), np.full(len(starts), content, np.int64), starts))
+                continue
+            place = _unpacked(p)
+            parts.append((_unpacked(h, True), _unpacked(ids, True)[place], np.frombuffer(contents, "<i8")[place], _unpacked(at)))
+        if parts:
+            h, doc, content, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((at, content, doc, h))
+            h, doc, content, at = h[order], doc[order], content[order], at[order]
+            starts = _groups(h)
+            first = np.repeat(starts, np.diff(np.append(starts, len(h))))
+            later = (doc != doc[first]) | (content != content[first]) | (at != at[first])
+            found.append((doc[later], content[later], at[later]))
+        doc, content, at = (np.concatenate(x) for x in zip(*found, strict=True))
+        rows = [(part, _packed(doc[k], True), _packed(content[k]), _packed(at[k])) for part, k in _parts(doc, buckets)]
+        return pa.Table.from_batches([_batch(rows, _REPEATS)], schema=_REPEATS)
+
+    return run
+
+
+def _gather_repeats(table: pa.Table) -> pa.Table:
+    """Repeats of one part of the ids to a row a doc_id: the content that each start is in, and the start."""
+    doc = np.concatenate([_unpacked(x, True) for x in table.column("ids").to_pylist()])
+    content = np.concatenate([_unpacked(x) for x in table.column("contents").to_pylist()])
+    at = np.concatenate([_unpacked(x) for x in table.column("at").to_pylist()])
+    a, b = list(_by_key(doc, content)), list(_by_key(doc, at))
+    repeats = pa.StructArray.from_arrays([pa.array([x for _, x in a], pa.binary()), pa.array([x for _, x in b], pa.binary())], names=["content", "at"])
+    return pa.table({"id": pa.array([i for i, _ in a], pa.int64()), REPEATS: repeats})
+
+
+#: Names that no column of documents is thought to have.
+ID, CONTENT, HITS, REPEATS = "__id", "__content", "__hits", "__repeats"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -254,7 +312,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame, window: int = 20, block: int = 10, per_bucket: int = 3_000_000) -> DataFrame:
-    """(id, repeats): by doc_id, the starts of repeated windows in packed arrays, each with the hash of the text
+    """(id, __repeats): by doc_id, the starts of repeated windows in packed arrays, each with the hash of the text
     that they are in; only documents that have some."""
     if window < 2 * block - 1:
         raise ValueError("a window has to hold a whole block wherever it starts")
@@ -262,19 +320,19 @@ def repeats(docs: DataFrame, window: int = 20, block: int = 10, per_bucket: int
     buckets = max(8, -(-size // (6 * per_bucket)))
     keyed = _keyed(docs)
     probes = keyed.select(ID, "text").mapInArrow(_probe(block, buckets), _PROBES_DDL)
-    hits = probes.groupBy("bucket").applyInArrow(_match, _HITS_DDL)
-    hits = hits.groupBy("id").agg(F.collect_list(F.struct("bucket", "hashes")).alias("hits"))
+    hits = probes.groupBy("bucket").applyInArrow(_match(buckets), _HITS_DDL)
+    hits = hits.groupBy("part").applyInArrow(_gather_hits, f"id long, {HITS} binary")
     # all columns of the documents, so that this exchange of them also serves remove_repeats()
-    near = keyed.join(hits, keyed[ID] == hits["id"]).select(*(keyed[c] for c in keyed.columns), "hits")
+    near = keyed.join(hits, keyed[ID] == hits["id"]).select(*(keyed[c] for c in keyed.columns), hits[HITS])
     windows = near.mapInArrow(_extend(docs.columns.index("text"), block, window, buckets), _WINDOWS_DDL)
-    later = windows.groupBy("bucket").applyInArrow(_later, _REPEATS_DDL)
-    return later.groupBy("id").agg(F.collect_list(F.struct("content", "at")).alias("repeats"))
+    later = windows.groupBy("bucket").applyInArrow(_later(buckets), _REPEATS_DDL)
+    return later.groupBy("part").applyInArrow(_gather_repeats, f"id long, {REPEATS} struct<content: binary, at: binary>")
 
 
-def _covered(starts: list[bytes], n: int, window: int) -> np.ndarray:
+def _covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
     """Words that the windows cover."""
     edge = np.zeros(n + 1, np.int64)
-    at = np.unique(np.concatenate([np.frombuffer(x, "<i4") for x in starts]))
+    at = np.unique(starts)
     edge[at] += 1
     np.subtract.at(edge, np.minimum(at + window, n), 1)
     return np.cumsum(edge)[:n] > 0
@@ -291,7 +349,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, block: int = 10, digests:
         docs = docs.select("doc_id", "text")
     found = repeats(docs, window, block, **more)
     keyed = _keyed(docs)
-    joined = keyed.join(found, keyed[ID] == found["id"], "left").select(*(keyed[c] for c in keyed.columns if c != ID), "repeats")
+    joined = keyed.join(found, keyed[ID] == found["id"], "left").select(*(keyed[c] for c in keyed.columns if c != ID), found[REPEATS])
     names = docs.columns
     text_at, doc_at = names.index("text"), names.index("doc_id")
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
@@ -302,11 +360,13 @@ def remove_repeats(docs: DataFrame, window: int = 20, block: int = 10, digests:
         for batch in batches:
             texts, n_words, n_removed = [], [], []
             for value, content, marks in zip(batch.column(text_at), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
-                starts = [x["at"] for x in marks or () if x["content"] == content]
+                starts = np.zeros(0, np.int64)
+                if marks:
+                    starts = np.frombuffer(marks["at"], "<i4")[np.frombuffer(marks["content"], "<i8") == content]
                 raw = value.as_buffer().to_pybytes() if value.is_valid else b""
                 words = raw.split()
                 n_words.append(len(words))
-                if starts:
+                if len(starts):
                     gone = _covered(starts, len(words), window)
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 n_removed.append(n_words[-1] - len(words))
