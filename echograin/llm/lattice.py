@@ -36,10 +36,12 @@ from .components import components
 from .shared import shared_table
 from .textcols import mix64
 
-DIMENSIONS, TABLES, PROBES = 8, 6, 8
+DIMENSIONS, TABLES, PROBES = 8, 4, 6
 COSINE = 0.98
+#: Crowded cells are broadcast up to this number, beyond it they are joined by their key.
+BROADCAST_ROWS = 200_000
 #: Lattice units that two vectors at the limit are apart after projection, on average.
-REACH = 0.55
+REACH = 0.45
 
 
 def _nearest_d8(x: np.ndarray) -> np.ndarray:
@@ -107,8 +109,21 @@ def _vectors(column: pa.Array) -> list[np.ndarray | None]:
 _FILED_DDL = "key long, id long, own boolean, vector binary"
 
 
-def _cells(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
-    """(rows, unit vectors, projections, cells, table) of the usable vectors of a batch (id, label, embedding), by length and table."""
+def _packed(values: list[float]) -> bytes:
+    """Components as single precision where that is exact, else as double."""
+    double = np.array(values, "<f8")
+    with np.errstate(over="ignore"):
+        single = double.astype("<f4")
+    return b"f" + single.tobytes() if (single == double).all() else b"d" + double.tobytes()
+
+
+def _unit(raw: bytes) -> np.ndarray:
+    x = np.frombuffer(raw, "<f4" if raw[:1] == b"f" else "<f8", offset=1).astype(float)
+    return x / np.linalg.norm(x)
+
+
+def _cells(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(rows, projections, cells, table) of the usable vectors of a batch (id, label, embedding), by length and table."""
     vectors = _vectors(batch.column(2))
     for size in sorted({len(v) for v in vectors if v is not None}):
         some = np.array([i for i, v in enumerate(vectors) if v is not None and len(v) == size])
@@ -116,14 +131,14 @@ def _cells(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         for t, matrix in enumerate(_projections(size)):
             y = x @ matrix
             y = np.pad(y, ((0, 0), (0, DIMENSIONS - y.shape[1])))
-            yield some, x, y, nearest_e8(y)[0], t
+            yield some, y, nearest_e8(y)[0], t
 
 
 def _residents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, label, embedding) to the keys of the cells that hold each vector."""
     for batch in batches:
         labels = batch.column(1).to_numpy()
-        for some, _, _, cell, t in _cells(batch):
+        for some, _, cell, t in _cells(batch):
             yield pa.RecordBatch.from_arrays([pa.array(_keys(cell, t, labels[some]))], names=["key"])
 
 
@@ -131,14 +146,13 @@ def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, label, embedding) to residents of their cells and visitors of these and of neighbours."""
     for batch in batches:
         ids, labels = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for some, x, y, cell, t in _cells(batch):
+        for some, y, cell, t in _cells(batch):
             rows = np.arange(len(some))
             around = cell[:, None, :] + ROOTS[None, :, :]
             near = np.argpartition(((around / 2 - y[:, None, :]) ** 2).sum(2), PROBES, 1)[:, :PROBES]
-            own = _keys(cell, t, labels[some])
-            keys = np.concatenate([own, own, *[_keys(around[rows, near[:, k]], t, labels[some]) for k in range(PROBES)]])
-            of = np.tile(rows, PROBES + 2)
-            raw = pa.array([v.tobytes() for v in x], pa.binary())
+            keys = np.concatenate([_keys(cell, t, labels[some]), *[_keys(around[rows, near[:, k]], t, labels[some]) for k in range(PROBES)]])
+            of = np.tile(rows, PROBES + 1)
+            raw = pa.array([_packed(batch.column(2)[int(i)].as_py()) for i in some], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[some][of]), pa.array(np.arange(len(of)) < len(rows)), raw.take(pa.array(of))], names=["key", "id", "own", "vector"])
 
 
@@ -154,15 +168,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         residents = np.add.reduceat(own, starts)
         for a, b, n in zip(starts.tolist(), ends.tolist(), residents.tolist(), strict=True):
-            if not n or n == b - a or (n == 1 and b - a == 2 and ids[a] == ids[b - 1]):
+            if not n or b - a == 1:
                 continue
-            x = np.stack([np.frombuffer(v, float) for v in raw.slice(a, b - a).to_pylist()]) if len({len(v) for v in raw.slice(a, b - a).to_pylist()}) == 1 else None
-            if x is None:
+            vectors = [_unit(v) for v in raw.slice(a, b - a).to_pylist()]
+            if len({len(v) for v in vectors}) > 1:  # equal keys of vectors of other lengths, by chance
                 continue
-            for k in range(n, b - a, 1024):
+            x = np.stack(vectors)
+            for k in range(0, b - a, 1024):
                 i, j = np.nonzero(x[k : k + 1024] @ x[:n].T >= COSINE)
                 p, q = ids[a + k + i], ids[a + j]
-                found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1)[p != q])
+                found.append(np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], 1)[p != q], axis=0))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -197,12 +212,18 @@ def linked_vectors(vectors: DataFrame, limit: int = 4096) -> DataFrame:
     leaders = known.join(classes, (known["class"] == classes["class"]) & (known["vec_id"] == classes["id"]), "left_semi").groupBy("class").agg(F.first("vec_id").cast("long").alias("id"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     leaders = shared_table(leaders.select("id", "label", "embedding"))
     crowded = leaders.mapInArrow(_residents, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    crowded = shared_table(crowded)  # at most TABLES / limit of the number of classes
+    if crowded.count() <= BROADCAST_ROWS:
+        crowded = F.broadcast(crowded)
     filed = leaders.mapInArrow(_file, _FILED_DDL).join(crowded, "key", "left")
     parts = F.coalesce(F.ceil(F.col("n") / limit), F.lit(1)).cast("int")
     mine = F.pmod(F.xxhash64("id"), parts).cast("int")
     every = F.sequence(F.lit(0), parts - 1)
-    # residents in part r meet visitors in part v in the group r * parts + v
-    filed = filed.withColumn("part", F.explode(F.when(F.col("own"), F.transform(every, lambda v: mine * parts + v)).otherwise(F.transform(every, lambda r: r * parts + mine)))).drop("n")
+    group = lambda r, v, own: F.struct((r * parts + v).alias("part"), F.lit(own).alias("own"))
+    # part r of the residents meets part v of the visitors in the group r * parts + v; residents visit too
+    resident, visitor = F.transform(every, lambda v: group(mine, v, True)), F.transform(every, lambda r: group(r, mine, False))
+    roles = F.when(F.col("own") & (parts == 1), resident).when(F.col("own"), F.concat(resident, visitor)).otherwise(visitor)
+    filed = filed.withColumn("role", F.explode(roles)).select("key", "role.part", "id", "role.own", "vector")
     links = filed.repartition("key", "part").sortWithinPartitions("key", "part", F.col("own").desc(), "id").mapInArrow(_verify, "a long, b long")
     links = shared_table(links.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"))
     sizes = classes.select(F.col("id").cast("long").alias("b"), "members")
