@@ -19,6 +19,11 @@ on the full sets, and the confirmed links make the components.  The texts for
 that are joined by sort-merge at every size, so the plan of a small input is
 that of a large one.
 
+A bucket in which likely partners were passed over stays open: all its rows
+come again with their components, and each member gives its next likely
+partners outside its own component, GROWTH times as many a round, until no
+bucket has a likely pair of two components that wasn't confirmed or refused.
+
 Defined results: null text or text without words has the empty set, linked
 with nothing; fewer than ``shingle`` words are one shingle; a row with null
 doc_id is linked with nothing, has a null component and is kept; rows that
@@ -28,7 +33,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -47,6 +52,8 @@ PERCENT = 75
 LOW, NEAR, SURE = 0.54, 0.70, 0.86
 #: Buckets of at most SMALL members give all their likely links; in larger ones a member gives its NEAREST and its hub's.
 SMALL, NEAREST = 8, 3
+#: Each further round over the open buckets gives so many times the partners of the one before.
+GROWTH = 8
 
 _SEP, _VALUES = byte_table(SPACE_BYTES, fold_case=True, seed=8)
 _RANDOM = mix64(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
@@ -113,8 +120,8 @@ def estimates(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     return (1 - unequal / HASHES - chance) / (1 - chance)
 
 
-def lead(ids: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """(candidate links, positions that go on) of one bucket; all but those surely linked to their hub go on.
+def lead(ids: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray, bool]:
+    """(candidate links, positions that go on, are likely pairs passed over) of one bucket; all but those surely linked to their hub go on.
 
     In a small bucket all likely partners are links.  In a larger one the member
     with most near partners is a hub and takes them, then the next among those
@@ -125,6 +132,7 @@ def lead(ids: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> tuple[list[tu
     block = max(1, (1 << 19) // n)
     near_counts = np.zeros(n, np.int64)
     links: set[tuple[int, int]] = set()
+    passed = False
     for a in range(0, n, block):
         rows = np.arange(a, min(n, a + block))
         found = estimates(signs[rows][:, None, :], signs[None, :, :])
@@ -134,6 +142,7 @@ def lead(ids: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> tuple[list[tu
             i, j = np.nonzero(found >= LOW)
         else:
             near_counts[rows] = (found >= NEAR).sum(1)
+            passed = passed or bool(((found >= LOW).sum(1) > NEAREST).any())
             top = np.argpartition(-found, NEAREST, 1)[:, :NEAREST]
             i, k = np.nonzero(np.take_along_axis(found, top, 1) >= LOW)
             j = top[i, k]
@@ -152,17 +161,46 @@ def lead(ids: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> tuple[list[tu
         gone[own[found >= SURE]] = True
         if n > SMALL:
             links.update(zip([int(ids[hub])] * len(mine), ids[mine].tolist(), strict=True))
-    return list(links), np.flatnonzero(~gone)
+    return list(links), np.flatnonzero(~gone), passed
+
+
+def go_on(ids: np.ndarray, sizes: np.ndarray, signs: np.ndarray, component: np.ndarray, most: int) -> tuple[list[tuple[int, int]], bool]:
+    """(candidate links, are there more) of one bucket: of each member the ``most`` likeliest partners in other components.
+
+    A pair of two components has an end outside the largest one, so only those
+    members are compared with all; a bucket of one component costs nothing.
+    """
+    _, of, counts = np.unique(component, return_inverse=True, return_counts=True)
+    outside = np.flatnonzero(of != counts.argmax())
+    links: set[tuple[int, int]] = set()
+    more = False
+    n = len(ids)
+    block = max(1, (1 << 19) // n)
+    for a in range(0, len(outside), block):
+        rows = outside[a : a + block]
+        found = estimates(signs[rows][:, None, :], signs[None, :, :])
+        found[100 * np.minimum(sizes[rows][:, None], sizes[None, :]) < PERCENT * np.maximum(sizes[rows][:, None], sizes[None, :])] = 0
+        found[of[rows][:, None] == of[None, :]] = 0
+        if n <= most:
+            i, j = np.nonzero(found >= LOW)
+        else:
+            more = more or bool(((found >= LOW).sum(1) > most).any())
+            top = np.argpartition(-found, most - 1, 1)[:, :most]
+            i, k = np.nonzero(np.take_along_axis(found, top, 1) >= LOW)
+            j = top[i, k]
+        links.update(zip(ids[rows[i]].tolist(), ids[j].tolist(), strict=True))
+    return list(links), more
 
 
 _ROWS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("sign", pa.binary()), ("to", pa.int64())])
 _ROWS_DDL = "key long, id long, size int, sign binary, to long"
 
 
-def _buckets(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Leads every bucket; keys in order.  (candidate links, which rows go on)."""
+def _buckets(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """Leads every bucket; keys in order.  (candidate links, which rows go on, keys of buckets with likely pairs passed over)."""
     on = np.ones(len(keys), bool)
     links: list[tuple[int, int]] = []
+    left: list[int] = []
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
     ends = np.append(starts[1:], len(keys)) if len(starts) else starts
     size = ends - starts
@@ -177,11 +215,12 @@ def _buckets(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, signs: np.nda
         on[np.where(ids[pair] <= ids[pair + 1], pair + 1, pair)[sure]] = False
     many = size > 2
     for a, b in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
-        found, stay = lead(ids[a:b], sizes[a:b], signs[a:b])
+        found, stay, passed = lead(ids[a:b], sizes[a:b], signs[a:b])
         links += found
+        left += [a] if passed else []
         on[a:b] = False
         on[a + stay] = True
-    return links, on
+    return links, on, keys[left]
 
 
 def _linked(links: list[tuple[int, int]]) -> np.ndarray:
@@ -190,37 +229,41 @@ def _linked(links: list[tuple[int, int]]) -> np.ndarray:
     return pairs[pairs[:, 0] != pairs[:, 1]]
 
 
+def _band_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys in order, row of each key, ids, sizes, signatures) of a batch (id, size, minima)."""
+    ids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    low = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(-1, HASHES)
+    keys = band_keys(low).ravel()
+    order = np.argsort(keys, kind="stable")
+    return keys[order], np.repeat(np.arange(len(ids)), BANDS)[order], ids, sizes, signatures(low)
+
+
+def _filed(keys: np.ndarray, row: np.ndarray, ids: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> pa.RecordBatch:
+    text = pa.array([x.tobytes() for x in signs], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[row]), pa.array(sizes[row], pa.int32()), text.take(pa.array(row)), pa.nulls(len(row), pa.int64())], schema=_ROWS)
+
+
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, size, minima) to a row for each band, after leading the buckets within the batch, and rows of links (id, to)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        low = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(-1, HASHES)
-        signs, keys = signatures(low), band_keys(low)
-        row = np.repeat(np.arange(len(ids)), BANDS)
-        keys = keys.ravel()
-        order = np.argsort(keys, kind="stable")
-        keys, row = keys[order], row[order]
-        links, on = _buckets(keys, ids[row], sizes[row], signs[row])
-        keys, row = keys[on].view(np.int64), row[on]
-        text = pa.array([x.tobytes() for x in signs], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[row]), pa.array(sizes[row], pa.int32()), text.take(pa.array(row)), pa.nulls(len(row), pa.int64())], schema=_ROWS)
+        keys, row, ids, sizes, signs = _band_rows(batch)
+        links, on, left = _buckets(keys, ids[row], sizes[row], signs[row])
+        yield _filed(keys[on], row[on], ids, sizes, signs)
         pairs = _linked(links)
         yield pa.RecordBatch.from_arrays([pa.array(mix64(pairs[:, 1].astype(np.uint64)).view(np.int64)), pa.array(pairs[:, 0]), pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.binary()), pa.array(pairs[:, 1])], schema=_ROWS)
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Band rows in the order of their keys to candidate links (a, b)."""
+def _spread_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, size, minima) to a row for each band."""
+    for batch in batches:
+        if batch.num_rows:
+            yield _filed(*_band_rows(batch))
 
-    def done(rows: pa.Table) -> pa.RecordBatch:
-        known = rows.filter(pc.is_valid(rows["to"]))
-        rows = rows.filter(pc.is_valid(rows["sign"]))
-        signs = np.frombuffer(b"".join(rows["sign"].to_pylist()), "<u8").reshape(len(rows), HASHES * BITS // 64)
-        links, _ = _buckets(rows["key"].to_numpy(), rows["id"].to_numpy(), rows["size"].to_numpy(), signs)
-        pairs = np.concatenate([_linked(links), np.stack([known["id"].to_numpy(), known["to"].to_numpy()], 1)])
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
+def _by_key(batches: Iterator[pa.RecordBatch], done: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """done over rows in the order of their keys, with all rows of a key in one table."""
     rest = None
     for batch in batches:
         table = pa.Table.from_batches([batch], schema=batch.schema)
@@ -234,6 +277,44 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(rest)
 
 
+def _found(pairs: np.ndarray, open_keys: np.ndarray) -> pa.RecordBatch:
+    """Candidate links (a, b) and open buckets (key, null)."""
+    b = pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(open_keys), pa.int64())])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[:, 0], open_keys])), b], names=["a", "b"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Band rows in the order of their keys to candidate links (a, b) and the keys of open buckets (key, null)."""
+
+    def done(rows: pa.Table) -> pa.RecordBatch:
+        known = rows.filter(pc.is_valid(rows["to"]))
+        rows = rows.filter(pc.is_valid(rows["sign"]))
+        signs = np.frombuffer(b"".join(rows["sign"].to_pylist()), "<u8").reshape(len(rows), HASHES * BITS // 64)
+        keys = rows["key"].to_numpy()
+        links, _, left = _buckets(keys, rows["id"].to_numpy(), rows["size"].to_numpy(), signs)
+        return _found(np.concatenate([_linked(links), np.stack([known["id"].to_numpy(), known["to"].to_numpy()], 1)]), left)
+
+    return _by_key(batches, done)
+
+
+def _go_on(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of open buckets (key, id, size, sign, component) in the order of their keys to what _meet gives."""
+
+    def done(rows: pa.Table) -> pa.RecordBatch:
+        keys, ids, sizes, component = (rows[c].to_numpy() for c in ("key", "id", "size", "component"))
+        signs = np.frombuffer(b"".join(rows["sign"].to_pylist()), "<u8").reshape(len(rows), HASHES * BITS // 64)
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        links: list[tuple[int, int]] = []
+        left = []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
+            found, more = go_on(ids[a:b], sizes[a:b], signs[a:b], component[a:b], most)
+            links += found
+            left += [a] if more else []
+        return _found(_linked(links), keys[left])
+
+    return lambda batches: _by_key(batches, done)
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to (doc_id, size, class, minima)."""
     for batch in batches:
@@ -261,6 +342,22 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _confirmed(docs: DataFrame, links: DataFrame) -> DataFrame:
+    """The links (a, b) whose texts are similar enough."""
+    ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ends.hint("merge"), "id", "left_semi")
+    pairs = links.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+    confirmed = pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
+    return shared_table(confirmed.distinct())
+
+
+def _met(rows: DataFrame, meet: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> tuple[DataFrame, DataFrame]:
+    """(candidate links, keys of open buckets) of band rows."""
+    met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+    met = shared_table(met.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"))
+    return met.where("b is not null"), met.where("b is null").select(F.col("a").alias("key"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -269,14 +366,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = known.groupBy("class").agg(F.min("doc_id").alias("id"))
     leaders = known.join(classes, (known["class"] == classes["class"]) & (known["doc_id"] == classes["id"]), "left_semi")
     leaders = leaders.select(F.col("doc_id").cast("long").alias("id"), F.col("size").cast("int").alias("size"), "minima")
-    rows = leaders.mapInArrow(_spread, _ROWS_DDL)
-    links = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long")
-    links = shared_table(links.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"))
-    ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ends.hint("merge"), "id", "left_semi")
-    pairs = links.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-    confirmed = pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
-    found = components(shared_table(confirmed.distinct()))
+    links, opened = _met(leaders.mapInArrow(_spread, _ROWS_DDL), _meet)
+    confirmed = _confirmed(docs, links)
+    found = components(confirmed)
+    rows, most = leaders.mapInArrow(_spread_all, _ROWS_DDL).drop("to"), NEAREST
+    while opened.limit(1).count():
+        most *= GROWTH
+        rows = shared_table(rows.join(opened, "key", "left_semi"))
+        labelled = rows.join(found, "id", "left").select("key", "id", "size", "sign", F.coalesce("component", "id").alias("component"))
+        more, opened = _met(labelled, _go_on(most))
+        more = shared_table(more.join(links, ["a", "b"], "left_anti"))
+        links = links.union(more)
+        if more.limit(1).count():
+            further = _confirmed(docs, more)
+            if further.limit(1).count():
+                confirmed = confirmed.union(further)
+                found = components(confirmed)
     member = classes.join(found, "id", "left").select("class", F.coalesce("component", "id").alias("component_id"))
     out = described.join(member, "class", "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).cast(kind).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

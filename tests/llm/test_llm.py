@@ -453,3 +453,23 @@ def test_buckets_of_links_only():
     batch = pa.RecordBatch.from_arrays([pa.array([5, 6]), pa.array([1, 2]), pa.nulls(2, pa.int32()), pa.nulls(2, pa.binary()), pa.array([3, 4])], schema=minhash._ROWS)
     pairs = [tuple(x.values()) for b in minhash._meet(iter([batch])) for x in b.to_pylist()]
     assert pairs == [(1, 3), (2, 4)]
+
+
+def crowded_texts(n, pairs, seed=1):
+    """n texts at 0.72 to each other, of which the first 2 * pairs are pairs above 0.75."""
+    rng = random.Random(seed)
+    common = " ".join(f"c{k}" for k in range(200))
+    word = lambda: f"o{rng.randrange(10**9)}"
+    own = [[word() for _ in range(38)] for _ in range(n)]
+    for k in range(pairs):
+        own[2 * k + 1][:5] = own[2 * k][:5]
+    return [(i, f"{common} {' '.join(o)}") for i, o in enumerate(own)]
+
+
+def test_minhash_pairs_in_a_crowd_under_the_limit(spark):
+    """Likely partners that are no links don't keep the true one from being tried."""
+    data = crowded_texts(300, 12)
+    want = brute_components({i: shingles(t) for i, t in data})
+    assert want == {i: i - i % 2 if i < 24 else i for i in range(300)}
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows(data), DOCS)).collect()}
+    assert got == want
