@@ -253,6 +253,10 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _filed(keys[on], row[on], ids, sizes, signs)
         pairs = _linked(links)
         yield pa.RecordBatch.from_arrays([pa.array(mix64(pairs[:, 1].astype(np.uint64)).view(np.int64)), pa.array(pairs[:, 0]), pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.binary()), pa.array(pairs[:, 1])], schema=_ROWS)
+        # a bucket with members that don't travel is met again in full: at once if pairs were passed over here (size 1), else if others come to it (size 0)
+        gone = np.unique(keys[~on])
+        again = np.isin(gone, left).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(gone.view(np.int64)), pa.nulls(len(gone), pa.int64()), pa.array(again), pa.nulls(len(gone), pa.binary()), pa.nulls(len(gone), pa.int64())], schema=_ROWS)
 
 
 def _spread_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,10 +292,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done(rows: pa.Table) -> pa.RecordBatch:
         known = rows.filter(pc.is_valid(rows["to"]))
+        lacking = rows.filter(pc.and_(pc.is_null(rows["to"]), pc.is_null(rows["sign"])))
+        lacks, again = lacking["key"].to_numpy(), lacking["size"].to_numpy() == 1
         rows = rows.filter(pc.is_valid(rows["sign"]))
         signs = np.frombuffer(b"".join(rows["sign"].to_pylist()), "<u8").reshape(len(rows), HASHES * BITS // 64)
         keys = rows["key"].to_numpy()
         links, _, left = _buckets(keys, rows["id"].to_numpy(), rows["size"].to_numpy(), signs)
+        if len(lacks):
+            others = np.searchsorted(keys, lacks, "right") - np.searchsorted(keys, lacks) > 1
+            left = np.unique(np.concatenate([left, lacks[again | others]]))
         return _found(np.concatenate([_linked(links), np.stack([known["id"].to_numpy(), known["to"].to_numpy()], 1)]), left)
 
     return _by_key(batches, done)

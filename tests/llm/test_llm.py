@@ -10,6 +10,8 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -473,3 +475,24 @@ def test_minhash_pairs_in_a_crowd_under_the_limit(spark):
     assert want == {i: i - i % 2 if i < 24 else i for i in range(300)}
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows(data), DOCS)).collect()}
     assert got == want
+
+
+def test_minhash_members_that_stay_behind_are_met_again():
+    """y is surely like h by the estimate and leaves their buckets; x, of another batch, shares only such buckets with y."""
+    h = np.random.default_rng(3).integers(0, 2**32, minhash.HASHES, dtype=np.uint32)
+    y = h.copy()
+    y[80:120:4] += np.uint32(1)
+    x = y.copy()
+    x[40::4] += np.uint32(2)  # the first ten bands are those of h and y
+    batch = lambda ids, low: pa.RecordBatch.from_arrays([pa.array(ids), pa.array([200] * len(ids)), pa.array([v.astype("<u4").tobytes() for v in low], pa.binary())], names=["id", "size", "minima"])
+    in_order = lambda rows: pa.Table.from_batches(list(rows)).sort_by("key").combine_chunks().to_batches()
+    one, two = batch([1, 2], [h, y]), batch([3], [x])
+    met = [tuple(r.values()) for b in minhash._meet(iter(in_order([*minhash._spread(iter([one])), *minhash._spread(iter([two]))]))) for r in b.to_pylist()]
+    assert (1, 2) in met and (2, 3) not in met
+    opened = pa.array([a for a, b in met if b is None], pa.int64())
+    rows = pa.Table.from_batches(list(minhash._spread_all(iter([one, two]))))
+    rows = rows.filter(pc.is_in(rows["key"], opened)).drop_columns("to")
+    for component in ({1: 1, 2: 2, 3: 3}, {1: 1, 2: 1, 3: 3}):  # whether the link to the hub holds or not
+        labelled = rows.append_column("component", pa.array([component[i] for i in rows["id"].to_pylist()], pa.int64()))
+        found = [tuple(r.values()) for b in minhash._go_on(24)(iter(in_order(labelled.to_batches()))) for r in b.to_pylist()]
+        assert (2, 3) in found
