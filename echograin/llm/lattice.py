@@ -82,9 +82,10 @@ def _roots() -> np.ndarray:
 ROOTS = _roots()
 
 
-def _keys(points: np.ndarray, table: int, label: np.ndarray) -> np.ndarray:
+def _keys(points: np.ndarray, table: int, label: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit key of each cell; vectors of another length have cells of their own."""
     with np.errstate(over="ignore"):
-        h = mix64(label.astype(np.int64).view(np.uint64) * np.uint64(1000003) + np.uint64(table))
+        h = mix64(mix64(label.astype(np.int64).view(np.uint64) * np.uint64(1000003) + np.uint64(table)) ^ np.uint64(length))
         for k in range(points.shape[1]):
             h = mix64(h ^ points[:, k].astype(np.int64).view(np.uint64))
     return h.view(np.int64)
@@ -122,8 +123,8 @@ def _unit(raw: bytes) -> np.ndarray:
     return x / np.linalg.norm(x)
 
 
-def _cells(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """(rows, projections, cells, table) of the usable vectors of a batch (id, label, embedding), by length and table."""
+def _cells(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]]:
+    """(rows, projections, cells, table, length) of the usable vectors of a batch (id, label, embedding), by length and table."""
     vectors = _vectors(batch.column(2))
     for size in sorted({len(v) for v in vectors if v is not None}):
         some = np.array([i for i, v in enumerate(vectors) if v is not None and len(v) == size])
@@ -131,26 +132,26 @@ def _cells(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         for t, matrix in enumerate(_projections(size)):
             y = x @ matrix
             y = np.pad(y, ((0, 0), (0, DIMENSIONS - y.shape[1])))
-            yield some, y, nearest_e8(y)[0], t
+            yield some, y, nearest_e8(y)[0], t, size
 
 
 def _residents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, label, embedding) to the keys of the cells that hold each vector."""
     for batch in batches:
         labels = batch.column(1).to_numpy()
-        for some, _, cell, t in _cells(batch):
-            yield pa.RecordBatch.from_arrays([pa.array(_keys(cell, t, labels[some]))], names=["key"])
+        for some, _, cell, t, size in _cells(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(_keys(cell, t, labels[some], size))], names=["key"])
 
 
 def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, label, embedding) to residents of their cells and visitors of these and of neighbours."""
     for batch in batches:
         ids, labels = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for some, y, cell, t in _cells(batch):
+        for some, y, cell, t, size in _cells(batch):
             rows = np.arange(len(some))
             around = cell[:, None, :] + ROOTS[None, :, :]
             near = np.argpartition(((around / 2 - y[:, None, :]) ** 2).sum(2), PROBES, 1)[:, :PROBES]
-            keys = np.concatenate([_keys(cell, t, labels[some]), *[_keys(around[rows, near[:, k]], t, labels[some]) for k in range(PROBES)]])
+            keys = np.concatenate([_keys(cell, t, labels[some], size), *[_keys(around[rows, near[:, k]], t, labels[some], size) for k in range(PROBES)]])
             of = np.tile(rows, PROBES + 1)
             raw = pa.array([_packed(batch.column(2)[int(i)].as_py()) for i in some], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[some][of]), pa.array(np.arange(len(of)) < len(rows)), raw.take(pa.array(of))], names=["key", "id", "own", "vector"])
@@ -171,13 +172,14 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not n or b - a == 1:
                 continue
             vectors = [_unit(v) for v in raw.slice(a, b - a).to_pylist()]
-            if len({len(v) for v in vectors}) > 1:  # equal keys of vectors of other lengths, by chance
-                continue
-            x = np.stack(vectors)
-            for k in range(0, b - a, 1024):
-                i, j = np.nonzero(x[k : k + 1024] @ x[:n].T >= COSINE)
-                p, q = ids[a + k + i], ids[a + j]
-                found.append(np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], 1)[p != q], axis=0))
+            lengths = np.array([len(v) for v in vectors])
+            for length in np.unique(lengths).tolist():  # nearly always one; keys of other lengths are equal only by chance
+                of = np.flatnonzero(lengths == length)
+                x, at, n_own = np.stack([vectors[i] for i in of]), ids[a + of], int((of < n).sum())
+                for k in range(0, len(of), 1024):
+                    i, j = np.nonzero(x[k : k + 1024] @ x[:n_own].T >= COSINE)
+                    p, q = at[k + i], at[j]
+                    found.append(np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], 1)[p != q], axis=0))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 

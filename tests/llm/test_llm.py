@@ -496,3 +496,22 @@ def test_minhash_members_that_stay_behind_are_met_again():
         labelled = rows.append_column("component", pa.array([component[i] for i in rows["id"].to_pylist()], pa.int64()))
         found = [tuple(r.values()) for b in minhash._go_on(24)(iter(in_order(labelled.to_batches()))) for r in b.to_pylist()]
         assert (2, 3) in found
+
+
+def test_linked_vectors_of_two_lengths_in_one_cell(spark):
+    """Short vectors that fall into the cells of long ones take no links from them."""
+    rng = np.random.default_rng(11)
+    data = []
+    for k, length in enumerate((64, 32)):
+        for i in range(1500):
+            v = rng.normal(size=length)
+            data += [(10000 * k + 2 * i + j, (v + j * rng.normal(0, 0.02, length)).tolist(), 0) for j in (0, 1)]
+    vectors = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["component_id"] for r in lattice.linked_vectors(vectors).collect()}
+    assert got == {i: i - i % 2 for i, _, _ in data}
+
+
+def test_lattice_verifies_each_length_of_a_group():
+    unit = lambda *x: lattice._packed([*x])
+    rows = pa.table({"key": [7] * 4, "part": pa.array([0] * 4, pa.int32()), "id": [1, 2, 3, 4], "own": [True, True, False, False], "vector": [unit(1.0, 0.0), unit(0.0, 1.0, 0.0), unit(2.0, 0.0), unit(0.0, 3.0, 0.0)]})
+    assert [tuple(r.values()) for b in lattice._verify(iter(rows.to_batches())) for r in b.to_pylist()] == [(1, 3), (2, 4)]
