@@ -121,8 +121,10 @@ def asof_join(spark, d):
 
 @query("interpolate", None)
 def interpolate(spark, d):
-    left = _table(spark, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), (F.col("user_id") % 4).alias("g")).where("event_id % 3 = 0")
-    right = _table(spark, d, "events").groupBy((F.col("user_id") % 4).alias("g"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t2"), F.col("event_id")).agg(F.max("value").alias("v")).where("event_id % 3 = 1").select("g", "t2", "v")
+    """Every event gets the value of the next group of users at its time; every event is a sample of its own group."""
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    left = _table(spark, d, "events").select("event_id", t.alias("t"), (F.col("user_id") % 4).alias("g"))
+    right = _table(spark, d, "events").groupBy(((F.col("user_id") + 3) % 4).alias("g"), t.alias("t2")).agg(F.max("value").alias("v"))
     return nb.interpolate(left, right, ["g"], "t", "t2", "v", "value").select("event_id", _r(F.col("value"), 4).alias("value"))
 
 

@@ -41,3 +41,21 @@ def test_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_interpolate_takes_all_events(spark):
+    import numpy as np
+
+    events = duckdb.sql(f"SELECT event_id, user_id, epoch_us(ts), value FROM '{DATA}/events.parquet'").fetchall()
+    samples = [{} for _ in range(4)]
+    for _, user, t, v in events:
+        own = samples[user % 4]
+        own[t] = max(v, own.get(t, v))
+    got = {r["event_id"]: r["value"] for r in catalog.QUERIES["interpolate"](spark, DATA).collect()}
+    assert len(got) == len(events)
+    for g, known in enumerate([samples[(k + 1) % 4] for k in range(4)]):
+        times = sorted(known)
+        mine = [(i, t) for i, user, t, _ in events if user % 4 == g]
+        start = times[0]
+        want = np.interp([t - start for _, t in mine], [t - start for t in times], [known[t] for t in times])
+        assert np.allclose([got[i] for i, _ in mine], want, atol=2e-3)
