@@ -163,7 +163,7 @@ def fit_crf(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], marks: np.nd
     # each label's documents weigh half, each document the same however many lines it has
     n_good, n_bad = max(1, int((marks == 1).sum())), max(1, int((marks == 0).sum()))
     weight = np.repeat(np.where(marks == 1, 0.5 / n_good, 0.5 / n_bad) / np.maximum(1, np.diff(rows)), np.diff(rows)) * len(marks)
-    # the transitions are counted from the labels themselves, as these never change within a document
+    # the transition weights are fixed, not fitted
     tie = np.array([[0.5, -0.5], [-0.5, 0.5]])
     w = np.zeros(3 * k * (BINS + 1))
     m, v = np.zeros_like(w), np.zeros_like(w)
