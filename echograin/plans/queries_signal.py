@@ -169,8 +169,8 @@ def vec_fft(spark, d):
 @query("vec_filters", None)
 def vec_filters(spark, d):
     x = F.col("x")
-    head = lambda a: _r(F.get(a, 5), 5)
-    return _signals(spark, d).select("vec_id", head(kn.lowpass(0.1, 1.0)(x)).alias("low"), head(kn.highpass(0.1, 1.0)(x)).alias("high"), head(kn.bandpass(0.1, 0.3, 1.0)(x)).alias("band"), head(kn.envelope()(x)).alias("envelope"), head(kn.autocorrelated(8)(x)).alias("acf"), head(kn.downsampled(4)(x)).alias("down"), head(kn.kaiser_window()(x)).alias("kaiser"), head(kn.convolved([1, 2, 1])(x)).alias("smooth"))
+    all_of = lambda a: F.transform(a, lambda v: _r(v, 5))
+    return _signals(spark, d).select("vec_id", all_of(kn.lowpass(0.1, 1.0)(x)).alias("low"), all_of(kn.highpass(0.1, 1.0)(x)).alias("high"), all_of(kn.bandpass(0.1, 0.3, 1.0)(x)).alias("band"), all_of(kn.envelope()(x)).alias("envelope"), all_of(kn.autocorrelated(8)(x)).alias("acf"), all_of(kn.downsampled(4)(x)).alias("down"), all_of(kn.kaiser_window()(x)).alias("kaiser"), all_of(kn.convolved([1, 2, 1])(x)).alias("smooth"))
 
 
 @query("fft_2d_roundtrip", f"SELECT tile, r, c, round(v, 5) AS v FROM {_RASTER}")

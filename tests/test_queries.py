@@ -59,3 +59,14 @@ def test_interpolate_takes_all_events(spark):
         start = times[0]
         want = np.interp([t - start for _, t in mine], [t - start for t in times], [known[t] for t in times])
         assert np.allclose([got[i] for i, _ in mine], want, atol=2e-3)
+
+
+def test_vec_filters_return_all_samples(spark):
+    import numpy as np
+
+    vectors = dict(duckdb.sql(f"SELECT vec_id, embedding FROM '{DATA}/embeddings.parquet'").fetchall())
+    for r in catalog.QUERIES["vec_filters"](spark, DATA).collect():
+        x = np.array(vectors[r["vec_id"]], float)
+        assert [len(r[c]) for c in ("low", "high", "band", "envelope", "acf", "down", "kaiser", "smooth")] == [64, 64, 64, 64, 9, 16, 64, 64]
+        assert np.allclose(r["acf"], np.correlate(x, x, "full")[63:72], atol=1e-4)
+        assert np.allclose(r["kaiser"], x * np.kaiser(64, 8.6), atol=1e-4) and np.allclose(r["smooth"], np.convolve(x, [1, 2, 1], "same"), atol=1e-4)
