@@ -7,22 +7,23 @@ buckets in which candidates meet (a pair at the limit of 0.75 misses all bands
 with a probability of 5e-6), and of every minimum the low 2 bits are packed
 into a signature.  Within a bucket two signatures are compared by counting
 equal bit pairs, and the share is corrected for pairs that are equal by chance:
-``(share - 1/4) / (3/4)``.
+``(share - 1/4) / (3/4)``.  Sizes that rule a link out are passed over.
 
-A bucket of more than a few isn't expanded into all pairs.  Its members with
+A bucket isn't expanded into all pairs.  Every row travels; the members with
 most near partners become hubs, each other member is tied to its hub and to its
-three likeliest partners; sizes that rule a link out are passed over.  So a
-crowd of near copies gives links in proportion to its size.  The same is done
-inside each task before the shuffle, so of such a crowd only members that are
-not surely linked to their hub travel.  Every candidate link is then confirmed
-on the full sets, and the confirmed links make the components.  The texts for
-that are joined by sort-merge at every size, so the plan of a small input is
-that of a large one.
-
-A bucket in which likely partners were passed over stays open: all its rows
-come again with their components, and each member gives its next likely
-partners outside its own component, GROWTH times as many a round, until no
-bucket has a likely pair of two components that wasn't confirmed or refused.
+three likeliest partners, and these candidates are confirmed on the full sets
+(a hub's set is made once a task for all its partners).  The confirmed links
+make components.  A bucket of more than a few, in which other likely pairs were
+passed over, stays open: if its members lie in more than one component, they
+come again with their full sets, and each member outside the bucket's largest
+component is compared with all likely members of other components, on the sets
+themselves.  Only links that join two components leave the task, so what is
+written follows the number of documents, whatever a crowd's pairs are, and no
+link between two components is missed.
+
+A bucket of more than ``per_part`` members is cut into parts, each led by
+itself.  In the second pass the members of the largest component stay in their
+part and only those outside it visit all parts.
 
 Defined results: null text or text without words has the empty set, linked
 with nothing; fewer than ``shingle`` words are one shingle; a row with null
@@ -38,22 +39,23 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import shared_table
+from .shared import hot_keys, shared_table, spread_join
 from .textcols import SPACE_BYTES, byte_table, column_chunks, hash_spans, mix64, spans, window_hashes
 
 SHINGLE, HASHES, BANDS, BITS = 5, 128, 32, 2
 PERCENT = 75
-#: Estimates of the similarity: below LOW a link is ruled out (4.5 standard errors), from SURE on it is as good as certain.
-LOW, NEAR, SURE = 0.54, 0.70, 0.86
-#: Buckets of at most SMALL members give all their likely links; in larger ones a member gives its NEAREST and its hub's.
+#: Estimates of the similarity: below LOW a link is ruled out (4.5 standard errors); from NEAR on a hub takes a member.
+LOW, NEAR = 0.54, 0.70
+#: Buckets of at most SMALL members give all their likely links; in larger ones a member gives its NEAREST and its hub's, and the rest in the second pass.
 SMALL, NEAREST = 8, 3
-#: Each further round over the open buckets gives so many times the partners of the one before.
-GROWTH = 8
+#: Members of a bucket that meet in one task; more are cut into parts.
+PER_PART = 4096
+#: Crowded buckets are broadcast up to this number, beyond it they are joined by their key.
+BROADCAST_ROWS = 200_000
 
 _SEP, _VALUES = byte_table(SPACE_BYTES, fold_case=True, seed=8)
 _RANDOM = mix64(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
@@ -120,8 +122,20 @@ def estimates(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     return (1 - unequal / HASHES - chance) / (1 - chance)
 
 
-def lead(ids: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray, bool]:
-    """(candidate links, positions that go on, are likely pairs passed over) of one bucket; all but those surely linked to their hub go on.
+def _likely(ids: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(members, their estimates against all members) by blocks of bounded memory; 0 where a link is ruled out by size, and for a member itself."""
+    n = len(ids)
+    block = max(1, (1 << 19) // n)
+    for a in range(0, n, block):
+        rows = np.arange(a, min(n, a + block))
+        found = estimates(signs[rows][:, None, :], signs[None, :, :])
+        found[100 * np.minimum(sizes[rows][:, None], sizes[None, :]) < PERCENT * np.maximum(sizes[rows][:, None], sizes[None, :])] = 0
+        found[np.arange(len(rows)), rows] = 0
+        yield rows, found
+
+
+def lead(ids: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> tuple[set[tuple[int, int]], bool]:
+    """(candidate links, were likely pairs passed over) of one bucket.
 
     In a small bucket all likely partners are links.  In a larger one the member
     with most near partners is a hub and takes them, then the next among those
@@ -129,15 +143,10 @@ def lead(ids: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> tuple[list[tu
     NEAREST likeliest partners.
     """
     n = len(ids)
-    block = max(1, (1 << 19) // n)
     near_counts = np.zeros(n, np.int64)
     links: set[tuple[int, int]] = set()
     passed = False
-    for a in range(0, n, block):
-        rows = np.arange(a, min(n, a + block))
-        found = estimates(signs[rows][:, None, :], signs[None, :, :])
-        found[100 * np.minimum(sizes[rows][:, None], sizes[None, :]) < PERCENT * np.maximum(sizes[rows][:, None], sizes[None, :])] = 0
-        found[np.arange(len(rows)), rows] = 0
+    for rows, found in _likely(ids, sizes, signs):
         if n <= SMALL:
             i, j = np.nonzero(found >= LOW)
         else:
@@ -147,10 +156,11 @@ def lead(ids: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> tuple[list[tu
             i, k = np.nonzero(np.take_along_axis(found, top, 1) >= LOW)
             j = top[i, k]
         links.update(zip(ids[rows[i]].tolist(), ids[j].tolist(), strict=True))
-    gone = np.zeros(n, bool)
-    free = np.ones(n, bool)
-    for hub in np.lexsort((ids, -near_counts)).tolist() if n > SMALL else np.argsort(ids, kind="stable").tolist():
-        if not free[hub] or (n > SMALL and not near_counts[hub]):
+    if n <= SMALL:
+        return links, False
+    free = near_counts > 0
+    for hub in np.lexsort((ids, -near_counts)).tolist():
+        if not free[hub]:
             continue
         free[hub] = False
         own = np.flatnonzero(free)
@@ -158,170 +168,147 @@ def lead(ids: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> tuple[list[tu
         found[100 * np.minimum(sizes[own], sizes[hub]) < PERCENT * np.maximum(sizes[own], sizes[hub])] = 0
         mine = own[found >= NEAR]
         free[mine] = False
-        gone[own[found >= SURE]] = True
-        if n > SMALL:
-            links.update(zip([int(ids[hub])] * len(mine), ids[mine].tolist(), strict=True))
-    return list(links), np.flatnonzero(~gone), passed
+        links.update(zip([int(ids[hub])] * len(mine), ids[mine].tolist(), strict=True))
+    return links, passed
 
 
-def go_on(ids: np.ndarray, sizes: np.ndarray, signs: np.ndarray, component: np.ndarray, most: int) -> tuple[list[tuple[int, int]], bool]:
-    """(candidate links, are there more) of one bucket: of each member the ``most`` likeliest partners in other components.
+def join_components(ids: np.ndarray, visits: np.ndarray, stays: np.ndarray, component: np.ndarray, signs: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between members of different components of one group, enough to join all that are linked.
 
-    A pair of two components has an end outside the largest one, so only those
-    members are compared with all; a bucket of one component costs nothing.
+    Each member that visits is compared, on the full sets, with all likely ones
+    that stay and that aren't yet in its component.
     """
-    _, of, counts = np.unique(component, return_inverse=True, return_counts=True)
-    outside = np.flatnonzero(of != counts.argmax())
-    links: set[tuple[int, int]] = set()
-    more = False
-    n = len(ids)
-    block = max(1, (1 << 19) // n)
-    for a in range(0, len(outside), block):
-        rows = outside[a : a + block]
-        found = estimates(signs[rows][:, None, :], signs[None, :, :])
-        found[100 * np.minimum(sizes[rows][:, None], sizes[None, :]) < PERCENT * np.maximum(sizes[rows][:, None], sizes[None, :])] = 0
-        found[of[rows][:, None] == of[None, :]] = 0
-        if n <= most:
-            i, j = np.nonzero(found >= LOW)
-        else:
-            more = more or bool(((found >= LOW).sum(1) > most).any())
-            top = np.argpartition(-found, most - 1, 1)[:, :most]
-            i, k = np.nonzero(np.take_along_axis(found, top, 1) >= LOW)
-            j = top[i, k]
-        links.update(zip(ids[rows[i]].tolist(), ids[j].tolist(), strict=True))
-    return list(links), more
+    sizes = np.array([len(s) for s in sets])
+    resident = np.flatnonzero(stays)
+    if not len(resident):
+        return []
+    starts = np.append(0, np.cumsum(sizes[resident]))
+    known, flat = np.unique(np.concatenate([sets[i] for i in resident]), return_inverse=True)
+    mark = np.zeros(len(known), bool)
+    _, root = np.unique(component, return_inverse=True)
+    links = []
+    for i in np.flatnonzero(visits).tolist():
+        fits = 100 * np.minimum(sizes[resident], sizes[i]) >= PERCENT * np.maximum(sizes[resident], sizes[i])
+        some = np.flatnonzero(fits & (root[resident] != root[i]))
+        some = some[estimates(signs[i], signs[resident[some]]) >= LOW]
+        if not len(some):
+            continue
+        at = np.minimum(np.searchsorted(known, sets[i]), len(known) - 1)
+        at = at[known[at] == sets[i]]
+        mark[at] = True
+        # the shingles of those in question, one after the other
+        n = starts[some + 1] - starts[some]
+        begin = np.append(0, np.cumsum(n))
+        both = np.add.reduceat(mark[flat[np.arange(begin[-1]) - np.repeat(begin[:-1] - starts[some], n)]], begin[:-1], dtype=np.int64)
+        mark[at] = False
+        for j in resident[some[(both > 0) & (100 * both >= PERCENT * (sizes[i] + n - both))]].tolist():
+            if root[j] != root[i]:
+                links.append((int(ids[i]), int(ids[j])))
+                root[root == root[j]] = root[i]
+    return links
 
 
-_ROWS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("sign", pa.binary()), ("to", pa.int64())])
-_ROWS_DDL = "key long, id long, size int, sign binary, to long"
+_ROWS_DDL = "key long, id long, size int, sign binary"
 
 
-def _buckets(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """Leads every bucket; keys in order.  (candidate links, which rows go on, keys of buckets with likely pairs passed over)."""
-    on = np.ones(len(keys), bool)
-    links: list[tuple[int, int]] = []
-    left: list[int] = []
-    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(keys)) if len(starts) else starts
-    size = ends - starts
-    pair = starts[size == 2]  # most buckets that have more than one
-    if len(pair):
-        found = estimates(signs[pair], signs[pair + 1])
-        small, large = np.minimum(sizes[pair], sizes[pair + 1]), np.maximum(sizes[pair], sizes[pair + 1])
-        fits = 100 * small >= PERCENT * large
-        likely = fits & (found >= LOW)
-        links += list(zip(ids[pair[likely]].tolist(), ids[pair[likely] + 1].tolist(), strict=True))
-        sure = fits & (found >= SURE)
-        on[np.where(ids[pair] <= ids[pair + 1], pair + 1, pair)[sure]] = False
-    many = size > 2
-    for a, b in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
-        found, stay, passed = lead(ids[a:b], sizes[a:b], signs[a:b])
-        links += found
-        left += [a] if passed else []
-        on[a:b] = False
-        on[a + stay] = True
-    return links, on, keys[left]
-
-
-def _linked(links: list[tuple[int, int]]) -> np.ndarray:
+def _linked(links: list[tuple[int, int]] | set[tuple[int, int]]) -> np.ndarray:
     """Distinct links, the smaller id first."""
-    pairs = np.unique(np.sort(np.array(links, np.int64).reshape(-1, 2), 1), axis=0)
+    pairs = np.unique(np.sort(np.array(list(links), np.int64).reshape(-1, 2), 1), axis=0)
     return pairs[pairs[:, 0] != pairs[:, 1]]
 
 
-def _band_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys in order, row of each key, ids, sizes, signatures) of a batch (id, size, minima)."""
-    ids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-    low = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(-1, HASHES)
-    keys = band_keys(low).ravel()
-    order = np.argsort(keys, kind="stable")
-    return keys[order], np.repeat(np.arange(len(ids)), BANDS)[order], ids, sizes, signatures(low)
+def _signs(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), HASHES * BITS // 64)
 
 
-def _filed(keys: np.ndarray, row: np.ndarray, ids: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> pa.RecordBatch:
-    text = pa.array([x.tobytes() for x in signs], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[row]), pa.array(sizes[row], pa.int32()), text.take(pa.array(row)), pa.nulls(len(row), pa.int64())], schema=_ROWS)
+def _minima(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, HASHES)
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, size, minima) to a row for each band, after leading the buckets within the batch, and rows of links (id, to)."""
+    """(id, size, minima) to a row for each band."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys, row, ids, sizes, signs = _band_rows(batch)
-        links, on, left = _buckets(keys, ids[row], sizes[row], signs[row])
-        yield _filed(keys[on], row[on], ids, sizes, signs)
-        pairs = _linked(links)
-        yield pa.RecordBatch.from_arrays([pa.array(mix64(pairs[:, 1].astype(np.uint64)).view(np.int64)), pa.array(pairs[:, 0]), pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.binary()), pa.array(pairs[:, 1])], schema=_ROWS)
-        # a bucket with members that don't travel is met again in full: at once if pairs were passed over here (size 1), else if others come to it (size 0)
-        gone = np.unique(keys[~on])
-        again = np.isin(gone, left).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(gone.view(np.int64)), pa.nulls(len(gone), pa.int64()), pa.array(again), pa.nulls(len(gone), pa.binary()), pa.nulls(len(gone), pa.int64())], schema=_ROWS)
+        low = _minima(batch.column(2))
+        row = np.repeat(np.arange(batch.num_rows), BANDS)
+        sign = pa.array([x.tobytes() for x in signatures(low)] if len(low) else [], pa.binary())
+        ids, sizes = batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row]
+        yield pa.RecordBatch.from_arrays([pa.array(band_keys(low).ravel().view(np.int64)), pa.array(ids), pa.array(sizes, pa.int32()), sign.take(pa.array(row))], names=["key", "id", "size", "sign"])
 
 
-def _spread_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, size, minima) to a row for each band."""
+def _met_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """minima to the buckets that two or more of a batch share, with their number: enough to know the crowded ones, as
+    a bucket that hardly any batch has two of is small beside the table."""
     for batch in batches:
-        if batch.num_rows:
-            yield _filed(*_band_rows(batch))
+        keys, n = np.unique(band_keys(_minima(batch.column(0))).ravel(), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["key", "n"])
 
 
-def _by_key(batches: Iterator[pa.RecordBatch], done: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """done over rows in the order of their keys, with all rows of a key in one table."""
-    rest = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch], schema=batch.schema)
-        table = table if rest is None else pa.concat_tables([rest, table])
-        keys = table["key"].to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last bucket may go on in the next batch
-        rest = table.slice(cut)
-        if cut:
-            yield done(table.slice(0, cut))
-    if rest is not None and len(rest):
-        yield done(rest)
+def _by_group(batches: Iterator[pa.RecordBatch], done: Callable[[pa.Table, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """done(rows, starts of their groups) over rows in the order of (key, part), all rows of a key in one call."""
 
+    def groups(table: pa.Table) -> pa.RecordBatch:
+        keys, parts = table["key"].to_numpy(), table["part"].to_numpy()
+        return done(table, np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1]))))
 
-def _found(pairs: np.ndarray, open_keys: np.ndarray) -> pa.RecordBatch:
-    """Candidate links (a, b) and open buckets (key, null)."""
-    b = pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(open_keys), pa.int64())])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[:, 0], open_keys])), b], names=["a", "b"])
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, parts = batch.column("key").to_numpy(), batch.column("part").to_numpy()
+        last = (keys == keys[-1]) & (parts == parts[-1])  # the last group may go on in the next batch
+        cut = int(np.argmax(last))
+        if rest and cut == 0:
+            before = rest[-1]
+            if before["key"][0].as_py() == keys[0] and before["part"][0].as_py() == parts[0]:
+                rest.append(batch)
+                continue
+            yield groups(pa.Table.from_batches(rest))
+            rest = [batch]
+            continue
+        if cut:
+            yield groups(pa.Table.from_batches([*rest, batch.slice(0, cut)]))
+        rest = [batch.slice(cut)]
+    if rest:
+        yield groups(pa.Table.from_batches(rest))
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Band rows in the order of their keys to candidate links (a, b) and the keys of open buckets (key, null)."""
-
-    def done(rows: pa.Table) -> pa.RecordBatch:
-        known = rows.filter(pc.is_valid(rows["to"]))
-        lacking = rows.filter(pc.and_(pc.is_null(rows["to"]), pc.is_null(rows["sign"])))
-        lacks, again = lacking["key"].to_numpy(), lacking["size"].to_numpy() == 1
-        rows = rows.filter(pc.is_valid(rows["sign"]))
-        signs = np.frombuffer(b"".join(rows["sign"].to_pylist()), "<u8").reshape(len(rows), HASHES * BITS // 64)
-        keys = rows["key"].to_numpy()
-        links, _, left = _buckets(keys, rows["id"].to_numpy(), rows["size"].to_numpy(), signs)
-        if len(lacks):
-            others = np.searchsorted(keys, lacks, "right") - np.searchsorted(keys, lacks) > 1
-            left = np.unique(np.concatenate([left, lacks[again | others]]))
-        return _found(np.concatenate([_linked(links), np.stack([known["id"].to_numpy(), known["to"].to_numpy()], 1)]), left)
-
-    return _by_key(batches, done)
-
-
-def _go_on(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of open buckets (key, id, size, sign, component) in the order of their keys to what _meet gives."""
-
-    def done(rows: pa.Table) -> pa.RecordBatch:
-        keys, ids, sizes, component = (rows[c].to_numpy() for c in ("key", "id", "size", "component"))
-        signs = np.frombuffer(b"".join(rows["sign"].to_pylist()), "<u8").reshape(len(rows), HASHES * BITS // 64)
-        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        links: list[tuple[int, int]] = []
+    """Band rows (key, part, id, size, sign) in order to candidate links (a, b) and the keys of open buckets (key, null)."""
+
+    def done(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        keys, ids, sizes, signs = rows["key"].to_numpy(), rows["id"].to_numpy(), rows["size"].to_numpy(), _signs(rows["sign"])
+        ends = np.append(starts[1:], len(keys))
+        pair = starts[ends - starts == 2]  # most buckets that have more than one
+        small, large = np.minimum(sizes[pair], sizes[pair + 1]), np.maximum(sizes[pair], sizes[pair + 1])
+        pair = pair[(100 * small >= PERCENT * large) & (estimates(signs[pair], signs[pair + 1]) >= LOW)]
+        links = [np.stack([ids[pair], ids[pair + 1]], 1)]
         left = []
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
-            found, more = go_on(ids[a:b], sizes[a:b], signs[a:b], component[a:b], most)
-            links += found
-            left += [a] if more else []
-        return _found(_linked(links), keys[left])
+        many = ends - starts > 2
+        for a, b in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
+            found, passed = lead(ids[a:b], sizes[a:b], signs[a:b])
+            links.append(np.array(list(found), np.int64).reshape(-1, 2))
+            left += [a] if passed else []
+        pairs, opened = _linked(np.concatenate(links)), keys[left]
+        b = pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(opened), pa.int64())])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[:, 0], opened])), b], names=["a", "b"])
+
+    return _by_group(batches, done)
+
+
+def _join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of open buckets (key, part, id, stays, visits, component, sign, shingles) in order to confirmed links (a, b)."""
+
+    def done(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        ids, stays, visits, component = (rows[c].to_numpy() for c in ("id", "stays", "visits", "component"))
+        signs, shingles = _signs(rows["sign"]), rows["shingles"]
+        links = []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
+            sets = [np.frombuffer(x, "<u8") for x in shingles.slice(a, b - a).to_pylist()]
+            links += join_components(ids[a:b], visits[a:b], stays[a:b], component[a:b], signs[a:b], sets)
+        pairs = _linked(links)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return lambda batches: _by_key(batches, done)
+    return _by_group(batches, done)
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,57 +329,105 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, their texts) to the links whose full sets are similar enough."""
+    """(a, b, text), a row of a itself (b null) before those of its partners, to the links whose full sets are similar enough."""
+    hub: int | None = None
+    own: list[np.ndarray] = []
     for batch in batches:
-        keep = []
-        for x, y in zip(shingle_sets(batch.column(2)), shingle_sets(batch.column(3)), strict=True):
-            both = len(np.intersect1d(x, y, assume_unique=True)) if len(x) and len(y) else 0
-            keep.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _confirmed(docs: DataFrame, links: DataFrame) -> DataFrame:
-    """The links (a, b) whose texts are similar enough."""
-    ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ends.hint("merge"), "id", "left_semi")
-    pairs = links.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-    confirmed = pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
-    return shared_table(confirmed.distinct())
-
+        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        keep = np.zeros(batch.num_rows, bool)
+        for k, x in enumerate(shingle_sets(batch.column(2))):
+            if b[k] is None:
+                # rows that share a doc_id come one after the other; their sets are one document's
+                if hub != a[k]:
+                    hub, own = a[k], [x]
+                elif not any(np.array_equal(x, y) for y in own):
+                    own.append(x)
+                continue
+            for y in own if hub == a[k] else ():
+                both = len(np.intersect1d(x, y, assume_unique=True)) if len(x) and len(y) else 0
+                keep[k] |= both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both)
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+
+def _confirmed(texts: DataFrame, links: DataFrame) -> DataFrame:
+    """The links (a, b) whose texts (id, text) are similar enough.  The links of one a are dealt over tasks by their
+    number, and its text goes to each of them once.  Joined by sort-merge at every size, so that the plan of a small
+    input is that of a large one."""
+    hot = hot_keys(links, "a")
+    dealt = links.join(F.broadcast(hot), "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    partners = spread_join(dealt, texts.withColumnRenamed("id", "b"), "b", hot_keys(links, "b"), "a", "inner", "merge").select("a", "salt", "b", "text")
+    own = dealt.select("a", "salt").distinct().join(texts.withColumnRenamed("id", "a").hint("merge"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
+    rows = partners.union(own).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    return rows.select("a", "b", "text").mapInArrow(_confirm, "a long, b long").distinct()
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to (id, its sorted shingle hashes)."""
+    for batch in batches:
+        sets = [x.astype("<u8").tobytes() for x in shingle_sets(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
-def _met(rows: DataFrame, meet: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> tuple[DataFrame, DataFrame]:
-    """(candidate links, keys of open buckets) of band rows."""
-    met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
-    met = shared_table(met.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"))
-    return met.where("b is not null"), met.where("b is null").select(F.col("a").alias("key"))
 
+def _joined_up(texts: DataFrame, rows: DataFrame, opened: DataFrame, found: DataFrame, per_part: int) -> DataFrame:
+    """Confirmed links (a, b) between the components (id, component) of members of open buckets.
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+    A bucket's members stay in parts of per_part, those outside its largest
+    component visit all of them, per_part visitors at a time.
+    """
+    rows = shared_table(rows.join(opened, "key", "left_semi").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    buckets = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
+    buckets = buckets.agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("n_outside")).where("n_outside > 0")
+    parts, guests = F.ceil(F.col("n") / per_part).cast("int"), F.ceil(F.col("n_outside") / per_part).cast("int")
+    rows = rows.join(buckets, "key").withColumns({"outside": F.col("component") != F.col("main"), "parts": parts, "guests": guests})
+    home, guest = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("guests")).cast("int")
+    role = lambda r, v, stays, visits: F.struct((r * F.col("guests") + v).alias("part"), stays.alias("stays"), visits.alias("visits"))
+    stays = F.transform(F.sequence(F.lit(0), F.col("guests") - 1), lambda v: role(home, v, F.lit(True), F.col("outside") & (v == guest)))
+    visits = F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda r: F.col("outside") & (r != home)), lambda r: role(r, guest, F.lit(False), F.lit(True)))
+    rows = rows.withColumn("role", F.explode(F.concat(stays, visits))).select("key", "id", "component", "sign", "role.*")
+    sets = texts.mapInArrow(_shingles, "id long, shingles binary").dropDuplicates(["id", "shingles"])
+    rows = rows.join(sets.hint("merge"), "id").select("key", "part", "id", "stays", "visits", "component", "sign", "shingles")
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part", "id").mapInArrow(_join_up, "a long, b long").distinct()
+
+
+def _shared_ids(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes that rows of one doc_id belong to."""
+    several = known.groupBy("doc_id").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("doc_id")
+    rows = known.join(several, "doc_id", "left_semi").select("doc_id", "class").distinct().join(classes.select("class", "id"), "class")
+    first = rows.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return rows.join(first, "doc_id").select("a", F.col("id").alias("b")).where("a != b").distinct()
+
+
+def near_duplicates(docs: DataFrame, per_part: int = PER_PART) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     described = shared_table(docs.select("doc_id", "text").mapInArrow(_describe, f"doc_id {kind}, size long, class binary, minima binary"))
     known = described.where("doc_id is not null and size > 0")
-    classes = known.groupBy("class").agg(F.min("doc_id").alias("id"))
-    leaders = known.join(classes, (known["class"] == classes["class"]) & (known["doc_id"] == classes["id"]), "left_semi")
-    leaders = leaders.select(F.col("doc_id").cast("long").alias("id"), F.col("size").cast("int").alias("size"), "minima")
-    links, opened = _met(leaders.mapInArrow(_spread, _ROWS_DDL), _meet)
-    confirmed = _confirmed(docs, links)
+    classes = known.groupBy("class").agg(F.min_by(F.struct(F.col("doc_id").cast("long").alias("id"), F.col("size").cast("int").alias("size"), "minima"), "doc_id").alias("first"))
+    classes = shared_table(classes.select("class", "first.*"))
+    leaders = classes.select("id", "size", "minima")
+    crowded = leaders.select("minima").mapInArrow(_met_twice, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > per_part)
+    crowded = shared_table(crowded)
+    if crowded.count() <= BROADCAST_ROWS:
+        crowded = F.broadcast(crowded)
+    rows = leaders.mapInArrow(_spread, _ROWS_DDL)
+    dealt = rows.join(crowded, "key", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce(F.ceil(F.col("n") / per_part), F.lit(1))).cast("int"))
+    met = dealt.select("key", "part", "id", "size", "sign").repartition("key", "part").sortWithinPartitions("key", "part", "id").mapInArrow(_meet, "a long, b long")
+    met = shared_table(met.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"))
+    links = met.where("b is not null")
+    # what lies in two parts of a bucket hasn't met
+    in_parts = rows.join(crowded, "key").select("id")
+    opened = met.where("b is null").select(F.col("a").alias("key")).union(crowded.select("key")).distinct()
+    ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).union(in_parts).distinct()
+    texts = shared_table(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ends.hint("merge"), "id", "left_semi"))
+    confirmed = shared_table(_confirmed(texts, links).union(_shared_ids(known, classes)))
     found = components(confirmed)
-    rows, most = leaders.mapInArrow(_spread_all, _ROWS_DDL).drop("to"), NEAREST
-    while opened.limit(1).count():
-        most *= GROWTH
-        rows = shared_table(rows.join(opened, "key", "left_semi"))
-        labelled = rows.join(found, "id", "left").select("key", "id", "size", "sign", F.coalesce("component", "id").alias("component"))
-        more, opened = _met(labelled, _go_on(most))
-        more = shared_table(more.join(links, ["a", "b"], "left_anti"))
-        links = links.union(more)
+    if opened.limit(1).count():
+        more = shared_table(_joined_up(texts, rows, opened, found, per_part))
         if more.limit(1).count():
-            further = _confirmed(docs, more)
-            if further.limit(1).count():
-                confirmed = confirmed.union(further)
-                found = components(confirmed)
-    member = classes.join(found, "id", "left").select("class", F.coalesce("component", "id").alias("component_id"))
-    out = described.join(member, "class", "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).cast(kind).alias("component_id"))
+            found = components(confirmed.union(more))
+    member = shared_table(classes.select("class", "id").join(found, "id", "left").select("class", F.coalesce("component", "id").alias("component_id")))
+    out = spread_join(described.drop("minima"), member, "class", hot_keys(described, "class"), "doc_id")
+    out = out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).cast(kind).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -449,14 +449,6 @@ def test_pipeline(spark):
     assert set(packed.doc_id) == set(want) and packed.groupby("sequence_id").length.sum().max() <= 4096
 
 
-def test_buckets_of_links_only():
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_arrays([pa.array([5, 6]), pa.array([1, 2]), pa.nulls(2, pa.int32()), pa.nulls(2, pa.binary()), pa.array([3, 4])], schema=minhash._ROWS)
-    pairs = [tuple(x.values()) for b in minhash._meet(iter([batch])) for x in b.to_pylist()]
-    assert pairs == [(1, 3), (2, 4)]
-
-
 def crowded_texts(n, pairs, seed=1):
     """n texts at 0.72 to each other, of which the first 2 * pairs are pairs above 0.75."""
     rng = random.Random(seed)
@@ -477,25 +469,66 @@ def test_minhash_pairs_in_a_crowd_under_the_limit(spark):
     assert got == want
 
 
-def test_minhash_members_that_stay_behind_are_met_again():
-    """y is surely like h by the estimate and leaves their buckets; x, of another batch, shares only such buckets with y."""
-    h = np.random.default_rng(3).integers(0, 2**32, minhash.HASHES, dtype=np.uint32)
-    y = h.copy()
-    y[80:120:4] += np.uint32(1)
-    x = y.copy()
-    x[40::4] += np.uint32(2)  # the first ten bands are those of h and y
-    batch = lambda ids, low: pa.RecordBatch.from_arrays([pa.array(ids), pa.array([200] * len(ids)), pa.array([v.astype("<u4").tobytes() for v in low], pa.binary())], names=["id", "size", "minima"])
-    in_order = lambda rows: pa.Table.from_batches(list(rows)).sort_by("key").combine_chunks().to_batches()
-    one, two = batch([1, 2], [h, y]), batch([3], [x])
-    met = [tuple(r.values()) for b in minhash._meet(iter(in_order([*minhash._spread(iter([one])), *minhash._spread(iter([two]))]))) for r in b.to_pylist()]
-    assert (1, 2) in met and (2, 3) not in met
-    opened = pa.array([a for a, b in met if b is None], pa.int64())
-    rows = pa.Table.from_batches(list(minhash._spread_all(iter([one, two]))))
-    rows = rows.filter(pc.is_in(rows["key"], opened)).drop_columns("to")
-    for component in ({1: 1, 2: 2, 3: 3}, {1: 1, 2: 1, 3: 3}):  # whether the link to the hub holds or not
-        labelled = rows.append_column("component", pa.array([component[i] for i in rows["id"].to_pylist()], pa.int64()))
-        found = [tuple(r.values()) for b in minhash._go_on(24)(iter(in_order(labelled.to_batches()))) for r in b.to_pylist()]
-        assert (2, 3) in found
+def linked_triples(n, seed=4):
+    """n times texts h, x, y: x is a link of y, and closer to h than to y; y is no link of h."""
+    rng = random.Random(seed)
+    data = []
+    for k in range(n):
+        word = iter(f"t{k}w{i}" for i in range(10**6))
+        h = [next(word) for _ in range(400)]
+        x, y = list(h), list(h)
+        for i in range(3, 60, 5):
+            x[i] = next(word)
+        for i in range(3, 370, 10):
+            y[i] = x[i] if i < 60 else next(word)
+        for i in range(8, 60, 10):
+            y[i] = x[i]
+        data += [(3 * k, h), (3 * k + 1, x), (3 * k + 2, y)]
+    rng.shuffle(data)
+    return [(i, " ".join(w)) for i, w in data]
+
+
+@pytest.mark.parametrize("deal", [1, 3, 17])
+def test_minhash_of_triples_however_they_are_dealt(spark, deal):
+    data = linked_triples(60)
+    want = brute_components({i: shingles(t) for i, t in data})
+    df = spark.createDataFrame(rows(data), DOCS).repartition(deal)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()} == want
+
+
+def test_minhash_of_crowded_buckets_in_parts(spark):
+    """Buckets cut into parts of 16, with pairs of two parts that are no link of any hub."""
+    data = crowded_texts(150, 20, seed=6)
+    want = brute_components({i: shingles(t) for i, t in data})
+    df = spark.createDataFrame(rows(data), DOCS).repartition(2)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, per_part=16).collect()} == want
+
+
+def test_minhash_of_rows_that_share_an_id_and_of_a_tie(spark):
+    w = [f"w{i}" for i in range(11)]  # 7 shingles
+    tie = " ".join(w[:10])  # 6 of the 7: 85 percent
+    exact = [f"v{i}" for i in range(104)]  # 100 shingles
+    three = " ".join(exact[:79])  # 75 of the 100: a link at exactly 75 percent
+    below = " ".join(exact[:78])  # 74 of the 100
+    data = [(5, " ".join(w)), (9, tie), (9, "another text of the document nine"), (12, "another text of the document nine"), (20, " ".join(exact)), (21, three), (30, " ".join(exact).upper() + " more"), (5, " ".join(w))]
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows(data), DOCS)).collect()}
+    assert got == {(5, 7): 5, (9, 6): 5, (9, 2): 5, (12, 2): 5, (20, 100): 20, (21, 75): 20, (30, 101): 20}
+    two = spark.createDataFrame(rows([(1, " ".join(exact)), (2, below)]), DOCS)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(two).collect()} == {1: 1, 2: 2}
+
+
+def test_groups_go_on_over_batches():
+    table = pa.table({"key": [1, 1, 1, 2, 2, 3, 3, 3, 3], "part": pa.array([0, 0, 1, 0, 0, 0, 0, 0, 0], pa.int32()), "id": list(range(9))})
+    for size in range(1, 10):
+        seen = []
+
+        def done(rows, starts):
+            ids = rows["id"].to_pylist()
+            seen.extend(ids[a:b] for a, b in zip(starts, [*starts[1:], len(ids)], strict=True))
+            return pa.RecordBatch.from_pydict({"a": [1]})
+
+        list(minhash._by_group(iter(table.to_batches(max_chunksize=size)), done))
+        assert seen == [[0, 1], [2], [3, 4], [5, 6, 7, 8]]
 
 
 def test_linked_vectors_of_two_lengths_in_one_cell(spark):
