@@ -272,25 +272,31 @@ def _by_group(batches: Iterator[pa.RecordBatch], done: Callable[[pa.Table, np.nd
         yield groups(pa.Table.from_batches(rest))
 
 
+_MET_DDL = "a long, b long, key long, sign binary"
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Band rows (key, part, id, size, sign) in order to candidate links (a, b) and the keys of open buckets (key, null)."""
+    """Band rows (key, part, id, size, sign, cut) in order to candidate links (a, b) and the members (a, key, sign) of
+    open buckets; cut: whether the bucket lies in several parts, which haven't all met."""
 
     def done(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        keys, ids, sizes, signs = rows["key"].to_numpy(), rows["id"].to_numpy(), rows["size"].to_numpy(), _signs(rows["sign"])
+        keys, ids, sizes, signs, cut = rows["key"].to_numpy(), rows["id"].to_numpy(), rows["size"].to_numpy(), _signs(rows["sign"]), rows["cut"].to_numpy()
         ends = np.append(starts[1:], len(keys))
         pair = starts[ends - starts == 2]  # most buckets that have more than one
         small, large = np.minimum(sizes[pair], sizes[pair + 1]), np.maximum(sizes[pair], sizes[pair + 1])
         pair = pair[(100 * small >= PERCENT * large) & (estimates(signs[pair], signs[pair + 1]) >= LOW)]
         links = [np.stack([ids[pair], ids[pair + 1]], 1)]
-        left = []
+        left = cut.copy()
         many = ends - starts > 2
         for a, b in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
             found, passed = lead(ids[a:b], sizes[a:b], signs[a:b])
             links.append(np.array(list(found), np.int64).reshape(-1, 2))
-            left += [a] if passed else []
-        pairs, opened = _linked(np.concatenate(links)), keys[left]
-        b = pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(opened), pa.int64())])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[:, 0], opened])), b], names=["a", "b"])
+            left[a:b] |= passed
+        pairs, members = _linked(np.concatenate(links)), rows.filter(pa.array(left)).combine_chunks()
+        none = pa.nulls(len(members), pa.int64())
+        member = [members[c].combine_chunks() if len(members) else pa.nulls(0, members.schema.field(c).type) for c in ("id", "key", "sign")]
+        columns = [pa.concat_arrays([pa.array(pairs[:, 0]), member[0]]), pa.concat_arrays([pa.array(pairs[:, 1]), none]), pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), member[1]]), pa.concat_arrays([pa.nulls(len(pairs), pa.binary()), member[2]])]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "key", "sign"])
 
     return _by_group(batches, done)
 
@@ -368,17 +374,17 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
 
-def _joined_up(texts: DataFrame, rows: DataFrame, opened: DataFrame, found: DataFrame, per_part: int) -> DataFrame:
-    """Confirmed links (a, b) between the components (id, component) of members of open buckets.
+def _joined_up(texts: DataFrame, rows: DataFrame, found: DataFrame, per_part: int) -> DataFrame:
+    """Confirmed links (a, b) between the components (id, component) of members (key, id, sign) of open buckets.
 
     A bucket's members stay in parts of per_part, those outside its largest
     component visit all of them, per_part visitors at a time.
     """
-    rows = shared_table(rows.join(opened, "key", "left_semi").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    rows = shared_table(rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
     buckets = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
     buckets = buckets.agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("n_outside")).where("n_outside > 0")
     parts, guests = F.ceil(F.col("n") / per_part).cast("int"), F.ceil(F.col("n_outside") / per_part).cast("int")
-    rows = rows.join(buckets, "key").withColumns({"outside": F.col("component") != F.col("main"), "parts": parts, "guests": guests})
+    rows = spread_join(rows, buckets, "key", hot_keys(rows, "key"), "id", "inner").withColumns({"outside": F.col("component") != F.col("main"), "parts": parts, "guests": guests})
     home, guest = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("guests")).cast("int")
     role = lambda r, v, stays, visits: F.struct((r * F.col("guests") + v).alias("part"), stays.alias("stays"), visits.alias("visits"))
     stays = F.transform(F.sequence(F.lit(0), F.col("guests") - 1), lambda v: role(home, v, F.lit(True), F.col("outside") & (v == guest)))
@@ -409,22 +415,19 @@ def near_duplicates(docs: DataFrame, per_part: int = PER_PART) -> DataFrame:
     crowded = shared_table(crowded)
     if crowded.count() <= BROADCAST_ROWS:
         crowded = F.broadcast(crowded)
-    rows = leaders.mapInArrow(_spread, _ROWS_DDL)
-    dealt = rows.join(crowded, "key", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce(F.ceil(F.col("n") / per_part), F.lit(1))).cast("int"))
-    met = dealt.select("key", "part", "id", "size", "sign").repartition("key", "part").sortWithinPartitions("key", "part", "id").mapInArrow(_meet, "a long, b long")
-    met = shared_table(met.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"))
-    links = met.where("b is not null")
-    # what lies in two parts of a bucket hasn't met
-    in_parts = rows.join(crowded, "key").select("id")
-    opened = met.where("b is null").select(F.col("a").alias("key")).union(crowded.select("key")).distinct()
-    ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).union(in_parts).distinct()
+    rows = leaders.mapInArrow(_spread, _ROWS_DDL).join(crowded, "key", "left")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce(F.ceil(F.col("n") / per_part), F.lit(1))).cast("int")).select("key", "part", "id", "size", "sign", F.col("n").isNotNull().alias("cut"))
+    met = shared_table(rows.repartition("key", "part").sortWithinPartitions("key", "part", "id").mapInArrow(_meet, _MET_DDL))
+    links = shared_table(met.where("b is not null").select("a", "b").distinct())
+    members = met.where("b is null").select("key", F.col("a").alias("id"), "sign")
+    # the members of an open bucket that have a likely partner are in links, unless their bucket lies in parts
+    ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).union(members.join(crowded, "key").select("id")).distinct()
     texts = shared_table(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ends.hint("merge"), "id", "left_semi"))
     confirmed = shared_table(_confirmed(texts, links).union(_shared_ids(known, classes)))
     found = components(confirmed)
-    if opened.limit(1).count():
-        more = shared_table(_joined_up(texts, rows, opened, found, per_part))
-        if more.limit(1).count():
-            found = components(confirmed.union(more))
+    more = shared_table(_joined_up(texts, members, found, per_part))
+    if more.limit(1).count():
+        found = components(confirmed.union(more))
     member = shared_table(classes.select("class", "id").join(found, "id", "left").select("class", F.coalesce("component", "id").alias("component_id")))
     out = spread_join(described.drop("minima"), member, "class", hot_keys(described, "class"), "doc_id")
     out = out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).cast(kind).alias("component_id"))
