@@ -1,21 +1,23 @@
 """Best-fit packing of tokenised documents by a grouping genetic algorithm.
 
-Documents become pieces of at most ``capacity`` tokens; a full piece is a
-sequence of its own, the others are packed.  Pieces are dealt evenly to shards
-of about ``shard_items`` (by a number given to each row, so repeated ids don't
-crowd a shard), and each shard is solved on several islands: an island breeds
-its own population of packings, then sends its elite to the next island of its
-ring and goes on with the one it gets.  The best packing of a shard's islands
-counts.  A shard wastes less than one sequence beyond its own packing, so more
-shards cost at most one sequence each.
-
-A packing is a grouping: crossover injects a random half of the other
-parent's best-filled bins whole, drops the bins that hold one of their pieces,
-and puts the displaced pieces into the remaining bins by best fit.  A shard
-whose packing needs ``ceil(tokens / capacity)`` bins is done at once, as no
-packing is better.
-
-Only (row, length) of the pieces moves between tasks, never token ids.
+Documents become pieces of at most ``capacity`` tokens; they are dealt evenly
+to shards of about ``shard_items`` (by a number given to each row, so repeated
+ids don't crowd a shard), and each shard is solved on several islands.  An
+island breeds its own population of packings; after an epoch its elite goes to
+the next island of its ring, which goes on with it.  The best packing of a
+shard's islands counts.  What lies in the worse filled sequences of all shards
+is dealt to new shards and packed again; that counts if it needs fewer.
+
+A packing is a grouping: crossover injects some of the other parent's
+best-filled bins whole, drops the bins that hold one of their pieces, and puts
+the displaced pieces into the remaining bins by best fit.  Populations start
+from best fit in decreasing order of sizes that are blurred by other amounts on
+each island.  Every island breeds at least one generation an epoch, and more
+while its best packing has more than ``ceil(tokens / capacity)`` bins, as no
+packing can have fewer.
+
+Only (row, length) of the pieces moves between tasks, never token ids, and
+between epochs one row an island.
 Defined results: null or empty text is one piece that holds the end id;
 repeated rows are packed each; an empty table gives an empty result; other
 columns are ignored.
@@ -192,26 +194,31 @@ class Population:
     """Packings of one shard on one island."""
 
     def __init__(self, sizes: np.ndarray, capacity: int, seed: int, size: int = 4):
-        self.sizes, self.list, self.capacity = sizes, sizes.tolist(), capacity
+        self.sizes, self.list, self.capacity, self.size = sizes, sizes.tolist(), capacity, size
         self.random = random.Random(seed)
         self.least = max(1, -(-int(sizes.sum()) // capacity))
         self.members: list[tuple[tuple, np.ndarray]] = []
-        for k in range(size):
-            order = np.argsort(-sizes if not k else -sizes * np.random.default_rng([seed, k]).uniform(0.8, 1, len(sizes)), kind="stable")
-            bins = [0] * len(sizes)
-            best_fit(self.list, order.tolist(), bins, _Free(capacity), 0, capacity)
+
+    def sow(self, blur: float = 0.0) -> Population:
+        """The first members; the k-th has its sizes blurred by up to blur + k / 10 before they are put in order."""
+        for k in range(self.size):
+            noise = np.random.default_rng(self.random.randrange(1 << 30)).uniform(1 - min(0.9, blur + 0.1 * k), 1, len(self.sizes))
+            bins = [0] * len(self.sizes)
+            best_fit(self.list, np.argsort(-self.sizes * noise, kind="stable").tolist(), bins, _Free(self.capacity), 0, self.capacity)
             self.add(np.array(bins, np.int64))
-            if self.done():
-                break
+        return self
 
     def loads(self, bins: np.ndarray) -> np.ndarray:
         return np.bincount(bins, self.sizes).astype(np.int64)
 
     def add(self, bins: np.ndarray) -> None:
-        """Fitness: fewer bins, then better filled ones."""
+        """Fitness: fewer bins, then better filled ones; equally fit packings count once."""
         loads = self.loads(bins)
-        self.members.append(((int((loads > 0).sum()), -float(np.square(loads / self.capacity).sum())), bins))
-        self.members.sort(key=lambda m: m[0])
+        fitness = (int((loads > 0).sum()), -float(np.square(loads / self.capacity).sum()))
+        if fitness not in [m[0] for m in self.members]:
+            self.members.append((fitness, bins))
+            self.members.sort(key=lambda m: m[0])
+            del self.members[self.size :]
 
     def done(self) -> bool:
         return self.members[0][0][0] <= self.least
@@ -224,7 +231,7 @@ class Population:
         loads = self.loads(b)
         full = np.argsort(-loads, kind="stable")[: max(1, int((loads > 0).sum()) // 2)]
         taken = np.zeros(len(loads), bool)
-        taken[self.random.sample(full.tolist(), max(1, len(full) // 2))] = True
+        taken[self.random.sample(full.tolist(), self.random.randint(1, max(1, len(full) // 2)))] = True
         injected = taken[b]
         broken = np.zeros(int(a.max()) + 1, bool)
         broken[a[injected]] = True
@@ -241,55 +248,91 @@ class Population:
         best_fit(self.list, order, out, free, len(rooms), self.capacity)
         return np.array(out, np.int64)
 
-    def evolve(self, generations: int) -> None:
-        size = len(self.members)
+    def evolve(self, generations: int) -> Population:
+        """At least one generation, and up to ``generations`` of them until the bound is met."""
         for _ in range(generations):
-            if self.done() or size < 2:
-                return
-            a, b = self.random.sample(range(size), 2)
+            if len(self.members) > 1:
+                a, b = self.random.sample(range(len(self.members)), 2)
+            else:  # a packing is crossed with itself: some of its full bins stay, the others are packed anew
+                a = b = 0
             self.add(self.cross(self.members[a][1], self.members[b][1]))
-            del self.members[size:]
+            if self.done():
+                break
+        return self
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, shard_items: int = 8192, islands: int = 2, generations: int = 8) -> DataFrame:
-    """(row, sequence_id, offset) of every item (row, length), lengths from 1 to capacity."""
-    n = items.count()
-    shards = max(1, -(-n // shard_items))
-    spread = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
-    items = items.select("row", "length", spread.alias("shard"), F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"))
+_ISLAND = "shard int, island int, rows binary, sizes binary, members array<binary>, bins long, squares double"
 
-    def start(pdf: pd.DataFrame) -> Population:
-        pdf.sort_values("row", inplace=True, ignore_index=True)
-        return Population(pdf["length"].to_numpy(np.int64), capacity, int(mix64(np.array([pdf["shard"][0] * islands + pdf["island"][0]], np.uint64))[0] >> np.uint64(1)))
 
-    def settle(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        population = start(pdf)
-        population.evolve(generations)
-        # to the next island of the ring
-        return pd.DataFrame({"shard": [key[0]], "island": [(key[1] + 1) % islands], "elite": [population.elite.astype("<i4").tobytes()]})
-
-    def finish(key: tuple, pdf: pd.DataFrame, guests: pd.DataFrame) -> pd.DataFrame:
-        population = start(pdf)
-        for elite in guests["elite"]:
-            population.add(np.frombuffer(elite, "<i4").astype(np.int64))
-        population.evolve(generations)
-        bins, sizes = population.elite, population.sizes
-        order = np.lexsort((np.arange(len(bins)), bins))
-        ends = np.cumsum(sizes[order])
-        first = np.append(True, np.diff(bins[order]) != 0)
-        before = ends - sizes[order]
-        offset = before - np.maximum.accumulate(np.where(first, before, 0))
-        return pd.DataFrame({
-            "shard": key[0], "island": key[1], "bins": population.members[0][0][0], "row": pdf["row"].to_numpy()[order],
-            "sequence_id": (np.int64(key[0]) << 32) + bins[order], "offset": offset,
-        })
+def _island(shard: int, island: int, rows: bytes, population: Population) -> pd.DataFrame:
+    """A population as one row."""
+    (bins, squares), _ = population.members[0]
+    members = [m[1].astype("<i4").tobytes() for m in population.members]
+    return pd.DataFrame({"shard": [shard], "island": [island], "rows": [rows], "sizes": [population.sizes.astype("<i4").tobytes()], "members": [members], "bins": [bins], "squares": [squares]})
+
+
+def _seed(shard: int, island: int, epoch: int) -> int:
+    return int(mix64(np.array([(shard << 20) + (island << 8) + epoch], np.uint64))[0] >> np.uint64(1))
 
+
+def pack_shards(items: DataFrame, shards: int, first_shard: int = 0, capacity: int = CAPACITY, islands: int = 2, generations: int = 8, epochs: int = 2) -> DataFrame:
+    """(row, length, sequence_id, offset, load) of every item (row, length); load: tokens of its sequence."""
     keys = ["shard", "island"]
-    elites = items.groupBy(*keys).applyInPandas(settle, "shard int, island int, elite binary")
-    ends = items.groupBy(*keys).cogroup(elites.groupBy(*keys)).applyInPandas(finish, "shard int, island int, bins long, row long, sequence_id long, offset long")
-    ends = shared_table(ends)
-    best = ends.groupBy("shard").agg(F.min(F.struct("bins", "island")).alias("best")).select("shard", F.col("best.island").alias("island"))
-    return ends.join(best, keys, "left_semi").select("row", "sequence_id", "offset")
+    spread = (F.pmod(F.xxhash64("row", F.lit(first_shard)), F.lit(shards)) + first_shard).cast("int")
+    items = items.select("row", "length", spread.alias("shard"), F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"))
+
+    def settle(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row", ignore_index=True)
+        population = Population(pdf["length"].to_numpy(np.int64), capacity, _seed(*key, 0)).sow(0.1 * key[1])
+        return _island(*key, pdf["row"].to_numpy().astype("<i8").tobytes(), population.evolve(generations))
+
+    def go_on(epoch: int):
+        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            own = pdf.iloc[0]
+            population = Population(np.frombuffer(own["sizes"], "<i4").astype(np.int64), capacity, _seed(*key, epoch))
+            for bins in [*own["members"], own["guest"]]:
+                population.add(np.frombuffer(bins, "<i4").astype(np.int64))
+            return _island(*key, own["rows"], population.evolve(generations))
+
+        return run
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, rows, sizes, bins in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows, sizes, bins = np.frombuffer(rows, "<i8"), np.frombuffer(sizes, "<i4").astype(np.int64), np.frombuffer(bins, "<i4")
+                order = np.argsort(bins, kind="stable")
+                before = np.cumsum(sizes[order]) - sizes[order]
+                first = np.append(True, np.diff(bins[order]) != 0)
+                offset = before - np.maximum.accumulate(np.where(first, before, 0))
+                columns = [rows[order], sizes[order], (np.int64(shard) << 32) + bins[order].astype(np.int64), offset, np.bincount(bins, sizes).astype(np.int64)[bins[order]]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row", "length", "sequence_id", "offset", "load"])
+
+    state = items.groupBy(*keys).applyInPandas(settle, _ISLAND)
+    for epoch in range(1, epochs):
+        state = shared_table(state)
+        # to the next island of the ring
+        guests = state.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.col("members")[0].alias("guest"))
+        state = state.join(guests, keys).groupBy(*keys).applyInPandas(go_on(epoch), _ISLAND)
+    best = state.groupBy("shard").agg(F.min_by(F.struct("rows", "sizes", F.col("members")[0].alias("elite")), F.struct("bins", "squares", "island")).alias("best"))
+    return shared_table(best.select("shard", "best.*").mapInArrow(placed, "row long, length long, sequence_id long, offset long, load long"))
+
+
+def pack(items: DataFrame, capacity: int = CAPACITY, shard_items: int = 8192, well_filled: float = 0.98, **search) -> DataFrame:
+    """(row, sequence_id, offset) of every item (row, length), lengths from 1 to capacity.
+
+    Sequences filled less than ``well_filled`` are those that the last pass over
+    all shards packs again.
+    """
+    shards = max(1, -(-items.count() // shard_items))
+    out = pack_shards(items, shards, 0, capacity, **search)
+    if shards > 1:
+        poor = F.col("load") < well_filled * capacity
+        n_items, before = out.where(poor).agg(F.count("*"), F.coalesce(F.sum((F.col("offset") == 0).cast("long")), F.lit(0))).first()
+        if before > 1:
+            again = pack_shards(out.where(poor).select("row", "length"), max(1, -(-n_items // shard_items)), shards, capacity, **search)
+            if again.where("offset = 0").count() < before:
+                out = out.where(~poor).union(again)
+    return out.select("row", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, with_ids: bool = False, **more) -> DataFrame:
