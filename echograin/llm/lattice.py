@@ -8,12 +8,19 @@ that cell and into the neighbouring ones that its projection is nearest to
 coordinate steps).  What meets in a cell is verified by cosine in double
 precision, within the same label only.
 
+Linked pairs never leave the task that finds them.  It sends out a count of
+links for each vector and as many links as join the group's components.  A pair
+that meets in several cells is counted in the first of them alone: the tables
+and cells in which the two meet follow from the vectors, whose projections are
+computed in one order of additions whatever else is in the batch.
+
 Equal vectors of a label form a class with its smallest id, and only classes
 meet; a class's members are linked with each other, so a vector that a third
 of all rows share costs no more than one.  The residents of cells are counted
 first; a cell of more than ``limit`` is cut into parts of its residents and
 parts of its visitors, and each pair of parts is a group of its own, so no
-group grows with a crowded cell.
+group grows with a crowded cell.  (As n_links counts every link, a cell whose
+n vectors are all alike but not equal takes n * n comparisons.)
 
 Defined results: a vector that is null, zero, or holds a null or non-finite
 component, and a vector without label, has no links and is its own component;
@@ -33,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import shared_table
+from .shared import hot_keys, shared_table, spread_join
 from .textcols import mix64
 
 DIMENSIONS, TABLES, PROBES = 8, 4, 6
@@ -107,7 +114,9 @@ def _vectors(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
-_FILED_DDL = "key long, id long, own boolean, vector binary"
+#: What a vector is in a group: it looks in, it lives there and looks at the others, or it only lives there (in parts of a crowded cell).
+VISITOR, MEMBER, RESIDENT = 0, 1, 2
+_FILED_DDL = "key long, id long, own boolean, tab int, members long, vector binary"
 
 
 def _packed(values: list[float]) -> bytes:
@@ -123,20 +132,37 @@ def _unit(raw: bytes) -> np.ndarray:
     return x / np.linalg.norm(x)
 
 
+def _projected(x: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """x @ matrix, padded to 8 dimensions, added up in the same order for every row whatever the other rows are."""
+    y = np.zeros((len(x), DIMENSIONS))
+    for k in range(x.shape[1]):
+        y[:, : matrix.shape[1]] += x[:, k : k + 1] * matrix[k]
+    return y
+
+
+def _around(y: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """The neighbouring cells (row, PROBES, 8) that each projection is nearest to."""
+    out = np.empty((len(y), PROBES, DIMENSIONS))
+    for a in range(0, len(y), 512):
+        around = cell[a : a + 512, None, :] + ROOTS[None, :, :]
+        near = np.argpartition(((around / 2 - y[a : a + 512, None, :]) ** 2).sum(2), PROBES, 1)[:, :PROBES]
+        out[a : a + 512] = np.take_along_axis(around, near[:, :, None], 1)
+    return out
+
+
 def _cells(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]]:
-    """(rows, projections, cells, table, length) of the usable vectors of a batch (id, label, embedding), by length and table."""
+    """(rows, projections, cells, table, length) of the usable vectors of a batch (id, label, embedding, ..), by length and table."""
     vectors = _vectors(batch.column(2))
     for size in sorted({len(v) for v in vectors if v is not None}):
         some = np.array([i for i, v in enumerate(vectors) if v is not None and len(v) == size])
         x = np.stack([vectors[i] for i in some])
         for t, matrix in enumerate(_projections(size)):
-            y = x @ matrix
-            y = np.pad(y, ((0, 0), (0, DIMENSIONS - y.shape[1])))
+            y = _projected(x, matrix)
             yield some, y, nearest_e8(y)[0], t, size
 
 
 def _residents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, label, embedding) to the keys of the cells that hold each vector."""
+    """(id, label, embedding, ..) to the keys of the cells that hold each vector."""
     for batch in batches:
         labels = batch.column(1).to_numpy()
         for some, _, cell, t, size in _cells(batch):
@@ -144,30 +170,77 @@ def _residents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, label, embedding) to residents of their cells and visitors of these and of neighbours."""
+    """(id, label, embedding, members) to residents of their cells and visitors of neighbouring ones."""
     for batch in batches:
-        ids, labels = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        ids, labels, members = (batch.column(k).to_numpy() for k in (0, 1, 3))
         for some, y, cell, t, size in _cells(batch):
-            rows = np.arange(len(some))
-            around = cell[:, None, :] + ROOTS[None, :, :]
-            near = np.argpartition(((around / 2 - y[:, None, :]) ** 2).sum(2), PROBES, 1)[:, :PROBES]
-            keys = np.concatenate([_keys(cell, t, labels[some], size), *[_keys(around[rows, near[:, k]], t, labels[some], size) for k in range(PROBES)]])
-            of = np.tile(rows, PROBES + 1)
+            around = _around(y, cell)
+            keys = np.concatenate([_keys(cell, t, labels[some], size), *[_keys(around[:, k], t, labels[some], size) for k in range(PROBES)]])
+            of = np.tile(np.arange(len(some)), PROBES + 1)
             raw = pa.array([_packed(batch.column(2)[int(i)].as_py()) for i in some], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[some][of]), pa.array(np.arange(len(of)) < len(rows)), raw.take(pa.array(of))], names=["key", "id", "own", "vector"])
+            columns = [pa.array(keys), pa.array(ids[some][of]), pa.array(np.arange(len(of)) < len(some)), pa.array(np.full(len(of), t, np.int32)), pa.array(members[some][of]), raw.take(pa.array(of))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "own", "tab", "members", "vector"])
+
+
+def _first_meetings(x: np.ndarray, ids: np.ndarray, tab: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which pairs (p lives in this cell of table tab, q looks in) meet here first: in no table before, and in this
+    table, if each looks into the other's cell, where the one with the smaller id lives."""
+    used, at = np.unique(np.concatenate([p, q]), return_inverse=True)
+    i, j = at[: len(p)], at[len(p) :]
+    first = np.ones(len(p), bool)
+    label = np.zeros(len(used), np.int64)
+    for t, matrix in enumerate(_projections(x.shape[1])[: tab + 1]):
+        y = _projected(x[used], matrix)
+        cell = nearest_e8(y)[0]
+        around = _around(y, cell)
+        own = _keys(cell, t, label, x.shape[1])
+        near = np.stack([_keys(around[:, k], t, label, x.shape[1]) for k in range(PROBES)], 1)
+        together = own[i] == own[j]
+        i_looks, j_looks = (near[i] == own[j][:, None]).any(1), (near[j] == own[i][:, None]).any(1)
+        if t < tab:
+            first &= ~(together | i_looks | j_looks)
+        else:
+            first &= (ids[p] < ids[q]) | ~(together | i_looks)
+    return first
+
+
+def _verified(ids: np.ndarray, role: np.ndarray, members: np.ndarray, x: np.ndarray, tab: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(links that join the components of a group, links of each row that are counted here)."""
+    lives, looks = np.flatnonzero(role != VISITOR), np.flatnonzero(role != RESIDENT)
+    counts = np.zeros(len(ids), np.int64)
+    root = np.arange(len(ids))
+    links: list[tuple[int, int]] = []
+    for a in range(0, len(looks), 256):
+        q, p = np.nonzero(x[looks[a : a + 256]] @ x[lives].T >= COSINE - 1e-9)
+        q, p = looks[a + q], lives[p]
+        q, p = q[ids[q] != ids[p]], p[ids[q] != ids[p]]
+        for k in range(0, len(q), 1 << 16):  # the cosine again, added up alike wherever the two meet
+            own, other = q[k : k + (1 << 16)], p[k : k + (1 << 16)]
+            fits = (x[own] * x[other]).sum(1) >= COSINE
+            own, other = own[fits], other[fits]
+            if not len(own):
+                continue
+            for i, j in zip(own[root[own] != root[other]].tolist(), other[root[own] != root[other]].tolist(), strict=True):
+                if root[i] != root[j]:
+                    links.append((int(ids[i]), int(ids[j])))
+                    root[root == root[j]] = root[i]
+            here = _first_meetings(x, ids, tab, other, own)
+            np.add.at(counts, own[here], members[other[here]])
+            np.add.at(counts, other[here], members[own[here]])
+    return links, counts
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Filed rows in the order of key and part, residents first, to links (a, b) with a < b."""
+    """Filed rows (key, part, id, role, tab, members, vector) in the order of key and part to links (a, b, null) and counts of links (a, null, n)."""
 
     def done(table: pa.Table) -> pa.RecordBatch:
-        keys, parts, ids, own = (table[c].to_numpy() for c in ("key", "part", "id", "own"))
+        keys, parts, ids, role, tab, members = (table[c].to_numpy() for c in ("key", "part", "id", "role", "tab", "members"))
         raw = table["vector"]
-        new = np.append(True, (keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1]))
-        starts = np.flatnonzero(new)
+        starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1])))
         ends = np.append(starts[1:], len(keys))
-        found = []
-        residents = np.add.reduceat(own, starts)
+        links: list[tuple[int, int]] = []
+        counted: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        residents = np.add.reduceat(role != VISITOR, starts)
         for a, b, n in zip(starts.tolist(), ends.tolist(), residents.tolist(), strict=True):
             if not n or b - a == 1:
                 continue
@@ -175,13 +248,17 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lengths = np.array([len(v) for v in vectors])
             for length in np.unique(lengths).tolist():  # nearly always one; keys of other lengths are equal only by chance
                 of = np.flatnonzero(lengths == length)
-                x, at, n_own = np.stack([vectors[i] for i in of]), ids[a + of], int((of < n).sum())
-                for k in range(0, len(of), 1024):
-                    i, j = np.nonzero(x[k : k + 1024] @ x[:n_own].T >= COSINE)
-                    p, q = at[k + i], at[j]
-                    found.append(np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], 1)[p != q], axis=0))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                found, counts = _verified(ids[a + of], role[a + of], members[a + of], np.stack([vectors[i] for i in of]), int(tab[a]))
+                links += found
+                counted.append((ids[a + of][counts > 0], counts[counts > 0]))
+        pairs = np.array(links, np.int64).reshape(-1, 2)
+        a, n = (np.concatenate(c) for c in zip(*counted, strict=True))
+        columns = [
+            pa.array(np.concatenate([pairs.min(1), a]) if len(pairs) else a),
+            pa.concat_arrays([pa.array(pairs.max(1)) if len(pairs) else pa.nulls(0, pa.int64()), pa.nulls(len(a), pa.int64())]),
+            pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(n)]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "n"])
 
     rest = None
     for batch in batches:
@@ -189,8 +266,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         table = pa.Table.from_batches([batch], schema=batch.schema)
         table = table if rest is None else pa.concat_tables([rest, table])
-        keys = table["key"].to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1]))
+        keys, parts = table["key"].to_numpy(), table["part"].to_numpy()
+        cut = int(np.argmax((keys == keys[-1]) & (parts == parts[-1])))
         rest = table.slice(cut)
         if cut:
             yield done(table.slice(0, cut))
@@ -210,9 +287,9 @@ def linked_vectors(vectors: DataFrame, limit: int = 4096) -> DataFrame:
     rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), F.when(fit, F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.to_json(canon)), 256)).alias("class"), value.alias("embedding"))
     rows = shared_table(rows)
     known = rows.where("class is not null")
-    classes = known.groupBy("class").agg(F.min("vec_id").alias("id"), F.count("*").alias("members"))
-    leaders = known.join(classes, (known["class"] == classes["class"]) & (known["vec_id"] == classes["id"]), "left_semi").groupBy("class").agg(F.first("vec_id").cast("long").alias("id"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
-    leaders = shared_table(leaders.select("id", "label", "embedding"))
+    first = F.min_by(F.struct(F.col("vec_id").cast("long").alias("id"), "label", "embedding"), "vec_id").alias("first")
+    classes = shared_table(known.groupBy("class").agg(first, F.count("*").alias("members")).select("class", "first.*", "members"))
+    leaders = classes.select("id", "label", "embedding", "members")
     crowded = leaders.mapInArrow(_residents, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit)
     crowded = shared_table(crowded)  # at most TABLES / limit of the number of classes
     if crowded.count() <= BROADCAST_ROWS:
@@ -221,20 +298,19 @@ def linked_vectors(vectors: DataFrame, limit: int = 4096) -> DataFrame:
     parts = F.coalesce(F.ceil(F.col("n") / limit), F.lit(1)).cast("int")
     mine = F.pmod(F.xxhash64("id"), parts).cast("int")
     every = F.sequence(F.lit(0), parts - 1)
-    group = lambda r, v, own: F.struct((r * parts + v).alias("part"), F.lit(own).alias("own"))
+    group = lambda r, v, role: F.struct((r * parts + v).alias("part"), F.lit(role).alias("role"))
     # part r of the residents meets part v of the visitors in the group r * parts + v; residents visit too
-    resident, visitor = F.transform(every, lambda v: group(mine, v, True)), F.transform(every, lambda r: group(r, mine, False))
-    roles = F.when(F.col("own") & (parts == 1), resident).when(F.col("own"), F.concat(resident, visitor)).otherwise(visitor)
-    filed = filed.withColumn("role", F.explode(roles)).select("key", "role.part", "id", "role.own", "vector")
-    links = filed.repartition("key", "part").sortWithinPartitions("key", "part", F.col("own").desc(), "id").mapInArrow(_verify, "a long, b long")
-    links = shared_table(links.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"))
-    sizes = classes.select(F.col("id").cast("long").alias("b"), "members")
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    beyond = both.join(sizes, "b").groupBy("a").agg(F.sum("members").alias("beyond"))
-    found = components(links)
-    member = classes.withColumn("id", F.col("id").cast("long")).join(found, "id", "left").join(beyond.withColumnRenamed("a", "id"), "id", "left")
+    resident, visitor = F.transform(every, lambda v: group(mine, v, RESIDENT)), F.transform(every, lambda r: group(r, mine, VISITOR))
+    roles = F.when(F.col("own") & (parts == 1), F.array(group(F.lit(0), F.lit(0), MEMBER))).when(F.col("own"), F.concat(resident, visitor)).otherwise(visitor)
+    filed = filed.withColumn("in", F.explode(roles)).select("key", "in.part", "id", "in.role", "tab", "members", "vector")
+    found = filed.repartition("key", "part").sortWithinPartitions("key", "part", "id").mapInArrow(_verify, "a long, b long, n long")
+    found = shared_table(found.groupBy("a", "b").agg(F.sum("n").alias("n")))
+    component = components(found.where("b is not null").select("a", "b"))
+    beyond = found.where("b is null").select(F.col("a").alias("id"), F.col("n").alias("beyond"))
+    member = classes.select("class", "id", "members").join(component, "id", "left").join(beyond, "id", "left")
     member = member.select("class", (F.col("members") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    out = rows.select("vec_id", "class").join(member, "class", "left")
+    rows = rows.select("vec_id", "class")
+    out = spread_join(rows, shared_table(member), "class", hot_keys(rows, "class"), "vec_id")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", F.col("vec_id")).cast(kind).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
