@@ -2,24 +2,25 @@
 
 Per-document rules come first (too few words, too many repeated windows).  Then
 every line is normalised (lower case, words joined by one space) and hashed,
-and the distinct documents that hold it are counted per host; documents of the
-same text count as one, so a widely copied document doesn't turn its own lines
-into boilerplate.  A line found in more than ``max_share`` of its host's
-distinct documents, and in more than ``min_docs``, is removed; a document that
-loses lines and keeps fewer than ``min_words`` words or less than
-``min_left`` of its words is depleted and not kept.
-
-Only built-in expressions.  All counts are sums with a map-side part, so a line
-that stands in every document reaches the shuffle once a task.  At most
-``1 / max_share`` times a host's mean number of lines can be above the limit,
-so the table of removed lines is small beside the documents; it is joined as
-the optimizer sees fit (broadcast under its size threshold, else sort-merge
-with split skewed partitions).
+and the distinct documents that hold it are counted per host.  A line found in
+more than ``min_docs`` documents and in more than ``max_share`` of its host's
+is removed; a document that loses lines and keeps fewer than ``min_words``
+words or less than ``min_left`` of its words is depleted and not kept.  With
+``copies_once`` documents of the same text count as one, so that a widely
+copied document doesn't turn its own lines into boilerplate.
+
+Only built-in expressions.  The documents are read once; their counts and line
+hashes are written as a table, from which all further steps read.  All counts
+are sums with a map-side part, so a line that stands in every document reaches
+the shuffle once a task.  At most ``1 / max_share`` times a host's mean number
+of lines can be above the limit, so the table of removed lines is small beside
+the documents; it is joined as the optimizer sees fit (broadcast under its size
+threshold, else sort-merge with split skewed partitions).
 
 Defined results: a null text has no words, fails the base rules and isn't
-kept; a null host is a host of its own; repeated rows each get their row (a row
-repeated with the same doc_id and text is counted once for frequencies); an
-empty table gives an empty result; other columns are ignored.
+kept; a null host is a host of its own; repeated rows each get their row, and
+rows that share a doc_id count as one document (rows without one together as
+one); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import shared_table
+
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -61,55 +64,51 @@ def _repeated_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.coalesce(F.when(F.col("at").isNotNull(), covered), F.lit(0)).cast("long")).drop("h", "s", "at")
 
 
-def base_rules(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
-    """Counts of every document and whether it fails the rules on them."""
+def base_rules(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, *more: str | Column) -> DataFrame:
+    """doc_id and ``more`` of every document, its counts, and whether it fails the rules on them."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = docs.select("doc_id", text.alias("text"), words_of(F.col("text")).alias("words"), lines.alias("lines"))
+    df = docs.select("doc_id", text.alias("text"), words_of(F.col("text")).alias("words"), lines.alias("lines"), F.struct(F.lit(0), *more).alias("more"))
     df = _repeated_words(df)
     spaceless = _without(F.col("text"), " \n\t\r\x0b\x0c")
     counts = df.select(
         "doc_id",
-        F.xxhash64("text").alias("content"),
         F.size("words").cast("long").alias("n_words"),
         F.length(spaceless).cast("long").alias("word_chars"),
         (F.length("text") - F.length(_without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
+        "lines",
+        F.col("more.*"),
     )
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     return counts.withColumn("base_failed", failed)
 
 
-def document_lines(docs: DataFrame, host: str = "source") -> DataFrame:
-    """A row for each line that has a word: (doc_id, content, host, at, line, words)."""
-    text = F.coalesce("text", F.lit(""))
-    df = docs.select("doc_id", F.xxhash64(text).alias("content"), F.col(host).alias("host"), F.posexplode(F.split(F.lower(text), "\n")).alias("at", "line"))
-    df = df.withColumn("words", words_of(F.col("line"))).where(F.size("words") > 0)
-    return df.select("doc_id", "content", "host", "at", F.xxhash64("words").alias("line"), F.size("words").cast("long").alias("words"))
-
-
-def frequent_lines(lines: DataFrame, max_share: float = 0.2, min_docs: int = 20) -> DataFrame:
-    """The (host, line) found in more than min_docs and max_share of the host's distinct documents."""
-    held = lines.groupBy("host", "line", "content").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
-    hosts = lines.groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_docs"))
+def frequent_lines(lines: DataFrame, max_share: float = 0.05, min_docs: int = 10) -> DataFrame:
+    """The (host, line) of lines (host, line, doc) found in more than min_docs and max_share of the host's distinct documents."""
+    held = lines.groupBy("host", "line", "doc").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
+    hosts = lines.groupBy("host", "doc").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_docs"))
     of_host = held["host"].eqNullSafe(hosts["host"])
     return held.join(hosts, of_host).where(F.col("n_docs") > max_share * F.col("host_docs")).select(held["host"], "line", "n_docs")
 
 
-def line_frequency_rules(docs: DataFrame, host: str = "source", max_share: float = 0.2, min_docs: int = 20, min_words: int = 20, min_left: float = 0.3) -> DataFrame:
+def line_frequency_rules(docs: DataFrame, host: str = "source", max_share: float = 0.05, min_docs: int = 10, min_words: int = 20, min_left: float = 0.3, copies_once: bool = False) -> DataFrame:
     """Base rules, then the words that frequent lines take away, then the verdict ``kept``."""
-    lines = document_lines(docs, host)
+    doc = F.xxhash64(F.coalesce("text", F.lit(""))) if copies_once else F.col("doc_id")
+    counts = base_rules(docs, min_words, 30, F.col(host).alias("host"), doc.alias("doc"))
+    normal = F.transform("lines", lambda x: words_of(F.lower(x)))
+    hashed = F.transform(normal, lambda w: F.struct(F.xxhash64(w).alias("line"), F.size(w).alias("words")))
+    # written once; the number of a row is fixed from then on
+    counts = shared_table(counts.withColumn("lines", hashed).withColumn("row", F.monotonically_increasing_id()))
+    lines = counts.select("row", "host", "doc", F.explode("lines").alias("at")).select("row", "host", "doc", "at.line", "at.words")
     limit = frequent_lines(lines, max_share, min_docs)
     hit = lines.join(limit, lines["host"].eqNullSafe(limit["host"]) & (lines["line"] == limit["line"]), "left_semi")
-    hit = hit.groupBy("doc_id", "content", "at").agg(F.max("words").alias("words"))
-    lost = hit.groupBy("doc_id", "content").agg(F.sum("words").alias("lost"))
-    counts = base_rules(docs, min_words)
-    out = counts.join(lost, counts["doc_id"].eqNullSafe(lost["doc_id"]) & (counts["content"] == lost["content"]), "left")
+    lost = hit.groupBy("row").agg(F.sum("words").alias("lost"))
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
     depleted = F.col("lost").isNotNull() & ((left < min_words) | (left < min_left * F.col("n_words")))
-    return out.select(
-        counts["doc_id"], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+    return counts.join(lost, "row", "left").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~depleted).alias("kept"),
         F.coalesce("lost", F.lit(0)).alias("n_removed_words"),
     )
@@ -128,11 +127,11 @@ cov AS (SELECT r, count(DISTINCT i + o) AS n FROM rep, (SELECT unnest(range(8))
 ln AS (SELECT r, pos, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d) t
        WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM ln GROUP BY r),
-norm AS (SELECT r, pos, source, text, array_to_string(ws, ' ') AS line, len(ws) AS n
-         FROM (SELECT d.r, pos, source, text, list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM ln JOIN d USING (r)) t),
-hosts AS (SELECT source, count(DISTINCT text) AS n FROM norm GROUP BY source),
-freq AS (SELECT n.source, n.line FROM (SELECT source, line, count(DISTINCT text) AS c FROM norm GROUP BY source, line) n
-         JOIN hosts h ON h.source IS NOT DISTINCT FROM n.source WHERE c > 20 AND c > 0.2 * h.n),
+norm AS (SELECT r, pos, source, doc_id, array_to_string(ws, ' ') AS line, len(ws) AS n
+         FROM (SELECT d.r, pos, source, coalesce(doc_id, -1) AS doc_id, list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM ln JOIN d USING (r)) t),
+hosts AS (SELECT source, count(DISTINCT doc_id) AS n FROM norm GROUP BY source),
+freq AS (SELECT n.source, n.line FROM (SELECT source, line, count(DISTINCT doc_id) AS c FROM norm GROUP BY source, line) n
+         JOIN hosts h ON h.source IS NOT DISTINCT FROM n.source WHERE c > 10 AND c > 0.05 * h.n),
 lost AS (SELECT r, sum(n)::BIGINT AS n FROM norm JOIN freq f ON f.source IS NOT DISTINCT FROM norm.source AND f.line = norm.line GROUP BY r),
 b AS (
   SELECT d.r, d.doc_id, len(w.ws)::BIGINT AS n_words, length(regexp_replace(d.text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
