@@ -5,9 +5,8 @@ a window of ``window >= 2 * block - 1`` words holds at least one of them whole.
 The blocks are the index; every rolling window of ``block`` words of every
 document probes it.  A block that is met at a second place is an anchor, and
 around the anchors the text is extended: the windows of ``window`` words that
-hold an anchor are compared by their whole content, and runs of windows that
-were met earlier make the maximal repeats, whose words are removed.  A window
-is repeated if its word sequence also starts earlier, in a smaller doc_id or
+hold an anchor are compared, and runs of windows that were met earlier make the
+maximal repeats, whose words are removed.  A window is repeated if its word sequence also starts earlier, in a smaller doc_id or
 further ahead in the same document; all of it is judged on the input.
 
 The tables between the steps are packed: a task sends, for each bucket of the
@@ -17,8 +16,10 @@ there.  So a passage that stands in every document costs a bucket one entry a
 task, and no step gathers the places of one passage.  The number of buckets
 follows the size of the text, so a bucket holds about ``per_bucket`` windows
 and its false matches (32 bits of hash beside the bucket) stay as rare at any
-size; they only make a window a candidate.  Candidates are compared by 64 bits
-beside the bucket.
+size; they only make a window a candidate.  A row names the documents of its
+own bucket alone, so rows grow with the text.  Candidates are compared by two
+hashes of their words, 96 bits in all: among 1e13 windows a false match is
+expected once in a thousand runs.
 
 Defined results: null text has no words; a null doc_id comes before all
 others; rows with the same doc_id and text are the same document, and get the
@@ -46,6 +47,7 @@ _SEP, _VALUES = byte_table(SPACE_BYTES, seed=7)
 #: Text that one packed row group covers.
 UNIT_BYTES = 8 << 20
 ALIGNED = np.uint16(1 << 15)
+_CHECK = np.uint64(0xA0761D6478BD642F)
 
 
 class _Unit:
@@ -66,6 +68,10 @@ class _Unit:
         h, at = window_hashes(self.words, self.rows, size)
         return h, at, np.searchsorted(self.rows, at, "right") - 1
 
+    def checks(self, size: int) -> np.ndarray:
+        """A second hash of the same windows, from other values of the words."""
+        return (window_hashes(mix64(self.words ^ _CHECK), self.rows, size)[0] >> np.uint64(32)).astype(np.uint32)
+
 
 def _units(column: pa.Array) -> Iterator[_Unit]:
     """Units of about UNIT_BYTES, and of fewer rows than an ordinal has room for."""
@@ -101,9 +107,11 @@ def _unpacked(x: bytes, rising: bool = False) -> np.ndarray:
     return np.cumsum(out, dtype=out.dtype) if rising else out
 
 
-def _groups(sorted_values: np.ndarray) -> np.ndarray:
+def _groups(*in_order: np.ndarray) -> np.ndarray:
     """Start of each run of equal values."""
-    return np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1])) if len(sorted_values) else np.zeros(0, np.int64)
+    if not len(in_order[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in in_order])))
 
 
 def _ends(starts: np.ndarray, n: int) -> np.ndarray:
@@ -128,8 +136,8 @@ _PROBES_DDL = "bucket int, docs binary, hashes binary, places binary, id long"
 # what goes back to documents is packed by parts of the ids, so that its rows don't grow with documents times buckets
 _HITS = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("codes", pa.binary())])
 _HITS_DDL = "part int, ids binary, codes binary"
-_WINDOWS = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("contents", pa.binary()), ("hashes", pa.binary()), ("places", pa.binary()), ("at", pa.binary()), ("id", pa.int64()), ("content", pa.int64())])
-_WINDOWS_DDL = "bucket int, ids binary, contents binary, hashes binary, places binary, at binary, id long, content long"
+_WINDOWS = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("contents", pa.binary()), ("hashes", pa.binary()), ("checks", pa.binary()), ("places", pa.binary()), ("at", pa.binary()), ("id", pa.int64()), ("content", pa.int64())])
+_WINDOWS_DDL = "bucket int, ids binary, contents binary, hashes binary, checks binary, places binary, at binary, id long, content long"
 _REPEATS = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("contents", pa.binary()), ("at", pa.binary())])
 _REPEATS_DDL = "part int, ids binary, contents binary, at binary"
 
@@ -163,10 +171,11 @@ def _probe(block: int, buckets: int):
                     rows.append((doc % buckets, None, codes, None, int(ids[unit.first + doc])))
                 h, place, bucket = h[starts], row[starts].astype(np.uint16), bucket[starts]
                 place |= np.where(indexed, ALIGNED, np.uint16(0))
-                docs = _packed(ids[unit.first : unit.first + len(unit.rows) - 1], True)
                 cuts = _groups(bucket)
                 for a, b in zip(cuts.tolist(), _ends(cuts, len(h)).tolist(), strict=True):
-                    rows.append((int(bucket[a]), docs, _packed((h[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32), True), _packed(place[a:b]), None))
+                    used, there = np.unique(place[a:b] & ~ALIGNED, return_inverse=True)
+                    there = there.astype(np.uint16) | place[a:b] & ALIGNED
+                    rows.append((int(bucket[a]), _packed(ids[unit.first + used.astype(np.int64)], True), _packed((h[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32), True), _packed(there), None))
                 yield _batch(rows, _PROBES)
 
     return run
@@ -241,24 +250,24 @@ def _extend(text_at: int, block: int, window: int, buckets: int):
                 total = np.cumsum(total)
                 h, at, row = unit.windows(window)
                 near = total[at + window - block + 1] > total[at]
-                h, at, row = h[near], at[near], row[near]
+                h, check, at, row = h[near], unit.checks(window)[near], at[near], row[near]
                 at = at - unit.rows[row]
                 doc, content = ids[unit.first + row], contents[unit.first + row]
-                order = np.lexsort((at, content, doc, h))
-                h, at, row, doc, content = h[order], at[order], row[order], doc[order], content[order]
-                starts = _groups(h)
+                order = np.lexsort((at, content, doc, check, h))
+                h, check, at, row, doc, content = h[order], check[order], at[order], row[order], doc[order], content[order]
+                starts = _groups(h, check)
                 first = np.repeat(starts, np.diff(np.append(starts, len(h))))
                 later = (doc != doc[first]) | (content != content[first]) | (at != at[first])
-                rows = [(int(r) % buckets, None, None, None, None, x, int(ids[unit.first + r]), int(contents[unit.first + r])) for r, x in _by_key(row[later], at[later].astype("<i4"))]
+                rows = [(int(r) % buckets, None, None, None, None, None, x, int(ids[unit.first + r]), int(contents[unit.first + r])) for r, x in _by_key(row[later], at[later].astype("<i4"))]
                 # the documents that the row groups speak of
                 used, place = np.unique(row[starts], return_inverse=True)
-                h, at = h[starts], at[starts].astype("<i4")
+                h, check, at = h[starts], check[starts], at[starts].astype("<i4")
                 bucket = _bucket_of(h, buckets)
                 cuts = _groups(bucket)
                 for a, b in zip(cuts.tolist(), _ends(cuts, len(h)).tolist(), strict=True):
                     own, there = np.unique(used[place[a:b]], return_inverse=True)
                     own += unit.first
-                    rows.append((int(bucket[a]), _packed(ids[own], True), contents[own].astype("<i8").tobytes(), _packed(h[a:b], True), _packed(there.astype(np.uint16)), _packed(at[a:b]), None, None))
+                    rows.append((int(bucket[a]), _packed(ids[own], True), contents[own].astype("<i8").tobytes(), _packed(h[a:b], True), _packed(check[a:b]), _packed(there.astype(np.uint16)), _packed(at[a:b]), None, None))
                 yield _batch(rows, _WINDOWS)
 
     return run
@@ -270,18 +279,18 @@ def _later(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
         parts: list[tuple] = []
-        for ids, contents, h, p, at, own, content in zip(*(table.column(c).to_pylist() for c in ("ids", "contents", "hashes", "places", "at", "id", "content")), strict=True):
+        for ids, contents, h, check, p, at, own, content in zip(*(table.column(c).to_pylist() for c in ("ids", "contents", "hashes", "checks", "places", "at", "id", "content")), strict=True):
             if ids is None:  # known from within a unit
                 starts = np.frombuffer(at, "<i4")
                 found.append((np.full(len(starts), own, np.int64), np.full(len(starts), content, np.int64), starts))
                 continue
             place = _unpacked(p)
-            parts.append((_unpacked(h, True), _unpacked(ids, True)[place], np.frombuffer(contents, "<i8")[place], _unpacked(at)))
+            parts.append((_unpacked(h, True), _unpacked(check), _unpacked(ids, True)[place], np.frombuffer(contents, "<i8")[place], _unpacked(at)))
         if parts:
-            h, doc, content, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((at, content, doc, h))
-            h, doc, content, at = h[order], doc[order], content[order], at[order]
-            starts = _groups(h)
+            h, check, doc, content, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((at, content, doc, check, h))
+            h, check, doc, content, at = h[order], check[order], doc[order], content[order], at[order]
+            starts = _groups(h, check)
             first = np.repeat(starts, np.diff(np.append(starts, len(h))))
             later = (doc != doc[first]) | (content != content[first]) | (at != at[first])
             found.append((doc[later], content[later], at[later]))
@@ -302,13 +311,22 @@ def _gather_repeats(table: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array([i for i, _ in a], pa.int64()), REPEATS: repeats})
 
 
-#: Names that no column of documents is thought to have.
+#: Names of columns that the steps add; where the documents have them, they get lines under their names.
 ID, CONTENT, HITS, REPEATS = "__id", "__content", "__hits", "__repeats"
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with lines behind it until no column is called so in any case."""
+    while name.lower() in [c.lower() for c in taken]:
+        name += "_"
+    return name
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with two more columns, the id and the hash of the text."""
     lowest = F.lit(-(1 << 63)).cast("long")
-    return docs.withColumn(ID, F.coalesce(F.col("doc_id").cast("long"), lowest)).withColumn(CONTENT, F.xxhash64(F.coalesce("text", F.lit(""))))
+    more = [F.coalesce(docs["doc_id"].cast("long"), lowest), F.xxhash64(F.coalesce(docs["text"], F.lit("")))]
+    return docs.select("*", *[c.alias(free_name(n, docs.columns)) for c, n in zip(more, (ID, CONTENT), strict=True)])
 
 
 def repeats(docs: DataFrame, window: int = 20, block: int = 10, per_bucket: int = 3_000_000) -> DataFrame:
@@ -319,11 +337,12 @@ def repeats(docs: DataFrame, window: int = 20, block: int = 10, per_bucket: int
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-size // (6 * per_bucket)))
     keyed = _keyed(docs)
-    probes = keyed.select(ID, "text").mapInArrow(_probe(block, buckets), _PROBES_DDL)
+    key = keyed.columns[-2]
+    probes = keyed.select(key, "text").mapInArrow(_probe(block, buckets), _PROBES_DDL)
     hits = probes.groupBy("bucket").applyInArrow(_match(buckets), _HITS_DDL)
     hits = hits.groupBy("part").applyInArrow(_gather_hits, f"id long, {HITS} binary")
     # all columns of the documents, so that this exchange of them also serves remove_repeats()
-    near = keyed.join(hits, keyed[ID] == hits["id"]).select(*(keyed[c] for c in keyed.columns), hits[HITS])
+    near = keyed.join(hits, keyed[key] == hits["id"]).select(*(keyed[c] for c in keyed.columns), hits[HITS].alias(free_name(HITS, keyed.columns)))
     windows = near.mapInArrow(_extend(docs.columns.index("text"), block, window, buckets), _WINDOWS_DDL)
     later = windows.groupBy("bucket").applyInArrow(_later(buckets), _REPEATS_DDL)
     return later.groupBy("part").applyInArrow(_gather_repeats, f"id long, {REPEATS} struct<content: binary, at: binary>")
@@ -339,21 +358,23 @@ def _covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, block: int = 10, digests: bool = False, **more) -> DataFrame:
-    """Every row of docs without its repeated words, and with n_words and n_removed.
+    """Every row of docs without its repeated words, and with n_words and n_removed as its last two columns.
 
     A text that loses words becomes its kept words joined by one space; others
-    stay as they are.  With digests, only doc_id, n_words, n_removed and
+    stay as they are.  Columns of docs stay even if they are called n_words or
+    n_removed; the counts then get a line behind their names.  With digests, only doc_id, n_words, n_removed and
     kept_sha256, of the kept words joined by one space.
     """
     if digests:
         docs = docs.select("doc_id", "text")
     found = repeats(docs, window, block, **more)
     keyed = _keyed(docs)
-    joined = keyed.join(found, keyed[ID] == found["id"], "left").select(*(keyed[c] for c in keyed.columns if c != ID), found[REPEATS])
+    key = keyed.columns[-2]
+    joined = keyed.join(found, keyed[key] == found["id"], "left").select(*(keyed[c] for c in keyed.columns if c != key), found[REPEATS].alias(free_name(REPEATS, keyed.columns)))
     names = docs.columns
     text_at, doc_at = names.index("text"), names.index("doc_id")
-    added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
-    fields = [docs.schema["doc_id"], *added, T.StructField("kept_sha256", T.StringType())] if digests else [*(f for f in docs.schema if f.name not in ("n_words", "n_removed")), *added]
+    added = [T.StructField(free_name(n, names), T.LongType()) for n in ("n_words", "n_removed")]
+    fields = [docs.schema["doc_id"], *added, T.StructField("kept_sha256", T.StringType())] if digests else [*docs.schema, *added]
     schema = T.StructType(fields)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +399,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, block: int = 10, digests:
             if digests:
                 columns = [batch.column(doc_at), *counts, pa.array(texts, pa.string())]
             else:
-                columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(i) for i, n in enumerate(names) if n not in ("n_words", "n_removed")] + counts
+                columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(i) for i, n in enumerate(names)] + counts
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
     return joined.mapInArrow(cut, schema)
