@@ -1,14 +1,19 @@
 """Main text of web pages by two-pass block rules.
 
 A page is read into blocks of text between block-level tags.  The first pass
-judges each block alone: by its place (menus, forms, footers and the like are
-out), by the share of its characters inside links, by its length and by the
-density of stop words.  Long blocks with many stop words are good, link lists
-are bad, short blocks stay undecided.  The second pass gives each undecided
-block the label of its nearest decided neighbours.  Where a page marks its
-article, blocks outside it are out, and a block inside it is bad only for its
-links; undecided ones there look at their neighbours inside it, and count as
-good if none is decided.
+judges each block alone by the share of its characters inside links, by its
+length and by the density of stop words: long blocks with many stop words are
+good, link lists are bad, short blocks and those between the limits stay
+undecided.  The second pass gives each of these the label of its nearest
+decided neighbours, first among the blocks of the same container, then in the
+same article, else on the page.
+
+What elements say of themselves comes in as evidence for both passes.  Menus,
+forms, footers, sidebars and reader comments that are marked as such are bad.
+Names of adverts and notices are bad where a page marks no article or inside
+it; outside it short ones are left to the second pass.  A page's article is a
+feature: an undecided block inside is good if nothing near it is decided, and a
+block outside is good by itself only if it is very long.
 
 Defined results: null or empty html, or a page without main text, gives the
 empty text; html cut off anywhere is read as far as it goes, an unfinished tag
@@ -19,6 +24,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from html import unescape
 
@@ -34,8 +40,9 @@ STOP_WORDS = {
 }
 STOPS = [frozenset(x.split()) for x in STOP_WORDS.values()]
 
-SHORT, LONG = 70, 200
-STOPS_LOW, STOPS_HIGH = 0.30, 0.32
+#: Lengths: below SHORT nothing is decided, over LONG stop words decide; outside a marked article only over VERY_LONG.
+SHORT, LONG, VERY_LONG = 70, 200, 400
+STOPS_LOW, STOPS_HIGH = 0.10, 0.15
 LINKS_MOST = 0.5
 
 BLOCK_TAGS = frozenset(
@@ -48,48 +55,53 @@ RAW_TAGS = frozenset("script style noscript template textarea iframe svg math ob
 OUT_TAGS = frozenset("nav aside footer form dialog button menu head search".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 OUT_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|subscription|"
-    r"nav\w*|menus?|breadcrumbs?|sidebar\w*|widgets?|footer\w*|comments?|commentlist|disqus\w*|replies|respond|share|sharing|social|related|recommend\w*|toolbar|pagination|pager|login|signup)(?:$|[\s_-])"
+    r"(?:^|[\s_-])(?:nav\w*|menus?|breadcrumbs?|sidebar\w*|widgets?|footer\w*|comments?|commentlist|disqus\w*|replies|respond|share|sharing|social|related|recommend\w*|toolbar|pagination|pager|login|signup)(?:$|[\s_-])"
 )
+#: Adverts and notices.
+SOFT_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|subscription)(?:$|[\s_-])")
 HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|masthead|site-title|topbar)(?:$|[\s_-])")
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|([^<]+)|(<)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Blocks of these are told apart by the element around them.
+LEAVES = HEADINGS | frozenset("p pre li dt dd blockquote figcaption caption summary address".split())
 PUNCTUATION = re.compile(r"^[^\w]+|[^\w]+$")
 
 GOOD, BAD, NEAR, UNDECIDED = "good", "bad", "near", "undecided"
 
 
 class Block:
-    __slots__ = ("heading", "links", "out", "region", "text")
+    __slots__ = ("box", "heading", "links", "out", "region", "soft", "text")
 
-    def __init__(self, text: str, links: int, out: bool, region: int, heading: bool):
-        #: region: number of the article that the block is in, 0 outside
-        self.text, self.links, self.out, self.region, self.heading = text, links, out, region, heading
+    def __init__(self, text: str, links: int, out: bool, soft: bool, region: int, box: int, heading: bool):
+        #: soft: in an element named like an advert or a notice; region: number of the article that the block is in, 0 outside; box: of its container
+        self.text, self.links, self.out, self.soft, self.region, self.box, self.heading = text, links, out, soft, region, box, heading
 
 
-def _out_by_names(tag: str, attributes: str, inside: bool) -> bool:
+def _evidence(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """(is the element none of the main text, is it named like an advert or a notice)."""
     if tag in OUT_TAGS or (tag == "header" and not inside):
-        return True
-    if "=" not in attributes:
-        return False
-    for name, *values in ATTRIBUTE.findall(attributes):
+        return True, False
+    soft = False
+    for name, *values in ATTRIBUTE.findall(attributes) if "=" in attributes else ():
         value = "".join(values).lower()
         if name.lower() == "role":
             if value in OUT_ROLES:
-                return True
-        elif tag not in ("html", "body", "article", "main") and (OUT_NAMES.search(value) or (not inside and HEADER_NAMES.search(value))):
-            return True
-    return False
+                return True, False
+        elif tag not in ("html", "body", "article", "main"):
+            if OUT_NAMES.search(value) or (not inside and HEADER_NAMES.search(value)):
+                return True, False
+            soft = soft or bool(SOFT_NAMES.search(value))
+    return False, soft
 
 
 def read_blocks(html: str) -> list[Block]:
     """Blocks of a page in page order."""
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, whether its content is out, region
+    stack: list[tuple[str, bool, bool, int, int]] = []  # tag, whether its content is out or soft, region, number
     parts: list[str] = []
-    links, link_depth, regions = 0, 0, 0
-    out, region = False, 0
+    links, link_depth, regions, numbers = 0, 0, 0, 0
+    out, soft, region = False, False, 0
     pos, n = 0, len(html)
 
     def flush() -> None:
@@ -97,13 +109,14 @@ def read_blocks(html: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                blocks.append(Block(text, links, out, region, bool(stack) and stack[-1][0] in HEADINGS))
+                box = next((x[4] for x in reversed(stack) if x[0] not in LEAVES), 0)
+                blocks.append(Block(text, links, out, soft, region, box, bool(stack) and stack[-1][0] in HEADINGS))
             parts.clear()
         links = 0
 
     def settle() -> None:
-        nonlocal out, region
-        _, out, region = stack[-1] if stack else ("", False, 0)
+        nonlocal out, soft, region
+        _, out, soft, region, _ = stack[-1] if stack else ("", False, False, 0, 0)
 
     while pos < n:
         m = TOKEN.match(html, pos)
@@ -153,16 +166,19 @@ def read_blocks(html: str) -> list[Block]:
             if tag in ("li", "td", "tr", "dd", "dt", "option") and stack and stack[-1][0] == tag:
                 stack.pop()
                 settle()
-        hidden = out or _out_by_names(tag, m[3], bool(region))
+        hidden, named = _evidence(tag, m[3], bool(region))
+        hidden, named = out or hidden, soft or named
         marks = tag in ("article", "main") or re.search(r"""\brole\s*=\s*["']?main\b""", m[3], re.I)
-        if block or hidden != out or marks:
-            if hidden != out or marks:
+        changes = hidden != out or named != soft or marks
+        if block or changes:
+            if changes:
                 flush()
             if marks and not region:
                 regions += 1
                 region = regions
-            stack.append((tag, hidden, region))
-            out = hidden
+            numbers += 1
+            stack.append((tag, hidden, named, region, numbers))
+            out, soft = hidden, named
     flush()
     return blocks
 
@@ -173,65 +189,57 @@ def stop_density(text: str) -> float:
     return max(sum(map(s.__contains__, words)) for s in STOPS) / len(words) if words else 0.0
 
 
-def first_pass(b: Block) -> str:
-    links = b.links / max(1, len(b.text))
-    if b.out or links > LINKS_MOST:
+def first_pass(b: Block, marked: bool) -> str:
+    """The label of a block by itself; marked: whether the page marks its article."""
+    n = len(b.text)
+    if b.out or b.links > LINKS_MOST * n:
         return BAD
-    if len(b.text) < SHORT:
+    if b.soft and (b.region or not marked or n >= SHORT):
+        return BAD
+    if n < SHORT:
         return NEAR if b.heading and not b.links else UNDECIDED  # a heading goes with a good block beside it
     density = stop_density(b.text)
     if density >= STOPS_HIGH:
-        return GOOD if len(b.text) > LONG else NEAR
+        return GOOD if n > (VERY_LONG if marked and not b.region else LONG) else NEAR
     if density >= STOPS_LOW:
         return NEAR
     return UNDECIDED if b.region else BAD
 
 
-def second_pass(labels: list[str], default: str) -> list[str]:
-    """Near and undecided blocks take the label of the nearest decided neighbour; at equal distance, or with
-    none, a near block is good and an undecided one is ``default``."""
-    n = len(labels)
-    before, after = [n] * n, [n] * n  # distances to the decided neighbours
-    for order, step, found in ((range(n), -1, before), (range(n - 1, -1, -1), 1, after)):
-        for i in order:
-            if 0 <= i + step < n:
-                found[i] = 1 if labels[i + step] in (GOOD, BAD) else min(n, found[i + step] + 1)
+def second_pass(blocks: list[Block], labels: list[str], marked: bool) -> list[str]:
+    """Near and undecided blocks take the label of the nearest decided neighbour, a near one that of the better of the two
+    beside it.  What is out is no neighbour but on the page outside articles."""
+    decided: dict[tuple[str, int], list[int]] = {}
+    for i, (b, label) in enumerate(zip(blocks, labels, strict=True)):
+        if label in (GOOD, BAD):
+            for scope in (("page", 0),) if b.out else (("box", b.box), ("region", b.region) if b.region else ("page", 0)):
+                decided.setdefault(scope, []).append(i)
     out = list(labels)
-    for i, label in enumerate(labels):
+    for i, (b, label) in enumerate(zip(blocks, labels, strict=True)):
         if label in (GOOD, BAD):
             continue
-        a = labels[i - before[i]] if before[i] <= i else None
-        b = labels[i + after[i]] if i + after[i] < n else None
-        if a == b or b is None or (a is not None and before[i] < after[i]):
-            found = a
-        elif a is None or after[i] < before[i]:
-            found = b
+        scopes = (("box", b.box), ("region", b.region) if b.region else ("page", 0))
+        at = next((decided[s] for s in scopes if s in decided), [])
+        k = bisect(at, i)
+        before, after = (at[k - 1] if k else None), (at[k] if k < len(at) else None)
+        beside = [labels[x] for x in (before, after) if x is not None]
+        if not beside:
+            out[i] = GOOD if b.region or (label == NEAR and not marked) else BAD
+        elif label == NEAR or len(set(beside)) == 1:
+            out[i] = GOOD if GOOD in beside else BAD
+        elif i - before == after - i:
+            out[i] = GOOD if b.region else BAD
         else:
-            found = None
-        if label == NEAR:
-            out[i] = GOOD if found in (GOOD, None) or GOOD in (a, b) else found
-        else:
-            out[i] = found or default
+            out[i] = beside[0] if i - before < after - i else beside[1]
     return out
 
 
 def main_text(html: str | None) -> str:
     """The good blocks of a page, one a line."""
     blocks = read_blocks(html or "")
-    if any(b.region and not b.out for b in blocks):
-        blocks = [b for b in blocks if b.region]
-    kept = []
-    for region in dict.fromkeys(b.region for b in blocks):
-        own = [b for b in blocks if b.region == region]
-        labels = [first_pass(b) for b in own]
-        if region:  # what is out is no neighbour inside an article
-            inside = [k for k, b in enumerate(own) if not b.out]
-            for k, label in zip(inside, second_pass([labels[k] for k in inside], GOOD), strict=True):
-                labels[k] = label
-        else:
-            labels = second_pass(labels, BAD)
-        kept += [b for b, label in zip(own, labels, strict=True) if label == GOOD]
-    return "\n".join(b.text for b in kept)
+    marked = any(b.region and not b.out for b in blocks)
+    labels = second_pass(blocks, [first_pass(b, marked) for b in blocks], marked)
+    return "\n".join(b.text for b, label in zip(blocks, labels, strict=True) if label == GOOD)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

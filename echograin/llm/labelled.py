@@ -15,3 +15,10 @@ def sample_ids(rows: DataFrame, n: int, *more: str) -> DataFrame:
     """At most n distinct doc_id of ``rows`` (with a column of each of ``more``) that may be learnt from, the same ones each time."""
     ids = rows.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(*[F.max(c).alias(c) for c in more] or [F.lit(1).alias("one")])
     return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+
+
+def sampled_texts(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """(mark, text) of the sampled ids: one row for each (doc_id, mark) of ``marks``, whatever rows share a doc_id; of
+    their texts the greatest counts.  ``marks`` is bounded by the sizes of the samples."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")
+    return rows.groupBy("doc_id", "mark").agg(F.max("text").alias("text")).select("mark", "text")

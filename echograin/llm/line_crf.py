@@ -3,19 +3,23 @@
 Every line gets a label, good or bad.  A line's evidence is a sum of weights
 over binned features of the line itself, of the line before and of the line
 after it (symbols, capitals, bars, digits, word lengths, repeated words, lines
-met before); a transition matrix ties neighbouring labels.  Forward-backward
+met before); learnt transition weights tie neighbouring labels.  Forward-backward
 gives the marginal probability that each line is good; their mean, weighted by
 line length, is the document's quality, brought to the scale of the labels by
 a logistic curve.
 
 Lines have no labels of their own, so training takes each line of a labelled
 document to be what the document is, on at most ``sample`` documents of each
-label (the bound of the sample); every whole text is then scored, all lines of
-it.
+label (the bound of the sample).  Both the weights and the transitions follow
+the gradient of the likelihood, in which each document counts the same; as all
+lines of a training document have one label, the transitions would grow without
+end, so they are drawn towards zero.  Every whole text is then scored, all
+lines of it.
 
 Defined results: null text, and text without a line that has a word, has
 quality 0 before the logistic curve; a null doc_id counts as held out; repeated
-rows are scored each; without labels that may be learnt from all scores are
+rows are scored each, and of rows that share a sampled doc_id one is learnt
+from; without labels that may be learnt from all scores are
 0.5; an empty table gives an empty result; other columns are never inputs.
 """
 
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import held_out, sample_ids
+from .labelled import held_out, sample_ids, sampled_texts
 from .textcols import SPACE_BYTES, byte_table, column_chunks, hash_spans, spans
 
 BINS = 8
@@ -102,34 +106,65 @@ def binned(features: np.ndarray, edges: np.ndarray, rows: np.ndarray) -> np.ndar
     return np.concatenate([own, before + step, after + 2 * step], 1)
 
 
-def marginals(scores: np.ndarray, tie: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: Documents of more lines are run through by products of transitions in doubling spans instead of line by line.
+LONG_CHAIN = 256
+
+
+def _scan(m: np.ndarray) -> np.ndarray:
+    """Running products m[0] .. m[t] of 2 x 2 matrices, each brought to the sum 1."""
+    out, step = m.copy(), 1
+    while step < len(out):
+        a, b = out[:-step], out[step:]
+        out[step:] = a[:, :, :1] * b[:, :1, :] + a[:, :, 1:] * b[:, 1:, :]
+        out /= out.sum((1, 2), keepdims=True)
+        step *= 2
+    return out
+
+
+def _long_chain(emit: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(alpha, beta) of one chain, each line's to the sum 1."""
+    steps = move[None, :, :] * emit[1:, None, :]
+    alpha = np.concatenate([emit[:1], (emit[0][None, :, None] * _scan(steps)).sum(1)])
+    # the transposed steps from the end
+    beta = np.concatenate([_scan(np.ascontiguousarray(steps[::-1].transpose(0, 2, 1))).sum(1)[::-1], np.ones((1, 2))])
+    return alpha / alpha.sum(1, keepdims=True), beta / beta.sum(1, keepdims=True)
+
+
+def marginals(scores: np.ndarray, tie: np.ndarray, rows: np.ndarray, share: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(probability that each line is good, expected transitions) by forward-backward over all rows at once.
 
-    scores: evidence for good; tie: 2 x 2 log-weights of (label, next label), bad first.
+    scores: evidence for good; tie: 2 x 2 log-weights of (label, next label), bad
+    first; share: what a transition of each row counts, 1 if not given.
     """
+    share = np.ones(len(rows) - 1) if share is None else share
     n = len(scores)
-    sizes = np.diff(rows)
-    order = np.argsort(-sizes, kind="stable")
-    first, sizes = rows[:-1][order], sizes[order]
-    longest = int(sizes[0]) if len(sizes) else 0
-    active = np.searchsorted(-sizes, -np.arange(longest), "left")  # rows with more than t lines
     up = np.exp(np.clip(scores, -30, 30))
     emit = np.stack([1 / (1 + up), up / (1 + up)], 1)
     move = np.exp(tie - tie.max())
     alpha, beta = np.zeros((n, 2)), np.ones((n, 2))
-    pairs = np.zeros((2, 2))
+    sizes = np.diff(rows)
+    long = sizes > LONG_CHAIN
+    for a, b in zip(rows[:-1][long].tolist(), rows[1:][long].tolist(), strict=True):
+        alpha[a:b], beta[a:b] = _long_chain(emit[a:b], move)
+    # the others together, the t-th lines of all at once
+    order = np.argsort(-sizes[~long], kind="stable")
+    first, short = rows[:-1][~long][order], sizes[~long][order]
+    longest = int(short[0]) if len(short) else 0
+    active = np.searchsorted(-short, -np.arange(longest), "left")  # rows with more than t lines
     for t in range(longest):
         at = first[: active[t]] + t
         a = emit[at] if not t else (alpha[at - 1] @ move) * emit[at]
         alpha[at] = a / a.sum(1, keepdims=True)
     for t in range(longest - 2, -1, -1):
         at = first[: active[t + 1]] + t
-        ahead = emit[at + 1] * beta[at + 1]
-        b = ahead @ move.T
-        both = alpha[at][:, :, None] * move * ahead[:, None, :]
-        pairs += (both / both.sum((1, 2), keepdims=True)).sum(0)
+        b = (emit[at + 1] * beta[at + 1]) @ move.T
         beta[at] = b / b.sum(1, keepdims=True)
     good = alpha * beta
+    # a transition from each line that has a next one
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.flatnonzero(row[1:] == row[:-1])
+    both = alpha[at][:, :, None] * move * (emit[at + 1] * beta[at + 1])[:, None, :]
+    pairs = (share[row[at], None, None] * both / both.sum((1, 2), keepdims=True)).sum(0)
     return good[:, 1] / good.sum(1), pairs
 
 
@@ -149,7 +184,7 @@ class LineModel:
         return 1 / (1 + np.exp(-np.clip(slope * (mean - shift), -30, 30)))
 
 
-def fit_crf(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], marks: np.ndarray, steps: int = 60, rate: float = 0.1, decay: float = 1e-3) -> LineModel:
+def fit_crf(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], marks: np.ndarray, steps: int = 60, rate: float = 0.1, decay: float = 1e-3, tie_decay: float = 0.05) -> LineModel:
     """parts: (features, lengths, row pointer) of documents; marks: their labels in the same order."""
     k = len(_CLASSES) + 7
     if not parts or not len(marks):
@@ -162,17 +197,22 @@ def fit_crf(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], marks: np.nd
     label = np.repeat(marks, np.diff(rows)).astype(float)
     # each label's documents weigh half, each document the same however many lines it has
     n_good, n_bad = max(1, int((marks == 1).sum())), max(1, int((marks == 0).sum()))
-    weight = np.repeat(np.where(marks == 1, 0.5 / n_good, 0.5 / n_bad) / np.maximum(1, np.diff(rows)), np.diff(rows)) * len(marks)
-    # the transition weights are fixed, not fitted
-    tie = np.array([[0.5, -0.5], [-0.5, 0.5]])
-    w = np.zeros(3 * k * (BINS + 1))
+    share = np.where(marks == 1, 0.5 / n_good, 0.5 / n_bad) / np.maximum(1, np.diff(rows)) * len(marks)
+    weight = np.repeat(share, np.diff(rows))
+    # the transitions of the labels, all of which stay what they are within a document
+    moves = np.maximum(0, np.diff(rows) - 1) * share
+    counted = np.array([[moves[marks == 0].sum(), 0.0], [0.0, moves[marks == 1].sum()]])
+    # weights of the features, then the four transitions
+    w, at = np.zeros(3 * k * (BINS + 1) + 4), 3 * k * (BINS + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     flat = columns.ravel()
     for t in range(1, steps + 1):
-        good, _ = marginals(w[columns].sum(1), tie, rows)
+        good, pairs = marginals(w[columns].sum(1), w[at:].reshape(2, 2), rows, share)
         grad = np.bincount(flat, np.repeat((good - label) * weight, columns.shape[1]), len(w)) / len(marks) + decay * w / len(marks)
+        grad[at:] = (pairs - counted).ravel() / len(marks) + tie_decay * w[at:]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    w, tie = w[:at], w[at:].reshape(2, 2)
     model = LineModel(edges, w, tie, (1.0, 0.5))
     mean, _ = model.raw(features, lengths, rows)
     model.curve = _curve(mean, marks)
@@ -209,7 +249,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 2500) -> LineModel:
     labels = labels.where(F.col("quality").isNotNull())
     marks = [sample_ids(labels.where(F.col("quality") == k), sample).select("doc_id", F.lit(k).alias("mark")) for k in (0, 1)]
     marks = marks[0].unionByName(marks[1])  # at most 2 * sample rows
-    found = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("mark", "text").mapInArrow(_features, "mark int, lines binary").collect()
+    found = sampled_texts(docs, marks).mapInArrow(_features, "mark int, lines binary").collect()
     k = len(_CLASSES) + 8
     parts = [np.frombuffer(bytes(r["lines"]), "<f4").reshape(-1, k).astype(float) for r in found]
     return fit_crf([(p[:, :-1], p[:, -1], np.array([0, len(p)])) for p in parts], np.array([r["mark"] for r in found], np.int64))

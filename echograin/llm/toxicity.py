@@ -18,7 +18,8 @@ and ``unlabelled`` rows (the bounds of the sample); every whole text is then
 scored.
 
 Defined results: null or empty text has the score of a text without features;
-a null doc_id counts as held out; repeated rows are scored each; without any
+a null doc_id counts as held out; repeated rows are scored each, and of rows
+that share a sampled doc_id one is learnt from; without any
 confirmed row the prior is 0.5 of one row and all scores are alike; an empty
 table gives an empty result; other columns are never inputs.
 """
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import held_out, sample_ids
+from .labelled import held_out, sample_ids, sampled_texts
 from .textcols import byte_table, column_chunks, hash_spans, spans
 
 BITS = 18
@@ -76,6 +77,24 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["mark", "buckets"])
 
 
+def nnpu_risk(g: np.ndarray, is_p: np.ndarray, prior: float) -> tuple[float, float]:
+    """(risk on positives, risk on negatives before it is held at zero) of the logits g: pi E_p[l(g)] and
+    E_u[l(-g)] - pi E_p[l(-g)] with the logistic loss l(g) = log(1 + exp(-g)), flat beyond LIMIT."""
+    g = np.clip(g, -LIMIT, LIMIT)
+    plus, minus = np.logaddexp(0, -g), np.logaddexp(0, g)
+    return prior * plus[is_p].mean(), minus[~is_p].mean() - prior * minus[is_p].mean()
+
+
+def nnpu_slopes(g: np.ndarray, is_p: np.ndarray, prior: float) -> np.ndarray:
+    """The step's slope by each logit: that of the whole risk, or, while the risk on negatives is below zero, away from it."""
+    inside, n_p, n_u = np.abs(g) < LIMIT, is_p.sum(), (~is_p).sum()
+    s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))  # the slope of l(-g); that of l(g) is s - 1
+    negative = np.where(is_p, -prior * s / n_p, s / n_u) * inside
+    if nnpu_risk(g, is_p, prior)[1] < 0:
+        return -negative
+    return negative + np.where(is_p, prior * (s - 1) / n_p, 0) * inside
+
+
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, features: int = 4096, least_z: float = 3.0, steps: int = 400, rate: float = 0.05, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray, float]:
     """(buckets, weights, bias) from lists of distinct buckets."""
     size = 1 << BITS
@@ -100,16 +119,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
         g = np.bincount(rows, w[columns], n) + b
-        s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-        # the logistic loss l(g) = log(1 + exp(-g)), its slope s - 1, and that of l(-g), s
-        loss_minus = np.logaddexp(0, np.clip(g, -LIMIT, LIMIT))
-        inside = np.abs(g) < LIMIT
-        on_negatives = loss_minus[~is_p].mean() - prior * loss_minus[is_p].mean()
-        negative = np.where(is_p, -prior * s / n_p, s / n_u) * inside
-        if on_negatives >= 0:
-            d = negative + np.where(is_p, prior * (s - 1) / n_p, 0) * inside
-        else:
-            d = -negative
+        d = nnpu_slopes(g, is_p, prior)
         grad = np.append(np.bincount(columns, d[rows], len(w)) + decay * w, d.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -125,8 +135,7 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
     confirmed = sample_ids(open_.where("toxic = 1"), positives).select("doc_id", F.lit(1).alias("mark"))
     mixture = sample_ids(docs.select("doc_id"), unlabelled).select("doc_id", F.lit(0).alias("mark"))
     marks = confirmed.unionByName(mixture)  # at most positives + unlabelled rows
-    texts = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("mark", "text")
-    found = texts.mapInArrow(_buckets, "mark int, buckets binary").collect()
+    found = sampled_texts(docs, marks).mapInArrow(_buckets, "mark int, buckets binary").collect()
     rows = [(r["mark"], np.frombuffer(bytes(r["buckets"]), "<u4").astype(np.int64)) for r in found]
     return fit_nnpu([x for k, x in rows if k], [x for k, x in rows if not k], prior)
 

@@ -3,7 +3,7 @@
 A page of which the rules say nothing is judged by its host.  Labelled page
 outcomes (bad or not) are shrunk through three beta-binomial levels: the rate
 of a suffix (``com``) towards the overall rate, the rate of a registered
-domain (``example.com``) towards its suffix, and the rate of a host towards its
+domain (``example.com``: the suffix and one label more) towards its suffix, and the rate of a host towards its
 registered domain.  The strength of each prior is estimated from all the
 groups of its level by moments.  A host is blocked if the lower posterior
 bound ``mean - z * sd`` of its bad rate is above the limit, so a host with few
@@ -54,13 +54,25 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
     return rule, verdict
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain: the last two labels."""
-    return F.substring_index(host, ".", -2)
+#: Public suffixes of more than one label under which anybody registers; a list of the user's takes their place.
+SUFFIXES = (
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "ac.jp", "co.kr", "co.in", "com.br", "com.cn", "com.tw", "com.hk", "com.sg",
+    "com.mx", "com.ar", "com.tr", "co.za", "co.il", "github.io", "gitlab.io", "blogspot.com", "wordpress.com", "netlify.app", "vercel.app", "herokuapp.com", "appspot.com", "pages.dev",
+)
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def suffix_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The longest of ``suffixes`` that the host ends in, else its last label."""
+    out = F.substring_index(host, ".", -1)
+    for labels in sorted({s.count(".") + 1 for s in suffixes}):
+        end = F.substring_index(host, ".", -labels)
+        out = F.when(end.isin(*[s for s in suffixes if s.count(".") + 1 == labels]), end).otherwise(out)
+    return out
+
+
+def domain_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The registered domain: the suffix and the label before it; a host that is a suffix is its own."""
+    return F.call_function("substring_index", host, F.lit("."), -(F.size(F.split(suffix_of(host, suffixes), r"\.")) + 1))
 
 
 def _strength(groups: DataFrame) -> DataFrame:
@@ -83,7 +95,7 @@ def _strength(groups: DataFrame) -> DataFrame:
     return sums.select(F.least(F.lit(high), F.greatest(F.lit(low), found)).alias("strength"), mean.alias("overall"))
 
 
-def host_reputation(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645) -> DataFrame:
+def host_reputation(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """Reputation of every host in ``hosts`` (host): posterior ``bad_rate``, its ``low`` bound, and ``n`` outcomes.
 
     outcomes: (host, bad) with bad 0 or 1, one row per labelled page.
@@ -91,7 +103,7 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645) ->
     by_host = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     by_host = hosts.select("host").distinct().join(by_host, "host", "left").fillna(0, ["n", "bad"])
     # a row a host, read seven times below
-    by_host = shared_table(by_host.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
+    by_host = shared_table(by_host.withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("host"), suffixes)))
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     by_domain = by_host.groupBy("domain", "suffix").agg(*sums)
     by_suffix = by_domain.groupBy("suffix").agg(*sums)
@@ -111,17 +123,18 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645) ->
     return hosts_.select("host", "n", m.alias("bad_rate"), (m - z * F.sqrt(m * (1 - m) / (weight + 1))).alias("low"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], limit: float = 0.5, z: float = 1.645) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], limit: float = 0.5, z: float = 1.645, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """Every row of ``pages`` (page_id, url) with host, path, rule and verdict.
 
     outcomes: (url, bad), the labelled pages; bad is 0 or 1.  ``limit`` is the
-    bad rate that the lower posterior bound must exceed for a block.
+    bad rate that the lower posterior bound must exceed for a block;
+    ``suffixes`` are those of more than one label under which domains are registered.
     """
     judged = pages.select("page_id", "url").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     judged = judged.select("page_id", "host", "path", rule.alias("rule"), said.alias("said"))
     known = outcomes.where("bad is not null").select(host_of(F.col("url")).alias("host"), F.col("bad").cast("long").alias("bad")).where("host <> ''")
-    bad_hosts = host_reputation(known, judged.where("host <> ''"), z).where(F.col("low") > limit).select("host", F.lit("block").alias("found"))
+    bad_hosts = host_reputation(known, judged.where("host <> ''"), z, suffixes).where(F.col("low") > limit).select("host", F.lit("block").alias("found"))
     return judged.join(bad_hosts, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("said", "found", F.lit("allow")).alias("verdict"))
 
 
@@ -161,7 +174,8 @@ outcomes AS (
   JOIN marks USING (doc_id) WHERE bad IS NOT NULL AND host <> ''),
 h AS (
   SELECT k.host, count(o.bad)::DOUBLE AS n, coalesce(sum(o.bad), 0)::DOUBLE AS bad,
-         array_to_string(string_split(k.host, '.')[-2:], '.') AS domain, string_split(k.host, '.')[-1] AS suffix
+         array_to_string(string_split(k.host, '.')[CASE WHEN array_to_string(string_split(k.host, '.')[-2:], '.') IN (SUFFIXES) THEN -3 ELSE -2 END:], '.') AS domain,
+         CASE WHEN array_to_string(string_split(k.host, '.')[-2:], '.') IN (SUFFIXES) THEN array_to_string(string_split(k.host, '.')[-2:], '.') ELSE string_split(k.host, '.')[-1] END AS suffix
   FROM (SELECT DISTINCT host FROM u WHERE host <> '') k LEFT JOIN outcomes o ON o.host = k.host GROUP BY k.host),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix),
@@ -180,4 +194,4 @@ hm AS (SELECT host, (h.bad + w * dm.m) / (h.n + w) AS m, h.n + w AS weight FROM
 blocked AS (SELECT host FROM hm WHERE m - 1.645 * sqrt(m * (1 - m) / (weight + 1)) > 0.5)
 SELECT u.page_id, u.host, u.path, fits.rule, coalesce(fits.said, CASE WHEN blocked.host IS NOT NULL THEN 'block' END, 'allow') AS verdict
 FROM u LEFT JOIN fits ON fits.host = u.host AND fits.path = u.path LEFT JOIN blocked ON blocked.host = u.host
-"""
+""".replace("SUFFIXES", ", ".join(f"'{s}'" for s in SUFFIXES))
