@@ -12,7 +12,7 @@ from ..operators import classifiers as cl
 from ..operators import kernels as kn
 from ..operators import neighbourhoods as nb
 from ..streaming import windows as sw
-from .recipes import Context, Step, run_steps
+from . import recipes as rc
 from .register import query
 
 
@@ -190,10 +190,8 @@ def sublooks(spark, d):
 
 @query("recipe_backscatter", "SELECT l_orderkey, l_linenumber, round(10 * log10(l_quantity * l_quantity), 5) AS sigma0_db FROM lineitem WHERE l_quantity > 10")
 def recipe_backscatter(spark, d):
-    from .recipes import RECIPES
-
-    steps = [Step("subset", {"condition": "l_quantity > 10"}), Step("band_maths", {"expressions": {"amplitude": "l_quantity"}}), *RECIPES["backscatter_db"]]
-    return run_steps(Context(_table(spark, d, "lineitem")), steps).select("l_orderkey", "l_linenumber", _r(F.col("sigma0_db"), 5).alias("sigma0_db"))
+    steps = (rc.subset("l_quantity > 10"), rc.band_maths({"amplitude": "l_quantity"}), *rc.recipe("backscatter_db"))
+    return rc.run(_table(spark, d, "lineitem"), steps).select("l_orderkey", "l_linenumber", _r(F.col("sigma0_db"), 5).alias("sigma0_db"))
 
 
 _BANDS = ["l_quantity", "l_discount", "l_tax"]
@@ -249,8 +247,7 @@ def glcm_texture(spark, d):
 def mosaic_first(spark, d):
     from ..operators import product_ops as po
 
-    r = _raster(spark, d)
-    return po.mosaic([r.where(F.col("tile") == k) for k in range(6)], ["r", "c"], "v").withColumn("value", _r(F.col("value")))
+    return po.mosaic(_raster(spark, d), ["r", "c"], "v", "tile").withColumn("value", _r(F.col("value")))
 
 
 @query("stack_average", f"SELECT r, c, round(avg(v), 6) AS value FROM {_RASTER} GROUP BY r, c")

@@ -1,177 +1,285 @@
-"""Declared processing recipes: named steps folded over lazy DataFrames.
+"""Recipes: sequences of steps over lazy DataFrames.
 
-A step is (operator name, parameters, name to save the result under).  Running
-a recipe only builds a plan; the steps' results stay DataFrames, so Catalyst
-sees the whole of it.
+A step is a function of a Workspace (the table in hand and the tables put
+aside) that gives the next one.  Operators with their arguments bound are
+steps, so a recipe is a plain tuple that can be cut, joined and run on part;
+running it only builds a plan, of which Catalyst sees the whole.  A recipe can
+also be written as JSON: a list of objects with one operator and its arguments.
 """
 
 from __future__ import annotations
 
-import importlib
 import json
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
-from typing import Any
+import re
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from functools import reduce, wraps
+from types import MappingProxyType
+from typing import Any, NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.guards import to_db as decibels
+from ..operators import neighbourhoods as nb
+from ..operators import product_ops as po
+from ..operators import relational as rl
 
-@dataclass(frozen=True)
-class Step:
-    name: str
-    params: dict[str, Any] = field(default_factory=dict)
-    save_as: str | None = None
 
+class Workspace(NamedTuple):
+    """The table that steps work on, and those kept beside it by name."""
 
-@dataclass
-class Context:
-    current: DataFrame
-    saved: dict[str, DataFrame] = field(default_factory=dict)
+    table: DataFrame
+    aside: Mapping[str, DataFrame] = MappingProxyType({})
 
-    def ref(self, name: str) -> DataFrame:
-        if name not in self.saved:
-            raise KeyError(f"nothing is saved as {name}")
-        return self.saved[name]
+    def other(self, name: str) -> DataFrame:
+        try:
+            return self.aside[name]
+        except KeyError:
+            raise LookupError(f"no table was put aside as {name!r}; there are {sorted(self.aside)}") from None
 
 
-Operator = Callable[..., DataFrame | None]
-REGISTRY: dict[str, Operator] = {}
+Step = Callable[[Workspace], Workspace]
+#: Operators that JSON recipes can name: each takes its arguments and gives a step.
+OPERATORS: dict[str, Callable[..., Step]] = {}
 
 
-def operator(name: str) -> Callable[[Operator], Operator]:
-    """Registers (context, **params) -> DataFrame, or None to leave the current one."""
+def step(f: Callable[..., DataFrame]) -> Callable[..., Step]:
+    """Makes f(workspace, ...) -> DataFrame an operator that binds its arguments and gives a step."""
 
-    def add(f: Operator) -> Operator:
-        REGISTRY[name] = f
-        return f
+    @wraps(f)
+    def bind(*args: Any, **named: Any) -> Step:
+        return lambda w: w._replace(table=f(w, *args, **named))
 
-    return add
+    OPERATORS[f.__name__] = bind
+    return bind
 
 
-def run_step(ctx: Context, step: Step) -> Context:
-    if step.name not in REGISTRY:
-        raise KeyError(f"no such step: {step.name}")
-    out = REGISTRY[step.name](ctx, **step.params)
-    if out is not None:
-        ctx.current = out
-    if step.save_as:
-        ctx.saved[step.save_as] = ctx.current
-    return ctx
+def put_aside(name: str) -> Step:
+    """The table in hand is kept under a name, and stays in hand."""
+    return lambda w: w._replace(aside={**w.aside, name: w.table})
 
 
-def run_steps(ctx: Context, steps: Sequence[Step]) -> DataFrame:
-    for step in steps:
-        run_step(ctx, step)
-    return ctx.current
+def take_up(name: str) -> Step:
+    """A table put aside is the one in hand again."""
+    return lambda w: w._replace(table=w.other(name))
 
 
-def load_recipe(target: str) -> Sequence[Step]:
-    """``module:NAME`` or a built-in name."""
-    if target in RECIPES:
-        return RECIPES[target]
-    module, _, name = target.partition(":")
-    steps = getattr(importlib.import_module(module), name or "STEPS")
-    if not all(isinstance(s, Step) for s in steps):
-        raise TypeError(f"{target} is not a list of steps")
-    return steps
+OPERATORS |= {"put_aside": put_aside, "take_up": take_up}
 
 
-def parse_params(values: Sequence[str]) -> dict[str, Any]:
-    """NAME=VALUE pairs: True, False, None, then JSON, then text."""
-    out: dict[str, Any] = {}
-    for v in values:
-        name, sep, text = v.partition("=")
-        if not sep or not name:
-            raise ValueError(f"not NAME=VALUE: {v}")
-        if text in ("True", "False", "None"):
-            out[name] = {"True": True, "False": False, "None": None}[text]
-            continue
-        try:
-            out[name] = json.loads(text)
-        except ValueError:
-            out[name] = text
-    return out
+def run(table: DataFrame, recipe: Iterable[Step], **aside: DataFrame) -> DataFrame:
+    """The table after all steps; further tables are aside from the start."""
+    return reduce(lambda w, s: s(w), recipe, Workspace(table, aside)).table
+
+
+def from_json(text: str) -> tuple[Step, ...]:
+    """Steps of a text like ``[{"to_db": {"bands": ["vv"]}}, {"put_aside": {"name": "db"}}]``."""
+    out = []
+    for entry in json.loads(text):
+        if not isinstance(entry, dict) or len(entry) != 1:
+            raise ValueError(f"a step is an object with one operator, not {entry!r}")
+        ((name, arguments),) = entry.items()
+        if name not in OPERATORS:
+            raise ValueError(f"no operator {name!r}; there are {', '.join(sorted(OPERATORS))}")
+        out.append(OPERATORS[name](**(arguments or {})))
+    return tuple(out)
+
+
+# bands and pixels
+
+
+@step
+def select(w: Workspace, columns: Sequence[str]) -> DataFrame:
+    return w.table.select(*columns)
+
+
+@step
+def band_select(w: Workspace, pattern: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Columns whose name holds the pattern, and those to keep."""
+    return w.table.select(*[c for c in w.table.columns if c in keep or re.search(pattern, c)])
+
+
+@step
+def band_maths(w: Workspace, expressions: Mapping[str, str]) -> DataFrame:
+    """New bands by SQL expressions."""
+    return w.table.withColumns({k: F.expr(v) for k, v in expressions.items()})
+
+
+@step
+def subset(w: Workspace, condition: str) -> DataFrame:
+    return w.table.where(condition)
+
+
+@step
+def no_data(w: Workspace, bands: Sequence[str], value: float = 0.0) -> DataFrame:
+    return po.without_nodata(w.table, bands, value)
+
+
+@step
+def mask(w: Workspace, bands: Sequence[str], keep: str) -> DataFrame:
+    """Bands as null where a SQL condition (land, sea, a shape) doesn't hold."""
+    return po.masked(w.table, bands, F.expr(keep))
+
+
+@step
+def convert(w: Workspace, band: str, low: float, high: float, kind: str = "uint8", scaling: str = "linear") -> DataFrame:
+    return w.table.withColumn(band, po.converted(F.col(band), F.lit(low), F.lit(high), kind, scaling))
 
 
-@operator("select")
-def _select(ctx: Context, columns: Sequence[str]) -> DataFrame:
-    return ctx.current.select(*columns)
+# radiometry
 
 
-@operator("band_select")
-def _band_select(ctx: Context, pattern: str, keep: Sequence[str] = ()) -> DataFrame:
-    import re
+def _noise(noise: str | float) -> Column:
+    return F.col(noise) if isinstance(noise, str) else F.lit(float(noise))
 
-    return ctx.current.select(*[c for c in ctx.current.columns if c in keep or re.search(pattern, c)])
 
+@step
+def calibrate(w: Workspace, band: str, gain: float | str, out: str, kind: str = "sigma0", incidence: str | None = None) -> DataFrame:
+    """Amplitude to backscatter: amplitude squared over the squared gain (a number or a column of the look-up table);
+    beta0 as it is, sigma0 times the sine of the incidence angle and gamma0 times its tangent, in degrees, if one is given."""
+    scale = {"beta0": None, "sigma0": F.sin, "gamma0": F.tan}[kind]
+    value = F.col(band) * F.col(band) / (_noise(gain) * _noise(gain))
+    return w.table.withColumn(out, value * scale(F.radians(incidence)) if scale and incidence else value)
 
-@operator("band_maths")
-def _band_maths(ctx: Context, expressions: dict[str, str]) -> DataFrame:
-    from pyspark.sql import functions as F
 
-    return ctx.current.withColumns({k: F.expr(v) for k, v in expressions.items()})
+@step
+def remove_noise(w: Workspace, band: str, noise: str | float, floor: float = 0.0) -> DataFrame:
+    """Power less the noise power, a column of the noise table or a number, not below the floor."""
+    return w.table.withColumn(band, F.greatest(F.lit(floor), F.col(band) - _noise(noise)))
 
 
-@operator("subset")
-def _subset(ctx: Context, condition: str) -> DataFrame:
-    return ctx.current.where(condition)
+@step
+def flatten_terrain(w: Workspace, band: str, out: str, local_area: str, reference_area: str) -> DataFrame:
+    """Backscatter over the ratio of the lit area of the terrain to that of flat ground (columns of a simulated image)."""
+    return w.table.withColumn(out, F.when(F.col(local_area) > 0, F.col(band) * F.col(reference_area) / F.col(local_area)))
 
 
-@operator("calibrate")
-def _calibrate(ctx: Context, band: str, gain: float, out: str) -> DataFrame:
-    from pyspark.sql import functions as F
+@step
+def to_db(w: Workspace, bands: Sequence[str]) -> DataFrame:
+    return w.table.withColumns({f"{b}_db": decibels(F.col(b)) for b in bands})
 
-    return ctx.current.withColumn(out, F.col(band) * F.col(band) / (gain * gain))
 
+@step
+def trim_border_noise(w: Workspace, keys: Sequence[str], row: str, col: str, band: str, limit: float, width: int) -> DataFrame:
+    """Pixels within ``width`` columns of a line's ends are null if they are below the limit: the ends come by one aggregation a line."""
+    ends = w.table.groupBy(*keys, row).agg(F.min(col).alias("__first"), F.max(col).alias("__last"))
+    near = (F.col(col) < F.col("__first") + width) | (F.col(col) > F.col("__last") - width)
+    both = w.table.join(ends, [*keys, row])
+    return both.withColumn(band, F.when(~near | (F.col(band) >= limit), F.col(band))).drop("__first", "__last")
 
-@operator("remove_noise")
-def _remove_noise(ctx: Context, band: str, noise: str) -> DataFrame:
-    from pyspark.sql import functions as F
 
-    return ctx.current.withColumn(band, F.greatest(F.lit(0.0), F.col(band) - F.col(noise)))
+# neighbourhoods
 
 
-@operator("to_db")
-def _to_db(ctx: Context, bands: Sequence[str]) -> DataFrame:
-    from pyspark.sql import functions as F
+@step
+def multilook(w: Workspace, keys: Sequence[str], row: str, col: str, value: str, n_row: int, n_col: int) -> DataFrame:
+    return nb.multilook(w.table, keys, row, col, value, n_row, n_col)
 
-    from ..functions.guards import to_db
 
-    return ctx.current.withColumns({f"{b}_db": to_db(F.col(b)) for b in bands})
+@step
+def despeckle(w: Workspace, keys: Sequence[str], row: str, col: str, value: str, size: int = 5) -> DataFrame:
+    return nb.lee_filter(w.table, keys, row, col, value, size)
 
 
-@operator("multilook")
-def _multilook(ctx: Context, keys: Sequence[str], row: str, col: str, value: str, n_row: int, n_col: int) -> DataFrame:
-    from ..operators.neighbourhoods import multilook
+@step
+def coherence(w: Workspace, keys: Sequence[str], row: str, col: str, size: int) -> DataFrame:
+    return nb.windowed_coherence(w.table, keys, row, col, size)
 
-    return multilook(ctx.current, keys, row, col, value, n_row, n_col)
 
+# bursts and interferometry
 
-@operator("merge")
-def _merge(ctx: Context, ref: str, keys: Sequence[str], bands: Sequence[str]) -> DataFrame:
-    from ..operators.relational import merge_first_valid
 
-    return merge_first_valid(ctx.current, ctx.ref(ref), keys, bands)
+@step
+def split_bursts(w: Workspace, swath: str, first: int, last: int, pols: Sequence[str]) -> DataFrame:
+    return po.split_bursts(w.table, swath, first, last, pols)
 
 
-@operator("stack")
-def _stack(ctx: Context, refs: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Saved products beside the current one by key; their other columns get the product's name."""
-    out = ctx.current
-    for r in refs:
-        other = ctx.ref(r)
-        out = out.join(other.select(*keys, *[other[c].alias(f"{c}_{r}") for c in other.columns if c not in keys]), list(keys), "left")
+@step
+def deburst(w: Workspace, keys: Sequence[str], overlap: int) -> DataFrame:
+    return po.debursted(w.table, keys, overlap)
+
+
+@step
+def pair_with(w: Workspace, other: str, keys: Sequence[str]) -> DataFrame:
+    """The bands i and q of the table in hand and of another one by key, as (ar, ai, br, bi)."""
+    a = w.table.select(*keys, F.col("i").alias("ar"), F.col("q").alias("ai"))
+    return a.join(w.other(other).select(*keys, F.col("i").alias("br"), F.col("q").alias("bi")), list(keys))
+
+
+@step
+def interfere(w: Workspace, flat_phase: str | None = None) -> DataFrame:
+    return po.interferogram(w.table, F.col(flat_phase) if flat_phase else None)
+
+
+@step
+def smooth_phase(w: Workspace, keys: Sequence[str], row: str, col: str, alpha: float = 1.0, block: int = 32) -> DataFrame:
+    return po.goldstein_filter(w.table, keys, row, col, alpha, block)
+
+
+# tables beside each other
+
+
+@step
+def merge(w: Workspace, other: str, keys: Sequence[str], bands: Sequence[str]) -> DataFrame:
+    """Bands of the table in hand, and of another one where they are missing."""
+    return rl.merge_first_valid(w.table, w.other(other), keys, bands)
+
+
+@step
+def merge_iq(w: Workspace, other: str, keys: Sequence[str]) -> DataFrame:
+    return po.merge_iq(w.table, w.other(other), keys)
+
+
+@step
+def stack(w: Workspace, others: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Tables put aside beside the one in hand by key; their other columns get the table's name."""
+    out = w.table
+    for name in others:
+        other = w.other(name)
+        out = out.join(other.select(*keys, *[other[c].alias(f"{c}_{name}") for c in other.columns if c not in keys]), list(keys), "left")
     return out
 
 
-@operator("write")
-def _write(ctx: Context, path: str, partition_by: Sequence[str] = ()) -> None:
-    ctx.current.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+@step
+def tile_cells(w: Workspace, row: str, col: str, size: int) -> DataFrame:
+    """Which tile of ``size`` rows and columns each pixel is in, and its place there."""
+    r, c = F.floor(F.col(row) / size), F.floor(F.col(col) / size)
+    return w.table.withColumns({"tile_row": r, "tile_col": c, "in_row": F.col(row) - r * size, "in_col": F.col(col) - c * size})
+
 
+@step
+def write(w: Workspace, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Written as Parquet; the table stays in hand."""
+    w.table.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    return w.table
 
-RECIPES: dict[str, Sequence[Step]] = {
-    "backscatter_db": (
-        Step("calibrate", {"band": "amplitude", "gain": 1.0, "out": "sigma0"}),
-        Step("to_db", {"bands": ["sigma0"]}),
-    ),
+
+def _strip(keys: Sequence[str]) -> tuple[Step, ...]:
+    """Calibrated, despeckled stripmap backscatter in dB, in tiles."""
+    return (calibrate("amplitude", 1.0, "sigma0"), despeckle(keys, "row", "col", "sigma0"), to_db(["filtered"]), tile_cells("row", "col", 512))
+
+
+#: Recipes over tables of pixels (tile, row, col, bands), by name; steps that need orbits, elevation or trained models aren't part of them.
+RECIPES: dict[str, tuple[Step, ...]] = {
+    "backscatter_db": (calibrate("amplitude", 1.0, "sigma0"), to_db(["sigma0"])),
+    "strip": _strip(["tile"]),
+    "spotlight": _strip(["tile"]),
+    "tops": (deburst(["swath"], 10), calibrate("amplitude", 1.0, "sigma0"), to_db(["sigma0"])),
+    "tops_split": (split_bursts("IW1", 1, 3, ["VV"]),),
+    "tops_interferogram": (pair_with("other", ["swath", "burst", "line", "col"]), interfere(), deburst(["swath"], 10)),
+    "strip_interferogram": (pair_with("other", ["row", "col"]), interfere(), smooth_phase([], "row", "col")),
+    "subset_strip": (subset("row BETWEEN 0 AND 1023 AND col BETWEEN 0 AND 1023"),),
+    "looks_into_product": (merge_iq("looks", ["row", "col"]),),
+    "l_band": (no_data(["hh", "hv"]), calibrate("hh", 1.0, "hh"), calibrate("hv", 1.0, "hv"), to_db(["hh", "hv"]), tile_cells("row", "col", 512)),
+    "p_band": (no_data(["hh", "hv", "vv"]), to_db(["hh", "hv", "vv"]), tile_cells("row", "col", 512)),
 }
+#: Which recipe a family of products (functions.products.product_mode) starts with.
+RECIPE_OF_MODE = {"S1STRIP": "strip", "S1TOPS": "tops", "TSX": "spotlight", "CSG": "spotlight", "NISAR": "l_band", "BM": "p_band"}
+
+
+def recipe(name: str) -> tuple[Step, ...]:
+    """A recipe by its name or by the mode of a product."""
+    found = RECIPES.get(RECIPE_OF_MODE.get(name, name))
+    if found is None:
+        raise LookupError(f"no recipe {name!r}; there are {', '.join(sorted([*RECIPES, *RECIPE_OF_MODE]))}")
+    return found
