@@ -62,16 +62,26 @@ def temporal_percentile(df: DataFrame, keys: Sequence[str], value: str, percent:
     return df.groupBy(*keys).agg(F.percentile(value, F.lit(percent / 100)).alias("value"))
 
 
-def mosaic(products: Sequence[DataFrame], keys: Sequence[str], value: str, combine: str = "first") -> DataFrame:
-    """Products on one grid: the first valid value, or the mean."""
-    every = None
-    for k, p in enumerate(products):
-        part = p.select(*keys, F.col(value).alias("value"), F.lit(k).alias("source"))
-        every = part if every is None else every.unionByName(part)
-    every = every.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    if combine == "mean":
-        return every.groupBy(*keys).agg(F.avg("value").alias("value"))
-    return every.groupBy(*keys).agg(F.min_by("value", "source").alias("value"))
+def mosaic(products: DataFrame, keys: Sequence[str], value: str, source: str, combine: str = "first") -> DataFrame:
+    """Products of one table on one grid: the valid value of the smallest source, or the mean; one aggregation over all sources."""
+    valid = products.where(F.col(value).isNotNull() & ~F.isnan(value))
+    out = {"first": F.min_by(value, source), "mean": F.avg(value)}[combine]
+    return valid.groupBy(*keys).agg(out.alias("value"))
+
+
+def merge_iq(product: DataFrame, looks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A product with the complex bands of its sub-aperture looks (look, i, q) as further bands i_SA<look> and q_SA<look>.
+
+    The looks are brought side by side by one grouped aggregation over their
+    distinct numbers, which a small job finds; bands that the product has
+    already stay as they are.
+    """
+    numbers = sorted(r[0] for r in looks.select("look").distinct().collect())  # a few sub-apertures
+    new = [(b, n) for n in numbers for b in ("i", "q") if f"{b}_SA{n}" not in product.columns]
+    if not new:
+        return product
+    wide = looks.groupBy(*keys).agg(*[F.max(F.when(F.col("look") == n, F.col(b))).alias(f"{b}_SA{n}") for b, n in new])
+    return product.join(wide, list(keys), "left")
 
 
 def assembled_slices(slices: Sequence[DataFrame], row: str) -> DataFrame:
@@ -94,25 +104,34 @@ def split_bursts(df: DataFrame, swath: str, first: int, last: int, pols: Sequenc
 
 
 def debursted(df: DataFrame, keys: Sequence[str], overlap: int, line: str = "line", burst: str = "burst") -> DataFrame:
-    """Bursts joined: half of the overlap goes at each inner edge, lines are numbered on."""
-    limits = df.groupBy(*keys).agg(F.min(burst).alias("__b0"), F.max(burst).alias("__b1"), (F.max(line) + 1).alias("__h"))
-    df = df.join(limits, list(keys))
-    cut_top = F.when(F.col(burst) > F.col("__b0"), overlap // 2).otherwise(0)
-    cut_end = F.when(F.col(burst) < F.col("__b1"), overlap - overlap // 2).otherwise(0)
+    """Bursts joined: half of the overlap goes at each inner edge, lines are numbered on.  Bursts may differ in height
+    and their numbers may have gaps; the table of their heights is one row a burst."""
+    heights = df.groupBy(*keys, burst).agg((F.max(line) + 1).alias("__h"))
+    w = W.partitionBy(*keys).orderBy(burst)
+    start = F.coalesce(F.sum(F.col("__h") - overlap).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    edges = heights.select(*keys, burst, "__h", start.alias("__start"), F.lag("__h").over(w).isNotNull().alias("__inner"), F.lead("__h").over(w).isNotNull().alias("__more"))
+    df = df.join(edges, [*keys, burst])
+    cut_top = F.when(F.col("__inner"), overlap // 2).otherwise(0)
+    cut_end = F.when(F.col("__more"), overlap - overlap // 2).otherwise(0)
     kept = df.where((F.col(line) >= cut_top) & (F.col(line) < F.col("__h") - cut_end))
-    return kept.withColumn(line, (F.col(burst) - F.col("__b0")) * (F.col("__h") - overlap) + F.col(line)).drop("__h", "__b0", "__b1", burst)
+    return kept.withColumn(line, F.col("__start") + F.col(line)).drop("__h", "__start", "__inner", "__more", burst)
 
 
-def echo_bursts(packets: DataFrame, order: str, signal_type: str, quads: str) -> DataFrame:
-    """Runs of echo packets (signal type 0) with an equal number of quads, as first, last and count.
+def echo_bursts(packets: DataFrame, order: str, signal_type: str, quads: str, echo: int = 0) -> DataFrame:
+    """Echo packets in two runs: those with as many quads as the first echo of their file, and those with as many as its last.
 
-    The runs are found within partitions of the file name, not over all packets.
+    A row a file and run (burst 0 and, if its number of quads is another one, 1):
+    quads, first and last packet, number of packets, and ``offset``, the packets
+    of the runs before it.  The ends of a file come by one aggregation; no window
+    runs over all its packets.
     """
-    w = W.partitionBy("path").orderBy(order)
-    echoes = packets.where(F.col(signal_type) == 0)
-    new = F.when(F.lag(quads).over(w) == F.col(quads), 0).otherwise(1)
-    runs = echoes.withColumn("__new", new).withColumn("burst", F.sum("__new").over(w))
-    return runs.groupBy("path", "burst", quads).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
+    echoes = packets.where(F.col(signal_type) == echo)
+    ends = echoes.groupBy("path").agg(F.min_by(quads, order).alias("__first"), F.max_by(quads, order).alias("__last"))
+    kept = echoes.join(ends, "path").where((F.col(quads) == F.col("__first")) | (F.col(quads) == F.col("__last")))
+    runs = kept.withColumn("burst", F.when(F.col(quads) == F.col("__first"), 0).otherwise(1))
+    out = runs.groupBy("path", "burst", quads).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
+    # at most two rows a file
+    return out.withColumn("offset", F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("burst").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
 
 
 # interferometry

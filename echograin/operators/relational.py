@@ -65,19 +65,28 @@ def tile_sets(candidates: DataFrame, skipped: DataFrame, partial: DataFrame, act
     )
 
 
-def minmax_norm(x: Column, *keys: str) -> Column:
-    """(x - min) / (max - min) in its group; 1 where all are (nearly) equal; null and NaN stay."""
-    w = W.partitionBy(*keys)
-    fine = F.when(~F.isnan(x), x)
-    low, high = F.min(fine).over(w), F.max(fine).over(w)
+def scaled(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """(value - min) / (max - min) of each group as a further column; 1 where all are (nearly) equal; null and NaN stay.
+    The ends are an aggregation with a map-side part, joined back by key."""
+    fine = F.when(~F.isnan(value), F.col(value))
+    ends = df.groupBy(*keys).agg(F.min(fine).alias("__low"), F.max(fine).alias("__high"))
+    low, high = F.col("__low"), F.col("__high")
+    if keys:
+        ends = ends.withColumnsRenamed({k: f"__{k}" for k in keys})
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        both = df.join(ends, same, "left").drop(*[f"__{k}" for k in keys])
+    else:
+        both = df.join(F.broadcast(ends), F.lit(True))  # one row
     close = F.abs(low - high) <= 1e-8 + 1e-5 * F.abs(high)
-    return F.when(fine.isNull(), x).when(close, 1.0).otherwise((x - low) / (high - low))
+    return both.withColumn(out, F.when(fine.isNull(), F.col(value)).when(close, 1.0).otherwise((F.col(value) - low) / (high - low))).drop("__low", "__high")
 
 
 def weighted_score(df: DataFrame, keys: Sequence[str], good: str, bad: str, w_good: float = 0.5, w_bad: float = 0.5) -> DataFrame:
     """comp_norm, inv_var_norm and score: high ``good`` and low ``bad`` within the keys."""
     df = df.where(F.col(good).isNotNull() & F.col(bad).isNotNull())
-    df = df.withColumn("comp_norm", minmax_norm(F.col(good), *keys)).withColumn("inv_var_norm", 1 - minmax_norm(F.col(bad), *keys))
+    df = scaled(scaled(df, keys, good, "comp_norm"), keys, bad, "inv_var_norm").withColumn("inv_var_norm", 1 - F.col("inv_var_norm"))
     return df.withColumn("score", w_good * F.col("comp_norm") + w_bad * F.col("inv_var_norm"))
 
 
@@ -87,21 +96,24 @@ def ranked(df: DataFrame, keys: Sequence[str], score: str, tie: str) -> DataFram
     return df.withColumn("rank", F.row_number().over(w)).withColumn("pct_rank", F.percent_rank().over(W.partitionBy(*keys).orderBy(F.col(score))))
 
 
-def pareto_front(df: DataFrame, x: str, y: str) -> DataFrame:
+def pareto_front(df: DataFrame, x: str, y: str, ranges: int = 64) -> DataFrame:
     """Rows that no other row dominates (both at least as large, one larger).
 
     A row is dominated if a row of larger x has y at least as large, or a row of
     the same x has a larger y.  So distinct x with their largest y are enough to
-    compare with: a running maximum from the largest x down.  Partial maxima over
-    ranges of x come first, so no task holds all rows.
+    compare with: a running maximum from the largest x down.  The x are cut into
+    ranges at approximate quantiles; a row of each range's maximum goes to all
+    tasks, and each range has a running maximum of its own.
     """
     tops = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x).agg(F.max(y).alias("top"))
-    parts = tops.repartitionByRange(x).withColumn("part", F.spark_partition_id())
-    ends = parts.groupBy("part").agg(F.max("top").alias("part_top"))  # a row a partition
-    later = ends.withColumn("beyond_part", F.max("part_top").over(W.orderBy(F.col("part").desc()).rowsBetween(W.unboundedPreceding, -1))).select("part", "beyond_part")
+    cuts = tops.agg(F.percentile_approx(x, [k / ranges for k in range(1, ranges)], 10_000).alias("__cuts"))  # one row
+    parts = tops.join(F.broadcast(cuts), F.lit(True)).withColumn("part", F.size(F.filter("__cuts", lambda c: c < F.col(x)))).drop("__cuts")
+    ends = parts.groupBy("part").agg(F.max("top").alias("part_top")).select(F.col("part").alias("beyond_part"), "part_top")  # a row a range
     own = F.max("top").over(W.partitionBy("part").orderBy(F.col(x).desc()).rowsBetween(W.unboundedPreceding, -1))
-    front = parts.withColumn("beyond", own).join(F.broadcast(later), "part")
-    beyond = F.greatest("beyond", "beyond_part")
+    later = F.broadcast(ends.agg(F.collect_list(F.struct("beyond_part", "part_top")).alias("__ends")))
+    front = parts.withColumn("beyond", own).join(later, F.lit(True))
+    after = F.array_max(F.transform(F.filter("__ends", lambda e: e["beyond_part"] > F.col("part")), lambda e: e["part_top"]))
+    beyond = F.greatest("beyond", after)
     front = front.where(beyond.isNull() | (F.col("top") > beyond)).select(F.col(x).alias("front_x"), F.col("top").alias("front_y"))
     return df.join(front, (df[x] == front["front_x"]) & (df[y] == front["front_y"]), "left_semi")
 

@@ -12,7 +12,7 @@ from echograin.functions import packets as pk
 from echograin.operators import classifiers, kernels, polarimetry, relational
 from echograin.operators import image_stats as st
 from echograin.operators import neighbourhoods as nb
-from echograin.plans.recipes import Context, Step, parse_params, run_step, run_steps
+from echograin.plans import recipes
 from echograin.sources import readers
 from echograin.streaming import windows
 
@@ -181,13 +181,88 @@ def test_entropy_alpha_of_one_scatterer(spark):
 
 
 def test_recipes(spark):
-    df = spark.createDataFrame([(2.0,), (0.0,)], "amplitude double")
-    ctx = Context(df)
-    out = run_steps(ctx, [Step("calibrate", {"band": "amplitude", "gain": 1.0, "out": "s"}, "cal"), Step("to_db", {"bands": ["s"]}), Step("subset", {"condition": "s > 0"})])
-    assert [round(r["s_db"], 4) for r in out.collect()] == [6.0206] and "cal" in ctx.saved
-    with pytest.raises(KeyError):
-        run_step(ctx, Step("nothing"))
-    assert parse_params(["a=True", "b=[1]", "c=x=y"]) == {"a": True, "b": [1], "c": "x=y"}
+    df = spark.createDataFrame([(1, 2.0), (2, 0.0)], "k int, amplitude double")
+    steps = recipes.from_json('[{"calibrate": {"band": "amplitude", "gain": 1.0, "out": "s"}}, {"put_aside": {"name": "cal"}}, {"to_db": {"bands": ["s"]}}, {"subset": {"condition": "s > 0"}}]')
+    assert [round(r["s_db"], 4) for r in recipes.run(df, steps).collect()] == [6.0206]
+    back = recipes.run(df, [*steps, recipes.take_up("cal"), recipes.stack(["more"], ["k"])], more=df.select("k", "amplitude"))
+    assert sorted((r["k"], r["s"], r["amplitude_more"]) for r in back.collect()) == [(1, 4.0, 2.0), (2, 0.0, 0.0)]
+    gamma = recipes.run(df.withColumn("angle", F.lit(45.0)), [recipes.calibrate("amplitude", 2.0, "g", "gamma0", "angle"), recipes.remove_noise("g", 0.25)])
+    assert [round(r["g"], 9) for r in gamma.orderBy("k").collect()] == [0.75, 0.0]
+    with pytest.raises(ValueError, match="no operator"):
+        recipes.from_json('[{"nothing": {}}]')
+    with pytest.raises(ValueError, match="one operator"):
+        recipes.from_json('["to_db"]')
+    with pytest.raises(LookupError):
+        recipes.run(df, [recipes.take_up("nothing")])
+    with pytest.raises(LookupError):
+        recipes.recipe("nothing")
+    assert recipes.recipe("S1TOPS") is recipes.RECIPES["tops"]
+
+
+def test_every_recipe_runs(spark):
+    """On tables of the bands that it names."""
+    rng = np.random.default_rng(5)
+    rows = [("t", "IW1", b, "VV", b * 20 + line, line, c, *map(float, rng.uniform(1, 2, 7))) for b in range(2) for line in range(20) for c in range(8)]
+    df = spark.createDataFrame(rows, "tile string, swath string, burst int, pol string, row int, line int, col int, amplitude double, hh double, hv double, vv double, i double, q double, z double")
+    looks = df.select("row", "col", F.explode(F.array(F.lit(1), F.lit(2))).alias("look"), "i", "q")
+    for name, steps in recipes.RECIPES.items():
+        assert recipes.run(df, steps, other=df, looks=looks).count() > 0, name
+
+
+def test_border_noise_and_flattening(spark):
+    df = spark.createDataFrame([("t", 0, c, 0.1, 2.0, 1.0) for c in range(10)] + [("t", 1, 3, 5.0, 0.0, 1.0)], "tile string, row int, col int, v double, lit double, flat double")
+    got = recipes.run(df, [recipes.trim_border_noise(["tile"], "row", "col", "v", 1.0, 2), recipes.flatten_terrain("v", "g", "lit", "flat")])
+    assert sorted((r["row"], r["col"], r["v"], r["g"]) for r in got.where("v is not null").collect()) == [*((0, c, 0.1, 0.05) for c in range(2, 8)), (1, 3, 5.0, None)]
+
+
+def test_products_by_their_names(spark):
+    names = ["/d/S1A_IW_SLC__1SDV.SAFE", "/d/S1B_S3_SLC_.zip", "S1C_EW_GRDM/", "/x/TSX1_SAR__SSC.xml", "TDX1_a.xml", "CSKS4_b.h5", "CSG_SSAR2_c.h5", "BIO_S1_d", "NISAR_L1_PR.h5", "/d/other.tif", None, "/d/a_b_tc.dim", "a.dim", "/d/x_y.z_tc.dim"]
+    got = spark.createDataFrame([(n,) for n in names], "p string").select(products.product_mode(F.col("p")).alias("m"), products.product_id(F.col("p")).alias("i")).collect()
+    assert [r["m"] for r in got] == ["S1TOPS", "S1STRIP", "S1TOPS", "TSX", "TSX", "CSG", "CSG", "BM", "NISAR", None, None, None, None, None]
+    assert [r["i"] for r in got] == [None] * 11 + ["a_b", None, "x_y.z"]
+
+
+def test_bursts_of_unequal_heights(spark):
+    from echograin.operators import product_ops as po
+
+    heights = {1: 10, 2: 14, 5: 12}  # burst 3 and 4 aren't there
+    rows = [("IW1", b, line, 100 * b + line) for b, h in heights.items() for line in range(h)]
+    got = sorted((r["line"], r["v"]) for r in po.debursted(spark.createDataFrame(rows, "swath string, burst int, line int, v int"), ["swath"], 4).collect())
+    assert got == [*((k, 100 + k) for k in range(8)), *((6 + k, 200 + k) for k in range(2, 12)), *((16 + k, 500 + k) for k in range(2, 12))]
+
+
+def test_looks_become_bands(spark):
+    from echograin.operators import product_ops as po
+
+    product = spark.createDataFrame([(0, 0, 1.0, 9.0), (0, 1, 2.0, 9.0)], "row int, col int, i double, i_SA2 double")
+    looks = spark.createDataFrame([(0, 0, 1, 3.0, 4.0), (0, 0, 2, 5.0, 6.0), (0, 1, 1, 7.0, 8.0)], "row int, col int, look int, i double, q double")
+    got = po.merge_iq(product, looks, ["row", "col"])
+    assert got.columns == ["row", "col", "i", "i_SA2", "i_SA1", "q_SA1", "q_SA2"]
+    assert sorted(map(tuple, got.collect())) == [(0, 0, 1.0, 9.0, 3.0, 4.0, 6.0), (0, 1, 2.0, 9.0, 7.0, 8.0, None)]
+    assert po.merge_iq(product, looks.limit(0), ["row", "col"]).columns == product.columns
+
+
+def test_scaled_groups(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0), ("a", 2.0), ("b", None), ("b", float("nan")), ("b", 4.0), ("b", 8.0)], "k string, v double")
+    got = [(r["k"], r["v"], r["s"]) for r in relational.scaled(df, ["k"], "v", "s").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(None, 1.0, 0.0), (None, 3.0, 1.0), ("a", 2.0, 1.0), ("a", 2.0, 1.0), ("b", None, None), ("b", float("nan"), float("nan")), ("b", 4.0, 0.0), ("b", 8.0, 1.0)]))
+    assert sorted(r["s"] for r in relational.scaled(df.where("k = 'b' and v > 0 and not isnan(v)"), [], "v", "s").collect()) == [0.0, 1.0]
+
+
+def test_utm_is_near_the_series_of_the_eccentricity(spark):
+    import math
+
+    def snyder(lat, lon):
+        e2, a, k0 = 0.00669437999014, 6378137.0, 0.9996
+        f, ep = math.radians(lat), e2 / (1 - e2)
+        n, t, c, x = a / math.sqrt(1 - e2 * math.sin(f) ** 2), math.tan(f) ** 2, ep * math.cos(f) ** 2, math.cos(f) * math.radians(lon - 9)
+        m = a * ((1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * f - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * math.sin(2 * f) + (15 * e2**2 / 256 + 45 * e2**3 / 1024) * math.sin(4 * f) - 35 * e2**3 / 3072 * math.sin(6 * f))
+        return 500000 + k0 * n * (x + (1 - t + c) * x**3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * x**5 / 120), k0 * (m + n * math.tan(f) * (x * x / 2 + (5 - t + 9 * c + 4 * c * c) * x**4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * x**6 / 720))
+
+    points = [(float(lat), lon) for lat in range(0, 80, 7) for lon in (6.1, 8.0, 9.0, 11.9)]
+    east, north = geo.utm_forward(F.col("lat"), F.col("lon"), F.lit(32))
+    for r in spark.createDataFrame(points, "lat double, lon double").select("lat", "lon", east.alias("e"), north.alias("n")).collect():
+        assert np.allclose((r["e"], r["n"]), snyder(r["lat"], r["lon"]), atol=0.05)
 
 
 def test_learners(spark):
@@ -235,8 +310,8 @@ def test_product_operators(spark):
     assert joined.count() == 56 and joined.agg(F.max("r")).first()[0] == 7
     spectra = spark.createDataFrame([([1.0, 0.1],), ([0.1, 1.0],)], "x array<double>")
     assert [r[0] for r in spectra.select(po.nearest_class(F.col("x"), {"red": [1.0, 0.0], "blue": [0.0, 1.0]})).collect()] == ["red", "blue"]
-    packets = spark.createDataFrame([("f", k, 0 if k != 3 else 1, 10 if k < 6 else 12) for k in range(9)], "path string, n int, kind int, quads int")
-    assert sorted((r["first"], r["last"], r["n"]) for r in po.echo_bursts(packets, "n", "kind", "quads").collect()) == [(0, 5, 5), (6, 8, 3)]
+    packets = spark.createDataFrame([("f", k, 0 if k != 3 else 1, 10 if k < 6 else 12) for k in range(9)], "path string, n int, kind int, quads int").withColumn("quads", F.when(F.col("n") == 6, 11).otherwise(F.col("quads")))
+    assert sorted((r["burst"], r["quads"], r["first"], r["last"], r["n"], r["offset"]) for r in po.echo_bursts(packets, "n", "kind", "quads").collect()) == [(0, 10, 0, 5, 5, 0), (1, 12, 7, 8, 2, 5)]
 
 
 def test_missing_bands(spark):
