@@ -16,6 +16,7 @@ from ..operators import neighbourhoods as nb
 from ..operators import polarimetry as po
 from ..operators import product_ops as ops
 from ..operators import relational as rl
+from ..operators import tile_checks as tc
 from .queries_signal import _RASTER, _raster
 from .register import query
 
@@ -372,3 +373,102 @@ def band_names(spark, d):
     meta = F.create_map(F.lit("PASS"), F.when(n == 0, "ascending").when(n == 1, " Descending").when(n == 3, "left").otherwise(" "))
     t = _table(spark, d, "events").select("event_id", pr.band_parts(band).alias("b"), pr.numeric_suffix(F.concat(F.lit("look"), (e % 7).cast("string"))).alias("suffix"), pr.pass_direction(meta).alias("pass"))
     return t.select("event_id", "b.component", "b.swath", "b.pol", "b.look", "suffix", "pass")
+
+
+# tiles: orders with their line items' flags as bands
+
+_TILES = """
+t AS (SELECT o_orderkey AS tile, o_orderkey % 11 = 0 AS bare, o_orderkey % 3 = 0 AS no_pass, o_orderkey % 5 = 0 AS blank_pass, o_custkey % 7 = 0 AS blank_note FROM orders),
+b AS (SELECT l_orderkey AS tile, l_returnflag AS band, max(l_quantity)::INT - 5 AS height, CASE WHEN l_returnflag = 'N' AND count(*) > 2 THEN 11 ELSE 10 END AS width, count(*) > 1 AS has_unit, l_returnflag = 'R' AND l_orderkey % 2 = 0 AS blank_class FROM lineitem GROUP BY l_orderkey, l_returnflag)"""
+
+
+def _tiles(spark, d) -> tuple[DataFrame, DataFrame]:
+    k, text = F.col("o_orderkey"), lambda v: F.lit(v).cast("string")
+    entries = F.array(
+        F.struct(F.lit("MISSION").alias("key"), text("SAR").alias("value")), F.struct(F.lit("PRODUCT").alias("key"), text("SLC").alias("value")),
+        F.when(k % 3 != 0, F.struct(F.lit("PASS").alias("key"), F.when(k % 5 == 0, " ").otherwise("ASC").alias("value"))), F.struct(F.lit("NOTE").alias("key"), F.when(F.col("o_custkey") % 7 != 0, "x").alias("value")),
+    )
+    tiles = _table(spark, d, "orders").select(k.alias("tile"), F.when(k % 11 != 0, F.map_from_entries(F.filter(entries, lambda e: e.isNotNull()))).alias("metadata"))
+    b = _table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("tile"), F.col("l_returnflag").alias("band")).agg((F.max("l_quantity").cast("int") - 5).alias("height"), F.count("*").alias("n"))
+    attrs = F.map_from_entries(F.filter(F.array(F.struct(F.lit("CLASS").alias("key"), F.when((F.col("band") == "R") & (F.col("tile") % 2 == 0), " ").otherwise("amplitude").alias("value")), F.when(F.col("n") > 1, F.struct(F.lit("unit").alias("key"), F.lit("1").alias("value")))), lambda e: e.isNotNull()))
+    return tiles, b.select("tile", "band", "height", F.when((F.col("band") == "N") & (F.col("n") > 2), 11).otherwise(10).alias("width"), attrs.alias("attrs"))
+
+
+@query("tile_validation", f"""
+WITH {_TILES},
+i AS (SELECT tile, band, height, width, NOT has_unit OR blank_class OR height <= 0 AS failing, band || ': ' || array_to_string(list_filter([CASE WHEN NOT has_unit THEN 'without unit' END, CASE WHEN blank_class THEN 'blank CLASS' END, CASE WHEN height <= 0 THEN 'shape ' || height || ' x ' || width END], lambda x: x IS NOT NULL), '; ') AS line FROM b),
+g AS (SELECT tile, list_sort(list(band)) AS bands, string_agg(CASE WHEN failing THEN line END, '|' ORDER BY line) AS issues, count(DISTINCT (height, width)) AS shapes FROM i GROUP BY tile),
+r AS (SELECT t.tile, array_to_string(list_filter(['A', 'R', 'X'], lambda x: NOT list_contains(coalesce(bands, []), x)), ',') AS missing_bands, array_to_string(list_filter(coalesce(bands, []), lambda x: x NOT IN ('A', 'R', 'X')), ',') AS extra_bands, coalesce(issues, '') AS issues, coalesce(shapes, 0) > 1 AS shapes_differ,
+      bare AS no_metadata, CASE WHEN bare THEN '' ELSE array_to_string(list_filter([CASE WHEN blank_note THEN 'NOTE' END, CASE WHEN blank_pass AND NOT no_pass THEN 'PASS' END], lambda x: x IS NOT NULL), ',') END AS blank_metadata,
+      CASE WHEN bare THEN 'MISSION,PASS' WHEN no_pass THEN 'PASS' ELSE '' END AS missing_core, CASE WHEN NOT bare AND blank_pass AND NOT no_pass THEN 'PASS' ELSE '' END AS blank_core FROM t LEFT JOIN g USING (tile))
+SELECT *, missing_bands = '' AND extra_bands = '' AS bands_ok, NOT no_metadata AND blank_metadata = '' AND missing_core = '' AS metadata_ok, issues = '' AND NOT shapes_differ AS band_attrs_ok,
+       CASE WHEN missing_bands = '' AND extra_bands = '' AND NOT no_metadata AND blank_metadata = '' AND missing_core = '' AND issues = '' AND NOT shapes_differ THEN 'success' ELSE 'failed' END AS status FROM r""")
+def tile_validation(spark, d):
+    tiles, bands = _tiles(spark, d)
+    v = tc.validated_tiles(tiles, bands, ["A", "R", "X"], ("MISSION", "PASS"), ("CLASS", "unit"))
+    lists = ("missing_bands", "extra_bands", "blank_metadata", "missing_core", "blank_core")
+    return v.select("tile", *[F.array_join(c, ",").alias(c) for c in lists], F.array_join("band_issues", "|").alias("issues"), "shapes_differ", "no_metadata", "bands_ok", "metadata_ok", "band_attrs_ok", "status")
+
+
+@query("tile_structure", """
+WITH r AS (SELECT o_orderkey AS tile, CASE WHEN o_orderstatus = 'F' THEN 'success' ELSE 'partial' END AS status FROM orders), p AS (SELECT DISTINCT l_orderkey AS tile, 'array:' || l_returnflag || l_linestatus AS path FROM lineitem), a AS (SELECT DISTINCT path FROM p),
+m AS (SELECT r.tile, string_agg(a.path, ',' ORDER BY a.path) AS missing FROM r CROSS JOIN a WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.tile = r.tile AND p.path = a.path) GROUP BY r.tile)
+SELECT tile, coalesce(missing, '') AS missing, missing IS NULL AS structure_ok, CASE WHEN missing IS NULL THEN status ELSE 'failed' END AS status FROM r LEFT JOIN m USING (tile)""")
+def tile_structure(spark, d):
+    r = _table(spark, d, "orders").select(F.col("o_orderkey").alias("tile"), F.when(F.col("o_orderstatus") == "F", "success").otherwise("partial").alias("status"))
+    p = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("tile"), F.lit("array").alias("kind"), F.concat("l_returnflag", "l_linestatus").alias("path")).distinct()
+    return tc.structure_checked(r, p).select("tile", F.array_join("missing_paths", ",").alias("missing"), "structure_ok", "status")
+
+
+@query("tile_geometry", """
+WITH p AS (SELECT event_id, floor(value)::DOUBLE AS a, (event_id % 50)::DOUBLE AS b FROM events)
+SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN 'POLYGON ((' || b || ' ' || a || ', ' || (b + 1) || ' ' || a || ', ' || (b + 1) || ' ' || (a - 1) || ', ' || b || ' ' || (a - 1) || ', ' || b || ' ' || a || '))' END AS ring, b + 0.5 AS centre_lon, a - 0.5 AS centre_lat,
+       'POLYGON ((' || b || ' ' || a || ', ' || (b + 2) || ' ' || a || ', ' || (b + 2) || ' ' || (a - 2) || ', ' || b || ' ' || (a - 2) || ', ' || b || ' ' || a || '))' AS cell,
+       CASE WHEN event_id % 3 = 0 THEN 'POINT (0 0)' WHEN event_id % 4 <> 0 THEN 'POLYGON ((' || b || ' ' || a || ', ' || (b + 1) || ' ' || a || ', ' || (b + 1) || ' ' || (a - 1) || ', ' || b || ' ' || (a - 1) || ', ' || b || ' ' || a || '))' END AS wkt,
+       CASE WHEN event_id % 4 = 0 THEN 'failed' WHEN event_id % 5 = 0 THEN 'partial' ELSE 'success' END AS status FROM p""")
+def tile_geometry(spark, d):
+    e, a, b = F.col("event_id"), F.floor("value").cast("double"), (F.col("event_id") % 50).cast("double")
+    at = {"first_near_lat": a, "first_near_long": b, "first_far_lat": a, "first_far_lon": b + 1, "last_far_lat": a - 1, "last_far_long": b + 1, "last_near_lat": F.when(e % 4 != 0, a - 1), "last_near_long": b, "centre_lat": F.lit("none"), "center_lat": a - 0.5, "center_lon": b + 0.5}
+    meta = F.create_map(*[x for k, v in at.items() for x in (F.lit(k), v.cast("string"))])
+    point = lambda x, y: F.struct(x.alias("lon"), y.alias("lat"))
+    cell = F.struct(point(b, a).alias("TL"), point(b + 2, a).alias("TR"), point(b + 2, a - 2).alias("BR"), point(b, a - 2).alias("BL"))
+    t = _table(spark, d, "events").select("event_id", meta.alias("m"), cell.alias("cell"))
+    m = F.col("m")
+    return t.select(
+        "event_id", geo.wkt_of_ring(tc.tile_ring(m)).alias("ring"), tc.tile_centre(m)["lon"].alias("centre_lon"), tc.tile_centre(m)["lat"].alias("centre_lat"), geo.wkt_of_ring(tc.rectangle_ring(F.col("cell"))).alias("cell"),
+        tc.product_wkt(F.when(e % 3 == 0, " POINT (0 0) ").otherwise(" "), tc.tile_ring(m)).alias("wkt"), tc.quality_status(F.lit(10), F.when(e % 4 == 0, 0).otherwise(5), F.when(e % 5 == 0, 1).otherwise(0)).alias("status"),
+    )
+
+
+@query("tile_database", """
+SELECT o_orderkey AS "ID", CASE WHEN o_orderkey % 2 = 0 THEN 'IW1' END AS "SWATH", 'SAR' AS "MISSION", strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%fZ') AS first_line_time FROM orders WHERE o_orderkey % 2 = 0
+UNION ALL SELECT o_orderkey, NULL, 'SAR', strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%fZ') FROM orders WHERE o_orderkey % 2 <> 0""")
+def tile_database(spark, d):
+    meta = F.create_map(F.lit("MISSION"), F.lit("SAR"), F.lit("first_line_time"), F.upper(F.date_format("o_orderdate", "dd-MMM-yyyy HH:mm:ss.SSSSSS")))
+    o = _table(spark, d, "orders").select(F.col("o_orderkey").alias("tile"), meta.alias("metadata"))
+    keys, even = ("MISSION", "first_line_time"), F.col("tile") % 2 == 0
+    return tc.merged_rows(tc.core_rows(o.where(even).withColumn("swath", F.lit("IW1")), keys), tc.core_rows(o.where(~even), keys))
+
+
+@query("product_variants", """
+SELECT event_id, ['SSC', 'MGD', 'GEC', 'EEC', NULL][(event_id % 5 + 1)::INT] AS variant, CASE WHEN event_id % 5 <> 4 THEN ['SSC', 'MGD', 'GEC', 'EEC'][(event_id % 5 + 1)::INT] || '_RE' END AS product_type, event_id % 5 IN (2, 3) OR event_id % 7 = 0 AS geocoded,
+       event_id % 5 = 0 OR event_id % 4 = 1 AS complex_, event_id % 5 IN (1, 2, 3) OR event_id % 4 = 2 AS detected, CASE WHEN event_id % 2 = 0 THEN 'TSX-1' END AS mission FROM events""")
+def product_variants(spark, d):
+    e = F.col("event_id")
+    kind = F.get(F.array(*[F.lit(k) for k in ("ssc_re", "MGD_RE", "gec_RE", "EEC_re", " ")]), (e % 5).cast("int"))
+    leaves = F.create_map(F.lit("productType"), kind, F.lit("projection"), F.when(e % 7 == 0, "map"), F.lit("imageDataType"), F.when(e % 4 == 1, "COMPLEX").when(e % 4 == 2, "detected"), F.lit("mission"), F.lit(""), F.lit("platform"), F.when(e % 2 == 0, "tsx-1"))
+    m = _table(spark, d, "events").select("event_id", tc.terrasar_metadata(leaves).alias("m"))
+    return m.select("event_id", "m.variant", "m.product_type", tc.is_geocoded(F.col("m")).alias("geocoded"), tc.is_complex(F.col("m")).alias("complex_"), tc.is_detected(F.col("m")).alias("detected"), "m.mission")
+
+
+@query("looks_to_bands", """
+SELECT l_orderkey, l_linenumber, n, any_value(l_quantity) AS i, max(CASE WHEN look = 1 THEN l_discount END) AS "i_SA1", max(CASE WHEN look = 2 THEN l_discount * 2 END) AS "i_SA2", max(CASE WHEN look = 1 THEN l_tax END) AS "q_SA1", max(CASE WHEN look = 2 THEN l_tax * 2 END) AS "q_SA2"
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem) t, (SELECT unnest([1, 2]) AS look) k GROUP BY 1, 2, 3""")
+def looks_to_bands(spark, d):
+    from pyspark.sql import Window as W
+
+    n = F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice"))
+    t = _table(spark, d, "lineitem").withColumn("n", n)
+    keys = ["l_orderkey", "l_linenumber", "n"]
+    looks = t.withColumn("look", F.explode(F.array(F.lit(1), F.lit(2)))).select(*keys, "look", (F.col("l_discount") * F.col("look")).alias("i"), (F.col("l_tax") * F.col("look")).alias("q"))
+    return ops.merge_iq(t.select(*keys, F.col("l_quantity").alias("i")), looks, keys)
