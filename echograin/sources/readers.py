@@ -106,8 +106,8 @@ def read_packets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tile_payloads(cells: DataFrame, tile: str, writer: str = "npz") -> DataFrame:
-    """(tile, payload): each tile's bands as one npz, npy or json document.  A tile is bounded by the grid; its cells meet in one task."""
-    if writer not in ("npz", "npy", "json"):
+    """(tile, payload): each tile's bands as one npz, npy, json or GeoTIFF document.  A tile is bounded by the grid; its cells meet in one task."""
+    if writer not in ("npz", "npy", "json", "geotiff"):
         raise ValueError(f"no such tile writer: {writer}")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -121,6 +121,10 @@ def tile_payloads(cells: DataFrame, tile: str, writer: str = "npz") -> DataFrame
             np.savez(out, **arrays)
         elif writer == "npy":
             np.save(out, np.stack([arrays[b] for b in sorted(arrays)]))
+        elif writer == "geotiff":
+            from .grids import geotiff_bytes
+
+            out.write(geotiff_bytes([arrays[b] for b in sorted(arrays)]))
         else:
             out.write(json.dumps({b: a.tolist() for b, a in sorted(arrays.items())}).encode())
         return pd.DataFrame({tile: [pdf[tile].iloc[0]], "payload": [out.getvalue()]})
@@ -133,13 +137,32 @@ def write_tiles(cells: DataFrame, path: str, tile: str = "tile") -> None:
     cells.write.partitionBy(tile).mode("overwrite").parquet(path)
 
 
-UNAVAILABLE = {"hdf5": "h5py", "zarr": "zarr", "geotiff": "rasterio"}
+#: Names of tile formats and their endings; the others need libraries.
+TILE_FORMATS = {"npz": ".npz", "npy": ".npy", "json": ".json", "geotiff": ".tif"}
+_ALIASES = {"numpy": "npy", "tif": "geotiff", "tiff": "geotiff", "gtiff": "geotiff", "hdf5": "h5"}
+UNAVAILABLE = {"h5": "h5py"}
 
 
-def require_format(name: str) -> None:
-    """Formats whose libraries aren't part of this engine are named errors, not silence."""
-    if name in UNAVAILABLE:
+def tile_format(name: str | None) -> str:
+    """The format that a name stands for, npz without one; a format whose library isn't part of this engine is an error."""
+    plain = (name or "npz").strip().lower().lstrip(".")
+    found = _ALIASES.get(plain, plain)
+    if found in UNAVAILABLE:
         try:
-            __import__(UNAVAILABLE[name])
+            __import__(UNAVAILABLE[found])
         except ImportError:
-            raise NotImplementedError(f"{name} needs the library {UNAVAILABLE[name]}, which isn't installed; Parquet, npz and ENVI work without it") from None
+            raise NotImplementedError(f"{found} needs the library {UNAVAILABLE[found]}, which isn't installed; {', '.join(TILE_FORMATS)} and Parquet work without it") from None
+    if found not in TILE_FORMATS:
+        raise ValueError(f"no such tile format: {name}; there are {', '.join(TILE_FORMATS)}")
+    return found
+
+
+def tile_path(folder: str, tile, writer: str | None = None):
+    """Column of the path of a tile's file."""
+    return F.concat(F.lit(folder.rstrip("/") + "/"), tile, F.lit(TILE_FORMATS[tile_format(writer)]))
+
+
+def find_raw_files(spark: SparkSession, folder: str, pol: str) -> DataFrame:
+    """Paths of the .dat files of a polarisation anywhere under a folder: the second last letters group of their names."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.dat").load(folder).select("path")
+    return files.where(F.lower(F.element_at(F.split("path", "/"), -1)).rlike(rf"(^|[^a-z]){re.escape(pol.lower())}([^a-z]|$)"))

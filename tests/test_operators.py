@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from echograin.functions import geo, products
 from echograin.functions import packets as pk
 from echograin.operators import classifiers, kernels, polarimetry, relational
+from echograin.operators import tile_checks as tc
 from echograin.operators import image_stats as st
 from echograin.operators import neighbourhoods as nb
 from echograin.plans import recipes
-from echograin.sources import readers
+from echograin.sources import grids, readers
 from echograin.streaming import windows
 
 
@@ -133,7 +134,138 @@ def test_raster_files_round_trip(spark, tmp_path):
     (tmp_path / "x.npz").write_bytes(payload)
     assert np.array_equal(_band(readers.read_npz(spark, str(tmp_path / "x.npz")), a.shape), a)
     with pytest.raises(NotImplementedError):
-        readers.require_format("hdf5")
+        readers.tile_format("hdf5")
+    with pytest.raises(ValueError, match="no such"):
+        readers.tile_format("png")
+    assert readers.tile_format(None) == "npz" and readers.tile_format(" TIFF") == "geotiff"
+    assert spark.range(1).select(readers.tile_path("/a/", F.lit("t1"), "tif")).first()[0] == "/a/t1.tif"
+
+
+@pytest.mark.parametrize("codec", [None, "zlib", "gzip"])
+@pytest.mark.parametrize("order", ["C", "F"])
+def test_zarr_chunks(spark, tmp_path, codec, order):
+    import gzip
+    import json
+    import zlib
+
+    a = (np.arange(7 * 9).reshape(7, 9) * 1.5).astype("<f4")
+    (tmp_path / "z").mkdir()
+    about = {"zarr_format": 2, "shape": [7, 9], "chunks": [4, 5], "dtype": "<f4", "fill_value": 0, "order": order, "filters": None, "compressor": codec and {"id": codec, "level": 1}}
+    (tmp_path / "z" / ".zarray").write_text(json.dumps(about))
+    (tmp_path / "z" / ".zattrs").write_text('{"unit": "1"}')
+    for i in range(2):
+        for j in range(2):
+            chunk = np.zeros((4, 5), "<f4")
+            part = a[4 * i : 4 * i + 4, 5 * j : 5 * j + 5]
+            chunk[: part.shape[0], : part.shape[1]] = part
+            raw = chunk.tobytes(order)
+            if (i, j) != (1, 0):  # a chunk that isn't there
+                (tmp_path / "z" / f"{i}.{j}").write_bytes({None: lambda x: x, "zlib": zlib.compress, "gzip": gzip.compress}[codec](raw))
+    a[4:, :5] = 0
+    got = grids.read_zarr(spark, str(tmp_path / "z"))
+    assert np.array_equal(_band(got, a.shape), a)
+    assert grids.zarr_attributes(spark, str(tmp_path / "z")) == {"unit": "1"}
+    about["compressor"] = {"id": "blosc"}
+    (tmp_path / "z" / ".zarray").write_text(json.dumps(about))
+    with pytest.raises(NotImplementedError, match="blosc"):
+        grids.read_zarr(spark, str(tmp_path / "z"))
+
+
+def test_geotiff_files(spark, tmp_path):
+    a, b = np.random.default_rng(1).normal(size=(2, 11, 6)).astype("float32")
+    (tmp_path / "x.tif").write_bytes(grids.geotiff_bytes([a, b], (500000.0, 4100000.0), (10.0, 10.0)))
+    got = grids.read_geotiff(spark, str(tmp_path / "x.tif"))
+    for name, want in (("band_1", a), ("band_2", b)):
+        assert np.array_equal(_band(got.where(F.col("band") == name), want.shape), want)
+    assert grids.geotiff_info(spark, str(tmp_path / "x.tif")).first()[1:] == (11, 6, 2, 500000.0, 4100000.0, 10.0, -10.0)
+    assert grids.geotiff_info(spark, str(tmp_path / "x.tif")).first()[0].endswith("x.tif")
+    cells = spark.createDataFrame([("t", "B", i, j, float(a[i, j])) for i in range(11) for j in range(6)], "tile string, band string, row int, col int, value double")
+    (tmp_path / "y.tif").write_bytes(bytes(readers.tile_payloads(cells, "tile", "geotiff").first()["payload"]))
+    assert np.array_equal(_band(grids.read_geotiff(spark, str(tmp_path / "y.tif")), a.shape), a)
+
+
+def test_tiff_tiles_predictor_and_byte_order():
+    """Big-endian tiles of 16-bit samples side by side, deflated after horizontal differences."""
+    import zlib
+
+    a = np.random.default_rng(2).integers(0, 60000, (5, 7, 2)).astype(">u2")
+    padded = np.zeros((8, 8, 2), ">u2")
+    padded[:5, :7] = a
+    blocks = []
+    for i in (0, 4):
+        for j in (0, 4):
+            t = padded[i : i + 4, j : j + 4].astype("u2")
+            blocks.append(zlib.compress(np.diff(t, axis=1, prepend=np.zeros((4, 1, 2), "u2")).astype(">u2").tobytes()))
+    entries = [(256, 3, (7,)), (257, 3, (5,)), (258, 3, (16, 16)), (259, 3, (8,)), (277, 3, (2,)), (317, 3, (2,)), (322, 3, (4,)), (323, 3, (4,)), (324, 4, None), (325, 4, tuple(map(len, blocks))), (339, 3, (1, 1))]
+    start = 8 + 2 + 12 * len(entries) + 4
+    at = start + 32
+    places = []
+    for x in blocks:
+        places.append(at)
+        at += len(x)
+    out, extra = struct.pack(">2sHIH", b"MM", 42, 8, len(entries)), b""
+    for tag, kind, v in entries:
+        v = tuple(places) if v is None else v
+        raw = struct.pack(f">{len(v)}{'H' if kind == 3 else 'I'}", *v)
+        out += struct.pack(">HHI", tag, kind, len(v)) + (raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack(">I", start + len(extra)))
+        extra += raw if len(raw) > 4 else b""
+    content = out + b"\0" * 4 + extra.ljust(32, b"\0") + b"".join(blocks)
+    got = np.zeros((5, 7, 2))
+    for band, r, c, x in grids.tiff_blocks(content):
+        got[r : r + x.shape[0], c : c + x.shape[1], band] = x
+    assert np.array_equal(got, a)
+    with pytest.raises(ValueError, match="not a TIFF"):
+        grids.tiff_tags(b"nothing")
+
+
+def test_parts_of_arrays(spark):
+    a = np.arange(80.0).reshape(8, 10)
+    cells = raster(spark, a).withColumnsRenamed({"r": "row", "c": "col", "v": "value"})
+    dense = lambda df, shape: as_array(df.withColumnsRenamed({"row": "r", "col": "c", "value": "v"}), shape, "v")
+    assert np.array_equal(dense(grids.array_slice(cells, (1, 8, 3), (2, 9, 2)), (3, 4)), a[1:8:3, 2:9:2])
+    assert np.array_equal(dense(grids.array_without(cells, (2, 5), [0, 3, 9]), (5, 7)), np.delete(np.delete(a, range(2, 5), 0), [0, 3, 9], 1))
+    assert grids.array_block(cells, 8, 3, 2).agg(F.min("row"), F.max("row")).first()[:] == (4, 7)
+    assert grids.array_info(cells, ["tile"]).first()[:] == (0, 8, 10, 80)
+    box = grids.cut_by_box(cells, (23.0, 71.0, 48.0, 88.0), 0.0, 100.0, 10.0, -10.0)
+    assert box.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()[:] == (1, 2, 2, 4)
+    cut = grids.cut_by_ring(cells, [(15.0, 95.0), (45.0, 95.0), (45.0, 55.0), (15.0, 55.0)], 0.0, 100.0, 10.0, -10.0).where("not isnan(value)")
+    assert {(r["row"], r["col"]) for r in cut.collect()} == {(r, c) for r in (1, 2, 3, 4) for c in (2, 3, 4)}
+
+
+def test_raw_files_by_polarisation(spark, tmp_path):
+    for name in ("a/x-vv-1.dat", "a/b/y-vh-2.dat", "a/b/z-vv-3.dat", "a/vv.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"1")
+    got = readers.find_raw_files(spark, str(tmp_path / "a"), "VV").collect()
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in got) == ["x-vv-1.dat", "z-vv-3.dat"]
+
+
+def test_tiles_of_the_fixture(spark):
+    """A tile with a missing band, blank attributes and another shape; quality and structure of groups."""
+    meta = {k: "x" for k in products.CORE_KEYS}
+    tiles = spark.createDataFrame([("a", meta), ("b", {**meta, "quality_flag": " "}), ("c", None), ("d", {k: v for k, v in meta.items() if k != "PASS"})], "tile string, metadata map<string,string>")
+    full = dict.fromkeys(tc.BAND_ATTRIBUTES, "1")
+    bands = [(t, n, 2, 2, full) for t in "acd" for n in ("Band_A", "Band_B")] + [("b", "Band_A", 2, 2, {**full, "unit": ""}), ("b", "Band_C", 3, 0, {k: v for k, v in full.items() if k != "CLASS"})]
+    got = {r["tile"]: r for r in tc.validated_tiles(tiles, spark.createDataFrame(bands, "tile string, band string, height int, width int, attrs map<string,string>"), ["Band_A", "Band_B"]).collect()}
+    assert got["a"]["status"] == "success" and got["a"]["bands"] == ["Band_A", "Band_B"]
+    b = got["b"]
+    assert (b["missing_bands"], b["extra_bands"], b["blank_metadata"], b["shapes_differ"], b["status"]) == (["Band_B"], ["Band_C"], ["quality_flag"], True, "failed")
+    assert b["band_issues"] == ["Band_A: blank unit", "Band_C: without CLASS; shape 3 x 0"]
+    assert got["c"]["no_metadata"] and got["c"]["bands_ok"] and not got["c"]["metadata_ok"] and len(got["c"]["missing_core"]) == len(products.CORE_KEYS)
+    assert got["d"]["missing_core"] == ["PASS"] and got["d"]["status"] == "failed"
+    empty = tc.validated_tiles(tiles.limit(0), spark.createDataFrame([], "tile string, band string, height int, width int, attrs map<string,string>"), ["Band_A"])
+    assert empty.count() == 0
+    status = spark.createDataFrame([(4, 1, 3), (4, 4, 0), (4, 0, 4), (0, 0, 0)], "t int, v int, n int").select(tc.quality_status(F.col("t"), F.col("v"), F.col("n")))
+    assert [r[0] for r in status.collect()] == ["partial", "success", "failed", "failed"]
+
+
+def test_tile_databases(spark, tmp_path):
+    results = spark.createDataFrame([("a", "IW1", {"MISSION": "S", "first_line_time": "02-MAR-2025 10:00:00.5"}), ("b", None, None)], "tile string, swath string, metadata map<string,string>")
+    rows = tc.core_rows(results)
+    path = tc.write_tile_database(tc.merged_rows(rows, rows.drop("SWATH").where("ID = 'a'")), str(tmp_path), "product")
+    assert path.endswith("product_core_metadata.parquet")
+    got = spark.read.parquet(path).orderBy("ID", "SWATH").select("ID", "SWATH", "MISSION", "first_line_time").collect()
+    assert [tuple(r) for r in got] == [("a", None, "S", "2025-03-02T10:00:00.500000Z"), ("a", "IW1", "S", "2025-03-02T10:00:00.500000Z"), ("b", None, None, None)]
 
 
 def _band(df, shape):
