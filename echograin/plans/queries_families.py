@@ -10,6 +10,7 @@ from ..functions import geo
 from ..functions import packets as pk
 from ..functions import products as pr
 from ..operators import focus as fo
+from ..operators import focusing as fg
 from ..operators import image_stats as st
 from ..operators import kernels as kn
 from ..operators import neighbourhoods as nb
@@ -472,3 +473,58 @@ def looks_to_bands(spark, d):
     keys = ["l_orderkey", "l_linenumber", "n"]
     looks = t.withColumn("look", F.explode(F.array(F.lit(1), F.lit(2)))).select(*keys, "look", (F.col("l_discount") * F.col("look")).alias("i"), (F.col("l_tax") * F.col("look")).alias("q"))
     return ops.merge_iq(t.select(*keys, F.col("l_quantity").alias("i")), looks, keys)
+
+
+# spectra of rasters: each row a frequency
+
+
+@query("spectral_support", f"""
+WITH p AS (SELECT tile, r, avg(v * v + (c / 50) * (c / 50)) * CASE WHEN r % 40 BETWEEN 10 AND 27 THEN 1 ELSE 1e-4 END AS power FROM {_RASTER} GROUP BY tile, r),
+s AS (SELECT tile, r, sum(power) OVER (PARTITION BY tile ORDER BY r ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3 AS power FROM p),
+t AS (SELECT tile, max(power) AS top, arg_max(r, power) AS peak, min(r) AS lo, max(r) AS hi FROM s GROUP BY tile),
+e AS (SELECT s.tile, any_value(peak) AS peak, coalesce(max(CASE WHEN power < top * 10 ** (-2.5) AND r < peak THEN r END) + 1, any_value(lo)) AS start, coalesce(min(CASE WHEN power < top * 10 ** (-2.5) AND r > peak THEN r END), any_value(hi) + 1) AS stop FROM s JOIN t USING (tile) GROUP BY s.tile),
+m AS (SELECT tile, arg_max(r, power) AS centre FROM s WHERE r >= 4 AND r < 36 GROUP BY tile)
+SELECT tile, start, start + (stop - start) - (stop - start) % 2 AS stop, peak, centre FROM e JOIN m USING (tile)""")
+def spectral_support(spark, d):
+    r = _raster(spark, d).select("tile", "r", F.col("v").alias("re"), (F.col("c") / 50).alias("im"))
+    p = fg.spectral_profile(r, ["tile"], "r", "re", "im").withColumn("power", F.col("power") * F.when((F.col("r") % 40).between(10, 27), 1.0).otherwise(1e-4))
+    p = fg.smoothed_profile(p, ["tile"], "r", 2)
+    return fg.spectral_support(p, ["tile"], "r").join(fg.central_bin(p, ["tile"], "r", 40), "tile")
+
+
+@query("image_passes", f"""
+WITH p AS (SELECT *, max(r) OVER (PARTITION BY tile) + 1 AS h FROM {_RASTER}),
+x AS (SELECT tile, r, k, sum(v * cos(2 * pi() * k * c / 50)) AS re FROM p, (SELECT unnest(range(0, 50)) AS k) t GROUP BY tile, r, k),
+y AS (SELECT tile, j, c, sum(v * cos(2 * pi() * j * r / h)) AS re FROM p, (SELECT unnest(range(0, 40)) AS j) t WHERE j < h GROUP BY tile, j, c)
+SELECT x.tile, x.r::INT AS r, x.k::INT AS c, round(x.re, 5) + 0.0 AS along_range, round(y.re, 5) + 0.0 AS along_azimuth FROM x JOIN y ON y.tile = x.tile AND y.j = x.r AND y.c = x.k""")
+def image_passes(spark, d):
+    r = _raster(spark, d).select("tile", "r", "c", F.col("v").alias("re"), F.lit(0.0).alias("im"))
+    a, b = fg.range_pass(r, ["tile"], "r", "c", "re", "im"), fg.azimuth_pass(r, ["tile"], "r", "c", "re", "im")
+    return a.select("tile", "r", "c", _zero(F.col("re"), 5).alias("along_range")).join(b.select("tile", "r", "c", _zero(F.col("re"), 5).alias("along_azimuth")), ["tile", "r", "c"])
+
+
+@query("image_margins", f"""
+WITH m AS (SELECT tile, max(r) + 1 AS h FROM {_RASTER} GROUP BY tile), g AS (SELECT tile, a.r, b.c FROM m, (SELECT unnest(range(0, 45)) AS r) a, (SELECT unnest(range(0, 57)) AS c) b WHERE a.r < 45)
+SELECT g.tile, g.r::INT AS r, g.c::INT AS c, round(coalesce(p.v, 0.0), 6) AS re, g.r >= 2 AND g.r < 42 AND g.c >= 3 AND g.c < 53 AS inside FROM g LEFT JOIN {_RASTER} p ON p.tile = g.tile AND p.r = g.r - 2 AND p.c = g.c - 3
+WHERE p.v IS NOT NULL OR NOT (g.r >= 2 AND g.r < 42 AND g.c >= 3 AND g.c < 53)""")
+def image_margins(spark, d):
+    """Zeros around an image; what trimming takes away again is not inside."""
+    r = _raster(spark, d).select("tile", "r", "c", F.col("v").alias("re"), F.lit(0.0).alias("im"))
+    p = fg.padded(r, ["tile"], "r", "c", "re", "im", 40, 50, left=3, right=4, top=2, bottom=3)
+    kept = fg.trimmed(p, "r", "c", 45, 57, left=3, right=4, top=2, bottom=3).select("tile", (F.col("r") + 2).alias("r"), (F.col("c") + 3).alias("c"), F.lit(True).alias("inside"))
+    return p.join(kept, ["tile", "r", "c"], "left").select("tile", "r", "c", _r(F.col("re")).alias("re"), F.coalesce("inside", F.lit(False)).alias("inside"))
+
+
+@query("convolution_2d", f"""
+WITH k(i, j, w) AS (VALUES (-1, -1, 0.5), (-1, 0, 1.0), (-1, 1, -1.0), (0, -1, 2.0), (0, 0, 3.0), (0, 1, 0.25), (1, -1, 0.0), (1, 0, -2.0), (1, 1, 1.5))
+SELECT p.tile, p.r, p.c, round(sum(q.v * w), 6) + 0.0 AS v FROM {_RASTER} p, k, {_RASTER} q WHERE q.tile = p.tile AND q.r = p.r - k.i AND q.c = p.c - k.j GROUP BY 1, 2, 3""")
+def convolution_2d(spark, d):
+    return fg.convolved_2d(_raster(spark, d), ["tile"], "r", "c", "v", [[0.5, 1.0, -1.0], [2.0, 3.0, 0.25], [0.0, -2.0, 1.5]]).select("tile", "r", "c", _zero(F.col("v")).alias("v"))
+
+
+@query("bins_and_looks", """
+SELECT event_id, round(CASE WHEN k < 32 THEN k ELSE k - 63 END * 100.0 / 63, 6) AS hz, (k + 31) % 63 AS centred, ((k - 20 + 31) % 63 + 63) % 63 AS rolled, CASE WHEN k >= 8 AND k < 56 THEN (k - 8) * 3 // 48 END::INT AS look FROM (SELECT event_id, event_id % 63 AS k FROM events) t""")
+def bins_and_looks(spark, d):
+    e = _table(spark, d, "events").select("event_id", (F.col("event_id") % 63).alias("k")).withColumn("rolled", F.col("k"))
+    k = F.col("k")
+    return fg.rolled_to(e, "rolled", 63, F.lit(20)).select("event_id", _r(fg.frequency(k, 63, 100.0)).alias("hz"), fg.centred_bin(k, 63).alias("centred"), "rolled", fg.look_of_bin(k, F.lit(8), F.lit(56), 3).alias("look"))

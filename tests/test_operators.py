@@ -69,6 +69,43 @@ def test_compression_peaks_at_the_echo(spark):
     assert np.argmax(np.hypot(z["re"], z["im"])) == 100
 
 
+def test_a_point_is_focused(spark):
+    """Echoes of one point, with its range migration, come together in one pixel."""
+    from echograin.operators import focusing
+
+    height, width, fs, prf, wave, v, near = 128, 128, 20e6, 300.0, 0.03, 100.0, 5000.0
+    c = 299792458.0
+    replica = kernels.chirp(2e-6, 5e12, -5e6, fs)
+    at_row, at_col = 64, 50
+    r0 = near + at_col * c / (2 * fs)
+    raw = np.zeros((height, width), complex)
+    t = np.arange(width) / fs
+    for k in range(height):
+        eta = (k - at_row) / prf
+        r = np.hypot(r0, v * eta)
+        delay = 2 * (r - near) / c
+        u = t - delay - 1e-6  # the pulse is centred half its length after its start
+        on = np.abs(u) <= 1e-6
+        raw[k] = on * np.exp(2j * np.pi * ((-5e6 + 5e12 * 1e-6) * u + 2.5e12 * u * u)) * np.exp(-4j * np.pi * r / wave)
+    rows = [(0, int(i), int(j), float(raw[i, j].real), float(raw[i, j].imag)) for i in range(height) for j in range(width)]
+    df = spark.createDataFrame(rows, "tile int, r int, c int, re double, im double")
+    stages = focusing.focus_stages(df, ["tile"], "r", "c", "re", "im", height, width, replica, fs, prf, wave, v, near)
+    assert list(stages) == ["compressed", "migrated", "focused"]
+    image = np.abs(as_array(stages["focused"], raw.shape, "re") + 1j * as_array(stages["focused"], raw.shape, "im"))
+    peak = np.unravel_index(image.argmax(), image.shape)
+    assert abs(peak[0] - at_row) <= 1 and abs(peak[1] - at_col) <= 1
+    assert image.max() > 20 * np.median(image)
+    assert [f[2] for f in focusing.look_frequencies(3, 300.0)] == [-100.0, 0.0, 100.0] and focusing.energy_scale(50, 2) == 5.0
+
+
+def test_multiplied_by_an_axis(spark):
+    from echograin.operators import focusing
+
+    df = spark.createDataFrame([(0, 0, 1.0, 2.0), (0, 1, 3.0, 4.0)], "r int, c int, re double, im double")
+    w = spark.createDataFrame([(0, 0.0, 1.0), (1, 2.0, 0.0)], "c int, w_re double, w_im double")
+    assert sorted((x["c"], x["re"], x["im"]) for x in focusing.multiplied(df, w, ["c"], "re", "im").collect()) == [(0, -2.0, 1.0), (1, 6.0, 8.0)]
+
+
 def test_filters_keep_their_band(spark):
     t = np.arange(256)
     slow, fast = np.sin(2 * np.pi * 0.02 * t), np.sin(2 * np.pi * 0.3 * t)
