@@ -9,14 +9,17 @@ from ..functions import complexes as cx
 from ..functions import geo
 from ..functions import packets as pk
 from ..functions import products as pr
+from ..operators import domain_losses as dl
 from ..operators import focus as fo
 from ..operators import focusing as fg
+from ..operators import geometry as gm
 from ..operators import image_stats as st
 from ..operators import kernels as kn
 from ..operators import neighbourhoods as nb
 from ..operators import polarimetry as po
 from ..operators import product_ops as ops
 from ..operators import relational as rl
+from ..operators import summaries as sm
 from ..operators import tile_checks as tc
 from .queries_signal import _RASTER, _raster
 from .register import query
@@ -528,3 +531,170 @@ def bins_and_looks(spark, d):
     e = _table(spark, d, "events").select("event_id", (F.col("event_id") % 63).alias("k")).withColumn("rolled", F.col("k"))
     k = F.col("k")
     return fg.rolled_to(e, "rolled", 63, F.lit(20)).select("event_id", _r(fg.frequency(k, 63, 100.0)).alias("hz"), fg.centred_bin(k, 63).alias("centred"), "rolled", fg.look_of_bin(k, F.lit(8), F.lit(56), 3).alias("look"))
+
+
+# losses of edges, structure, distributions and features
+
+
+@query("edge_and_lines", f"""
+WITH p AS (SELECT tile, r, c, v, v * 0.8 + c / 100 AS t FROM {_RASTER}),
+e AS (SELECT tile, abs(lead(v - t) OVER x - (v - t)) AS ex, abs(lead(v - t) OVER y - (v - t)) AS ey FROM p WINDOW x AS (PARTITION BY tile, r ORDER BY c), y AS (PARTITION BY tile, c ORDER BY r)),
+g AS (SELECT k, exp(-((k - 2) ** 2) / (2 * 6.25)) AS g FROM (SELECT unnest(range(0, 5)) AS k) t), w AS (SELECT k, g / (SELECT sum(g) FROM g) AS g FROM g),
+m AS (SELECT p.tile, p.r, p.c, sum(g * coalesce(q.v, 0)) AS x, sum(g * coalesce(q.t, 0)) AS y, sum(g * coalesce(q.v * q.v, 0)) AS xx, sum(g * coalesce(q.t * q.t, 0)) AS yy, sum(g * coalesce(q.v * q.t, 0)) AS xy
+      FROM p CROSS JOIN w LEFT JOIN p q ON q.tile = p.tile AND q.r = p.r AND q.c = p.c - (w.k - 2) GROUP BY 1, 2, 3),
+s AS (SELECT tile, least(1, greatest(0, (2 * x * y + 0.0001) * (2 * (xy - x * y) + 0.0009) / ((x * x + y * y + 0.0001) * (greatest(0, xx - x * x) + greatest(0, yy - y * y) + 0.0009) + 1e-6))) AS s, r FROM m),
+l AS (SELECT tile, avg(loss) AS similarity FROM (SELECT tile, r, 1 - avg(s) AS loss FROM s GROUP BY tile, r) u GROUP BY tile)
+SELECT tile, round(avg(ex) + avg(ey), 6) AS edges, round(any_value(similarity), 5) AS similarity FROM e JOIN l USING (tile) GROUP BY tile""")
+def edge_and_lines(spark, d):
+    p = _raster(spark, d).withColumn("t", F.col("v") * 0.8 + F.col("c") / 100)
+    lines = dl.line_similarity_loss(p, ["tile", "r"], "c", "v", "t", 5).groupBy("tile").agg(F.avg("loss").alias("similarity"))
+    return dl.edge_loss(p, ["tile"], "r", "c", "v", "t").join(lines, "tile").select("tile", _r(F.col("loss")).alias("edges"), _r(F.col("similarity"), 5).alias("similarity"))
+
+
+@query("distribution_losses", f"""
+WITH p AS (SELECT tile, v AS p, v * 0.8 + c / 100 AS t FROM {_RASTER}), e AS (SELECT tile, least(0, min(p), min(t)) AS lo, greatest(max(p), max(t)) AS hi, least(min(p), min(t)) AS low, count(*) AS n FROM p GROUP BY tile),
+h AS (SELECT tile, n, least(63, floor((x - lo) / (hi - lo) * 64)) AS b, sum(s) AS d FROM (SELECT tile, p AS x, 1 AS s FROM p UNION ALL SELECT tile, t, -1 FROM p) u JOIN e USING (tile) GROUP BY 1, 2, 3),
+b AS (SELECT tile, n, low + (least(31, floor((x - low) / (hi - low) * 32)) + 0.5) * (hi - low) / 32 AS a, sum(s) AS np, sum(1 - s) AS nt FROM (SELECT tile, p AS x, 1 AS s FROM p UNION ALL SELECT tile, t, 0 FROM p) u JOIN e USING (tile) GROUP BY 1, 2, 3),
+k AS (SELECT x.tile, any_value(x.n) AS n, sum(x.np * y.np * exp(-((x.a - y.a) ** 2) / 2)) AS pp, sum(x.nt * y.nt * exp(-((x.a - y.a) ** 2) / 2)) AS tt, sum(x.np * y.nt * exp(-((x.a - y.a) ** 2) / 2)) AS pt FROM b x JOIN b y ON x.tile = y.tile GROUP BY x.tile)
+SELECT tile, round(matched, 7) AS matched, round((pp - n) / (n * (n - 1)) + (tt - n) / (n * (n - 1)) - 2 * pt / (n * n), 6) AS discrepancy FROM k JOIN (SELECT tile, sum((d / (n + 1e-8)) ** 2) AS matched FROM h GROUP BY tile) m USING (tile)""")
+def distribution_losses(spark, d):
+    p = _raster(spark, d).withColumn("t", F.col("v") * 0.8 + F.col("c") / 100)
+    a, b = dl.histogram_matching(p, ["tile"], "v", "t"), dl.mean_discrepancy(p, ["tile"], "v", "t", 1.0, 32)
+    return a.select("tile", _r(F.col("loss"), 7).alias("matched")).join(b.select("tile", _r(F.col("loss")).alias("discrepancy")), "tile")
+
+
+@query("channel_losses", """
+WITH p AS (SELECT l_returnflag AS k, l_discount - 0.04 AS pr, l_tax - 0.03 AS pi, l_discount * 0.9 AS tr, l_tax + 0.01 AS ti, l_quantity / 10 - 2 AS s FROM lineitem), q AS (SELECT *, sqrt((pr - tr) ** 2 + (pi - ti) ** 2) AS d FROM p)
+SELECT k, round(avg(ln(cosh(d))), 7) AS robust, round(avg(d ** 4) * 1000, 7) AS quartic, round(avg(d * d) + avg(4 * pi * pi), 7) AS constrained, round(avg(d * d) + avg((pi - ti) ** 2 + (pr - tr) ** 2), 7) AS channels,
+       round(avg(ln(1 + exp(-abs(s))) + greatest(s, 0) - s), 6) AS generator, round((avg(ln(1 + exp(-abs(s))) + greatest(s, 0) - s) + avg(ln(1 + exp(-abs(s))) + greatest(s, 0))) / 2, 6) AS discriminator, round(avg(((pr - tr) ** 2 + (pi - ti) ** 2) / 2), 7) AS feature FROM q GROUP BY k""")
+def channel_losses(spark, d):
+    p = _table(spark, d, "lineitem").select(F.col("l_returnflag").alias("k"), (F.col("l_discount") - 0.04).alias("pr"), (F.col("l_tax") - 0.03).alias("pi"), (F.col("l_discount") * 0.9).alias("tr"), (F.col("l_tax") + 0.01).alias("ti"), (F.col("l_quantity") / 10 - 2).alias("s"))
+    c = [F.col(x) for x in ("pr", "pi", "tr", "ti")]
+    s = F.col("s")
+    return p.groupBy("k").agg(
+        _r(dl.robust_loss(*c), 7).alias("robust"), _r(dl.robust_loss(*c, "quartic") * 1000, 7).alias("quartic"), _r(dl.symmetry_constrained(*c), 7).alias("constrained"), _r(dl.channels_loss([tuple(c), (c[1], c[0], c[3], c[2])]), 7).alias("channels"),
+        _r(dl.generator_loss(s)).alias("generator"), _r(dl.discriminator_loss(s, s)).alias("discriminator"), _r(dl.feature_loss(F.array("pr", "pi"), F.array("tr", "ti")), 7).alias("feature"),
+    )
+
+
+# summaries of configurations
+
+
+def _summary(spark, d) -> DataFrame:
+    o = _table(spark, d, "orders")
+    kind = F.when(F.col("o_orderstatus") == "F", "coherence").when(F.col("o_orderstatus") == "O", "covariance").otherwise("other")
+    v = F.col("o_totalprice")
+    return o.select(kind.alias("kind"), F.substring("o_orderpriority", 1, 1).alias("pol"), F.concat(F.lit("L"), (F.col("o_custkey") % 4 + 1).cast("string")).alias("lookset"), F.when(F.col("o_custkey") % 9 != 0, F.concat(F.lit("W"), (F.col("o_custkey") % 3).cast("string"))).otherwise("none").alias("window"),
+                    (F.col("o_orderkey") % 6).alias("selected_bands"), (v / 1e6).alias("mean_nmi"), (1 - v / 1e6).alias("complementarity_1_minus_mean_nmi"), F.when(F.col("o_custkey") % 8 != 0, v / 1000).alias("coherence_median_cv"), (v / 500).alias("covariance_diag_median_cv"))
+
+
+_SUMMARY = """
+s AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'coherence' WHEN 'O' THEN 'covariance' ELSE 'other' END AS kind, substr(o_orderpriority, 1, 1) AS pol, (o_custkey % 4 + 1)::INT AS l, CASE WHEN o_custkey % 9 <> 0 THEN (o_custkey % 3)::INT END AS w, o_orderkey % 6 AS selected_bands, 1 - o_totalprice / 1e6 AS comp,
+      CASE o_orderstatus WHEN 'F' THEN CASE WHEN o_custkey % 8 <> 0 THEN o_totalprice / 1000 END WHEN 'O' THEN o_totalprice / 500 END AS vary FROM orders),
+m AS (SELECT *, (comp - min(comp) OVER g) / (max(comp) OVER g - min(comp) OVER g) AS cn, 1 - (vary - min(vary) OVER g) / (max(vary) OVER g - min(vary) OVER g) AS iv FROM s WHERE w IS NOT NULL AND l > 1 AND vary IS NOT NULL WINDOW g AS (PARTITION BY kind, pol))"""
+
+
+@query("configuration_means", f"""
+WITH {_SUMMARY}
+SELECT kind, l, w, 'L' || l AS lookset, 'W' || w AS "window", round(avg(comp), 6) AS complementarity, round(avg(vary), 4) AS variability, round(avg(cn), 6) AS comp_norm, round(avg(iv), 6) AS inv_var_norm, round(avg(0.6 * cn + 0.4 * iv), 6) AS score, round(avg(selected_bands), 6) AS selected_bands, count(DISTINCT pol) AS n_pols, count(*) AS n_scores
+FROM m GROUP BY kind, l, w""")
+def configuration_means(spark, d):
+    k = sm.kind_means(sm.metrics(sm.known_settings(_summary(spark, d), 1), 0.6, 0.4))
+    return k.select("kind", "l", "w", "lookset", "window", _r(F.col("complementarity")).alias("complementarity"), _r(F.col("variability"), 4).alias("variability"), *[_r(F.col(c)).alias(c) for c in ("comp_norm", "inv_var_norm", "score", "selected_bands")], "n_pols", "n_scores")
+
+
+@query("feature_paths", """
+SELECT event_id, ['coherence', 'covariance', 'other'][(event_id % 3 + 1)::INT] AS kind, 'IW' || (event_id % 3 + 1) AS swath, 'L' || (event_id % 5) AS lookset, CASE WHEN event_id % 2 = 0 THEN 'W' || (event_id % 7) END AS "window", 'p' || event_id AS product, ['VV', 'VH'][(event_id % 2 + 1)::INT] AS pol,
+       ['cov_diag', 'cov_cross', 'other'][(event_id % 3 + 1)::INT] AS band_group FROM events""")
+def feature_paths(spark, d):
+    e = F.col("event_id")
+    pick = lambda *v: F.get(F.array(*[F.lit(x) for x in v]), (e % len(v)).cast("int"))
+    n = lambda k: (e % k).cast("string")
+    path = F.concat(F.lit("/d/IW9/L9/IW"), (e % 3 + 1).cast("string"), F.lit("/L"), n(5), F.when(e % 2 == 0, F.concat(F.lit("_W"), n(7))).otherwise(""), F.lit("/p"), e.cast("string"), F.lit("_TC.data/"), pick("coh_", "cov_", "x_"), pick("VV", "VH"), F.lit(".tif"))
+    t = _table(spark, d, "events").select("event_id", path.alias("path"), sm.band_group(pick("C11", "q_C12", "lat")).alias("band_group"))
+    return t.select("event_id", sm.feature_kind(F.col("path")).alias("kind"), sm.path_settings(F.col("path")).alias("s"), "band_group").select("event_id", "kind", "s.*", "band_group")
+
+
+@query("known_values", "SELECT event_type, round(avg(v), 6) AS mean, round(median(v), 6) AS median, count(*) AS n FROM (SELECT event_type, CASE WHEN event_id % 3 <> 0 THEN value END AS v FROM events) t GROUP BY event_type")
+def known_values(spark, d):
+    v = F.when(F.col("event_id") % 3 != 0, F.col("value")).otherwise(F.lit(float("nan")))
+    return _table(spark, d, "events").withColumn("v", v).groupBy("event_type").agg(_r(sm.known_mean(F.col("v"))).alias("mean"), _r(sm.known_median(F.col("v"))).alias("median"), F.count("*").alias("n"))
+
+
+@query("ring_areas", """
+SELECT event_id, round(abs(radians(w) * (sin(radians(a + h)) - sin(radians(a)))) * 6371.0088 * 6371.0088, 3) AS km2 FROM (SELECT event_id, value / 10 AS a, 1 + event_id % 5 AS w, 0.5 + event_id % 3 AS h FROM events) t""")
+def ring_areas(spark, d):
+    """Boxes of parallels and meridians, whose area on the sphere is known; in the wrong order it's the same."""
+    e, a = F.col("event_id"), F.col("value") / 10
+    w, h = 1 + e % 5, 0.5 + e % 3
+    p = lambda x, y: F.struct((x * 1.0).alias("lon"), y.alias("lat"))
+    ring = F.array(p(e % 50, a), p(e % 50 + w, a), p(e % 50 + w, a + h), p(e % 50, a + h))
+    return _table(spark, d, "events").select("event_id", _r(sm.ring_area_km2(F.when(e % 2 == 0, ring).otherwise(F.reverse(ring))), 3).alias("km2"))
+
+
+@query("look_features", """
+WITH z AS (SELECT l_orderkey AS k, l_discount + 0.01 AS re, l_tax AS im, sqrt((l_discount + 0.01) ** 2 + l_tax ** 2) AS m FROM lineitem)
+SELECT k, count(*)::INT AS looks, round(avg(m * m), 7) AS power, round(1 - sqrt(avg(re / m) ** 2 + avg(im / m) ** 2), 6) AS phase_variance FROM z GROUP BY k""")
+def look_features(spark, d):
+    z = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("look"), (F.col("l_discount") + 0.01).alias("re"), F.col("l_tax").alias("im"))
+    f = sm.phase_features(z, ["k"], "look", "re", "im")
+    return f.select("k", "looks", _r(F.col("power"), 7).alias("power"), _r(F.col("phase_variance")).alias("phase_variance"))
+
+
+# other grids: the first tile of the raster, which every size of data has
+
+
+@query("warped_image", f"""
+WITH p AS (SELECT r, c, v FROM {_RASTER} WHERE tile = 0), g AS (SELECT i AS r, j AS c, i * 0.7 + 0.25 AS y, j * 0.6 - 0.3 AS x FROM (SELECT unnest(range(0, 20)) AS i) a, (SELECT unnest(range(0, 70)) AS j) b),
+k AS (SELECT g.r, g.c, floor(y) + i AS pr, floor(x) + j AS pc, CASE i WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END * CASE j WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END AS w FROM g, (SELECT unnest([0, 1]) AS i) m, (SELECT unnest([0, 1]) AS j) n),
+l AS (SELECT k.r, k.c, CASE WHEN count(p.v) = count(*) THEN sum(w * p.v) END AS v FROM k LEFT JOIN p ON p.r = pr AND p.c = pc WHERE w > 0 GROUP BY 1, 2)
+SELECT g.r::INT AS r, g.c::INT AS c, round(l.v, 9) AS bilinear, round(q.v, 6) AS nearest FROM g JOIN l ON l.r = g.r AND l.c = g.c LEFT JOIN p q ON q.r = floor(y + 0.5) AND q.c = floor(x + 0.5)""")
+def warped_image(spark, d):
+    p = _raster(spark, d).where("tile = 0").select("r", "c", "v")
+    y, x = F.col("r") * 0.7 + 0.25, F.col("c") * 0.6 - 0.3
+    a, b = (gm.warped(p, "r", "c", "v", 20, 70, y, x, m).withColumn("v", _r(F.col("v"), 9)) for m in ("bilinear", "nearest"))
+    return a.withColumnRenamed("v", "bilinear").join(b.withColumnRenamed("v", "nearest"), ["r", "c"])
+
+
+@query("filled_heights", f"""
+WITH p AS (SELECT tile, r, c, CASE WHEN (r * 7 + c) % 5 <> 0 THEN v END AS v, max(r) OVER (PARTITION BY tile) AS h FROM {_RASTER}), o AS (SELECT unnest(range(-1, 2)) AS o),
+m AS (SELECT p.tile, p.r, p.c, any_value(p.v) AS v, avg(q.v) AS m FROM p, o a, o b, p q WHERE q.tile = p.tile AND q.r = least(p.h, greatest(0, p.r + a.o)) AND q.c = least(49, greatest(0, p.c + b.o)) GROUP BY 1, 2, 3)
+SELECT tile, r, c, round(coalesce(v, m), 6) AS v FROM m""")
+def filled_heights(spark, d):
+    p = _raster(spark, d).select("tile", "r", "c", F.when((F.col("r") * 7 + F.col("c")) % 5 != 0, F.col("v")).alias("v"))
+    return gm.filled_holes(p, ["tile"], "r", "c", "v").withColumn("v", _r(F.col("v")))
+
+
+@query("window_statistics", f"""
+WITH p AS (SELECT tile, r, c, v, max(r) OVER (PARTITION BY tile) AS h FROM {_RASTER}), o AS (SELECT unnest(range(-1, 2)) AS o),
+m AS (SELECT p.tile, p.r, p.c, avg(q.v) AS m, avg(q.v * q.v) AS q, avg(q.v * q.c) AS vc FROM p, o a, o b, p q WHERE q.tile = p.tile AND q.r = least(p.h, greatest(0, p.r + a.o)) AND q.c = least(49, greatest(0, p.c + b.o)) GROUP BY 1, 2, 3)
+SELECT tile, r, c, round(((q - m * m) / (m * m) - 0.25) / 1.25, 5) AS divergence, round(m, 6) AS c11, round(vc, 6) AS c12 FROM m""")
+def window_statistics(spark, d):
+    p = _raster(spark, d).select("tile", "r", "c", "v", F.col("v").alias("c11"), (F.col("v") * F.col("c")).alias("c12"))
+    a, b = gm.speckle_divergence(p, ["tile"], "r", "c", "v", 3, 4.0), gm.averaged_matrix(p, ["tile"], "r", "c", ["c11", "c12"], 3)
+    return a.join(b, ["tile", "r", "c"]).select("tile", "r", "c", _r(F.col("divergence"), 5).alias("divergence"), _r(F.col("c11")).alias("c11"), _r(F.col("c12")).alias("c12"))
+
+
+@query("relief", f"""
+WITH g AS (SELECT tile, r, c, v, (lead(v) OVER (PARTITION BY tile, c ORDER BY r) - lag(v) OVER (PARTITION BY tile, c ORDER BY r)) / 20 AS gy, (lead(v) OVER (PARTITION BY tile, r ORDER BY c) - lag(v) OVER (PARTITION BY tile, r ORDER BY c)) / 20 AS gx FROM {_RASTER})
+SELECT tile, r, c, v >= 0.3 AND coalesce(degrees(atan(sqrt(gx * gx + gy * gy))), 0) >= 0.2 AS masked FROM g""")
+def relief(spark, d):
+    return gm.terrain_mask(_raster(spark, d), ["tile"], "r", "c", "v", 10.0, 0.3, 0.2).select("tile", "r", "c", "masked")
+
+
+@query("phase_models", """
+SELECT l_orderkey, l_linenumber, round(a * cos(p) - b * sin(p), 6) + 0.0 AS re, round(a * sin(p) + b * cos(p), 6) + 0.0 AS im, round(-b * 0.0555 * (800000 + a) * sin(radians(35.0)) / (4 * pi() * 120), 6) + 0.0 AS height
+FROM (SELECT l_orderkey, l_linenumber, l_discount AS a, l_tax AS b, -2 * pi() * 3 * (l_quantity / 100) - pi() * 5 * (l_quantity / 100 - 0.2) ** 2 AS p FROM lineitem) t""")
+def phase_models(spark, d):
+    z = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("re"), F.col("l_tax").alias("im"), (F.col("l_quantity") / 100).alias("t"), gm.phase_to_height(F.col("l_tax"), 0.0555, 800000 + F.col("l_discount"), F.lit(35.0), 120.0).alias("height"))
+    z = gm.deramped(gm.demodulated(z, "re", "im", F.col("t"), 3.0), "re", "im", F.col("t"), 5.0, 0.2)
+    return z.select("l_orderkey", "l_linenumber", _zero(F.col("re")).alias("re"), _zero(F.col("im")).alias("im"), _zero(F.col("height")).alias("height"))
+
+
+@query("band_limited", f"""
+WITH f AS (SELECT tile, r, k, CASE WHEN k < 25 THEN k ELSE k - 50 END / 50.0 AS hz, sum(v * cos(2 * pi() * k * c / 50)) AS re, -sum(v * sin(2 * pi() * k * c / 50)) AS im FROM {_RASTER}, (SELECT unnest(range(0, 50)) AS k) t GROUP BY tile, r, k),
+g AS (SELECT *, 0.75 - 0.25 * cos(2 * pi() * (hz + 0.105) / 0.31) AS w FROM f WHERE hz >= -0.105 AND hz <= 0.205)
+SELECT tile, r, c::INT AS c, round(sum(w * (re * cos(2 * pi() * k * c / 50) - im * sin(2 * pi() * k * c / 50))) / 50, 5) + 0.0 AS re, round(sum(w * (re * sin(2 * pi() * k * c / 50) + im * cos(2 * pi() * k * c / 50))) / 50, 5) + 0.0 AS im FROM g, (SELECT unnest(range(0, 50)) AS c) t GROUP BY tile, r, c""")
+def band_limited(spark, d):
+    r = _raster(spark, d).select("tile", "r", "c", F.col("v").alias("re"), F.lit(0.0).alias("im"))
+    return gm.band_limited(r, ["tile"], "r", "c", "re", "im", -0.105, 0.205, 1.0, 0.75).select("tile", "r", "c", _zero(F.col("re"), 5).alias("re"), _zero(F.col("im"), 5).alias("im"))

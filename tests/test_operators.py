@@ -98,6 +98,70 @@ def test_a_point_is_focused(spark):
     assert [f[2] for f in focusing.look_frequencies(3, 300.0)] == [-100.0, 0.0, 100.0] and focusing.energy_scale(50, 2) == 5.0
 
 
+def test_images_on_other_grids(spark):
+    """A plane is a plane on every grid; a shift that offsets find is taken back."""
+    from echograin.operators import geometry, product_ops
+
+    a = np.add.outer(3.0 * np.arange(40), 2.0 * np.arange(50))
+    image = raster(spark, a).drop("tile")
+    got = geometry.shifted_onto(image, "r", "c", "v", 40, 50, 1.5, -2.25)
+    back = as_array(got, a.shape, "v")
+    assert np.allclose(back[:38, 3:], (a + 4.5 - 4.5)[:38, 3:]) and np.isnan(back[39]).all() and np.isnan(back[:, 0]).all()
+    ground = as_array(geometry.ground_range(image, "r", "c", "v", 40, 20, 1000.0, 10.0, 800.0, 20.0), (40, 20), "v")
+    slant = np.hypot(np.sqrt(1000.0**2 - 800.0**2) + 20.0 * np.arange(20), 800.0)
+    assert np.allclose(ground[5], 15 + 2 * (slant - 1000) / 10)
+    # degrees to metres and the same place back
+    lat0, lon0, step = 45.0, 9.5, 0.001
+    east, north = geo.utm_forward(F.lit(lat0 - 0.02), F.lit(lon0 + 0.02), F.lit(32))
+    e, n = spark.range(1).select(east, north).first()
+    utm = as_array(geometry.reprojected(image, "r", "c", "v", 32, False, (e, n), (50.0, 50.0), (3, 3), lon0, lat0, step, -step), (3, 3), "v")
+    assert np.isclose(utm[0, 0], 3 * 20 + 2 * 20, atol=1e-3) and utm[0, 1] > utm[0, 0] and utm[1, 0] > utm[0, 0]
+    rng = np.random.default_rng(4)
+    b = rng.normal(size=(32, 32))
+    both = raster(spark, b).join(raster(spark, np.roll(b, (2, -3), (0, 1))).withColumnRenamed("v", "w"), ["tile", "r", "c"]).select("tile", "r", "c", F.col("v").alias("a"), F.col("w").alias("b"))
+    assert geometry.common_shift(product_ops.offsets(both, ["tile"], "r", "c")) == (2.0, -3.0)
+    with pytest.raises(ValueError, match="method"):
+        geometry.shifted_onto(image, "r", "c", "v", 4, 4, 0, 0, "cubic")
+
+
+def test_summaries(spark):
+    from echograin.operators import summaries as sm
+
+    files = spark.createDataFrame([(f"/x/IW1/L3_W5/p_TC.data/{n}",) for n in ("coh_VV.tif", "cov_VH.tif", "lat.tif", "coh_VV_old.tif", "coh_VV.tif")], "path string")
+    got = {r["path"].rsplit("/", 1)[1]: (r["kind"], r["left_out"], r["settings"]["lookset"], r["settings"]["pol"]) for r in sm.selected_paths(files, [".tif"], ["old"]).collect()}
+    assert got == {"coh_VV.tif": ("coherence", None, "L3", "VV"), "cov_VH.tif": ("covariance", None, "L3", "VH"), "lat.tif": ("other", "kind other", "L3", None)}
+    bands = spark.createDataFrame([("s", b) for b in ("i_IW1_VV_SA1", "q_IW1_VV_SA1", "i_IW1_VV_SA2", "q_IW1_VV_SA2", "i_IW1_VV_SA3", "i_VH_SA1", "q_VH_SA1", "Sigma0")], "lookset string, band string")
+    assert [tuple(r) for r in sm.look_sets(bands).collect()] == [("s", "IW1", "VV", [1, 2])]
+    with pytest.raises(ValueError, match="mean_nmi"):
+        sm.known_settings(spark.createDataFrame([("a",)], "kind string"))
+    fails = spark.createDataFrame([(i,) for i in range(9)], "tile int")
+    assert [tuple(r) for r in sm.issue_lines(fails, ["tile"], 2).collect()] == [(0, 7), (1, 7)]
+    ring = [{"lon": 0.0, "lat": 0.0}]
+    layers = sm.status_layers(spark.createDataFrame([("a", "success"), ("b", "odd"), ("c", "failed")], "tile string, status string"), spark.createDataFrame([("a", ring), ("b", ring), ("c", None)], "tile string, ring array<struct<lon: double, lat: double>>"))
+    assert sorted((r["layer"], r["tile"]) for r in layers.collect()) == [("other", "b"), ("success", "a")]
+    a = np.arange(30.0).reshape(5, 6)
+    assert np.array_equal(as_array(sm.core(raster(spark, a), "r", "c", 1, 2, 3, 3), (3, 3), "v"), a[1:4, 2:5])
+
+
+def test_mean_discrepancy_is_its_formula(spark):
+    from echograin.operators import domain_losses as dl
+
+    rng = np.random.default_rng(6)
+    centres = (np.arange(16) + 0.5) / 16
+    p, t = rng.choice(centres, 60), rng.choice(centres[8:], 60)
+    p[0], t[0] = 0.0, 1.0  # the ends of the range
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(p, t, strict=True)], "p double, t double")
+    near = lambda x: (np.minimum(15, np.floor(x * 16)) + 0.5) / 16
+    x, y = near(p), near(t)
+    k = lambda a, b: np.exp(-np.abs(a[:, None] - b[None, :]) / 0.5)
+    want = (k(x, x).sum() - 60) / (60 * 59) + (k(y, y).sum() - 60) / (60 * 59) - 2 * k(x, y).mean()
+    assert np.isclose(dl.mean_discrepancy(df, [], "p", "t", 0.5, 16, "laplacian").first()["loss"], want)
+    with pytest.raises(ValueError, match="odd"):
+        dl.line_similarity_loss(df, [], "p", "p", "t", 4)
+    same = spark.createDataFrame([(0, i, float(i % 5), 0.5) for i in range(40)], "k int, i int, re double, im double")
+    assert abs(dl.similarity_combined(same, ["k"], "i", ["re", "im", "re", "im"]).first()["loss"]) < 1e-3
+
+
 def test_multiplied_by_an_axis(spark):
     from echograin.operators import focusing
 
