@@ -645,13 +645,13 @@ def look_features(spark, d):
 
 
 @query("warped_image", f"""
-WITH p AS (SELECT r, c, v FROM {_RASTER} WHERE tile = 0), g AS (SELECT i AS r, j AS c, i * 0.7 + 0.25 AS y, j * 0.6 - 0.3 AS x FROM (SELECT unnest(range(0, 20)) AS i) a, (SELECT unnest(range(0, 70)) AS j) b),
+WITH p AS (SELECT r, c, v FROM {_RASTER} WHERE tile = 0), g AS (SELECT i AS r, j AS c, i * 0.7 + 0.21 AS y, j * 0.6 - 0.33 AS x FROM (SELECT unnest(range(0, 20)) AS i) a, (SELECT unnest(range(0, 70)) AS j) b),
 k AS (SELECT g.r, g.c, floor(y) + i AS pr, floor(x) + j AS pc, CASE i WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END * CASE j WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END AS w FROM g, (SELECT unnest([0, 1]) AS i) m, (SELECT unnest([0, 1]) AS j) n),
 l AS (SELECT k.r, k.c, CASE WHEN count(p.v) = count(*) THEN sum(w * p.v) END AS v FROM k LEFT JOIN p ON p.r = pr AND p.c = pc WHERE w > 0 GROUP BY 1, 2)
 SELECT g.r::INT AS r, g.c::INT AS c, round(l.v, 9) AS bilinear, round(q.v, 6) AS nearest FROM g JOIN l ON l.r = g.r AND l.c = g.c LEFT JOIN p q ON q.r = floor(y + 0.5) AND q.c = floor(x + 0.5)""")
 def warped_image(spark, d):
     p = _raster(spark, d).where("tile = 0").select("r", "c", "v")
-    y, x = F.col("r") * 0.7 + 0.25, F.col("c") * 0.6 - 0.3
+    y, x = F.col("r") * 0.7 + 0.21, F.col("c") * 0.6 - 0.33
     a, b = (gm.warped(p, "r", "c", "v", 20, 70, y, x, m).withColumn("v", _r(F.col("v"), 9)) for m in ("bilinear", "nearest"))
     return a.withColumnRenamed("v", "bilinear").join(b.withColumnRenamed("v", "nearest"), ["r", "c"])
 
@@ -659,10 +659,10 @@ def warped_image(spark, d):
 @query("filled_heights", f"""
 WITH p AS (SELECT tile, r, c, CASE WHEN (r * 7 + c) % 5 <> 0 THEN v END AS v, max(r) OVER (PARTITION BY tile) AS h FROM {_RASTER}), o AS (SELECT unnest(range(-1, 2)) AS o),
 m AS (SELECT p.tile, p.r, p.c, any_value(p.v) AS v, avg(q.v) AS m FROM p, o a, o b, p q WHERE q.tile = p.tile AND q.r = least(p.h, greatest(0, p.r + a.o)) AND q.c = least(49, greatest(0, p.c + b.o)) GROUP BY 1, 2, 3)
-SELECT tile, r, c, round(coalesce(v, m), 6) AS v FROM m""")
+SELECT tile, r, c, round(coalesce(v, m), 9) AS v FROM m""")
 def filled_heights(spark, d):
     p = _raster(spark, d).select("tile", "r", "c", F.when((F.col("r") * 7 + F.col("c")) % 5 != 0, F.col("v")).alias("v"))
-    return gm.filled_holes(p, ["tile"], "r", "c", "v").withColumn("v", _r(F.col("v")))
+    return gm.filled_holes(p, ["tile"], "r", "c", "v").withColumn("v", _r(F.col("v"), 9))
 
 
 @query("window_statistics", f"""
