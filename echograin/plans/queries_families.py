@@ -13,6 +13,7 @@ from ..operators import domain_losses as dl
 from ..operators import focus as fo
 from ..operators import focusing as fg
 from ..operators import geometry as gm
+from ..operators import grid_ops as go
 from ..operators import image_stats as st
 from ..operators import kernels as kn
 from ..operators import neighbourhoods as nb
@@ -698,3 +699,57 @@ SELECT tile, r, c::INT AS c, round(sum(w * (re * cos(2 * pi() * k * c / 50) - im
 def band_limited(spark, d):
     r = _raster(spark, d).select("tile", "r", "c", F.col("v").alias("re"), F.lit(0.0).alias("im"))
     return gm.band_limited(r, ["tile"], "r", "c", "re", "im", -0.105, 0.205, 1.0, 0.75).select("tile", "r", "c", _zero(F.col("re"), 5).alias("re"), _zero(F.col("im"), 5).alias("im"))
+
+
+# cells and pairs
+
+
+@query("footprint_cells", """
+WITH p AS (SELECT event_id % 4000 AS id, 'c' || (event_id % 4000) AS name, ((event_id * 37) % 120 - 40)::DOUBLE AS lon, ((event_id * 53) % 80 - 30)::DOUBLE AS lat, event_id % 13 = 0 AS bare FROM events), d AS (SELECT name, lon, lat, row_number() OVER (PARTITION BY name ORDER BY lat, lon) AS n FROM p WHERE NOT bare AND lon + 1 >= 0 AND lat + 1 >= 0 AND lon <= 40 AND lat <= 40 AND lon + lat <= 40)
+SELECT name, lon, lat FROM d WHERE n = 1""")
+def footprint_cells(spark, d):
+    """Boxes of one degree that meet the triangle (0, 0), (40, 0), (0, 40), edges included."""
+    e = F.col("event_id")
+    p = _table(spark, d, "events").select(F.concat(F.lit("c"), (e % 4000).cast("string")).alias("name"), F.when(e % 13 != 0, 32632).alias("epsg"), ((e * 37) % 120 - 40).cast("double").alias("lon"), ((e * 53) % 80 - 30).cast("double").alias("lat"))
+    p = p.withColumns({"lon1": F.col("lon") + 1, "lat1": F.col("lat") + 1})
+    return go.cells_on(p, [(0.0, 0.0), (40.0, 0.0), (0.0, 40.0)]).select("name", "lon", "lat")
+
+
+@query("cell_places", """
+WITH p AS (SELECT event_id, (event_id % 1001)::INT - 500 AS r, (event_id % 701)::INT - 350 AS c, ceil(pi() * 6378.137 / 10) AS n FROM events), q AS (SELECT *, r * (180.0 / n) AS lat FROM p), k AS (SELECT *, 2 * pi() * 6378.137 * cos(radians(lat)) AS km FROM q)
+SELECT event_id, round(lat, 9) AS lat, round(c * (360.0 / ceil(km / 10)), 9) AS lon, round(km, 6) AS km, (event_id % 360) - 180 >= 170 OR (event_id % 360) - 180 <= -165 AS over_date_line FROM k""")
+def cell_places(spark, d):
+    e = F.col("event_id")
+    p = go.place_of((e % 1001).cast("int") - 500, (e % 701).cast("int") - 350, 10.0)
+    t = _table(spark, d, "events").select("event_id", p.alias("p"), (e % 360 - 180).alias("lon"))
+    over = go.within_longitudes(t, 170, -165).select("event_id", F.lit(True).alias("over"))
+    t = t.join(over, "event_id", "left")
+    return t.select("event_id", _r(F.col("p.lat"), 9).alias("lat"), _r(F.col("p.lon"), 9).alias("lon"), _r(go.circumference_km(F.col("p.lat"))).alias("km"), F.coalesce("over", F.lit(False)).alias("over_date_line"))
+
+
+@query("pair_checks", """
+SELECT a.l_orderkey AS k, a.l_partkey AS p, b.l_partkey AS q, array_to_string(list_filter([CASE WHEN a.l_returnflag <> b.l_returnflag THEN 'flag' END, CASE WHEN a.l_linestatus <> b.l_linestatus THEN 'status' END], lambda x: x IS NOT NULL), ',') AS differ, a.l_returnflag = b.l_returnflag AND a.l_linestatus = b.l_linestatus AS matches
+FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey""")
+def pair_checks(spark, d):
+    side = lambda n: _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.struct(F.col("l_partkey").alias("p"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")).alias(n))
+    pairs = side("master").join(side("slave"), "k").where("master.p < slave.p")
+    c = go.checked_pairs(pairs, ("flag", "status"))
+    return c.select("k", F.col("master.p").alias("p"), F.col("slave.p").alias("q"), F.array_join("differ", ",").alias("differ"), "matches")
+
+
+@query("zone_sources", """
+WITH z AS (SELECT DISTINCT c_nationkey AS epsg FROM customer), p AS (SELECT s_nationkey AS epsg, s_name AS path, s_suppkey = 1 AS native FROM supplier),
+m AS (SELECT epsg, max(native) AS native, coalesce(min(CASE WHEN native THEN path END), min(path)) AS path FROM p GROUP BY epsg HAVING count(*) = 1 OR max(native)), n AS (SELECT path FROM p WHERE native)
+SELECT z.epsg, coalesce(m.path, n.path) AS path, CASE WHEN m.native THEN 'source' WHEN m.path IS NOT NULL THEN 'cached' ELSE 'reproject' END AS action FROM z LEFT JOIN m ON m.epsg = z.epsg, n""")
+def zone_sources(spark, d):
+    s = _table(spark, d, "supplier").select(F.col("s_nationkey").alias("epsg"), F.col("s_name").alias("path"), (F.col("s_suppkey") == 1).alias("native"))
+    one = s.groupBy("epsg").agg(F.count("*").alias("n"), F.max("native").alias("own")).where("n = 1 or own")
+    return go.source_of_zone(_table(spark, d, "customer").select(F.col("c_nationkey").alias("epsg")), s.join(one.select("epsg"), "epsg", "left_semi"))
+
+
+@query("swath_folders", """
+SELECT 'IW' || (event_id % 3 + 1) AS swath, array_to_string(list_sort(list('/d/p' || event_id || '_IW' || (event_id % 3 + 1) || '.dim')), ',') AS paths FROM events WHERE event_id % 4 <> 0 GROUP BY 1""")
+def swath_folders(spark, d):
+    e = F.col("event_id")
+    path = F.concat(F.lit("/d/p"), e.cast("string"), F.when(e % 4 != 0, F.concat(F.lit("_IW"), (e % 3 + 1).cast("string"))).otherwise("_IWX"), F.lit(".dim"))
+    return go.swath_products(_table(spark, d, "events").select(path.alias("path")), ["IW1", "IW2", "IW3"]).select("swath", F.array_join("paths", ",").alias("paths"))

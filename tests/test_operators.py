@@ -162,6 +162,28 @@ def test_mean_discrepancy_is_its_formula(spark):
     assert abs(dl.similarity_combined(same, ["k"], "i", ["re", "im", "re", "im"]).first()["loss"]) < 1e-3
 
 
+def test_grids_and_products_together(spark):
+    from echograin.operators import grid_ops as go
+
+    a = spark.createDataFrame([(0, 0, 1.0, 9.0), (0, 1, 2.0, 9.0)], "row int, col int, i double, q double")
+    b = spark.createDataFrame([(0, 0, 5.0, 7.0), (0, 1, 6.0, 8.0)], "row int, col int, q double, z double")
+    assert sorted(map(tuple, go.bands_added(a, b, ["row", "col"], ["q", "z"]).collect())) == [(0, 0, 1.0, 5.0, 7.0), (0, 1, 2.0, 6.0, 8.0)]
+    with pytest.raises(ValueError, match="grids differ"):
+        go.bands_added(a, b.where("col = 0"), ["row", "col"], ["z"])
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    boxes = spark.createDataFrame([("in", 1.0, 1.0, 2.0, 2.0), ("around", -1.0, -1.0, 9.0, 9.0), ("cross", -1.0, 1.0, 5.0, 2.0), ("touch", 4.0, 1.0, 5.0, 2.0), ("out", 4.5, 1.0, 5.0, 2.0)], "n string, x0 double, y0 double, x1 double, y1 double")
+    got = boxes.where(go.box_meets_ring(*[F.col(c) for c in ("x0", "y0", "x1", "y1")], ring)).select("n").collect()
+    assert {r["n"] for r in got} == {"in", "around", "cross", "touch"}
+    t = spark.range(1).select(go.pixel_transform(F.struct(F.lit(10.0).alias("min_x"), F.lit(20.0).alias("min_y"), F.lit(110.0).alias("max_x"), F.lit(70.0).alias("max_y")), 50, 25)).first()[0]
+    assert tuple(t) == (10.0, 2.0, 70.0, -2.0)
+    box = spark.range(1).select(go.cell_box(F.lit(45.0), F.lit(9.0), F.lit(32))).first()[0]
+    assert np.isclose(box["min_x"], 500000.0) and np.isclose(box["max_y"] - box["min_y"], 10000.0)
+    names = spark.range(1).select(go.expected_bands(F.array(F.lit("b"), F.lit("a"), F.lit("b")), F.array(F.lit("z"))), go.expected_bands(F.array().cast("array<string>"), F.array(F.lit("z")))).first()
+    assert names[:] == (["a", "b"], ["z"])
+    rows = go.by_rows(spark.createDataFrame([(1, 3.0), (1, -2.0), (2, 0.0)], "row int, lon double")).collect()
+    assert sorted(map(tuple, rows)) == [(1, 2, -2.0, 3.0), (2, 1, 0.0, 0.0)]
+
+
 def test_multiplied_by_an_axis(spark):
     from echograin.operators import focusing
 
