@@ -23,24 +23,30 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose toxicity is below the threshold; null and empty texts have the score of a text without features."""
     return toxicity.reject_toxic(docs, _labels(spark, sf_dir))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose quality reaches the threshold; null and empty texts have the least quality."""
     return line_crf.reject_poor(docs, _labels(spark, sf_dir))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near-duplicates, with all rows of that id; texts without words, and rows without an id, stay."""
     return minhash.drop_near_duplicates(docs).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the passages that stand in earlier ones; those that lose all their words go, texts without words stay as they are."""
     left = substring_dedup.remove_repeats(docs)
-    left = left.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    n_words, n_removed = (F.col(c) for c in left.columns[-2:])
+    left = left.where((n_removed == 0) | (n_removed < n_words))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences; a text without tokens is one piece, its end id."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
