@@ -685,6 +685,30 @@ def test_pipeline(spark):
     assert set(packed.doc_id) == set(want) and packed.groupby("sequence_id").length.sum().max() <= 4096
 
 
+def test_pipeline_stages_on_odd_documents(spark, texts):
+    """Null, empty and repeated texts, rows without an id, and columns whose names the stages use themselves."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    odd = spark.createDataFrame(rows([*texts, (83, "one"), (83, "one"), (86, "word " * 400)]), DOCS)
+    for c in ("n_words", "n_removed", "row", "salt", "component", "kept", "score", "mark", "part", "size", "__salt", "__id"):
+        odd = odd.withColumn(c, F.lit(f"own {c}"))
+    stage, names = odd, odd.columns
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        stage = spark.createDataFrame(f(spark, stage, SF).collect(), odd.schema)
+        assert stage.columns == names and stage.where(" or ".join(f"`{c}` is null or `{c}` <> 'own {c}'" for c in names[-12:])).count() == 0, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, odd, SF).toPandas()
+    assert packed.groupby("sequence_id").length.sum().max() <= 4096 and len(packed) >= odd.count()
+    # each stage by itself on the odd rows: null and empty texts don't fail, and only repeats and copies go in the two dedup stages
+    kept = {name: f(spark, odd, SF).count() for name, f in corpus_pipeline.STAGES[2:4]}
+    assert kept["MinHash near-dedup"] < odd.count() and kept["substring dedup"] <= odd.count()
+
+
+def test_pipeline_stages_on_no_documents(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    none = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, f in corpus_pipeline.STAGES:
+        assert f(spark, none, SF).count() == 0, name
+
+
 def crowded_texts(n, pairs, seed=1):
     """n texts at 0.72 to each other, of which the first 2 * pairs are pairs above 0.75."""
     rng = random.Random(seed)
@@ -724,7 +748,7 @@ def linked_triples(n, seed=4):
     return [(i, " ".join(w)) for i, w in data]
 
 
-@pytest.mark.parametrize("deal", [1, 3, 17])
+@pytest.mark.parametrize("deal", [1, 17])
 def test_minhash_of_triples_however_they_are_dealt(spark, deal):
     data = linked_triples(60)
     want = brute_components({i: shingles(t) for i, t in data})
@@ -772,7 +796,7 @@ def test_linked_vectors_of_two_lengths_in_one_cell(spark):
     rng = np.random.default_rng(11)
     data = []
     for k, length in enumerate((64, 32)):
-        for i in range(1500):
+        for i in range(500):
             v = rng.normal(size=length)
             data += [(10000 * k + 2 * i + j, (v + j * rng.normal(0, 0.02, length)).tolist(), 0) for j in (0, 1)]
     vectors = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
