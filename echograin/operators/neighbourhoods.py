@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import in_ranges, join_back
+
 
 def box_mean_1d(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, size: int, out: str = "mean") -> DataFrame:
     """Mean of a centred window that shrinks at the ends."""
@@ -43,7 +45,7 @@ def _spread(df: DataFrame, keys: Sequence[str], axis: str, size: int, low: str,
 def box_mean_2d(df: DataFrame, keys: Sequence[str], row: str, col: str, values: Sequence[str], size: int) -> DataFrame:
     """Means of a size x size window, edge pixels repeated; separable, one pass along each axis."""
     limits = df.groupBy(*keys).agg(F.min(row).alias("__r0"), F.max(row).alias("__r1"), F.min(col).alias("__c0"), F.max(col).alias("__c1"))
-    df = df.select(*keys, row, col, *values).join(limits, list(keys))
+    df = join_back(df.select(*keys, row, col, *values), limits, keys)
     carried = ["__r0", "__r1", "__c0", "__c1"]
     sums = [F.sum(v).alias(v) for v in values]
     rows = _spread(df, keys, row, size, "__r0", "__r1").groupBy(*keys, row, col, *carried).agg(*sums)
@@ -103,7 +105,8 @@ def undersample(df: DataFrame, row: str, col: str, n_row: int, n_col: int) -> Da
 
 def flipped(df: DataFrame, keys: Sequence[str], axis: str) -> DataFrame:
     """Mirrored along an axis whose indices start at 0."""
-    return df.withColumn(axis, F.max(axis).over(W.partitionBy(*keys)) - F.col(axis))
+    both = join_back(df, df.groupBy(*keys).agg(F.max(axis).alias("__top")), keys)
+    return both.withColumn(axis, F.col("__top") - F.col(axis)).drop("__top")
 
 
 def unwrap_phase(df: DataFrame, keys: Sequence[str], order: Sequence[str], phase: str, out: str = "unwrapped") -> DataFrame:
@@ -124,27 +127,43 @@ def equal_energy_split(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return df.withColumn("part", F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.ceil(share * parts).cast("int") - 1)))
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: str, out: str) -> DataFrame:
-    """Each left row with the last right value at or before its time: one union and one window by keys, no range join."""
+def _beside(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: str, ahead: bool) -> DataFrame:
+    """Left rows with __t, with the last (__p) and, if asked for, the next (__n) known struct (t, v) of the right rows.
+
+    The union of both is cut into ranges of time, so a window covers one key and
+    range, not a key's whole history; what is known before and after a range
+    comes from a table of one row a key and range.
+    """
     cols = left.columns
-    a = left.select(*cols, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema[value].dataType).alias("__v"))
+    kind = right.schema[right_time].dataType
+    a = left.select(*cols, F.col(left_time).cast(kind).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema[value].dataType).alias("__v"))
     b = right.select(*[F.col(c) if c in keys else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols], F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.col(value).alias("__v"))
-    w = W.partitionBy(*keys).orderBy("__t", "__side").rowsBetween(W.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn(out, F.last("__v", ignorenulls=True).over(w)).where("__side = 1").select(*cols, out)
+    both = in_ranges(a.unionByName(b.where(F.col("__v").isNotNull() & F.col("__t").isNotNull())), "__t")
+    known = F.when(F.col("__side") == 0, F.struct(F.col("__t").alias("t"), F.col("__v").alias("v")))
+    parts = [*keys, "__range"]
+    ends = both.groupBy(*parts).agg(F.max_by(known, F.when(F.col("__side") == 0, F.col("__t"))).alias("__last"), F.min_by(known, F.when(F.col("__side") == 0, F.col("__t"))).alias("__first"))
+    w = W.partitionBy(*keys).orderBy("__range")
+    carried = ends.select(*parts, F.last("__last", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("__before"), F.first("__first", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("__after"))
+    back = W.partitionBy(*parts).orderBy("__t", "__side").rowsBetween(W.unboundedPreceding, 0)
+    forth = W.partitionBy(*parts).orderBy("__t", F.col("__side").desc()).rowsBetween(0, W.unboundedFollowing)
+    own = [F.last(known, ignorenulls=True).over(back).alias("__p"), *[F.first(known, ignorenulls=True).over(forth).alias("__n")] * ahead]
+    found = join_back(both.select("*", *own).where("__side = 1"), carried, parts)
+    found = found.withColumn("__p", F.coalesce("__p", "__before"))
+    return (found.withColumn("__n", F.coalesce("__n", "__after")) if ahead else found).drop("__range", "__side", "__v", "__before", "__after")
+
+
+def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: str, out: str) -> DataFrame:
+    """Each left row with the last right value at or before its time: one union and windows over ranges of it, no range join."""
+    return _beside(left, right, keys, left_time, right_time, value, False).select(*left.columns, F.col("__p.v").alias(out))
 
 
 def interpolate(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, value: str, out: str) -> DataFrame:
     """Linear interpolation of right values at the left times (numbers), held at the ends."""
-    cols = left.columns
-    a = left.select(*cols, F.col(left_time).cast("double").alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast("double").alias("__v"))
-    b = right.select(*[F.col(c) if c in keys else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols], F.col(right_time).cast("double").alias("__t"), F.lit(0).alias("__side"), F.col(value).cast("double").alias("__v"))
-    known = F.when(F.col("__side") == 0, F.struct("__t", "__v"))
-    back = W.partitionBy(*keys).orderBy("__t", "__side").rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(*keys).orderBy("__t", F.col("__side").desc()).rowsBetween(0, W.unboundedFollowing)
-    both = a.unionByName(b).withColumn("__p", F.last(known, ignorenulls=True).over(back)).withColumn("__n", F.first(known, ignorenulls=True).over(ahead))
+    numbers = right.withColumns({right_time: F.col(right_time).cast("double"), value: F.col(value).cast("double")})
+    both = _beside(left, numbers, keys, left_time, right_time, value, True)
     p, n = F.col("__p"), F.col("__n")
-    between = F.when(n["__t"] > p["__t"], p["__v"] + (n["__v"] - p["__v"]) * (F.col("__t") - p["__t"]) / (n["__t"] - p["__t"])).otherwise(p["__v"])
-    return both.withColumn(out, F.when(p.isNull(), n["__v"]).when(n.isNull(), p["__v"]).otherwise(between)).where("__side = 1").select(*cols, out)
+    between = F.when(n["t"] > p["t"], p["v"] + (n["v"] - p["v"]) * (F.col("__t") - p["t"]) / (n["t"] - p["t"])).otherwise(p["v"])
+    return both.select(*left.columns, F.when(p.isNull(), n["v"]).when(n.isNull(), p["v"]).otherwise(between).alias(out))
 
 
 def slices(n: int, height: int, overlap: float = 0.5, drop: float = 0.15) -> list[dict]:
@@ -162,11 +181,16 @@ def slices(n: int, height: int, overlap: float = 0.5, drop: float = 0.15) -> lis
 
 
 def detrended(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "detrended") -> DataFrame:
-    """y without its least-squares line over x."""
-    w = W.partitionBy(*keys)
-    mx, my = F.avg(x).over(w), F.avg(y).over(w)
-    slope = (F.avg(F.col(x) * F.col(y)).over(w) - mx * my) / (F.avg(F.col(x) * F.col(x)).over(w) - mx * mx)
-    return df.withColumn(out, F.col(y) - my - slope * (F.col(x) - mx))
+    """y without its least-squares line over x: the moments are an aggregation with a map-side part, joined back."""
+    means = df.groupBy(*keys).agg(F.avg(x).alias("__x"), F.avg(y).alias("__y"), F.avg(F.col(x) * F.col(y)).alias("__xy"), F.avg(F.col(x) * F.col(x)).alias("__xx"))
+    mx, my = F.col("__x"), F.col("__y")
+    slope = (F.col("__xy") - mx * my) / (F.col("__xx") - mx * mx)
+    return join_back(df, means, keys).withColumn(out, F.col(y) - my - slope * (F.col(x) - mx)).drop("__x", "__y", "__xy", "__xx")
+
+
+def without_mean(df: DataFrame, keys: Sequence[str], y: str, out: str = "detrended") -> DataFrame:
+    """y without its mean."""
+    return join_back(df, df.groupBy(*keys).agg(F.avg(y).alias("__y")), keys).withColumn(out, F.col(y) - F.col("__y")).drop("__y")
 
 
 def total_variation(df: DataFrame, keys: Sequence[str], row: str, col: str, value: str) -> DataFrame:

@@ -180,9 +180,9 @@ def offsets(df: DataFrame, keys: Sequence[str], row: str, col: str, cell: int =
         wrap = lambda k: int(k - cell if k > cell // 2 else k)
         return pd.DataFrame([(*key, wrap(i), wrap(j), float(x.max()))])
 
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys)
+    kinds = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in keys)
     cells = df.withColumn("cell_row", F.floor(F.col(row) / cell)).withColumn("cell_col", F.floor(F.col(col) / cell))
-    return cells.groupBy(*keys, "cell_row", "cell_col").applyInPandas(run, f"{kinds}, cell_row long, cell_col long, row_shift int, col_shift int, peak double")
+    return cells.groupBy(*keys, "cell_row", "cell_col").applyInPandas(run, f"{kinds}cell_row long, cell_col long, row_shift int, col_shift int, peak double")
 
 
 # texture, resampling, comparison

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import in_ranges, join_back
+
 from ..functions.guards import nan
 
 
@@ -71,14 +73,7 @@ def scaled(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFram
     fine = F.when(~F.isnan(value), F.col(value))
     ends = df.groupBy(*keys).agg(F.min(fine).alias("__low"), F.max(fine).alias("__high"))
     low, high = F.col("__low"), F.col("__high")
-    if keys:
-        ends = ends.withColumnsRenamed({k: f"__{k}" for k in keys})
-        same = F.lit(True)
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-        both = df.join(ends, same, "left").drop(*[f"__{k}" for k in keys])
-    else:
-        both = df.join(F.broadcast(ends), F.lit(True))  # one row
+    both = join_back(df, ends, keys)
     close = F.abs(low - high) <= 1e-8 + 1e-5 * F.abs(high)
     return both.withColumn(out, F.when(fine.isNull(), F.col(value)).when(close, 1.0).otherwise((F.col(value) - low) / (high - low))).drop("__low", "__high")
 
@@ -106,8 +101,7 @@ def pareto_front(df: DataFrame, x: str, y: str, ranges: int = 64) -> DataFrame:
     tasks, and each range has a running maximum of its own.
     """
     tops = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x).agg(F.max(y).alias("top"))
-    cuts = tops.agg(F.percentile_approx(x, [k / ranges for k in range(1, ranges)], 10_000).alias("__cuts"))  # one row
-    parts = tops.join(F.broadcast(cuts), F.lit(True)).withColumn("part", F.size(F.filter("__cuts", lambda c: c < F.col(x)))).drop("__cuts")
+    parts = in_ranges(tops, x, ranges, "part")
     ends = parts.groupBy("part").agg(F.max("top").alias("part_top")).select(F.col("part").alias("beyond_part"), "part_top")  # a row a range
     own = F.max("top").over(W.partitionBy("part").orderBy(F.col(x).desc()).rowsBetween(W.unboundedPreceding, -1))
     later = F.broadcast(ends.agg(F.collect_list(F.struct("beyond_part", "part_top")).alias("__ends")))

@@ -184,6 +184,66 @@ def test_grids_and_products_together(spark):
     assert sorted(map(tuple, rows)) == [(1, 2, -2.0, 3.0), (2, 1, 0.0, 0.0)]
 
 
+def test_pair_workflow(spark):
+    """A shifted image with a phase ramp is brought back, its interferogram is the ramp, and the coherence near 1."""
+    from echograin.plans import workflows
+
+    rng = np.random.default_rng(9)
+    z = rng.normal(size=(64, 64)) + 1j * rng.normal(size=(64, 64))
+    ramp = np.exp(0.01j * np.arange(64))[None, :]
+    other = np.roll(z * ramp, (3, -2), (0, 1))
+    image = lambda a: spark.createDataFrame([(i, j, float(a[i, j].real), float(a[i, j].imag)) for i in range(64) for j in range(64)], "row int, col int, i double, q double")
+    got = workflows.pair_workflow(image(z), image(other), 64, 64)
+    phase = {(r["row"], r["col"]): r["phase"] for r in got["interferogram"].collect()}
+    assert len(phase) == 61 * 62 and np.allclose([phase[20, c] for c in range(10, 50)], [-0.01 * c for c in range(10, 50)], atol=1e-6)
+    assert got["coherence"].where("row between 10 and 50 and col between 10 and 50").agg(F.min("coherence")).first()[0] > 0.99
+    smooth = workflows.pair_workflow(image(z), image(other), 64, 64, smooth=1.0)["interferogram"]
+    assert smooth.columns == ["row", "col", "re", "im", "phase"]
+
+
+def test_tiles_and_swaths(spark):
+    from echograin.plans import recipes, workflows
+
+    a = np.arange(1.0, 101.0).reshape(10, 10)
+    a[0, 0] = 0
+    image = raster(spark, a).withColumnsRenamed({"r": "row", "c": "col"}).drop("tile")
+    tiles = spark.createDataFrame([("a", 0, 0, 4, 4), ("b", 3, 5, 4, 4), ("c", 8, 8, 4, 4), ("d", 40, 0, 4, 4)], "tile string, row0 int, col0 int, height int, width int")
+    cut = workflows.cut_into_tiles(image, tiles, ["v"])
+    assert np.array_equal(as_array(cut.where("tile = 'b'").withColumnsRenamed({"row": "r", "col": "c"}), (4, 4), "v"), a[3:7, 5:9])
+    assert {r["tile"]: (r["pixels"], r["valid"], r["status"]) for r in workflows.tile_outcomes(cut, tiles, "v").collect()} == {"a": (16, 15, "partial"), "b": (16, 16, "success"), "c": (4, 4, "partial"), "d": (0, 0, "skipped")}
+    product = spark.createDataFrame([("IW1", 2.0), ("IW2", 3.0), ("IW3", 4.0)], "swath string, amplitude double")
+    got = workflows.by_swath(product, ["IW1", "IW3"], [recipes.calibrate("amplitude", 1.0, "s")])
+    assert sorted((r["swath"], r["s"]) for r in got.collect()) == [("IW1", 4.0), ("IW3", 16.0)]
+    assert workflows.export_problems({"x": product})["x"] == ["i", "q", "height", "lat", "lon"]
+
+
+def test_asof_over_ranges_and_null_keys(spark):
+    rng = np.random.default_rng(12)
+    left = [(k, int(t)) for k in (None, "a") for t in rng.integers(0, 1000, 300)]
+    right = [(k, int(t), float(t) / 10) for k in (None, "a", "b") for t in sorted(set(rng.integers(200, 900, 40).tolist()))]
+    got = nb.asof_join(spark.createDataFrame(left, "k string, t int"), spark.createDataFrame(right, "k string, u int, v double"), ["k"], "t", "u", "v", "last").collect()
+    for r in got:
+        known = [v for k, u, v in right if k == r["k"] and u <= r["t"]]
+        assert r["last"] == (max(known) if known else None)
+    assert len(got) == len(left)
+    one = nb.without_mean(spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "k string, v double"), ["k"], "v").collect()
+    assert sorted(r["detrended"] for r in one) == [-1.0, 0.0, 1.0]
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    import sys
+
+    from echograin.__main__ import main
+
+    spark.createDataFrame([(2.0,)], "amplitude double").write.parquet(str(tmp_path / "in"))
+    monkeypatch.setattr(sys, "argv", ["echograin", "recipe", "json", str(tmp_path / "in"), str(tmp_path / "out"), "--json", '[{"calibrate": {"band": "amplitude", "gain": 1.0, "out": "s"}}]'])
+    main()
+    assert spark.read.parquet(str(tmp_path / "out")).first()["s"] == 4.0
+    monkeypatch.setattr(sys, "argv", ["echograin", "list"])
+    main()
+    assert "recipe tops" in capsys.readouterr().out
+
+
 def test_multiplied_by_an_axis(spark):
     from echograin.operators import focusing
 
