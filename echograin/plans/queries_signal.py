@@ -58,17 +58,26 @@ def flip_undersample(spark, d):
     return nb.undersample(f, "r", "c", 2, 5).select("tile", "r", "c", _r(F.col("v")).alias("v"))
 
 
-@query("speckle_lee", None)
+@query("speckle_lee", f"""
+WITH p AS (SELECT tile, r, c, v, max(r) OVER (PARTITION BY tile) AS h FROM {_RASTER}), o AS (SELECT unnest(range(-2, 3)) AS o),
+m AS (SELECT p.tile, p.r, p.c, any_value(p.v) AS v, avg(q.v) AS m, greatest(avg(q.v * q.v) - avg(q.v) * avg(q.v), 0) AS s FROM p, o a, o b, p q WHERE q.tile = p.tile AND q.r = least(p.h, greatest(0, p.r + a.o)) AND q.c = least(49, greatest(0, p.c + b.o)) GROUP BY 1, 2, 3)
+SELECT tile, r, c, round(m + CASE WHEN m <> 0 AND s / (m * m) > 1 THEN 1 - 1 / (s / (m * m)) ELSE 0 END * (v - m), 6) AS filtered FROM m""")
 def speckle_lee(spark, d):
     return nb.lee_filter(_raster(spark, d), ["tile"], "r", "c", "v", 5).withColumn("filtered", _r(F.col("filtered")))
 
 
-@query("cfar_detect", None)
+@query("cfar_detect", f"""
+WITH p AS (SELECT tile, r, c, v, max(r) OVER (PARTITION BY tile) AS h FROM {_RASTER}), o AS (SELECT unnest(range(-3, 4)) AS o),
+m AS (SELECT p.tile, p.r, p.c, any_value(p.v) AS v, avg(q.v) AS outer_, sum(CASE WHEN abs(a.o) <= 1 AND abs(b.o) <= 1 THEN q.v END) / 9 AS inner_ FROM p, o a, o b, p q WHERE q.tile = p.tile AND q.r = least(p.h, greatest(0, p.r + a.o)) AND q.c = least(49, greatest(0, p.c + b.o)) GROUP BY 1, 2, 3)
+SELECT tile, r, c, v > 1.5 * (outer_ * 49 - inner_ * 9) / 40 AS detected FROM m""")
 def cfar_detect(spark, d):
     return nb.cfar(_raster(spark, d), ["tile"], "r", "c", "v", 3, 7, 1.5).select("tile", "r", "c", "detected")
 
 
-@query("coherence_window", None)
+@query("coherence_window", f"""
+WITH p AS (SELECT tile, r, c, v AS ar, c / 50 AS ai, v * 0.9 AS br, r / 40 AS bi, max(r) OVER (PARTITION BY tile) AS h FROM {_RASTER}), o AS (SELECT unnest(range(-2, 3)) AS o),
+m AS (SELECT p.tile, p.r, p.c, avg(q.ar * q.br + q.ai * q.bi) AS re, avg(q.ai * q.br - q.ar * q.bi) AS im, avg(q.ar * q.ar + q.ai * q.ai) AS pa, avg(q.br * q.br + q.bi * q.bi) AS pb FROM p, o a, o b, p q WHERE q.tile = p.tile AND q.r = least(p.h, greatest(0, p.r + a.o)) AND q.c = least(49, greatest(0, p.c + b.o)) GROUP BY 1, 2, 3)
+SELECT tile, r, c, round(sqrt(re * re + im * im) / (sqrt(pa * pb) + 1e-8), 6) AS coherence FROM m""")
 def coherence_window(spark, d):
     r = _raster(spark, d).select("tile", "r", "c", F.col("v").alias("ar"), (F.col("c") / 50).alias("ai"), (F.col("v") * 0.9).alias("br"), (F.col("r") / 40).alias("bi"))
     return nb.windowed_coherence(r, ["tile"], "r", "c", 5).withColumn("coherence", _r(F.col("coherence")))
@@ -119,7 +128,10 @@ def asof_join(spark, d):
     return nb.asof_join(left, right, ["g"], "l_shipdate", "o_orderdate", "p", "last_price").select("l_orderkey", "l_linenumber", "last_price")
 
 
-@query("interpolate", None)
+@query("interpolate", """
+WITH l AS (SELECT event_id, epoch_us(ts) AS t, user_id % 4 AS g FROM events), r AS (SELECT (user_id + 3) % 4 AS g, epoch_us(ts) AS t, max(value) AS v FROM events GROUP BY 1, 2),
+p AS (SELECT l.*, r.t AS pt, r.v AS pv FROM l ASOF LEFT JOIN r ON l.g = r.g AND l.t >= r.t), n AS (SELECT l.event_id, r.t AS nt, r.v AS nv FROM l ASOF LEFT JOIN r ON l.g = r.g AND l.t <= r.t)
+SELECT event_id, round(CASE WHEN pt IS NULL THEN nv WHEN nt IS NULL THEN pv WHEN nt > pt THEN pv + (nv - pv) * (t - pt) / (nt - pt) ELSE pv END, 4) AS value FROM p JOIN n USING (event_id)""")
 def interpolate(spark, d):
     """Every event gets the value of the next group of users at its time; every event is a sample of its own group."""
     t = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -136,7 +148,10 @@ def detrend(spark, d):
     return nb.detrended(e, ["event_type"], "x", "value").select("event_id", _r(F.col("detrended"), 4).alias("detrended"))
 
 
-@query("equalize_histogram", None)
+@query("equalize_histogram", """
+WITH e AS (SELECT event_id, value, min(value) OVER () AS lo, (max(value) OVER () - min(value) OVER ()) / 8 AS w FROM events), b AS (SELECT *, least(7, floor((value - lo) / w))::INT AS i, (value - lo) / w AS x FROM e),
+c AS (SELECT k, (SELECT count(*) FROM b WHERE i <= k) * 255.0::DOUBLE / (SELECT count(*) FROM b) AS cdf FROM (SELECT unnest(range(0, 8)) AS k) t)
+SELECT event_id, round(h.cdf + (coalesce(n.cdf, h.cdf) - h.cdf) * least(1.0, x - i), 6) AS equalized FROM b JOIN c h ON h.k = i LEFT JOIN c n ON n.k = i + 1""")
 def equalize_histogram(spark, d):
     return nb.histogram_equalized(_table(spark, d, "events").select("event_id", "value"), "value").select("event_id", _r(F.col("equalized")).alias("equalized"))
 
@@ -181,7 +196,11 @@ def fft_2d_roundtrip(spark, d):
     return kn.fft_2d(f, ["tile"], "r", "c", "re", "im", inverse=True).select("tile", "r", "c", _r(F.col("re"), 5).alias("v"))
 
 
-@query("sublooks", None)
+@query("sublooks", f"""
+WITH f AS (SELECT tile, r, k, sum(v * cos(2 * pi() * k * c / 50)) AS re, -sum(v * sin(2 * pi() * k * c / 50)) AS im FROM {_RASTER}, (SELECT unnest(range(0, 50)) AS k) t GROUP BY tile, r, k),
+q AS (SELECT *, CASE WHEN (k + 25) % 50 < 16 THEN 0 WHEN (k + 25) % 50 < 33 THEN 1 ELSE 2 END AS look FROM f)
+SELECT tile, look, r, c::INT AS c, round(sqrt(sum(re * cos(2 * pi() * k * c / 50) - im * sin(2 * pi() * k * c / 50)) ** 2 + sum(re * sin(2 * pi() * k * c / 50) + im * cos(2 * pi() * k * c / 50)) ** 2) / 50 * sqrt(50.0 / CASE look WHEN 0 THEN 16 ELSE 17 END), 5) AS mag
+FROM q, (SELECT unnest(range(0, 50)) AS c) t GROUP BY tile, look, r, c""")
 def sublooks(spark, d):
     r = _raster(spark, d).select("tile", "r", "c", F.col("v").alias("re"), F.lit(0.0).alias("im"))
     s = kn.sublooks(r, ["tile"], "r", "c", "re", "im", 3)
@@ -291,7 +310,11 @@ def interferogram(spark, d):
     return po.interferogram(pair).select("l_orderkey", "l_linenumber", _r(F.col("re")).alias("re"), (_r(F.col("im")) + 0.0).alias("im"))
 
 
-@query("ssim_window", None)
+@query("ssim_window", f"""
+WITH p AS (SELECT tile, r, c, v AS x, v * 0.9 + c / 100 AS y, max(r) OVER (PARTITION BY tile) AS h FROM {_RASTER}), o AS (SELECT unnest(range(-3, 4)) AS o),
+m AS (SELECT p.tile, p.r, p.c, avg(q.x) AS x, avg(q.y) AS y, avg(q.x * q.x) AS xx, avg(q.y * q.y) AS yy, avg(q.x * q.y) AS xy FROM p, o a, o b, p q WHERE q.tile = p.tile AND q.r = least(p.h, greatest(0, p.r + a.o)) AND q.c = least(49, greatest(0, p.c + b.o)) GROUP BY 1, 2, 3),
+t AS (SELECT tile, max(x) AS top FROM p GROUP BY tile)
+SELECT tile, round(avg((2 * x * y + (0.01 * top) ** 2) * (2 * (xy - x * y) + (0.03 * top) ** 2) / ((x * x + y * y + (0.01 * top) ** 2) * (xx - x * x + yy - y * y + (0.03 * top) ** 2))), 5) AS ssim FROM m JOIN t USING (tile) GROUP BY tile""")
 def ssim_window(spark, d):
     from ..operators import product_ops as po
 
