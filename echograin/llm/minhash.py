@@ -54,6 +54,8 @@ LOW, NEAR = 0.54, 0.70
 SMALL, NEAREST = 8, 3
 #: Members of a bucket that meet in one task; more are cut into parts.
 PER_PART = 4096
+#: Shingles of the sets that meet in one task in the second pass, residents and visitors each.
+PART_SHINGLES = 4_000_000
 #: Crowded buckets are broadcast up to this number, beyond it they are joined by their key.
 BROADCAST_ROWS = 200_000
 
@@ -272,11 +274,11 @@ def _by_group(batches: Iterator[pa.RecordBatch], done: Callable[[pa.Table, np.nd
         yield groups(pa.Table.from_batches(rest))
 
 
-_MET_DDL = "a long, b long, key long, sign binary"
+_MET_DDL = "a long, b long, key long, size int, sign binary"
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Band rows (key, part, id, size, sign, cut) in order to candidate links (a, b) and the members (a, key, sign) of
+    """Band rows (key, part, id, size, sign, cut) in order to candidate links (a, b) and the members (a, key, size, sign) of
     open buckets; cut: whether the bucket lies in several parts, which haven't all met."""
 
     def done(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
@@ -294,9 +296,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left[a:b] |= passed
         pairs, members = _linked(np.concatenate(links)), rows.filter(pa.array(left)).combine_chunks()
         none = pa.nulls(len(members), pa.int64())
-        member = [members[c].combine_chunks() if len(members) else pa.nulls(0, members.schema.field(c).type) for c in ("id", "key", "sign")]
-        columns = [pa.concat_arrays([pa.array(pairs[:, 0]), member[0]]), pa.concat_arrays([pa.array(pairs[:, 1]), none]), pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), member[1]]), pa.concat_arrays([pa.nulls(len(pairs), pa.binary()), member[2]])]
-        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "key", "sign"])
+        member = [members[c].combine_chunks() if len(members) else pa.nulls(0, members.schema.field(c).type) for c in ("id", "key", "size", "sign")]
+        columns = [pa.concat_arrays([pa.array(pairs[:, 0]), member[0]]), pa.concat_arrays([pa.array(pairs[:, 1]), none]), *[pa.concat_arrays([pa.nulls(len(pairs), m.type), m]) for m in member[1:]]]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "key", "size", "sign"])
 
     return _by_group(batches, done)
 
@@ -375,15 +377,20 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined_up(texts: DataFrame, rows: DataFrame, found: DataFrame, per_part: int) -> DataFrame:
-    """Confirmed links (a, b) between the components (id, component) of members (key, id, sign) of open buckets.
+    """Confirmed links (a, b) between the components (id, component) of members (key, id, size, sign) of open buckets.
 
-    A bucket's members stay in parts of per_part, those outside its largest
-    component visit all of them, per_part visitors at a time.
+    A bucket's members stay in parts of about per_part members, fewer if their
+    sets are large; those outside its largest component visit all parts, as many
+    at a time.
     """
     rows = shared_table(rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    buckets = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
-    buckets = buckets.agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("n_outside")).where("n_outside > 0")
-    parts, guests = F.ceil(F.col("n") / per_part).cast("int"), F.ceil(F.col("n_outside") / per_part).cast("int")
+    buckets = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("s")).groupBy("key")
+    largest = F.struct("n", "component")
+    buckets = buckets.agg(
+        F.max_by("component", largest).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s"), (F.sum("n") - F.max("n")).alias("n_outside"), (F.sum("s") - F.max_by("s", largest)).alias("s_outside")
+    ).where("n_outside > 0")
+    cut = lambda n, shingles: F.greatest(F.ceil(F.col(n) / per_part), F.ceil(F.col(shingles) / PART_SHINGLES)).cast("int")
+    parts, guests = cut("n", "s"), cut("n_outside", "s_outside")
     rows = spread_join(rows, buckets, "key", hot_keys(rows, "key"), "id", "inner").withColumns({"outside": F.col("component") != F.col("main"), "parts": parts, "guests": guests})
     home, guest = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("guests")).cast("int")
     role = lambda r, v, stays, visits: F.struct((r * F.col("guests") + v).alias("part"), stays.alias("stays"), visits.alias("visits"))
@@ -419,7 +426,7 @@ def near_duplicates(docs: DataFrame, per_part: int = PER_PART) -> DataFrame:
     rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce(F.ceil(F.col("n") / per_part), F.lit(1))).cast("int")).select("key", "part", "id", "size", "sign", F.col("n").isNotNull().alias("cut"))
     met = shared_table(rows.repartition("key", "part").sortWithinPartitions("key", "part", "id").mapInArrow(_meet, _MET_DDL))
     links = shared_table(met.where("b is not null").select("a", "b").distinct())
-    members = met.where("b is null").select("key", F.col("a").alias("id"), "sign")
+    members = met.where("b is null").select("key", F.col("a").alias("id"), "size", "sign")
     # the members of an open bucket that have a likely partner are in links, unless their bucket lies in parts
     ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).union(members.join(crowded, "key").select("id")).distinct()
     texts = shared_table(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ends.hint("merge"), "id", "left_semi"))
