@@ -764,6 +764,14 @@ def test_minhash_of_crowded_buckets_in_parts(spark):
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, per_part=16).collect()} == want
 
 
+def test_minhash_of_large_sets_in_parts(spark, monkeypatch):
+    """Parts are cut by the size of the sets too."""
+    monkeypatch.setattr(minhash, "PART_SHINGLES", 3000)
+    data = crowded_texts(60, 8, seed=8)
+    want = brute_components({i: shingles(t) for i, t in data})
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows(data), DOCS)).collect()} == want
+
+
 def test_minhash_of_rows_that_share_an_id_and_of_a_tie(spark):
     w = [f"w{i}" for i in range(11)]  # 7 shingles
     tie = " ".join(w[:10])  # 6 of the 7: 85 percent
