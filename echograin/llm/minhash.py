@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import hot_keys, shared_table, spread_join
-from .textcols import SPACE_BYTES, byte_table, column_chunks, hash_spans, mix64, spans, window_hashes
+from .textcols import FIRST, SPACE_BYTES, byte_table, column_chunks, hash_spans, mix64, spans, window_hashes
 
 SHINGLE, HASHES, BANDS, BITS = 5, 128, 32, 2
 PERCENT = 75
@@ -69,7 +69,7 @@ def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarra
     """Sorted distinct shingle hashes of each text."""
     for _, _, data, offsets in column_chunks(column):
         starts, ends, rows = spans(~_SEP[data], offsets)
-        words = hash_spans(data, starts, ends, _VALUES)
+        words = hash_spans(data, starts, ends, _VALUES, FIRST)
         h, at = window_hashes(words, rows, shingle)
         cuts = np.searchsorted(at, rows)
         few = np.diff(rows)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import shared_table
-from .textcols import SPACE_BYTES, byte_table, column_chunks, hash_spans, mix64, spans
+from .textcols import SPACE_BYTES, byte_table, column_chunks, distinct_spans, mix64, spans
 
 CAPACITY = 4096
 END_ID = 1
@@ -46,6 +46,7 @@ KEPT = 200_000
 
 _FOLDED = byte_table(SPACE_BYTES, fold_case=True, seed=3)
 _AS_IT_IS = byte_table(SPACE_BYTES, seed=4)
+_FOLD = bytes(range(256)).lower()
 
 
 #: ASCII letters, and ASCII characters that are neither letters, digits, space, controls nor the apostrophe of contractions.
@@ -66,14 +67,14 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
-        self.recent: dict[int, bytes] = {}
-        self.older: dict[int, bytes] = {}
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def words(self, keys: list[int], words: list[bytes]) -> list[bytes]:
+    def words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word as little-endian 32-bit numbers."""
-        out: list = [None] * len(keys)
+        out: list = [None] * len(words)
         missing = []
-        for i, k in enumerate(keys):
+        for i, k in enumerate(words):
             x = self.recent.get(k)
             if x is None:
                 x = self.older.get(k)
@@ -86,7 +87,7 @@ class WordTokenizer:
             for i, e in zip(missing, self.library.encode_batch_fast([words[i].decode() for i in missing], add_special_tokens=False), strict=True):
                 out[i] = array("I", e.ids).tobytes()
                 if len(words[i]) <= 64:
-                    self.recent[keys[i]] = out[i]
+                    self.recent[words[i]] = out[i]
         if len(self.recent) >= KEPT:
             self.recent, self.older = {}, self.recent
         return out
@@ -105,8 +106,9 @@ class WordTokenizer:
                 inner = inner[~np.isin(inner, offsets)]  # a text's start is a start already
                 starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
                 rows = np.searchsorted(starts, offsets)
-            keys, at, back = np.unique(hash_spans(data, starts, ends, values), return_index=True, return_inverse=True)
-            found = self.words(keys.tolist(), [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            at, back = distinct_spans(data, starts, ends, values, None if special else _FOLD)
+            words = [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            found = self.words(words if special else [w.lower() for w in words])
             all_ids = np.array([*found, None], object)[:-1][back].tolist()
             rows = rows.tolist()
             for a, b in zip(rows[:-1], rows[1:], strict=True):

@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .textcols import byte_table, column_chunks, hash_spans
+from .textcols import byte_table, column_chunks, distinct_spans
 
 MARK = "▁"
 #: Segments kept per process: so many recent ones and as many of the time before.
@@ -83,8 +83,8 @@ class PieceModel:
                 self.automaton.add_word(s, i)
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.recent: dict[int, tuple[int, str, str]] = {}
-        self.older: dict[int, tuple[int, str, str]] = {}
+        self.recent: dict[bytes, tuple[int, str, str]] = {}
+        self.older: dict[bytes, tuple[int, str, str]] = {}
         self.id_texts = [f" {i}" for i in range(n)]
         self.texts = ["" if i in special else x.replace(MARK, " ") for i, x in enumerate(self.strings)]
         self.sizes = [len(x) for x in self.strings]
@@ -186,11 +186,11 @@ class PieceModel:
             return [self.end]
         return [*self.encode_segment(MARK + text.replace(" ", MARK)), self.end]
 
-    def segment(self, raw: bytes, key: int) -> tuple[int, str, str]:
+    def segment(self, raw: bytes) -> tuple[int, str, str]:
         """(count of ids, ids as text with a space before each, decoded text) of a segment."""
-        found = self.recent.get(key)
+        found = self.recent.get(raw)
         if found is None:
-            found = self.older.get(key)
+            found = self.older.get(raw)
             if found is None:
                 ids = self.encode_segment(raw.decode().replace(" ", MARK))
                 if self.id_of_byte.keys().isdisjoint(ids):
@@ -201,7 +201,7 @@ class PieceModel:
             if len(raw) <= KEPT_LENGTH:
                 if len(self.recent) >= KEPT:
                     self.recent, self.older = {}, self.recent
-                self.recent[key] = found
+                self.recent[raw] = found
         return found
 
 
@@ -231,9 +231,9 @@ def encoded_column(model: PieceModel, column: pa.Array) -> Iterator[tuple[int, s
         first[offsets[offsets < len(data)]] = True
         starts = np.flatnonzero(first)
         ends = np.append(starts[1:], len(data))
-        keys, at, back = np.unique(hash_spans(data, starts, ends, _ALL_BYTES), return_index=True, return_inverse=True)
+        at, back = distinct_spans(data, starts, ends, _ALL_BYTES)
         raw = data.tobytes()
-        found = [model.segment(raw[s:e], k) for k, s, e in zip(keys.tolist(), starts[at].tolist(), ends[at].tolist(), strict=True)]
+        found = [model.segment(raw[s:e]) for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
         counts = np.fromiter((x[0] for x in found), np.int64, len(found))[back]
         ids, texts = np.array([x[1] for x in found], object)[back].tolist(), np.array([x[2] for x in found], object)[back].tolist()
         rows = np.searchsorted(starts, offsets).tolist()

@@ -41,24 +41,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textcols import SPACE_BYTES, byte_table, column_chunks, hash_spans, mix64, spans, window_hashes
+from .textcols import FIRST, SECOND, SPACE_BYTES, byte_table, column_chunks, hash_spans, mix64, spans, window_hashes
 
 _SEP, _VALUES = byte_table(SPACE_BYTES, seed=7)
 #: Text that one packed row group covers.
 UNIT_BYTES = 8 << 20
 ALIGNED = np.uint16(1 << 15)
-_CHECK = np.uint64(0xA0761D6478BD642F)
 
 
 class _Unit:
     """Windows of some documents."""
 
     def __init__(self, column: pa.Array, first: int, last: int):
-        self.first = first
+        self.first, self._texts = first, column.slice(first, last - first)
         words, counts = [], []
-        for _, _, data, offsets in column_chunks(column.slice(first, last - first)):
+        for _, _, data, offsets in column_chunks(self._texts):
             starts, ends, rows = spans(~_SEP[data], offsets)
-            words.append(hash_spans(data, starts, ends, _VALUES))
+            words.append(hash_spans(data, starts, ends, _VALUES, FIRST))
             counts.append(np.diff(rows))
         self.words = np.concatenate(words) if words else np.zeros(0, np.uint64)
         self.rows = np.append(0, np.cumsum(np.concatenate(counts) if counts else np.zeros(0, np.int64)))
@@ -69,8 +68,12 @@ class _Unit:
         return h, at, np.searchsorted(self.rows, at, "right") - 1
 
     def checks(self, size: int) -> np.ndarray:
-        """A second hash of the same windows, from other values of the words."""
-        return (window_hashes(mix64(self.words ^ _CHECK), self.rows, size)[0] >> np.uint64(32)).astype(np.uint32)
+        """A second hash of the same windows, from the bytes of their words by other keys."""
+        words = [np.zeros(0, np.uint64)]
+        for _, _, data, offsets in column_chunks(self._texts):
+            starts, ends, _ = spans(~_SEP[data], offsets)
+            words.append(hash_spans(data, starts, ends, _VALUES, SECOND))
+        return (window_hashes(np.concatenate(words), self.rows, size)[0] >> np.uint64(32)).astype(np.uint32)
 
 
 def _units(column: pa.Array) -> Iterator[_Unit]:

@@ -43,6 +43,9 @@ def _powers(base: int, n: int) -> np.ndarray:
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_POWERS = _powers(_BASE, LONG_WORD + 1)
+#: Independent random keys, one for each position of a byte in its word: no pattern of a word cancels out as it does
+#: with powers.  Words are told apart by FIRST; SECOND is there to check, from the bytes again.
+FIRST, SECOND = (mix64(np.arange(1, LONG_WORD + 2, dtype=np.uint64) * _U(0xD6E8FEB86659FD93) + mix64(_U(k))) | _U(1) for k in (101, 202))
 _grown: dict[int, np.ndarray] = {}
 
 
@@ -103,9 +106,10 @@ def spans(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray, keys: np.ndarray = _BYTE_POWERS) -> np.ndarray:
     """A 64-bit hash of each span.  Spans have to be in order and apart; what
-    lies between them has to have the value 0 or to touch no span."""
+    lies between them has to have the value 0 or to touch no span.  The default keys, powers of one base, are for
+    features only: long words of two letters can be made to collide with them."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts
@@ -116,15 +120,41 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: n
         at = np.arange(int(ends[-1]) - begin, dtype=np.int32) - np.repeat((starts - begin).astype(np.int32), reach)
         np.minimum(at, LONG_WORD, out=at)
         v = values[data[begin : int(ends[-1])]]
-        v *= _BYTE_POWERS[at]
+        v *= keys[at]
         h = np.add.reduceat(v, starts - begin)
         h = mix64(h + lengths.astype(np.uint64) * _U(_BASE))
     for i in np.flatnonzero(lengths > LONG_WORD):
         word = values[data[starts[i] : ends[i]]].tobytes()
-        h[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        h[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"" if keys is _BYTE_POWERS else keys[:2].tobytes()).digest(), "little")
     return h
 
 
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray, fold: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(one span of each distinct word, which of them each span is).  Spans are sorted by their hashes and then
+    compared byte by byte with the one that stands for them; ``fold`` maps bytes that count as equal."""
+    _, at, back = np.unique(hash_spans(data, starts, ends, values, FIRST), return_index=True, return_inverse=True)
+    if not len(at):
+        return at, back
+    if fold is not None:
+        data = np.frombuffer(fold, np.uint8)[data]
+    like = at[back]
+    lengths = ends - starts
+    same = np.array_equal(lengths, lengths[like])
+    if same:
+        reach = np.repeat((starts[like] - starts).astype(np.int32), lengths)
+        here = np.arange(len(reach), dtype=np.int32) + np.repeat((starts - np.cumsum(lengths) + lengths).astype(np.int32), lengths)
+        same = bool((data[here] == data[here + reach]).all())
+    if not same:  # two words of one hash
+        raw, number, at = data.tobytes(), {}, []
+        for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+            k = number.setdefault(raw[a:b], len(number))
+            if k == len(at):
+                at.append(i)
+            back[i] = k
+        at = np.array(at)
+    return at, back
+
+
 def window_hashes(words: np.ndarray, pointer: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, first word) of every window of ``size`` words inside a row; pointer: rows' first words."""
     n = len(words)
