@@ -237,12 +237,18 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(band_keys(low).ravel().view(np.int64)), pa.array(ids), pa.array(sizes, pa.int32()), sign.take(pa.array(row))], names=["key", "id", "size", "sign"])
 
 
-def _met_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """minima to the buckets that two or more of a batch share, with their number: enough to know the crowded ones, as
-    a bucket that hardly any batch has two of is small beside the table."""
+def _bucket_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """minima to the buckets of a batch, each with its number of members there."""
     for batch in batches:
         keys, n = np.unique(band_keys(_minima(batch.column(0))).ravel(), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+
+def crowded_buckets(leaders: DataFrame, per_part: int) -> DataFrame:
+    """(key, n): the buckets of more than per_part members, however thinly they lie over the batches.  All buckets are
+    counted, which sends 32 numbers a text; it is what cutting them into parts rests on."""
+    met = leaders.select("minima").mapInArrow(_bucket_keys, "key long, n long")
+    return shared_table(met.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > per_part))
 
 
 def _by_group(batches: Iterator[pa.RecordBatch], done: Callable[[pa.Table, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,8 +424,7 @@ def near_duplicates(docs: DataFrame, per_part: int = PER_PART) -> DataFrame:
     classes = known.groupBy("class").agg(F.min_by(F.struct(F.col("doc_id").cast("long").alias("id"), F.col("size").cast("int").alias("size"), "minima"), "doc_id").alias("first"))
     classes = shared_table(classes.select("class", "first.*"))
     leaders = classes.select("id", "size", "minima")
-    crowded = leaders.select("minima").mapInArrow(_met_twice, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > per_part)
-    crowded = shared_table(crowded)
+    crowded = crowded_buckets(leaders, per_part)
     if crowded.count() <= BROADCAST_ROWS:
         crowded = F.broadcast(crowded)
     rows = leaders.mapInArrow(_spread, _ROWS_DDL).join(crowded, "key", "left")

@@ -62,3 +62,16 @@ def test_passages_and_shingles_of_other_words(spark):
     assert got[2]["kept_sha256"] == sha256(" ".join([*words, OTHER]).encode()).hexdigest()
     few = spark.createDataFrame([(1, f"p q r s {ONE}"), (2, f"p q r s {OTHER}")], DOCS)
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(few).collect()} == {1: 1, 2: 2}
+
+
+def test_crowded_buckets_are_counted_over_all_batches(spark):
+    """40 members of one bucket, each in a batch of its own, and texts that share nothing with it."""
+    base = [f"c{k}" for k in range(60)]
+    texts = [" ".join([*base, f"own{k}"]) for k in range(40)] + [" ".join(f"o{k}x{j}" for j in range(30)) for k in range(10)]
+    sets = list(minhash.shingle_sets(pa.array(texts)))
+    low = [x.astype("<u4").tobytes() for x in minhash.minima(sets)]
+    leaders = spark.createDataFrame([(bytearray(x),) for x in low], "minima binary").repartition(50)
+    keys = minhash.band_keys(np.frombuffer(b"".join(low), "<u4").reshape(-1, minhash.HASHES)).view(np.int64).ravel()
+    found, n = np.unique(keys, return_counts=True)
+    got = {r["key"]: r["n"] for r in minhash.crowded_buckets(leaders, 16).collect()}
+    assert got and got == dict(zip(found[n > 16].tolist(), n[n > 16].tolist(), strict=True))
