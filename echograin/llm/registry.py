@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_blocks, lattice, line_crf, line_quality, minhash, packing, piece_bpe, substring_dedup, toxicity, url_filters
+from . import fingerprints, html_blocks, lattice, line_crf, line_quality, minhash, packing, piece_bpe, substring_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_line_quality": line_quality.op1_line_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_minhash": minhash.op8_minhash,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_lattice": lattice.op10_lattice,
+    "op11_fingerprints": fingerprints.op11_fingerprints,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op8_minhash": minhash.SQL,
     "op9_url_filters": url_filters.SQL,
     "op10_lattice": lattice.SQL,
+    "op11_fingerprints": fingerprints.SQL,
 }
