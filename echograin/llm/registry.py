@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, html_blocks, lattice, line_crf, line_quality, minhash, packing, piece_bpe, substring_dedup, toxicity, url_filters, whitening
+from . import alignment, fingerprints, html_blocks, lattice, line_crf, line_quality, minhash, packing, piece_bpe, substring_dedup, toxicity, url_filters, whitening
 
 QUERIES = {
     "op1_line_quality": line_quality.op1_line_quality,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_lattice": lattice.op10_lattice,
     "op11_fingerprints": fingerprints.op11_fingerprints,
+    "op12_alignment": alignment.op12_alignment,
     "op13_whitening": whitening.op13_whitening,
 }
 
