@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,13 @@ def _cells(path: str, band: str, a: np.ndarray, step: int) -> Iterator[pd.DataFr
         yield pd.DataFrame({"path": path, "band": band, "row": (rows + r).ravel().astype("int32"), "col": cols.ravel().astype("int32"), "value": part.ravel().astype("float32")})
 
 
+def cell_batch(path: str, band: str, rows: np.ndarray, cols: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """Cells as an Arrow batch, in which NaN stays NaN."""
+    same = lambda x: pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(rows), np.int32)), pa.array([x])).cast(pa.string())
+    columns = [same(path), same(band), pa.array(rows.astype(np.int32)), pa.array(cols.astype(np.int32)), pa.array(values.astype(np.float32))]
+    return pa.RecordBatch.from_arrays(columns, names=["path", "band", "row", "col", "value"])
+
+
 def envi_header(text: str) -> dict[str, str]:
     """Fields of an ENVI header, braces joined."""
     joined = re.sub(r"\{([^}]*)\}", lambda m: " ".join(m[1].split()), text)
