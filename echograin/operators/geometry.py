@@ -27,23 +27,23 @@ def grid(spark: SparkSession, height: int, width: int, row: str = "row", col: st
     return spark.range(height).select(F.col("id").cast("int").alias(row), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias(col))
 
 
-def sampled(image: DataFrame, targets: DataFrame, row: str, col: str, value: str, y: str = "y", x: str = "x", method: str = "bilinear") -> DataFrame:
+def sampled(image: DataFrame, targets: DataFrame, row: str, col: str, value: str, y: str = "y", x: str = "x", method: str = "bilinear", keys: Sequence[str] = ()) -> DataFrame:
     """targets with the image's value at their place (y, x) in its pixels; null beyond its edge or beside a missing pixel.
 
-    nearest: halves go up.  bilinear: weights by the distance to the four pixels around; pixels of weight 0 aren't needed.
+    keys: columns of both that name the image of a stack.  nearest: halves go up.  bilinear: weights by the distance to the four pixels around; pixels of weight 0 aren't needed.
     """
-    source = image.select(F.col(row).cast("long").alias("__i"), F.col(col).cast("long").alias("__j"), F.col(value).alias("__v"))
+    source = image.select(*keys, F.col(row).cast("long").alias("__i"), F.col(col).cast("long").alias("__j"), F.col(value).alias("__v"))
     fy, fx = F.floor(y), F.floor(x)
     if method == "nearest":
         placed = targets.withColumns({"__i": F.floor(F.col(y) + 0.5), "__j": F.floor(F.col(x) + 0.5)})
-        return placed.join(source, ["__i", "__j"], "left").withColumnRenamed("__v", value).drop("__i", "__j")
+        return placed.join(source, [*keys, "__i", "__j"], "left").select(*targets.columns, F.col("__v").alias(value))
     if method != "bilinear":
         raise ValueError(f"no such method: {method}")
     wy, wx = F.col(y) - fy, F.col(x) - fx
     corner = lambda i, j: F.struct((fy + i).alias("i"), (fx + j).alias("j"), ((wy if i else 1 - wy) * (wx if j else 1 - wx)).alias("w"))
     around = F.filter(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)]), lambda c: c["w"] > 0)
     spread = targets.withColumn("__c", F.explode(around)).withColumns({"__i": F.col("__c.i"), "__j": F.col("__c.j"), "__w": F.col("__c.w")}).drop("__c")
-    met = spread.join(source, ["__i", "__j"], "left")
+    met = spread.join(source, [*keys, "__i", "__j"], "left")
     whole = F.when(F.count("__v") == F.count("*"), F.sum(F.col("__w") * F.col("__v")))
     return met.groupBy(*targets.columns).agg(whole.alias(value))
 

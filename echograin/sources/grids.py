@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .readers import CELLS, _cells
+from .readers import CELLS, _cells, cell_batch
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -32,12 +33,16 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+#: Codecs that chunks are read and written with.
+ZARR_CODECS = (None, "zlib", "gzip", "zstd")
+
+
 def zarr_info(spark: SparkSession, path: str) -> dict:
-    """shape, chunks, dtype, fill_value, order and codec (none or zlib) of a Zarr array; another codec is an error."""
+    """shape, chunks, dtype, fill_value, order and codec of a Zarr array; a codec that isn't one of ZARR_CODECS is an error."""
     about = json.loads(read_text(spark, f"{path.rstrip('/')}/.zarray"))
     codec = (about.get("compressor") or {}).get("id")
-    if codec not in (None, "zlib", "gzip") or about.get("filters"):
-        raise NotImplementedError(f"{path}: codec {codec} or filters; arrays without a codec, with zlib and with gzip are read")
+    if codec not in ZARR_CODECS or about.get("filters"):
+        raise NotImplementedError(f"{path}: codec {codec} or filters; arrays without a codec, with zlib, gzip and zstd are read")
     return {**{k: about[k] for k in ("shape", "chunks", "dtype", "fill_value")}, "order": about.get("order", "C"), "separator": about.get("dimension_separator", "."), "codec": codec}
 
 
@@ -47,35 +52,57 @@ def zarr_attributes(spark: SparkSession, path: str) -> dict:
 
 
 def _inflated(content: bytes, codec: str | None) -> bytes:
+    if codec == "zstd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj().decompress(content)
     return content if codec is None else zlib.decompress(content, 47 if codec == "gzip" else 15)
 
 
-def read_zarr(spark: SparkSession, path: str, band: str = "data", component: str = "real") -> DataFrame:
-    """Cells of a two-dimensional Zarr array, a row of its folder's listing (a chunk) at a time.
+def deflated(content: bytes, codec: str | None, level: int) -> bytes:
+    """A chunk's bytes in a codec."""
+    if codec == "zstd":
+        import zstandard
 
-    Chunks that aren't there hold the fill value and give no cells.  Of complex
-    values ``component`` (real or imag) is read.
-    """
-    info = zarr_info(spark, path)
+        return zstandard.ZstdCompressor(level=level).compress(content)
+    if codec is None:
+        return content
+    maker = zlib.compressobj(level, zlib.DEFLATED, 31 if codec == "gzip" else 15)
+    return maker.compress(content) + maker.flush()
+
+
+def zarr_cells(chunks: DataFrame, info: dict, path: str, band: str = "data", component: str = "real") -> DataFrame:
+    """Cells (path, band, row, col, value) of chunks (name, content) of a two-dimensional array; names that aren't a
+    chunk's give none."""
     if len(info["shape"]) != 2:
         raise ValueError(f"{path}: an array of {len(info['shape'])} dimensions")
     (height, width), (ch, cw) = info["shape"], info["chunks"]
-    name = re.compile(rf"(\d+){re.escape(info['separator'])}(\d+)$")
+    name = re.compile(rf"(?:^|/)(\d+){re.escape(info['separator'])}(\d+)$")
 
-    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in batches:
-            for file, content in zip(files["path"], files["content"], strict=True):
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at = name.search(file)
                 if at is None:
                     continue
                 a = np.frombuffer(_inflated(content, info["codec"]), info["dtype"]).reshape((ch, cw), order=info["order"])
                 r0, c0 = int(at[1]) * ch, int(at[2]) * cw
-                a = a[: max(0, height - r0), : max(0, width - c0)]
-                for part in _cells(path, band, getattr(a, component), 256):
-                    yield part.assign(row=(part["row"] + r0).astype("int32"), col=(part["col"] + c0).astype("int32"))
+                a = getattr(a[: max(0, height - r0), : max(0, width - c0)], component)
+                for r in range(0, len(a), 256):
+                    rows, cols = np.indices(a[r : r + 256].shape)
+                    yield cell_batch(path, band, (rows + r + r0).ravel(), (cols + c0).ravel(), a[r : r + 256].ravel())
+
+    return chunks.mapInArrow(cells, CELLS)
+
+
+def read_zarr(spark: SparkSession, path: str, band: str = "data", component: str = "real") -> DataFrame:
+    """Cells of a two-dimensional Zarr array, a row of its folder's listing (a chunk) at a time.
 
+    Chunks that aren't there hold the fill value and give no cells.  Of complex
+    values ``component`` (real or imag) is read.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return files.mapInPandas(cells, CELLS)
+    return zarr_cells(files, zarr_info(spark, path), path, band, component)
 
 
 #: Fixed values of the TIFF format: bytes and letter of field types, letters of sample formats.

@@ -114,8 +114,8 @@ def read_packets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tile_payloads(cells: DataFrame, tile: str, writer: str = "npz") -> DataFrame:
-    """(tile, payload): each tile's bands as one npz, npy, json or GeoTIFF document.  A tile is bounded by the grid; its cells meet in one task."""
-    if writer not in ("npz", "npy", "json", "geotiff"):
+    """(tile, payload): each tile's bands as one npz, npy, json, GeoTIFF or HDF5 document (bands/NAME).  A tile is bounded by the grid; its cells meet in one task."""
+    if writer not in TILE_FORMATS:
         raise ValueError(f"no such tile writer: {writer}")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -133,6 +133,10 @@ def tile_payloads(cells: DataFrame, tile: str, writer: str = "npz") -> DataFrame
             from .grids import geotiff_bytes
 
             out.write(geotiff_bytes([arrays[b] for b in sorted(arrays)]))
+        elif writer == "h5":
+            from .hdf5 import hdf5_bytes
+
+            out.write(hdf5_bytes({f"bands/{b}": a for b, a in sorted(arrays.items())}, {"": {"tile": str(pdf[tile].iloc[0])}}))
         else:
             out.write(json.dumps({b: a.tolist() for b, a in sorted(arrays.items())}).encode())
         return pd.DataFrame({tile: [pdf[tile].iloc[0]], "payload": [out.getvalue()]})
@@ -145,21 +149,15 @@ def write_tiles(cells: DataFrame, path: str, tile: str = "tile") -> None:
     cells.write.partitionBy(tile).mode("overwrite").parquet(path)
 
 
-#: Names of tile formats and their endings; the others need libraries.
-TILE_FORMATS = {"npz": ".npz", "npy": ".npy", "json": ".json", "geotiff": ".tif"}
+#: Names of tile formats and their endings.
+TILE_FORMATS = {"npz": ".npz", "npy": ".npy", "json": ".json", "geotiff": ".tif", "h5": ".h5"}
 _ALIASES = {"numpy": "npy", "tif": "geotiff", "tiff": "geotiff", "gtiff": "geotiff", "hdf5": "h5"}
-UNAVAILABLE = {"h5": "h5py"}
 
 
 def tile_format(name: str | None) -> str:
-    """The format that a name stands for, npz without one; a format whose library isn't part of this engine is an error."""
+    """The format that a name stands for, npz without one."""
     plain = (name or "npz").strip().lower().lstrip(".")
     found = _ALIASES.get(plain, plain)
-    if found in UNAVAILABLE:
-        try:
-            __import__(UNAVAILABLE[found])
-        except ImportError:
-            raise NotImplementedError(f"{found} needs the library {UNAVAILABLE[found]}, which isn't installed; {', '.join(TILE_FORMATS)} and Parquet work without it") from None
     if found not in TILE_FORMATS:
         raise ValueError(f"no such tile format: {name}; there are {', '.join(TILE_FORMATS)}")
     return found

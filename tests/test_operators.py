@@ -316,8 +316,7 @@ def test_raster_files_round_trip(spark, tmp_path):
     assert np.array_equal(np.load(io.BytesIO(payload))["B"], a)
     (tmp_path / "x.npz").write_bytes(payload)
     assert np.array_equal(_band(readers.read_npz(spark, str(tmp_path / "x.npz")), a.shape), a)
-    with pytest.raises(NotImplementedError):
-        readers.tile_format("hdf5")
+    assert readers.tile_format("hdf5") == "h5"
     with pytest.raises(ValueError, match="no such"):
         readers.tile_format("png")
     assert readers.tile_format(None) == "npz" and readers.tile_format(" TIFF") == "geotiff"
