@@ -8,9 +8,9 @@ signal lines.  Results are rounded, so that sums in another order compare.
 
 from __future__ import annotations
 
-from . import queries_families, queries_relational, queries_scalar, queries_signal
+from . import queries_families, queries_rasters, queries_relational, queries_scalar, queries_signal
 from .register import ORACLES, QUERIES
 
 FLAGSHIP = "agg_looks"
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "queries_families", "queries_relational", "queries_scalar", "queries_signal"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "queries_families", "queries_rasters", "queries_relational", "queries_scalar", "queries_signal"]
