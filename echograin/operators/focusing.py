@@ -133,17 +133,28 @@ def central_bin(profile: DataFrame, keys: Sequence[str], bin_: str, bins: int, s
     return inner.groupBy(*keys).agg(F.max_by(bin_, F.struct("power", -F.col(bin_))).alias("centre"))
 
 
-def spectral_support(profile: DataFrame, keys: Sequence[str], bin_: str, threshold_db: float = -25.0, least: int = 2) -> DataFrame:
-    """(keys, start, stop, peak): the bins around the strongest one that stay above a threshold relative to it, an even
-    number of them and at least ``least``; two aggregations over the profile."""
-    tops = profile.groupBy(*keys).agg(F.max_by(bin_, F.struct("power", -F.col(bin_))).alias("peak"), F.max("power").alias("__top"), F.min(bin_).alias("__first"), F.max(bin_).alias("__last"))
+def spectral_support(profile: DataFrame, keys: Sequence[str], bin_: str, threshold_db: float = -25.0, least: float = 0.15) -> DataFrame:
+    """(keys, start, stop, peak, shift): the bins around the strongest one that stay above a threshold relative to it, counted
+    after the profile is rolled by ``shift`` so that the strongest bin lies in the middle; at least a share ``least`` of all
+    bins, and an even number of them.  Two aggregations over the profile, whose bins are numbered from 0."""
+    tops = profile.groupBy(*keys).agg(F.max_by(bin_, F.struct("power", -F.col(bin_))).alias("peak"), F.max("power").alias("__top"), (F.max(bin_) + 1).alias("__n"))
     p = profile.join(tops, list(keys)) if keys else profile.join(F.broadcast(tops), F.lit(True))
-    b = F.col(bin_)
-    weak = F.col("power") < F.col("__top") * 10 ** (threshold_db / 10)
-    ends = p.groupBy(*keys, "peak", "__first", "__last").agg(F.max(F.when(weak & (b < F.col("peak")), b)).alias("__below"), F.min(F.when(weak & (b > F.col("peak")), b)).alias("__above"))
-    start, stop = F.coalesce(F.col("__below") + 1, F.col("__first")), F.coalesce(F.col("__above"), F.col("__last") + 1)
-    size = F.greatest(F.lit(least), stop - start)
-    return ends.select(*keys, start.alias("start"), (start + size - size % 2).alias("stop"), "peak")
+    middle = F.floor(F.col("__n") / 2).cast("int")
+    shift = middle - F.col("peak")
+    b = F.pmod(F.col(bin_) + shift, F.col("__n"))
+    weak = (F.col("power") < F.col("__top") * 10 ** (threshold_db / 10)) | (F.col("__top") <= 0)
+    ends = p.groupBy(*keys, "peak", "__n", "__top").agg(F.max(F.when(weak & (b < middle), b)).alias("__below"), F.min(F.when(weak & (b > middle), b)).alias("__above"))
+    n = F.col("__n")
+    ends = ends.select(*keys, "peak", "__n", shift.alias("shift"), F.coalesce(F.col("__below") + 1, F.lit(0)).alias("__l"), F.coalesce(F.col("__above") - 1, n - 1).alias("__r"))
+    size = F.greatest(F.lit(2), F.bround(least * n).cast("int"))
+    size = size + size % 2
+    narrow = F.col("__r") - F.col("__l") + 1 < size
+    left = F.greatest(F.lit(0), middle - F.floor(size / 2).cast("int"))
+    ends = ends.select(*keys, "peak", "__n", "shift", F.when(narrow, left).otherwise(F.col("__l")).alias("__l"), F.when(narrow, F.least(n - 1, left + size - 1)).otherwise(F.col("__r")).alias("__r"))
+    odd, room = (F.col("__r") - F.col("__l") + 1) % 2 == 1, F.col("__r") < n - 1
+    start = F.when(odd & ~room & (F.col("__l") > 0), F.col("__l") - 1).otherwise(F.col("__l"))
+    stop = F.when(odd & room, F.col("__r") + 1).otherwise(F.col("__r")) + 1
+    return ends.select(*keys, start.alias("start"), stop.alias("stop"), "peak", "shift")
 
 
 def energy_scale(full: int, part: int) -> float:

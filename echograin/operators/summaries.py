@@ -43,9 +43,8 @@ def selected_paths(files: DataFrame, holds: Sequence[str] = (), without: Sequenc
 
 
 def band_group(band: Column) -> Column:
-    """Diagonal, cross or other covariance band: C and two digits, equal ones on the diagonal."""
-    a, b = F.regexp_extract(band, r"[Cc](\d)(\d)", 1), F.regexp_extract(band, r"[Cc](\d)(\d)", 2)
-    return F.when(a == "", "other").when(a == b, "cov_diag").otherwise("cov_cross")
+    """Diagonal, cross or other covariance band by its whole name: C and two digits or more are diagonal, ReC... and ImC... cross."""
+    return F.when(band.rlike(r"^C\d\d+$"), "cov_diag").when(band.rlike(r"^(Re|Im)C"), "cov_cross").otherwise("other")
 
 
 def known_mean(x: Column) -> Column:

@@ -165,7 +165,7 @@ def write_tile_database(rows: DataFrame, folder: str, name: str) -> str:
 
 
 #: Variants of TerraSAR-X products by how their pixels lie and what they hold.
-GEOCODED, COMPLEX, DETECTED = ("GEC", "EEC"), ("SSC",), ("MGD", "GEC", "EEC")
+GEOCODED, COMPLEX, DETECTED = ("EEC", "GEC"), ("SSC", "SLC"), ("MGD", "GRD")
 
 
 def terrasar_metadata(leaves: Column) -> Column:

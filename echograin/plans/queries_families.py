@@ -369,13 +369,14 @@ def change_vectors(spark, d):
 
 @query("band_names", """
 SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE ['i', 'q'][(event_id % 2 + 1)::INT] END AS component, CASE WHEN event_id % 4 = 3 THEN NULL WHEN event_id % 4 = 1 THEN NULL ELSE 'IW' || (event_id % 3 + 1) END AS swath,
-       CASE WHEN event_id % 4 = 3 THEN NULL ELSE ['VV', 'VH'][(event_id % 2 + 1)::INT] END AS pol, CASE WHEN event_id % 4 = 2 THEN (event_id % 5)::INT END AS look, (event_id % 7)::BIGINT AS suffix, ['ASC', 'DESC', 'UNKNOWN', 'left'][(event_id % 4 + 1)::INT] AS pass FROM events""")
+       CASE WHEN event_id % 4 = 3 THEN NULL ELSE ['VV', 'VH'][(event_id % 2 + 1)::INT] END AS pol, CASE WHEN event_id % 4 = 2 THEN (event_id % 5)::INT END AS look, (event_id % 7)::BIGINT AS suffix, ['ASC', 'DESC', 'UNKNOWN', 'LEFT'][(event_id % 4 + 1)::INT] AS pass FROM events""")
 def band_names(spark, d):
     e, n = F.col("event_id"), F.col("event_id") % 4
     pick = lambda *v: F.get(F.array(*[F.lit(x) for x in v]), (e % len(v)).cast("int"))
     whole = F.concat(pick("i", "q"), F.lit("_IW"), (e % 3 + 1).cast("string"), F.lit("_"), pick("VV", "VH"))
     band = F.when(n == 3, F.lit("Sigma0_VV")).when(n == 1, F.concat(pick("i", "q"), F.lit("_"), pick("VV", "VH"))).when(n == 2, F.concat(whole, F.lit("_SA"), (e % 5).cast("string"))).otherwise(whole)
-    meta = F.create_map(F.lit("PASS"), F.when(n == 0, "ascending").when(n == 1, " Descending").when(n == 3, "left").otherwise(" "))
+    key = F.get(F.array(*[F.lit(k) for k in pr.PASS_KEYS]), (e % 5).cast("int"))
+    meta = F.map_from_arrays(F.array(key, F.lit("orbit_direction")), F.array(F.when(n == 0, "ascending").when(n == 1, " Descending").when(n == 3, "left").otherwise(" "), F.lit("DESC")))
     t = _table(spark, d, "events").select("event_id", pr.band_parts(band).alias("b"), pr.numeric_suffix(F.concat(F.lit("look"), (e % 7).cast("string"))).alias("suffix"), pr.pass_direction(meta).alias("pass"))
     return t.select("event_id", "b.component", "b.swath", "b.pol", "b.look", "suffix", "pass")
 
@@ -456,12 +457,13 @@ def tile_database(spark, d):
 
 
 @query("product_variants", """
-SELECT event_id, ['SSC', 'MGD', 'GEC', 'EEC', NULL][(event_id % 5 + 1)::INT] AS variant, CASE WHEN event_id % 5 <> 4 THEN ['SSC', 'MGD', 'GEC', 'EEC'][(event_id % 5 + 1)::INT] || '_RE' END AS product_type, event_id % 5 IN (2, 3) OR event_id % 7 = 0 AS geocoded,
-       event_id % 5 = 0 OR event_id % 4 = 1 AS complex_, event_id % 5 IN (1, 2, 3) OR event_id % 4 = 2 AS detected, CASE WHEN event_id % 2 = 0 THEN 'TSX-1' END AS mission FROM events""")
+WITH p AS (SELECT event_id, ['SSC', 'MGD', 'GEC', 'EEC', NULL, 'SLC', 'GRD'][(event_id % 7 + 1)::INT] AS variant, event_id % 9 = 0 AS map, event_id % 4 AS kind FROM events)
+SELECT event_id, variant, variant || '_RE' AS product_type, coalesce(variant IN ('EEC', 'GEC'), false) OR map AS geocoded, coalesce(variant IN ('SSC', 'SLC'), false) OR kind = 1 AS complex_,
+       coalesce(variant IN ('MGD', 'GRD'), false) OR kind = 2 AS detected, CASE WHEN event_id % 2 = 0 THEN 'TSX-1' END AS mission FROM p""")
 def product_variants(spark, d):
     e = F.col("event_id")
-    kind = F.get(F.array(*[F.lit(k) for k in ("ssc_re", "MGD_RE", "gec_RE", "EEC_re", " ")]), (e % 5).cast("int"))
-    leaves = F.create_map(F.lit("productType"), kind, F.lit("projection"), F.when(e % 7 == 0, "map"), F.lit("imageDataType"), F.when(e % 4 == 1, "COMPLEX").when(e % 4 == 2, "detected"), F.lit("mission"), F.lit(""), F.lit("platform"), F.when(e % 2 == 0, "tsx-1"))
+    kind = F.get(F.array(*[F.lit(k) for k in ("ssc_re", "MGD_RE", "gec_RE", "EEC_re", " ", "slc_RE", "grd_re")]), (e % 7).cast("int"))
+    leaves = F.create_map(F.lit("productType"), kind, F.lit("projection"), F.when(e % 9 == 0, "map"), F.lit("imageDataType"), F.when(e % 4 == 1, "COMPLEX").when(e % 4 == 2, "detected"), F.lit("mission"), F.lit(""), F.lit("platform"), F.when(e % 2 == 0, "tsx-1"))
     m = _table(spark, d, "events").select("event_id", tc.terrasar_metadata(leaves).alias("m"))
     return m.select("event_id", "m.variant", "m.product_type", tc.is_geocoded(F.col("m")).alias("geocoded"), tc.is_complex(F.col("m")).alias("complex_"), tc.is_detected(F.col("m")).alias("detected"), "m.mission")
 
@@ -485,10 +487,14 @@ def looks_to_bands(spark, d):
 @query("spectral_support", f"""
 WITH p AS (SELECT tile, r, avg(v * v + (c / 50) * (c / 50)) * CASE WHEN r % 40 BETWEEN 10 AND 27 THEN 1 ELSE 1e-4 END AS power FROM {_RASTER} GROUP BY tile, r),
 s AS (SELECT tile, r, sum(power) OVER (PARTITION BY tile ORDER BY r ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3 AS power FROM p),
-t AS (SELECT tile, max(power) AS top, arg_max(r, power) AS peak, min(r) AS lo, max(r) AS hi FROM s GROUP BY tile),
-e AS (SELECT s.tile, any_value(peak) AS peak, coalesce(max(CASE WHEN power < top * 10 ** (-2.5) AND r < peak THEN r END) + 1, any_value(lo)) AS start, coalesce(min(CASE WHEN power < top * 10 ** (-2.5) AND r > peak THEN r END), any_value(hi) + 1) AS stop FROM s JOIN t USING (tile) GROUP BY s.tile),
+t AS (SELECT tile, max(power) AS top, arg_max(r, power) AS peak, max(r) + 1 AS n FROM s GROUP BY tile),
+b AS (SELECT s.tile, power < top * 10 ** (-2.5) AS weak, (r + n // 2 - peak + n) % n AS k, n // 2 AS mid, n, peak FROM s JOIN t USING (tile)),
+e AS (SELECT tile, any_value(n) AS n, any_value(mid) AS mid, any_value(peak) AS peak, coalesce(max(CASE WHEN weak AND k < mid THEN k END) + 1, 0) AS lo, coalesce(min(CASE WHEN weak AND k > mid THEN k END) - 1, any_value(n) - 1) AS hi FROM b GROUP BY tile),
+z AS (SELECT *, greatest(2, round_even(0.15 * n, 0)::INT) AS z0 FROM e),
+w AS (SELECT *, hi - lo + 1 < z0 + z0 % 2 AS narrow, greatest(0, mid - (z0 + z0 % 2) // 2) AS nl, z0 + z0 % 2 AS zz FROM z),
+x AS (SELECT tile, n, mid, peak, CASE WHEN narrow THEN nl ELSE lo END AS lo, CASE WHEN narrow THEN least(n - 1, nl + zz - 1) ELSE hi END AS hi FROM w),
 m AS (SELECT tile, arg_max(r, power) AS centre FROM s WHERE r >= 4 AND r < 36 GROUP BY tile)
-SELECT tile, start, start + (stop - start) - (stop - start) % 2 AS stop, peak, centre FROM e JOIN m USING (tile)""")
+SELECT tile, (CASE WHEN (hi - lo) % 2 = 0 AND hi >= n - 1 AND lo > 0 THEN lo - 1 ELSE lo END)::INT AS start, (CASE WHEN (hi - lo) % 2 = 0 AND hi < n - 1 THEN hi + 1 ELSE hi END + 1)::INT AS stop, peak, (mid - peak)::INT AS shift, centre FROM x JOIN m USING (tile)""")
 def spectral_support(spark, d):
     r = _raster(spark, d).select("tile", "r", F.col("v").alias("re"), (F.col("c") / 50).alias("im"))
     p = fg.spectral_profile(r, ["tile"], "r", "re", "im").withColumn("power", F.col("power") * F.when((F.col("r") % 40).between(10, 27), 1.0).otherwise(1e-4))
@@ -606,13 +612,13 @@ def configuration_means(spark, d):
 
 @query("feature_paths", """
 SELECT event_id, ['coherence', 'covariance', 'other'][(event_id % 3 + 1)::INT] AS kind, 'IW' || (event_id % 3 + 1) AS swath, 'L' || (event_id % 5) AS lookset, CASE WHEN event_id % 2 = 0 THEN 'W' || (event_id % 7) END AS "window", 'p' || event_id AS product, ['VV', 'VH'][(event_id % 2 + 1)::INT] AS pol,
-       ['cov_diag', 'cov_cross', 'other'][(event_id % 3 + 1)::INT] AS band_group FROM events""")
+       ['cov_diag', 'cov_diag', 'cov_cross', 'cov_cross', 'other', 'other'][(event_id % 6 + 1)::INT] AS band_group FROM events""")
 def feature_paths(spark, d):
     e = F.col("event_id")
     pick = lambda *v: F.get(F.array(*[F.lit(x) for x in v]), (e % len(v)).cast("int"))
     n = lambda k: (e % k).cast("string")
     path = F.concat(F.lit("/d/IW9/L9/IW"), (e % 3 + 1).cast("string"), F.lit("/L"), n(5), F.when(e % 2 == 0, F.concat(F.lit("_W"), n(7))).otherwise(""), F.lit("/p"), e.cast("string"), F.lit("_TC.data/"), pick("coh_", "cov_", "x_"), pick("VV", "VH"), F.lit(".tif"))
-    t = _table(spark, d, "events").select("event_id", path.alias("path"), sm.band_group(pick("C11", "q_C12", "lat")).alias("band_group"))
+    t = _table(spark, d, "events").select("event_id", path.alias("path"), sm.band_group(pick("C11", "C12", "ReC12", "ImC13", "lat", "q_C12")).alias("band_group"))
     return t.select("event_id", sm.feature_kind(F.col("path")).alias("kind"), sm.path_settings(F.col("path")).alias("s"), "band_group").select("event_id", "kind", "s.*", "band_group")
 
 
