@@ -62,7 +62,7 @@ class Orbit:
 
     def at(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position, velocity, acceleration) at times; beyond the states the last cubic goes on."""
-        k = np.clip(np.searchsorted(self.t, t, "right") - 1, 0, len(self.t) - 2)
+        k = np.clip(np.searchsorted(self.t, t, "right") - 1, 0, len(self.t) - 2)  # NaN times give NaN
         h = (self.t[k + 1] - self.t[k])[:, None]
         s = (t - self.t[k])[:, None] / h
         p0, p1, v0, v1 = self.p[k], self.p[k + 1], self.v[k] * h, self.v[k + 1] * h
@@ -148,12 +148,17 @@ def _by_blocks(pixels: DataFrame, orbits: DataFrame, keys: Sequence[str], row: s
     return placed.groupBy(*group).cogroup(blocks.groupBy(*named)).applyInArrow(run, schema)
 
 
-def radar_positions(ground: DataFrame, orbits: DataFrame, keys: Sequence[str], row: str = "row", col: str = "col", lat: str = "lat", lon: str = "lon", height: str = "height") -> DataFrame:
+def radar_positions(ground: DataFrame, orbits: DataFrame, keys: Sequence[str], row: str = "row", col: str = "col", lat: str = "lat", lon: str = "lon", height: str = "height", sensor: bool = False) -> DataFrame:
     """ground with azimuth_time and slant_range of its pixels; null without a height or an orbit, and beyond its times.
-    orbits: (keys, t, x, y, z, vx, vy, vz), the states of each product."""
+    orbits: (keys, t, x, y, z, vx, vy, vz), the states of each product.  sensor: also its place then, sensor_x, _y, _z."""
     x, y, z = earth_fixed(F.col(lat), F.col(lon), F.col(height))
-    solve = lambda orbit, c: orbit.zero_doppler(np.stack([c["__x"], c["__y"], c["__z"]], 1))
-    found = _by_blocks(ground.withColumns({"__x": x, "__y": y, "__z": z}), orbits, keys, row, col, ["__x", "__y", "__z"], ["azimuth_time", "slant_range"], solve)
+
+    def solve(orbit: Orbit, c: dict[str, np.ndarray]) -> Sequence[np.ndarray]:
+        t, slant = orbit.zero_doppler(np.stack([c["__x"], c["__y"], c["__z"]], 1))
+        return (t, slant, *(orbit.at(t)[0].T if sensor else ()))
+
+    adds = ["azimuth_time", "slant_range", *(["sensor_x", "sensor_y", "sensor_z"] if sensor else [])]
+    found = _by_blocks(ground.withColumns({"__x": x, "__y": y, "__z": z}), orbits, keys, row, col, ["__x", "__y", "__z"], adds, solve)
     return found.drop("__x", "__y", "__z")
 
 
