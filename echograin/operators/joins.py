@@ -19,8 +19,19 @@ def join_back(df: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFram
     return df.join(groups, same, "left").drop(*[f"__{k}" for k in keys])
 
 
-def in_ranges(df: DataFrame, order: str, ranges: int = 64, out: str = "__range") -> DataFrame:
+def in_ranges(df: DataFrame, order: str, ranges: int | None = None, out: str = "__range", like: DataFrame | None = None) -> DataFrame:
     """df with the number of the range that each row is in: parts of about the same number of rows, between approximate
-    quantiles of the order (a row of ranges - 1 values for the whole plan).  Equal values share a range."""
-    cuts = df.agg(F.percentile_approx(order, [k / ranges for k in range(1, ranges)], 10_000).alias("__cuts"))
-    return df.join(F.broadcast(cuts), F.lit(True)).withColumn(out, F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts")
+    quantiles of the order.  Equal values share a range; null is in the first one.
+
+    The number of ranges is a power of two, at least that of the session's shuffle partitions unless it is given, so it
+    grows as a cluster is set up for larger inputs.  ``like`` is a part of the rows, with the same column, that the
+    quantiles come from.  A row finds its range by halving, one comparison a step.
+    """
+    wanted = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = max(1, min(15, (wanted - 1).bit_length()))
+    n = 1 << steps
+    cuts = (df if like is None else like).agg(F.percentile_approx(order, [k / n for k in range(1, n)], max(10_000, 8 * n)).alias("__cuts"))
+    found = df.join(F.broadcast(cuts), F.lit(True)).withColumn(out, F.lit(0))
+    for k in range(steps - 1, -1, -1):  # each step is a column of its own, or the expression would double
+        found = found.withColumn(out, F.when(F.get("__cuts", F.col(out) + ((1 << k) - 1)) < F.col(order), F.col(out) + (1 << k)).otherwise(F.col(out)))
+    return found.drop("__cuts")

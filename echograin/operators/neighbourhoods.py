@@ -138,15 +138,17 @@ def _beside(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: s
     kind = right.schema[right_time].dataType
     a = left.select(*cols, F.col(left_time).cast(kind).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema[value].dataType).alias("__v"))
     b = right.select(*[F.col(c) if c in keys else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols], F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.col(value).alias("__v"))
-    both = in_ranges(a.unionByName(b.where(F.col("__v").isNotNull() & F.col("__t").isNotNull())), "__t")
+    b = b.where(F.col("__v").isNotNull() & F.col("__t").isNotNull())
+    both = in_ranges(a.unionByName(b), "__t", like=b)
     known = F.when(F.col("__side") == 0, F.struct(F.col("__t").alias("t"), F.col("__v").alias("v")))
     parts = [*keys, "__range"]
     ends = both.groupBy(*parts).agg(F.max_by(known, F.when(F.col("__side") == 0, F.col("__t"))).alias("__last"), F.min_by(known, F.when(F.col("__side") == 0, F.col("__t"))).alias("__first"))
-    w = W.partitionBy(*keys).orderBy("__range")
-    carried = ends.select(*parts, F.last("__last", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("__before"), F.first("__first", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("__after"))
+    # what comes after is what came before in the turned order: frames to the end of a partition take its square
+    w, turned = (W.partitionBy(*keys).orderBy(o).rowsBetween(W.unboundedPreceding, -1) for o in (F.col("__range"), F.desc("__range")))
+    carried = ends.select(*parts, F.last("__last", ignorenulls=True).over(w).alias("__before"), F.last("__first", ignorenulls=True).over(turned).alias("__after"))
     back = W.partitionBy(*parts).orderBy("__t", "__side").rowsBetween(W.unboundedPreceding, 0)
-    forth = W.partitionBy(*parts).orderBy("__t", F.col("__side").desc()).rowsBetween(0, W.unboundedFollowing)
-    own = [F.last(known, ignorenulls=True).over(back).alias("__p"), *[F.first(known, ignorenulls=True).over(forth).alias("__n")] * ahead]
+    forth = W.partitionBy(*parts).orderBy(F.desc_nulls_last("__t"), "__side").rowsBetween(W.unboundedPreceding, 0)
+    own = [F.last(known, ignorenulls=True).over(back).alias("__p"), *[F.last(known, ignorenulls=True).over(forth).alias("__n")] * ahead]
     found = join_back(both.select("*", *own).where("__side = 1"), carried, parts)
     found = found.withColumn("__p", F.coalesce("__p", "__before"))
     return (found.withColumn("__n", F.coalesce("__n", "__after")) if ahead else found).drop("__range", "__side", "__v", "__before", "__after")
