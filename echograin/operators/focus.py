@@ -98,11 +98,12 @@ def resolution_gain(df: DataFrame, keys: Sequence[str], line: str, original: str
     return lobes.groupBy(*keys).agg(F.when(F.avg("s") > 0, F.avg("o") / F.avg("s")).otherwise(nan()).alias("gain"))
 
 
-def patch_windows(spark: SparkSession, height: int, width: int, size: int = 1024, drop_incomplete: bool = True) -> DataFrame:
-    """(row, col, height, width) of the patches of a raster."""
-    rows = spark.range(0, height, size).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(width - 1), F.lit(size))).alias("col"))
-    out = rows.select("row", F.col("col").cast("long").alias("col"), F.least(F.lit(size), height - F.col("row")).alias("height"), F.least(F.lit(size), width - F.col("col")).cast("long").alias("width"))
-    return out.where((F.col("height") == size) & (F.col("width") == size)) if drop_incomplete else out
+def patch_windows(spark: SparkSession, height: int, width: int, size: int | tuple[int, int] = 1024, drop_incomplete: bool = True) -> DataFrame:
+    """(row, col, height, width) of the patches of a raster, square ones or of size (height, width)."""
+    down, across = (size, size) if isinstance(size, int) else size
+    rows = spark.range(0, height, down).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(width - 1), F.lit(across))).alias("col"))
+    out = rows.select("row", F.col("col").cast("long").alias("col"), F.least(F.lit(down), height - F.col("row")).alias("height"), F.least(F.lit(across), width - F.col("col")).cast("long").alias("width"))
+    return out.where((F.col("height") == down) & (F.col("width") == across)) if drop_incomplete else out
 
 
 def clamped_window(col: Column, row: Column, width: Column, height: Column, max_width: int, max_height: int) -> Column:

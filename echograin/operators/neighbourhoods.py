@@ -182,6 +182,13 @@ def slices(n: int, height: int, overlap: float = 0.5, drop: float = 0.15) -> lis
         start = after
 
 
+def in_slices(df: DataFrame, row: str, table: DataFrame) -> DataFrame:
+    """Rows of df with each slice (slice, start, end, drop_start, drop_end) that holds them between its dropped ends: an equi
+    join on the row number with the rows of the slices."""
+    rows = table.select("*", F.explode(F.sequence(F.col("start") + F.col("drop_start"), F.col("end") - F.col("drop_end") - 1)).alias("__row"))
+    return df.join(rows, F.col(row) == F.col("__row")).drop("__row")
+
+
 def detrended(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "detrended") -> DataFrame:
     """y without its least-squares line over x: the moments are an aggregation with a map-side part, joined back."""
     means = df.groupBy(*keys).agg(F.avg(x).alias("__x"), F.avg(y).alias("__y"), F.avg(F.col(x) * F.col(y)).alias("__xy"), F.avg(F.col(x) * F.col(x)).alias("__xx"))

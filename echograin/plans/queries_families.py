@@ -277,9 +277,18 @@ def clamped_windows(spark, d):
     return e.select("event_id", *[F.col(f"w.{c}").cast("long").alias(c) for c in ("col", "row", "width", "height")], "within")
 
 
-@query("patches", "SELECT r AS row, c AS col, least(64, 300 - r)::BIGINT AS height, least(64, 500 - c)::BIGINT AS width FROM (SELECT unnest(range(0, 300, 64)) AS r) a, (SELECT unnest(range(0, 500, 64)) AS c) b")
+@query("patches", f"""
+WITH a AS (SELECT event_id // 50 AS r, (event_id % 50)::INT AS c, value AS v FROM events), n AS (SELECT max(r) + 1 AS h FROM a),
+w AS (SELECT r, c, least(64, h - r)::BIGINT AS height, least(16, 50 - c)::BIGINT AS width FROM n, (SELECT unnest(range(0, (SELECT h FROM n), 64)) AS r) x, (SELECT unnest(range(0, 50, 16)) AS c) y)
+SELECT w.r::BIGINT AS row, w.c::BIGINT AS col, height, width, count(a.v) AS cells, round(avg(a.v), 6) AS mean FROM w LEFT JOIN a ON a.r // 64 * 64 = w.r AND a.c // 16 * 16 = w.c GROUP BY ALL""")
 def patches(spark, d):
-    return fo.patch_windows(spark, 300, 500, 64, drop_incomplete=False)
+    """All events as one tall image in patches of 64 x 16, the last ones cut off by its edges."""
+    e = F.col("event_id")
+    a = _table(spark, d, "events").select(F.floor(e / 50).alias("r"), (e % 50).cast("int").alias("c"), F.col("value").alias("v"))
+    height = a.agg(F.max("r") + 1).first()[0]
+    windows = fo.patch_windows(spark, height, 50, (64, 16), drop_incomplete=False)
+    own = a.groupBy((F.floor(F.col("r") / 64) * 64).alias("row"), (F.floor(F.col("c") / 16) * 16).alias("col")).agg(F.count("v").alias("cells"), _r(F.avg("v")).alias("mean"))
+    return windows.join(own, ["row", "col"], "left").select("row", "col", "height", "width", F.coalesce("cells", F.lit(0)).alias("cells"), "mean")
 
 
 # grids, rings, projection

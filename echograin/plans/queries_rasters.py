@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import geocoding as gc
+from ..operators import geometry as gm
+from ..operators import interferometry as itf
+from ..operators import unwrapping as uw
 from ..sources import grids, hdf5, zarr_out
 from ..sources import readers as rd
 from .queries_signal import _RASTER, _raster
@@ -93,3 +96,82 @@ def terrain_correction(spark, d) -> DataFrame:
     image = _raster(spark, d).select("tile", "r", "c", "v")
     found = gc.terrain_corrected(image, _ground(spark, d), _orbits(spark, d), ["tile"], "v", *_IMAGE, row="r", col="c")
     return found.select("tile", "r", "c", F.round("y", 5).alias("y"), F.round("x", 5).alias("x"), F.round("v", 4).alias("value"))
+
+
+# phases
+
+
+def _wrap(x: str) -> str:
+    return f"({x}) - 2 * pi() * round(({x}) / (2 * pi()), 0)"
+
+
+@query("unwrapped_2d", f"""
+WITH z AS (SELECT tile, r, c, 0.7 * r + 0.4 * c + v * 0.05 AS z FROM {_RASTER}), f AS (SELECT tile, arg_min(z, r * 50 + c) AS z0 FROM z GROUP BY tile)
+SELECT tile, r, c, round(z - z0 + {_wrap('z0')}, 6) AS unwrapped FROM z JOIN f USING (tile)""")
+def unwrapped_2d(spark, d) -> DataFrame:
+    """The tiles' surfaces of known phase, wrapped and unwrapped in blocks."""
+    z = 0.7 * F.col("r") + 0.4 * F.col("c") + F.col("v") * 0.05
+    wrapped = _raster(spark, d).select("tile", "r", "c", uw.wrapped(z).alias("phase"))
+    return uw.unwrapped(wrapped, ["tile"], "r", "c", "phase", block=16).select("tile", "r", "c", F.round("unwrapped", 6).alias("unwrapped"))
+
+
+@query("phase_residues", f"""
+WITH p AS (SELECT tile, r, c, {_wrap('v * 0.7')} AS p FROM {_RASTER}),
+q AS (SELECT a.tile, a.r, a.c, {_wrap('b.p - a.p')} AS top, {_wrap('e.p - b.p')} AS right_, {_wrap('e.p - x.p')} AS low, {_wrap('x.p - a.p')} AS left_
+  FROM p a JOIN p b ON b.tile = a.tile AND b.r = a.r AND b.c = a.c + 1 JOIN p x ON x.tile = a.tile AND x.r = a.r + 1 AND x.c = a.c JOIN p e ON e.tile = a.tile AND e.r = a.r + 1 AND e.c = a.c + 1)
+SELECT tile, r, c, round((top + right_ - low - left_) / (2 * pi()), 0)::INT AS residue FROM q""")
+def phase_residues(spark, d) -> DataFrame:
+    """Residues of the tiles' phases."""
+    p = _raster(spark, d).select("tile", "r", "c", uw.wrapped(F.col("v") * 0.7).alias("phase"))
+    return uw.residues(p, ["tile"], "r", "c", "phase")
+
+
+_SECOND = (25.0, 90.0, 60.0)  #: place of the second pass against the first
+
+
+@query("interferometric_geometry", f"""
+WITH {_PLACES},
+n AS (SELECT tile, r, c, h, x - ({_SECOND[0]}) AS x, y - ({_SECOND[1]}) AS y, z - ({_SECOND[2]}) AS z, x AS x1, y AS y1, z AS z1, t FROM t),
+m AS (SELECT *, (x * {_V[0]}::DOUBLE + y * {_V[1]}::DOUBLE + z * {_V[2]}::DOUBLE) / {sum(v * v for v in _V)!r}::DOUBLE AS t2 FROM n),
+k AS (SELECT tile, r, c, sqrt((x1 - {_V[0]}::DOUBLE * t) ** 2 + (y1 - {_V[1]}::DOUBLE * t) ** 2 + (z1 - {_V[2]}::DOUBLE * t) ** 2) AS s1, sqrt((x - {_V[0]}::DOUBLE * t2) ** 2 + (y - {_V[1]}::DOUBLE * t2) ** 2 + (z - {_V[2]}::DOUBLE * t2) ** 2) AS s2,
+  {_SECOND[0]} + {_V[0]}::DOUBLE * (t2 - t) AS bx, {_SECOND[1]} + {_V[1]}::DOUBLE * (t2 - t) AS by_, {_SECOND[2]} + {_V[2]}::DOUBLE * (t2 - t) AS bz, x1 - {_V[0]}::DOUBLE * t AS lx, y1 - {_V[1]}::DOUBLE * t AS ly, z1 - {_V[2]}::DOUBLE * t AS lz FROM m)
+SELECT tile, r, c, round(-4 * pi() / 0.0555 * (s1 - s2), 1) AS phase, round((bx * lx + by_ * ly + bz * lz) / s1, 4) AS parallel FROM k""")
+def interferometric_geometry(spark, d) -> DataFrame:
+    """Phase and parallel baseline of a second pass over all pixels' ground."""
+    first = _orbits(spark, d)
+    second = first.select("tile", "t", *((F.col(c) + s).alias(c) for c, s in zip("xyz", _SECOND, strict=True)), "vx", "vy", "vz")
+    found = itf.interferometric_geometry(_ground(spark, d), first, second, ["tile"], 0.0555, "r", "c")
+    return found.select("tile", "r", "c", F.round("phase", 1).alias("phase"), F.round("parallel", 4).alias("parallel"))
+
+
+@query("three_pass", """
+SELECT event_id, round(-4 * pi() * 110 * value / (0.0555 * (800000 + event_id % 5000) * sin(radians(30 + event_id % 15))), 8) AS topography, round(value / 100 - CASE WHEN event_id % 9 = 0 THEN NULL ELSE 60.0 / (event_id % 9 * 20) END * (event_id % 100) / 7, 8) AS deformation FROM events""")
+def three_pass(spark, d) -> DataFrame:
+    """Phases of heights, and phases of pairs without another pair's topography."""
+    e = F.col("event_id")
+    topography = itf.topographic_phase(F.col("value"), 0.0555, 800000 + e % 5000, 30 + e % 15, 110.0)
+    deformation = itf.three_pass(F.col("value") / 100, (e % 100) / 7, F.lit(60.0), e % 9 * 20)
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.round(topography, 8).alias("topography"), F.round(deformation, 8).alias("deformation"))
+
+
+@query("burst_overlaps", """
+WITH b AS (SELECT event_id // 500 AS burst, event_id // 500 * 7 + event_id % 500 // 50 AS line, event_id % 50 AS col, cos(value / 40 + event_id // 500 * 0.31) AS re, sin(value / 40 + event_id // 500 * 0.31) AS im FROM events),
+j AS (SELECT a.burst, a.col // 10 AS block, a.re * n.re + a.im * n.im AS x, a.im * n.re - a.re * n.im AS y FROM b a JOIN b n ON n.burst = a.burst + 1 AND n.line = a.line AND n.col = a.col)
+SELECT burst, block, round(atan2(sum(y), sum(x)), 6) AS phase, round(sqrt(sum(x) ** 2 + sum(y) ** 2) / sum(sqrt(x * x + y * y)), 6) AS coherence, count(*) AS n FROM j GROUP BY 1, 2""")
+def burst_overlaps(spark, d) -> DataFrame:
+    """Double differences of the bursts' overlaps."""
+    e, v = F.col("event_id"), F.col("value") / 40
+    burst = F.floor(e / 500)
+    b = spark.read.parquet(f"{d}/events.parquet").select(burst.alias("burst"), (burst * 7 + F.floor(e % 500 / 50)).alias("line"), (e % 50).alias("col"), F.cos(v + burst * 0.31).alias("re"), F.sin(v + burst * 0.31).alias("im"))
+    return itf.overlap_phases(b, [], "burst", "line", "col", "re", "im", 10).select("burst", "block", F.round("phase", 6).alias("phase"), F.round("coherence", 6).alias("coherence"), "n")
+
+
+@query("warped_tiles", f"""
+WITH g AS (SELECT tile, r, c, r * 0.7 + 0.21 + tile * 0.1 AS y, c * 0.6 - 0.33 AS x FROM {_RASTER}),
+k AS (SELECT g.*, floor(y)::BIGINT + i AS pr, floor(x)::BIGINT + j AS pc, CASE i WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END * CASE j WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END AS w FROM g, (SELECT unnest([0, 1]) AS i) m, (SELECT unnest([0, 1]) AS j) n)
+SELECT k.tile, k.r, k.c, round(CASE WHEN count(p.v) = count(*) THEN sum(w * p.v) END, 9) AS v FROM k LEFT JOIN {_RASTER} p ON p.tile = k.tile AND p.r = pr AND p.c = pc WHERE w > 0 GROUP BY 1, 2, 3""")
+def warped_tiles(spark, d) -> DataFrame:
+    """All tiles on other pixels, each by a shift of its own, in one plan."""
+    image = _raster(spark, d).select("tile", "r", "c", "v")
+    targets = image.select("tile", "r", "c", (F.col("r") * 0.7 + 0.21 + F.col("tile") * 0.1).alias("y"), (F.col("c") * 0.6 - 0.33).alias("x"))
+    return gm.sampled(image, targets, "r", "c", "v", keys=["tile"]).select("tile", "r", "c", F.round("v", 9).alias("v"))

@@ -165,6 +165,19 @@ def join_merge_fill(spark, d):
     return rel.merge_first_valid(t, s, ["o_orderkey"], ["v"]).withColumn("v", _r(F.col("v"), 2))
 
 
+@query("merge_all", """
+WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE o_totalprice END AS v FROM orders), s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 4 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS v FROM orders)
+SELECT o_orderkey, round(CASE WHEN t.v IS NOT NULL AND t.v <> 0 THEN t.v WHEN s.v IS NOT NULL AND s.v <> 0 THEN s.v ELSE coalesce(t.v, s.v) END, 2) AS v,
+  CASE WHEN t.v IS NOT DISTINCT FROM s.v THEN 'identical' WHEN t.v <> 0 AND s.v <> 0 AND t.v <> s.v THEN 'conflict_kept_first' ELSE 'merged' END AS status
+FROM t FULL JOIN s USING (o_orderkey)""")
+def merge_all(spark, d):
+    """All orders in both tables, with values that one or both of them lack."""
+    o, k = _table(spark, d, "orders"), F.col("o_orderkey")
+    t = o.select("o_orderkey", F.when(k % 5 == 0, None).when(k % 3 == 0, 0.0).otherwise(F.col("o_totalprice")).alias("v"))
+    s = o.select("o_orderkey", F.when(k % 7 == 0, None).when(k % 4 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("v"))
+    return rel.merge_first_valid(t, s, ["o_orderkey"], ["v"]).withColumn("v", _r(F.col("v"), 2))
+
+
 @query("set_tiles", """
 WITH c AS (SELECT p_partkey AS tile FROM part), s AS (SELECT p_partkey AS tile FROM part WHERE p_size = 1), p AS (SELECT p_partkey AS tile FROM part WHERE p_size = 2), a AS (SELECT DISTINCT l_partkey + 50 AS tile FROM lineitem WHERE l_quantity > 45),
 e AS (SELECT tile FROM c EXCEPT SELECT tile FROM s EXCEPT SELECT tile FROM p)

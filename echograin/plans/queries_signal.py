@@ -156,9 +156,20 @@ def equalize_histogram(spark, d):
     return nb.histogram_equalized(_table(spark, d, "events").select("event_id", "value"), "value").select("event_id", _r(F.col("equalized")).alias("equalized"))
 
 
-@query("array_slices", "SELECT s.slice::INT AS slice, s.start::INT AS start, s.end_::INT AS end, s.a::INT AS drop_start, s.b::INT AS drop_end FROM (VALUES (0, 0, 400, 0, 60), (1, 200, 600, 60, 60), (2, 400, 800, 60, 60), (3, 600, 1000, 60, 0)) s(slice, start, end_, a, b)")
+@query("array_slices", """
+WITH RECURSIVE a AS (SELECT event_id // 50 AS row, value FROM events), n AS (SELECT max(row) + 1 AS n, greatest(4, (max(row) + 1) // 8) AS h FROM a),
+s AS (SELECT 0 AS k, 0::BIGINT AS start, n, h, greatest(1, floor(h * 0.5)::BIGINT) AS step, floor(h * 0.15)::BIGINT AS cut FROM n
+  UNION ALL SELECT k + 1, start + step, n, h, step, cut FROM s WHERE NOT (start + step >= n OR n - start <= 1.2 * h)),
+t AS (SELECT k AS slice, start, CASE WHEN last THEN n ELSE least(start + h, n) END AS end_, CASE WHEN k > 0 THEN cut ELSE 0 END AS drop_start, CASE WHEN last THEN 0 ELSE cut END AS drop_end FROM (SELECT *, start + step >= n OR n - start <= 1.2 * h AS last FROM s) z)
+SELECT slice::INT AS slice, start::INT AS start, end_::INT AS end, drop_start::INT AS drop_start, drop_end::INT AS drop_end, count(*) AS cells, round(sum(value), 4) AS total
+FROM t JOIN a ON row >= start + drop_start AND row < end_ - drop_end GROUP BY ALL""")
 def array_slices(spark, d):
-    return spark.createDataFrame(nb.slices(1000, 400), "slice int, start int, end int, drop_start int, drop_end int")
+    """All events as one tall array in overlapping slices: their cells between the rows that are dropped."""
+    a = _table(spark, d, "events").select(F.floor(F.col("event_id") / 50).cast("int").alias("row"), "value")
+    n = a.agg(F.max("row") + 1).first()[0]
+    table = spark.createDataFrame(nb.slices(n, max(4, n // 8)), "slice int, start int, end int, drop_start int, drop_end int")
+    found = nb.in_slices(a, "row", table)
+    return found.groupBy(*table.columns).agg(F.count("*").alias("cells"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("vec_norm", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)), 6) AS rms, round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * (0.54 - 0.46 * cos(2 * pi() * (i - 1) / 63)))), 6) AS windowed FROM embeddings")
@@ -172,6 +183,16 @@ def _signals(spark, d) -> DataFrame:
     return _table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
 
 
+@query("fft_all", """
+SELECT vec_id, k, round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * cos(2 * pi() * k * (i - 1) / 64))), 5) + 0.0 AS re, round(-list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * sin(2 * pi() * k * (i - 1) / 64))), 5) + 0.0 AS im
+FROM embeddings, (SELECT unnest(range(0, 64)) AS k) t""")
+def fft_all(spark, d):
+    """All 64 coefficients of all vectors."""
+    z = kn.fft_1d()(F.col("x"), F.transform("x", lambda v: F.lit(0.0)))
+    f = _signals(spark, d).select("vec_id", z.alias("z")).select("vec_id", F.posexplode(F.arrays_zip(F.col("z.re").alias("re"), F.col("z.im").alias("im"))).alias("k", "c"))
+    return f.select("vec_id", F.col("k").cast("long").alias("k"), (_r(F.col("c.re"), 5) + 0.0).alias("re"), (_r(F.col("c.im"), 5) + 0.0).alias("im"))
+
+
 @query("vec_fft", """
 SELECT vec_id, k, round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * cos(2 * pi() * k * (i - 1) / 64))), 5) + 0.0 AS re, round(-list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * sin(2 * pi() * k * (i - 1) / 64))), 5) + 0.0 AS im
 FROM embeddings, (SELECT unnest(range(0, 4)) AS k) t""")
