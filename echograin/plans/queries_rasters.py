@@ -135,13 +135,13 @@ n AS (SELECT tile, r, c, h, x - ({_SECOND[0]}) AS x, y - ({_SECOND[1]}) AS y, z
 m AS (SELECT *, (x * {_V[0]}::DOUBLE + y * {_V[1]}::DOUBLE + z * {_V[2]}::DOUBLE) / {sum(v * v for v in _V)!r}::DOUBLE AS t2 FROM n),
 k AS (SELECT tile, r, c, sqrt((x1 - {_V[0]}::DOUBLE * t) ** 2 + (y1 - {_V[1]}::DOUBLE * t) ** 2 + (z1 - {_V[2]}::DOUBLE * t) ** 2) AS s1, sqrt((x - {_V[0]}::DOUBLE * t2) ** 2 + (y - {_V[1]}::DOUBLE * t2) ** 2 + (z - {_V[2]}::DOUBLE * t2) ** 2) AS s2,
   {_SECOND[0]} + {_V[0]}::DOUBLE * (t2 - t) AS bx, {_SECOND[1]} + {_V[1]}::DOUBLE * (t2 - t) AS by_, {_SECOND[2]} + {_V[2]}::DOUBLE * (t2 - t) AS bz, x1 - {_V[0]}::DOUBLE * t AS lx, y1 - {_V[1]}::DOUBLE * t AS ly, z1 - {_V[2]}::DOUBLE * t AS lz FROM m)
-SELECT tile, r, c, round(-4 * pi() / 0.0555 * (s1 - s2), 1) AS phase, round((bx * lx + by_ * ly + bz * lz) / s1, 4) AS parallel FROM k""")
+SELECT tile, r, c, round(-4 * pi() / 0.0555 * (s1 - s2), 1) AS phase, round((bx * lx + by_ * ly + bz * lz) / s1, 3) AS parallel FROM k""")
 def interferometric_geometry(spark, d) -> DataFrame:
     """Phase and parallel baseline of a second pass over all pixels' ground."""
     first = _orbits(spark, d)
     second = first.select("tile", "t", *((F.col(c) + s).alias(c) for c, s in zip("xyz", _SECOND, strict=True)), "vx", "vy", "vz")
     found = itf.interferometric_geometry(_ground(spark, d), first, second, ["tile"], 0.0555, "r", "c")
-    return found.select("tile", "r", "c", F.round("phase", 1).alias("phase"), F.round("parallel", 4).alias("parallel"))
+    return found.select("tile", "r", "c", F.round("phase", 1).alias("phase"), F.round("parallel", 3).alias("parallel"))
 
 
 @query("three_pass", """
