@@ -11,6 +11,8 @@ from ..operators import interferometry as itf
 from ..operators import unwrapping as uw
 from ..sources import grids, hdf5, zarr_out
 from ..sources import readers as rd
+from . import recipes as rc
+from . import stages
 from .queries_signal import _RASTER, _raster
 from .register import query
 
@@ -175,3 +177,94 @@ def warped_tiles(spark, d) -> DataFrame:
     image = _raster(spark, d).select("tile", "r", "c", "v")
     targets = image.select("tile", "r", "c", (F.col("r") * 0.7 + 0.21 + F.col("tile") * 0.1).alias("y"), (F.col("c") * 0.6 - 0.33).alias("x"))
     return gm.sampled(image, targets, "r", "c", "v", keys=["tile"]).select("tile", "r", "c", F.round("v", 9).alias("v"))
+
+
+# recipes over the tiles' pixels; the amplitude is v + 1
+
+
+def _pixels(spark, d: str) -> DataFrame:
+    return _raster(spark, d).select("tile", F.col("r").alias("row"), F.col("c").alias("col"), (F.col("v") + 1).alias("amplitude"))
+
+
+def _recipe(name: str, sql: str, table, **aside):
+    """Registers the recipe of a name as a query over table(spark, d), with further tables put aside."""
+
+    def run(spark, d) -> DataFrame:
+        out = rc.run(table(spark, d), rc.RECIPES[name], **{k: f(spark, d) for k, f in aside.items()})
+        kinds = dict(out.dtypes)
+        return out.select(*[F.round(c, 6).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in out.columns])
+
+    query(f"recipe_{name}", sql)(run)
+
+
+_recipe("backscatter_db", f"SELECT tile, r AS row, c AS col, round(v + 1, 6) AS amplitude, round((v + 1) ** 2, 6) AS sigma0, round(10 * log10((v + 1) ** 2), 6) AS sigma0_db FROM {_RASTER}", _pixels)
+
+_recipe("subset_strip", f"SELECT tile, r AS row, c AS col, round(v + 1, 6) AS amplitude FROM {_RASTER} WHERE r <= 1023 AND c <= 1023", _pixels)
+
+
+def _l_band(spark, d: str) -> DataFrame:
+    v = F.col("amplitude")
+    return _pixels(spark, d).select("tile", "row", "col", F.when(F.col("col") % 7 == 0, 0.0).otherwise(v).alias("hh"), (v * 2).alias("hv"), (v * 3).alias("vv"))
+
+
+_TILED = "0::BIGINT AS tile_row, 0::BIGINT AS tile_col, r::BIGINT AS in_row, c::BIGINT AS in_col"
+_recipe("l_band", f"""
+WITH p AS (SELECT *, CASE WHEN c % 7 <> 0 THEN (v + 1) ** 2 END AS hh, (2 * (v + 1)) ** 2 AS hv FROM {_RASTER})
+SELECT tile, r AS row, c AS col, round(hh, 6) AS hh, round(hv, 6) AS hv, round(3 * (v + 1), 6) AS vv, round(10 * log10(hh), 6) AS hh_db, round(10 * log10(hv), 6) AS hv_db, {_TILED} FROM p""", _l_band)
+
+_recipe("p_band", f"""
+WITH p AS (SELECT *, CASE WHEN c % 7 <> 0 THEN v + 1 END AS hh FROM {_RASTER})
+SELECT tile, r AS row, c AS col, round(hh, 6) AS hh, round(2 * (v + 1), 6) AS hv, round(3 * (v + 1), 6) AS vv, round(10 * log10(hh), 6) AS hh_db, round(10 * log10(2 * (v + 1)), 6) AS hv_db, round(10 * log10(3 * (v + 1)), 6) AS vv_db, {_TILED} FROM p""", _l_band)
+
+
+def _bursts(spark, d: str) -> DataFrame:
+    """Tiles as bursts of three swaths: (swath, burst, pol, line, col, amplitude, i, q)."""
+    p, t = _pixels(spark, d), F.col("tile")
+    return p.select(F.concat(F.lit("IW"), (t % 3 + 1).cast("string")).alias("swath"), F.floor(t / 3).alias("burst"), F.when(F.col("col") % 2 == 0, "VV").otherwise("VH").alias("pol"), F.col("row").alias("line"), "col", "amplitude", F.cos("amplitude").alias("i"), F.sin("amplitude").alias("q"))
+
+
+_BURSTS = f"(SELECT 'IW' || (tile % 3 + 1) AS swath, tile // 3 AS burst, CASE WHEN c % 2 = 0 THEN 'VV' ELSE 'VH' END AS pol, r AS line, c AS col, v + 1 AS amplitude, cos(v + 1) AS i, sin(v + 1) AS q FROM {_RASTER})"
+#: Bursts joined: lines of half of an overlap of 10 go at inner edges, later bursts start that much earlier.
+_JOINED = f"""
+h AS (SELECT swath, burst, max(line) + 1 AS h FROM {_BURSTS} GROUP BY 1, 2),
+s AS (SELECT *, coalesce(sum(h - 10) OVER (PARTITION BY swath ORDER BY burst ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, lag(h) OVER (PARTITION BY swath ORDER BY burst) IS NOT NULL AS inner_, lead(h) OVER (PARTITION BY swath ORDER BY burst) IS NOT NULL AS more FROM h)"""
+_KEPT = "line >= CASE WHEN inner_ THEN 5 ELSE 0 END AND line < h - CASE WHEN more THEN 5 ELSE 0 END"
+
+_recipe("tops_split", f"SELECT swath, burst, pol, line, col, round(amplitude, 6) AS amplitude, round(i, 6) AS i, round(q, 6) AS q FROM {_BURSTS} WHERE swath = 'IW1' AND burst BETWEEN 1 AND 3 AND pol = 'VV'", _bursts)
+
+_recipe("tops", f"""
+WITH {_JOINED}
+SELECT swath, pol, (start + line)::BIGINT AS line, col, round(amplitude, 6) AS amplitude, round(i, 6) AS i, round(q, 6) AS q, round(amplitude * amplitude, 6) AS sigma0, round(10 * log10(amplitude * amplitude), 6) AS sigma0_db
+FROM {_BURSTS} b JOIN s USING (swath, burst) WHERE {_KEPT}""", _bursts)
+
+
+def _other(spark, d: str) -> DataFrame:
+    return _bursts(spark, d).withColumns({"i": F.cos(F.col("amplitude") * 0.9 + 0.2), "q": F.sin(F.col("amplitude") * 0.9 + 0.2)})
+
+
+_recipe("tops_interferogram", f"""
+WITH {_JOINED}, p AS (SELECT *, cos(amplitude * 0.9 + 0.2) AS bi, sin(amplitude * 0.9 + 0.2) AS bq FROM {_BURSTS}),
+x AS (SELECT *, i * bi + q * bq AS re, q * bi - i * bq AS im FROM p)
+SELECT swath, (start + line)::BIGINT AS line, col, round(re, 6) AS re, round(im, 6) AS im, round(atan2(im, re), 6) AS phase FROM x JOIN s USING (swath, burst) WHERE {_KEPT}""", _bursts, other=_other)
+
+
+def _looks(spark, d: str) -> DataFrame:
+    p = _pixels(spark, d).withColumn("row", F.col("tile") * 40 + F.col("row"))
+    return p.select("row", "col", F.explode(F.array(F.lit(1), F.lit(2))).alias("look"), "amplitude").withColumns({"i": F.col("amplitude") * F.col("look"), "q": F.col("amplitude") - F.col("look")}).drop("amplitude")
+
+
+_recipe("looks_into_product", f"""
+SELECT tile * 40 + r AS row, c AS col, round(v + 1, 6) AS amplitude, round(v + 1, 6) AS "i_SA1", round(v, 6) AS "q_SA1", round(2 * (v + 1), 6) AS "i_SA2", round(v - 1, 6) AS "q_SA2" FROM {_RASTER}""",
+        lambda spark, d: _pixels(spark, d).select((F.col("tile") * 40 + F.col("row")).alias("row"), "col", "amplitude"), looks=_looks)
+
+
+@query("export_plans", """
+SELECT event_id, 'topsar_coreg_ifg' || CASE WHEN event_id % 2 = 0 THEN '_subset' ELSE '' END || CASE WHEN event_id % 3 = 0 THEN '_no_esd' ELSE '' END || CASE WHEN event_id % 5 = 0 THEN '_ext_dem' ELSE '' END AS plan,
+  CASE WHEN event_id % 3 = 0 THEN 4 ELSE 5 END + CASE WHEN event_id % 2 = 0 THEN 2 ELSE 0 END AS stages FROM events""")
+def export_plans(spark, d) -> DataFrame:
+    """Plans of pairs by their numbers of sub-swaths and bursts."""
+    rows = [(m == 1, b == 1, e, *(lambda p: (p.name, len(p.stages)))(stages.tops_pair(m, b, e))) for m in (1, 2) for b in (1, 2) for e in (False, True)]
+    table = spark.createDataFrame(rows, "one boolean, burst boolean, dem boolean, plan string, stages int")
+    e = F.col("event_id")
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_id", (e % 2 == 0).alias("one"), (e % 3 == 0).alias("burst"), (e % 5 == 0).alias("dem"))
+    return events.join(F.broadcast(table), ["one", "burst", "dem"]).select("event_id", "plan", "stages")

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .readers import CELLS, _cells, cell_batch
+from .ranges import Content, File, list_files
+from .readers import CELLS, cell_batch
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -111,75 +112,129 @@ _SAMPLE = {1: "u", 2: "i", 3: "f", 6: "c"}
 _WIDTH, _HEIGHT, _BITS, _CODEC, _OFFSETS, _PER_PIXEL, _ROWS, _COUNTS, _PLANAR, _PREDICTOR, _TILE_W, _TILE_H, _TILE_AT, _TILE_N, _FORMAT, _SCALE, _TIE = 256, 257, 258, 259, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339, 33550, 33922
 
 
-def tiff_tags(content: bytes) -> tuple[str, dict[int, tuple]]:
-    """(byte order, tag -> values) of the first image of a TIFF file."""
-    order = {b"II": "<", b"MM": ">"}.get(content[:2])
-    if order is None or struct.unpack_from(order + "H", content, 2)[0] != 42:
+def tiff_tags(source: Content | File | bytes) -> tuple[str, dict[int, tuple]]:
+    """(byte order, tag -> values) of the first image of a TIFF file; of a File only its directory is read."""
+    source = Content(source) if isinstance(source, bytes) else source
+    head = source.read(0, 8)
+    order = {b"II": "<", b"MM": ">"}.get(head[:2])
+    if order is None or len(head) < 8 or struct.unpack_from(order + "H", head, 2)[0] != 42:
         raise ValueError("not a TIFF file")
-    at = struct.unpack_from(order + "I", content, 4)[0]
-    tags = {}
-    for k in range(struct.unpack_from(order + "H", content, at)[0]):
-        tag, kind, count = struct.unpack_from(order + "HHI", content, at + 2 + 12 * k)
+    at = struct.unpack_from(order + "I", head, 4)[0]
+    n = struct.unpack(order + "H", source.read(at, 2))[0]
+    entries, tags = source.read(at + 2, 12 * n), {}
+    for k in range(n):
+        tag, kind, count = struct.unpack_from(order + "HHI", entries, 12 * k)
         if kind not in _FIELD:
             continue
         size, letter = _FIELD[kind]
-        where = at + 10 + 12 * k if size * count <= 4 else struct.unpack_from(order + "I", content, at + 10 + 12 * k)[0]
-        tags[tag] = struct.unpack_from(f"{order}{count}{letter}", content, where)
+        raw = entries[12 * k + 8 : 12 * k + 12] if size * count <= 4 else source.read(struct.unpack_from(order + "I", entries, 12 * k + 8)[0], size * count)
+        tags[tag] = struct.unpack_from(f"{order}{count}{letter}", raw)
     return order, tags
 
 
-def tiff_blocks(content: bytes) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """(band, first row, first column, values) of the strips or tiles of a TIFF image; none and deflate are its codecs."""
-    order, tags = tiff_tags(content)
-    one = lambda tag, other: tags.get(tag, (other,))[0]
-    height, width, bands, planar = one(_HEIGHT, 0), one(_WIDTH, 0), one(_PER_PIXEL, 1), one(_PLANAR, 1)
-    if one(_CODEC, 1) not in (1, 8, 32946) or one(_PREDICTOR, 1) not in (1, 2):
-        raise NotImplementedError(f"TIFF codec {one(_CODEC, 1)} with predictor {one(_PREDICTOR, 1)}; images without a codec and deflated ones are read")
-    kind = np.dtype(f"{order}{_SAMPLE[one(_FORMAT, 1)]}{one(_BITS, 8) // 8}")
-    tiled = _TILE_AT in tags
-    bh, bw = (one(_TILE_H, 0), one(_TILE_W, 0)) if tiled else (min(height, one(_ROWS, height)), width)
-    across, down = -(-width // bw), -(-height // bh)
-    per_block = bands if planar == 1 else 1
-    for k, (at, n) in enumerate(zip(tags[_TILE_AT if tiled else _OFFSETS], tags[_TILE_N if tiled else _COUNTS], strict=True)):
+class TiffLayout:
+    """Where the strips or tiles of an image lie and how they are coded; none and deflate are its codecs."""
+
+    def __init__(self, source: Content | File | bytes):
+        self.order, tags = tiff_tags(source)
+        one = lambda tag, other: tags.get(tag, (other,))[0]
+        self.height, self.width, self.bands, self.planar = one(_HEIGHT, 0), one(_WIDTH, 0), one(_PER_PIXEL, 1), one(_PLANAR, 1)
+        self.deflated, self.steps = one(_CODEC, 1) != 1, one(_PREDICTOR, 1) == 2
+        if one(_CODEC, 1) not in (1, 8, 32946) or one(_PREDICTOR, 1) not in (1, 2):
+            raise NotImplementedError(f"TIFF codec {one(_CODEC, 1)} with predictor {one(_PREDICTOR, 1)}; images without a codec and deflated ones are read")
+        self.kind = np.dtype(f"{self.order}{_SAMPLE[one(_FORMAT, 1)]}{one(_BITS, 8) // 8}")
+        tiled = _TILE_AT in tags
+        self.block = (one(_TILE_H, 0), one(_TILE_W, 0)) if tiled else (min(self.height, one(_ROWS, self.height)), self.width)
+        self.places = list(zip(tags[_TILE_AT if tiled else _OFFSETS], tags[_TILE_N if tiled else _COUNTS], strict=True))
+
+    def values(self, k: int, raw: bytes) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """(band, first row, first column, values) of the k-th strip or tile."""
+        bh, bw = self.block
+        across, down = -(-self.width // bw), -(-self.height // bh)
+        per_block = self.bands if self.planar == 1 else 1
         plane, place = divmod(k, across * down)
         r0, c0 = place // across * bh, place % across * bw
-        raw = content[at : at + n]
-        a = np.frombuffer(raw if one(_CODEC, 1) == 1 else zlib.decompress(raw), kind)
-        a = a.reshape(-1, bw, per_block)[: min(bh, height - r0)]
-        if one(_PREDICTOR, 1) == 2:
+        a = np.frombuffer(zlib.decompress(raw) if self.deflated else raw, self.kind)
+        a = a.reshape(-1, bw, per_block)[: min(bh, self.height - r0)]
+        if self.steps:
             a = np.cumsum(a, 1, dtype=a.dtype)
         for b in range(per_block):
-            yield (plane if planar != 1 else b), r0, c0, a[:, : width - c0, b]
+            yield (plane if self.planar != 1 else b), r0, c0, a[:, : self.width - c0, b]
+
 
+def tiff_blocks(content: bytes) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(band, first row, first column, values) of the strips or tiles of a TIFF image."""
+    layout = TiffLayout(content)
+    for k, (at, n) in enumerate(layout.places):
+        yield from layout.values(k, content[at : at + n])
 
-def read_geotiff(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of all bands (band_1, band_2, ...) of GeoTIFF files."""
 
-    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in batches:
-            for file, content in zip(files["path"], files["content"], strict=True):
-                for band, r0, c0, a in tiff_blocks(content):
-                    for part in _cells(file, f"band_{band + 1}", a.real, 256):
-                        yield part.assign(row=(part["row"] + r0).astype("int32"), col=(part["col"] + c0).astype("int32"))
+#: Stored bytes of strips or tiles that a task reads together.
+STRIP_BYTES = 4 << 20
+
+
+def read_geotiff(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """Cells of all bands (band_1, band_2, ...) of GeoTIFF files.
+
+    The directory of each file is read first; its strips or tiles, listed with
+    their places, are dealt over tasks, which read their own ranges.  ``whole``
+    gives tasks whole files through Spark, for stores that only Spark reads.
+    """
+
+    def cells(file: str, blocks: Iterator[tuple[int, int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for band, r0, c0, a in blocks:
+            for r in range(0, len(a), 256):
+                rows, cols = np.indices(a[r : r + 256].shape)
+                yield cell_batch(file, f"band_{band + 1}", (rows + r + r0).ravel(), (cols + c0).ravel(), a[r : r + 256].real.ravel())
+
+    def from_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield from cells(file, tiff_blocks(content))
+
+    def strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                source = File(file)
+                sizes = np.array([n for _, n in TiffLayout(source).places], np.int64)
+                source.close()
+                part = (np.cumsum(sizes) - sizes) // STRIP_BYTES
+                first = np.flatnonzero(np.diff(part, prepend=-1))
+                last = np.append(first[1:], len(sizes))
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(first)), pa.array(first, pa.int64()), pa.array(last, pa.int64())], names=["path", "first", "last"])
+
+    def from_strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                source = File(file)
+                layout = TiffLayout(source)
+                for k in range(first, last):
+                    yield from cells(file, layout.values(k, source.read(*layout.places[k])))
+                source.close()
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(cells, CELLS)
+    if whole:
+        return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(from_contents, CELLS)
+    parts = list_files(spark, path).select("path").mapInArrow(strips, "path string, first long, last long")
+    return parts.repartition("path", "first").mapInArrow(from_strips, CELLS)
 
 
 def geotiff_info(spark: SparkSession, path: str) -> DataFrame:
-    """(path, height, width, bands, x0, y0, dx, dy) of GeoTIFF files; origin and pixel size are null without a map."""
+    """(path, height, width, bands, x0, y0, dx, dy) of GeoTIFF files by their directories; origin and pixel size are null without a map."""
 
     def about(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for files in batches:
             rows = []
-            for file, content in zip(files["path"], files["content"], strict=True):
-                _, tags = tiff_tags(content)
+            for file in files["path"]:
+                source = File(file)
+                _, tags = tiff_tags(source)
+                source.close()
                 dx, dy = tags[_SCALE][:2] if _SCALE in tags else (None, None)
                 x0, y0 = tags[_TIE][3:5] if _TIE in tags else (None, None)
                 rows.append((file, tags[_HEIGHT][0], tags[_WIDTH][0], tags.get(_PER_PIXEL, (1,))[0], x0, y0, dx, -dy if dy is not None else None))
             yield pd.DataFrame(rows, columns=["path", "height", "width", "bands", "x0", "y0", "dx", "dy"])
 
     schema = "path string, height int, width int, bands int, x0 double, y0 double, dx double, dy double"
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(about, schema)
+    return list_files(spark, path).select("path").mapInPandas(about, schema)
 
 
 def geotiff_bytes(arrays: list[np.ndarray], origin: tuple[float, float] | None = None, pixel: tuple[float, float] = (1.0, 1.0)) -> bytes:
