@@ -493,6 +493,29 @@ def pieces_of(files: DataFrame, like: str = "") -> DataFrame:
     return files.mapInPandas(walk, _PIECES)
 
 
+def texts_of(files: DataFrame, like: str = "") -> DataFrame:
+    """(path, name, value) of the single strings of files (path[, content]) whose data set's name contains ``like``."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for files in batches:
+            for path, source in _sources(files):
+                walker, rows = Walker(source), []
+                for name, _, d in walker.objects():
+                    if d is None or like not in name or int(np.prod(d.shape)) != 1 or not (d.kind == "vlen" or d.kind[1] == "S"):
+                        continue
+                    for _, _, at, n, mask, inline in walker.pieces(d):
+                        raw = unfiltered(source.read(at, n) if inline is None else inline, d.filters, mask, 1)
+                        rows.append((path, name, walker.values(d.kind, (), raw)))
+                yield pd.DataFrame(rows, columns=["path", "name", "value"])
+
+    return files.mapInPandas(walk, "path string, name string, value string")
+
+
+def read_h5_texts(spark: SparkSession, path: str, like: str = "", whole: bool = False) -> DataFrame:
+    """Single strings of HDF5 files, such as the bounding polygon of NISAR products."""
+    return texts_of(_files(spark, path, whole), like)
+
+
 def piece_values(kind: str, filters: str, mask: int, extent, raw: bytes) -> np.ndarray:
     """The array of one piece."""
     raw = unfiltered(raw, json.loads(filters), mask, np.dtype(kind).itemsize)
