@@ -28,8 +28,9 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 from hashlib import sha256
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from .shared import shared_table
 from .textcols import byte_table, column_chunks, distinct_spans
 
 #: Segments kept per process: so many recent ones and as many of the time before; longer ones are aligned each time.
-KEPT, KEPT_LENGTH = 150_000, 64
+KEPT, KEPT_LENGTH = 80_000, 64
 #: Pairs that are broadcast, of 16 bytes each.
 FREQUENT = 1 << 20
 #: An id pair is a * B_IDS + b.
@@ -55,9 +56,13 @@ _MARK[[x for x in range(33, 127) if not chr(x).isalnum() and chr(x) != "'"]] = T
 _SPACE = 32
 
 
-@dataclass(frozen=True)
-class Aligned:
-    """A segment's alignment: counts of tokens and groups, its links as id pairs, its groups as text."""
+#: A segment's alignment, an Aligned as a plain tuple with the links as bytes of 32-bit numbers: small, and passed over by
+#: the garbage collector.
+Segment = tuple[int, int, int, bytes, str]
+
+
+class Aligned(NamedTuple):
+    """A text's alignment: counts of tokens and groups, its links as id pairs, its groups as text."""
 
     n_a: int
     n_b: int
@@ -66,6 +71,9 @@ class Aligned:
     groups: str
 
 
+NOTHING: Segment = (0, 0, 0, b"", "")
+
+
 def elementary_intervals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(owner in a, owner in b, whether a group closes) of each interval between neighbouring ends; the last ends are equal."""
     ends = np.union1d(ends_a, ends_b)
@@ -91,11 +99,12 @@ class Aligner:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(bytes_file)
         self.a.encode_special_tokens = True
-        self.b = PieceModel(pieces_file)
+        self.b, self.b_library = PieceModel(pieces_file), SentencePieceProcessor(model_file=pieces_file)
         # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(x): x for x in plain} | {chr(256 + k): x for k, x in enumerate(x for x in range(256) if x not in plain)}
@@ -105,12 +114,14 @@ class Aligner:
         self.b_bytes = [x.replace(MARK, " ").encode() for x in self.b.strings]
         for x, i in enumerate(self.b.byte_ids):
             self.b_bytes[i] = bytes([x])
+        self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
         if max(map(len, (self.a_bytes, self.b_bytes))) > B_IDS:
             raise ValueError("ids of both vocabularies have to fit 16 bits")
-        self.recent: dict[bytes, Aligned | None] = {}
-        self.older: dict[bytes, Aligned | None] = {}
+        self.recent: dict[bytes, Segment | None] = {}
+        self.older: dict[bytes, Segment | None] = {}
 
-    def segments(self, raw: list[bytes]) -> list[Aligned | None]:
+    def segments(self, raw: list[bytes]) -> list[Segment | None]:
         """The alignment of each segment; None where a side's bytes aren't the segment's."""
         out: list = [None] * len(raw)
         missing = []
@@ -133,34 +144,55 @@ class Aligner:
             self.recent, self.older = {}, self.recent
         return out
 
-    def _align(self, raw: list[bytes]) -> list[Aligned | None]:
+    def _piece_ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of segments by the piece model.  The library puts a space before what it encodes, so it gets segments that
+        begin with one; others are encoded by the prefix table."""
+        led = [i for i, t in enumerate(texts) if t[0] == " " and len(t) > 1]
+        out: list = [None] * len(texts)
+        for i, ids in zip(led, self.b_library.encode([texts[i][1:] for i in led], num_threads=1) if led else (), strict=True):
+            out[i] = ids
+        return [self.b.encode_segment(t.replace(" ", MARK)) if x is None else x for x, t in zip(out, texts, strict=True)]
+
+    def _align(self, raw: list[bytes]) -> list[Segment | None]:
         texts = [s.decode() for s in raw]
         ids_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        ids_b = [self.b.encode_segment(t.replace(" ", MARK)) for t in texts]
+        ids_b = self._piece_ids(texts)
+        whole, raw_ends, same = b"".join(raw), np.cumsum(list(map(len, raw))), True
+        for ids, names, sizes in ((ids_a, self.a_bytes, self.a_sizes), (ids_b, self.b_bytes, self.b_sizes)):
+            flat = list(chain.from_iterable(ids))
+            ends = np.append(0, np.cumsum(sizes[flat]))[np.cumsum(list(map(len, ids)))]
+            same = same and np.array_equal(ends, raw_ends) and b"".join([names[x] for x in flat]) == whole
+        if same:
+            return self._aligned(raw, ids_a, ids_b)
         good = [i for i, s in enumerate(raw) if b"".join([self.a_bytes[x] for x in ids_a[i]]) == s == b"".join([self.b_bytes[x] for x in ids_b[i]])]
-        out: list[Aligned | None] = [None] * len(raw)
-        if not good:
-            return out
-        # all segments one after the other: a segment's end is an end of both sides
-        flat_a, flat_b = ([x for i in good for x in ids[i]] for ids in (ids_a, ids_b))
-        ends_a = np.cumsum([len(self.a_bytes[x]) for x in flat_a])
-        ends_b = np.cumsum([len(self.b_bytes[x]) for x in flat_b])
+        out: list[Segment | None] = [None] * len(raw)
+        if good:
+            for i, x in zip(good, self._aligned(*([y[i] for i in good] for y in (raw, ids_a, ids_b))), strict=True):
+                out[i] = x
+        return out
+
+    def _aligned(self, raw: list[bytes], ids_a: list[list[int]], ids_b: list[list[int]]) -> list[Segment]:
+        """Segments whose tokens' bytes are theirs, all one after the other: a segment's end is an end of both sides."""
+        flat_a, flat_b = (np.array(list(chain.from_iterable(x)), np.int64) for x in (ids_a, ids_b))
+        ends_a, ends_b = np.cumsum(self.a_sizes[flat_a]), np.cumsum(self.b_sizes[flat_b])
         a, b, closes = elementary_intervals(ends_a, ends_b)
-        pairs = np.array(flat_a, np.int64)[a] * B_IDS + np.array(flat_b, np.int64)[b]
+        pairs = (flat_a[a] * B_IDS + flat_b[b]).astype(np.uint32).tobytes()
         # token ranges of the groups, and which group each segment ends with
         last = np.flatnonzero(closes)
-        upto_a, upto_b = (a[last] + 1).tolist(), (b[last] + 1).tolist()
-        names_a, names_b = list(map(str, flat_a)), list(map(str, flat_b))
+        names = self.names
+        names_a, names_b = [names[x] for x in flat_a.tolist()], [names[x] for x in flat_b.tolist()]
         at_a = at_b = 0
         named = []
-        for x, y in zip(upto_a, upto_b, strict=True):
-            named.append(f"{','.join(names_a[at_a:x])}|{','.join(names_b[at_b:y])}")
+        for x, y in zip((a[last] + 1).tolist(), (b[last] + 1).tolist(), strict=True):
+            left = names_a[at_a] if x - at_a == 1 else ",".join(names_a[at_a:x])
+            named.append(f"{left}|{names_b[at_b] if y - at_b == 1 else ','.join(names_b[at_b:y])}")
             at_a, at_b = x, y
-        closed = np.searchsorted(ends_a[a[last]], np.cumsum([len(raw[i]) for i in good])) + 1
+        closed = np.searchsorted(ends_a[a[last]], np.cumsum(list(map(len, raw)))) + 1
+        upto = (last[closed - 1] + 1).tolist()
         begin_group = begin_link = 0
-        for i, g in zip(good, closed.tolist(), strict=True):
-            link = int(last[g - 1]) + 1
-            out[i] = Aligned(len(ids_a[i]), len(ids_b[i]), g - begin_group, pairs[begin_link:link], ";".join(named[begin_group:g]))
+        out: list[Segment] = []
+        for x, y, g, link in zip(ids_a, ids_b, closed.tolist(), upto, strict=True):
+            out.append((len(x), len(y), g - begin_group, pairs[4 * begin_link : 4 * link], ";".join(named[begin_group:g])))
             begin_group, begin_link = g, link
         return out
 
@@ -192,18 +224,22 @@ class Aligner:
             raw = data.tobytes()
             found = self.segments([raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
             bad = np.array([x is None for x in found])[back]
-            some = [x or Aligned(0, 0, 0, np.zeros(0, np.int64), "") for x in found]
-            counts = np.array([(x.n_a, x.n_b, x.n_groups) for x in some], np.int64)[back]
-            links, names = [x.links for x in some], [x.groups for x in some]
+            some = [x or NOTHING for x in found]
+            counts = np.array([x[:3] for x in some], np.int64)[back]
+            # the links of all segments in the order of the text
+            n_links = np.array([len(x[3]) >> 2 for x in some], np.int64)
+            first, own = np.cumsum(n_links) - n_links, n_links[back]
+            upto = np.append(0, np.cumsum(own))
+            links = np.frombuffer(b"".join([x[3] for x in some]), np.uint32)[np.arange(upto[-1]) + np.repeat(first[back] - upto[:-1], own)].astype(np.int64)
+            names = np.array([*[x[4] for x in some], None], object)[back].tolist()
             rows = np.searchsorted(starts, offsets)
-            back = back.tolist()
-            for s, e in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
-                if s == e or bad[s:e].any():
+            lost = np.append(0, np.cumsum(bad))[rows]
+            totals = np.diff(np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(counts, 0)])[rows], axis=0).tolist()
+            for s, e, none, total in zip(rows[:-1].tolist(), rows[1:].tolist(), np.diff(lost).tolist(), totals, strict=True):
+                if s == e or none:
                     yield None
                     continue
-                n_a, n_b, n_groups = counts[s:e].sum(0).tolist()
-                own = back[s:e]
-                yield Aligned(n_a, n_b, n_groups, np.concatenate([links[k] for k in own]), ";".join([names[k] for k in own]))
+                yield Aligned(*total, links[upto[s] : upto[e]], ";".join(names[s:e]))
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}

@@ -94,7 +94,7 @@ def test_noise_segment_by_segment(libraries):
     rng, tool = random.Random(7), al.aligner(A, B)
     import pyarrow as pa
 
-    data = [noise(rng, rng.randrange(1, 60)) for _ in range(1500)]
+    data = [noise(rng, rng.randrange(0, 60)) for _ in range(1500)] + ["the last one", "", ""]
     for t, x in zip(data, tool.column(pa.array(data)), strict=True):
         ids_a, ids_b, links, groups = plain(t, libraries)
         assert (x is None) == (not ids_a)
