@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import footprints as fp
 from ..operators import geocoding as gc
 from ..operators import geometry as gm
 from ..operators import interferometry as itf
 from ..operators import unwrapping as uw
+from ..operators import vectors as vc
 from ..sources import grids, hdf5, zarr_out
 from ..sources import readers as rd
 from . import recipes as rc
@@ -268,3 +270,75 @@ def export_plans(spark, d) -> DataFrame:
     e = F.col("event_id")
     events = spark.read.parquet(f"{d}/events.parquet").select("event_id", (e % 2 == 0).alias("one"), (e % 3 == 0).alias("burst"), (e % 5 == 0).alias("dem"))
     return events.join(F.broadcast(table), ["one", "burst", "dem"]).select("event_id", "plan", "stages")
+
+
+# vectors, tie points, elevation, hulls
+
+
+_STAR = "list_transform(range(5), lambda k: {'x': 25 + 20 * cos(4 * pi() * k / 5 + tile * 0.3), 'y': 20 + 17 * sin(4 * pi() * k / 5 + tile * 0.3)})"
+
+
+@query("rasterized_stars", f"""
+WITH t AS (SELECT tile, {_STAR} AS p FROM (SELECT DISTINCT tile FROM {_RASTER}) z), e AS (SELECT tile, p[i + 1] AS a, p[(i + 1) % 5 + 1] AS b FROM t, (SELECT unnest(range(5)) AS i) k),
+x AS (SELECT q.tile, q.r, q.c, count(*) FILTER (WHERE (a.y <= r + 0.5) <> (b.y <= r + 0.5) AND a.x + (r + 0.5 - a.y) * (b.x - a.x) / (b.y - a.y) <= c + 0.5) AS n FROM {_RASTER} q JOIN e ON e.tile = q.tile GROUP BY 1, 2, 3)
+SELECT tile, r, c, n % 2 = 1 AS inside FROM x""")
+def rasterized_stars(spark, d) -> DataFrame:
+    """A star over each tile by scan lines, its middle left out by the even-odd rule."""
+    image = _raster(spark, d).select("tile", "r", "c")
+    turn = lambda k: 4 * 3.141592653589793 * k / 5 + F.col("tile") * 0.3
+    ring = F.array(*[F.struct((25 + 20 * F.cos(turn(k))).alias("x"), (20 + 17 * F.sin(turn(k))).alias("y")) for k in range(5)])
+    stars = image.select("tile").distinct().select("tile", F.array(ring).alias("rings"))
+    return vc.burned(image, stars, ["tile"], "rings", 40, 50, "r", "c")
+
+
+_TIE_LAT, _TIE_LON = "45 - {r} * 0.01 + {c} * 0.002 + tile", "10 + {c} * 0.013 + {r} * 0.003 - {r} * {c} * 0.00001"
+
+
+@query("tie_points", f"SELECT tile, r, c, round(({_TIE_LAT.format(r='r::DOUBLE', c='c::DOUBLE')})::DOUBLE, 8) AS lat, round(({_TIE_LON.format(r='r::DOUBLE', c='c::DOUBLE')})::DOUBLE, 8) AS lon, r::DOUBLE AS y, c::DOUBLE AS x FROM {_RASTER}")
+def tie_points(spark, d) -> DataFrame:
+    """All pixels on the ground by tie points of each tile, and back in the image."""
+    pixels = _raster(spark, d).select("tile", "r", "c")
+    ties = pixels.select("tile").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    ties = ties.withColumns({"row": F.col("i") * 10.0, "col": F.col("j") * 10.0})
+    ties = ties.withColumns({"lat": F.expr(_TIE_LAT.format(r="row", c="col")), "lon": F.expr(_TIE_LON.format(r="row", c="col"))})
+    ground = vc.placed_on_ground(pixels, ties, ["tile"], 10.0, 10.0, "r", "c")
+    back = vc.placed_in_image(ground, ties, ["tile"], 0.1)
+    return back.select("tile", "r", "c", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"), F.round("y", 5).alias("y"), F.round("x", 5).alias("x"))
+
+
+@query("elevation_model", """
+WITH t AS (SELECT event_id, event_id % 6 AS k, value FROM events), c AS (SELECT 40 + k // 3 AS lat0, 10 + k % 3 AS lon0, (event_id // 6) % 13 AS r, (event_id // 78) % 13 AS col, CASE WHEN event_id % 11 <> 0 THEN value END AS h, event_id AS p FROM t),
+g AS (SELECT (90 - lat0 - 1) * 12 + r AS row_, (lon0 + 180) * 12 + col AS col_, h, p, lat0, lon0 FROM c WHERE h IS NOT NULL)
+SELECT row_, col_, round(arg_min(h, p), 6) AS height FROM g GROUP BY 1, 2""")
+def elevation_model(spark, d) -> DataFrame:
+    """Tiles of 12 steps a degree, edges in both neighbours, as one model."""
+    e, v = F.col("event_id"), F.col("value")
+    k = e % 6
+    tiles = spark.read.parquet(f"{d}/events.parquet").select((40 + F.floor(k / 3)).alias("lat0"), (10 + k % 3).alias("lon0"), (F.floor(e / 6) % 13).alias("row"), (F.floor(e / 78) % 13).alias("col"), F.when(e % 11 != 0, v).alias("height"), e.alias("priority"))
+    return vc.elevation_model(tiles, 12).select(F.col("row").alias("row_"), F.col("col").alias("col_"), F.round("height", 6).alias("height"))
+
+
+@query("hulls", """
+WITH p AS (SELECT event_id // 12 AS k, event_id, value AS x, (user_id * 7919 % 10007)::DOUBLE + event_id % 12 * 0.01 AS y FROM events),
+e AS (SELECT a.k, a.event_id AS a, b.event_id AS b, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM p a JOIN p b ON a.k = b.k AND a.event_id <> b.event_id),
+h AS (SELECT e.k, a, b, any_value(ax) AS ax, any_value(ay) AS ay, any_value(bx) AS bx, any_value(by_) AS by_ FROM e JOIN p c ON c.k = e.k AND c.event_id <> a AND c.event_id <> b GROUP BY e.k, a, b HAVING max((bx - ax) * (c.y - ay) - (by_ - ay) * (c.x - ax)) < 0)
+SELECT k, count(*)::INT AS corners, round(abs(sum(ax * by_ - bx * ay)) / 2, 5) AS area FROM h GROUP BY k HAVING count(*) > 2""")
+def hulls(spark, d) -> DataFrame:
+    """The convex hull of every twelve events by value and user."""
+    e = F.col("event_id")
+    points = spark.read.parquet(f"{d}/events.parquet").select(F.floor(e / 12).alias("k"), F.col("value").alias("x"), ((F.col("user_id") * 7919 % 10007).cast("double") + e % 12 * 0.01).alias("y"))
+    ring = fp.convex_hull(points, ["k"], "x", "y").where("ring IS NOT NULL")
+    return ring.select("k", (F.size("ring") - 1).alias("corners"), F.round(fp.ring_area(F.col("ring")), 5).alias("area"))
+
+
+@query("manifest_footprints", """
+SELECT event_id, 'POLYGON ((' || (event_id % 90) || ' ' || (event_id % 50) || ', ' || (event_id % 90 + 1) || ' ' || (event_id % 50) || ', ' || (event_id % 90 + 1) || ' ' || (event_id % 50 + 2) || ', ' || (event_id % 90) || ' ' || (event_id % 50) || '))' AS wkt FROM events""")
+def manifest_footprints(spark, d) -> DataFrame:
+    """Footprints out of a manifest's XML for every event."""
+    e = F.col("event_id")
+    a, o = (e % 50).cast("string"), (e % 90).cast("string")
+    more = lambda c, n, k: (e % n + k).cast("string")
+    coords = F.concat_ws(" ", F.concat(a, F.lit(","), o), F.concat(a, F.lit(","), more(o, 90, 1)), F.concat(more(a, 50, 2), F.lit(","), more(o, 90, 1)))
+    text = F.concat(F.lit('<x xmlns:s="http://www.esa.int/safe/sentinel-1.0" xmlns:g="http://www.opengis.net/gml"><s:footPrint><g:coordinates>'), coords, F.lit("</g:coordinates></s:footPrint></x>"))
+    files = spark.read.parquet(f"{d}/events.parquet").select(e.cast("string").alias("path"), text.alias("value"))
+    return fp.manifest_footprints(files).select(F.col("path").cast("long").alias("event_id"), fp.ring_wkt(F.col("ring")).alias("wkt"))
