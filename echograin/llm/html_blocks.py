@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -61,7 +62,8 @@ OUT_NAMES = re.compile(
 SOFT_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|subscription)(?:$|[\s_-])")
 HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:header|masthead|site-title|topbar)(?:$|[\s_-])")
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|([^<]+)|(<)""", re.S)
+#: Quotes hold a tag's end back only around a whole value, after "="; what was read isn't read again, so the time is linear.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)*+)>|([^<]+)|(<)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Blocks of these are told apart by the element around them.
 LEAVES = HEADINGS | frozenset("p pre li dt dd blockquote figcaption caption summary address".split())
@@ -98,7 +100,8 @@ def _evidence(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
 def read_blocks(html: str) -> list[Block]:
     """Blocks of a page in page order."""
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, bool, int, int]] = []  # tag, whether its content is out or soft, region, number
+    stack: list[tuple[str, bool, bool, int, int]] = []  # tag, whether its content is out or soft, region, number of its container
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     links, link_depth, regions, numbers = 0, 0, 0, 0
     out, soft, region = False, False, 0
@@ -109,8 +112,7 @@ def read_blocks(html: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                box = next((x[4] for x in reversed(stack) if x[0] not in LEAVES), 0)
-                blocks.append(Block(text, links, out, soft, region, box, bool(stack) and stack[-1][0] in HEADINGS))
+                blocks.append(Block(text, links, out, soft, region, stack[-1][4] if stack else 0, bool(stack) and stack[-1][0] in HEADINGS))
             parts.clear()
         links = 0
 
@@ -152,19 +154,21 @@ def read_blocks(html: str) -> list[Block]:
         if tag in VOID_TAGS:
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    flush()
-                    del stack[k:]
-                    settle()
-                    break
+            if opened[tag]:
+                flush()
+                while True:
+                    last = stack.pop()[0]
+                    opened[last] -= 1
+                    if last == tag:
+                        break
+                settle()
             continue
         if block:
             if stack and stack[-1][0] == "p":
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
                 settle()
             if tag in ("li", "td", "tr", "dd", "dt", "option") and stack and stack[-1][0] == tag:
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
                 settle()
         hidden, named = _evidence(tag, m[3], bool(region))
         hidden, named = out or hidden, soft or named
@@ -177,7 +181,8 @@ def read_blocks(html: str) -> list[Block]:
                 regions += 1
                 region = regions
             numbers += 1
-            stack.append((tag, hidden, named, region, numbers))
+            opened[tag] += 1
+            stack.append((tag, hidden, named, region, numbers if tag not in LEAVES else stack[-1][4] if stack else 0))
             out, soft = hidden, named
     flush()
     return blocks
