@@ -66,6 +66,11 @@ def symmetry_constrained(pr: Column, pi: Column, tr: Column, ti: Column, weight:
     return loss_split_mse(pr, pi, tr, ti) + weight * F.avg(4 * pi * pi)
 
 
+def polarimetric_loss(channels: Sequence[tuple[Column, Column, Column, Column]]) -> Column:
+    """Mean over pixels of the squared complex differences summed over polarimetric channels (re, im, re and im of the target)."""
+    return F.avg(sum((a - c) * (a - c) + (b - d) * (b - d) for a, b, c, d in channels))
+
+
 def channels_loss(pairs: Sequence[tuple[Column, Column, Column, Column]]) -> Column:
     """Sum over polarimetric channels of the mean squared errors."""
     return sum((loss_split_mse(*p) for p in pairs), F.lit(0.0))

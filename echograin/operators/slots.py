@@ -13,11 +13,7 @@ from pyspark.sql import DataFrame
 
 #: name -> what it needs
 NEEDS = {
-    "apply_orbit_file": "precise orbit files", "terrain_correction": "an elevation model and orbit state vectors", "sar_sim_terrain_correction": "an elevation model",
-    "sar_simulation": "an elevation model", "ellipsoid_correction_rd": "orbit state vectors", "ellipsoid_correction_gg": "a geo-location grid", "terrain_flattening": "an elevation model",
-    "back_geocoding": "an elevation model and orbits", "dem_assisted_coregistration": "an elevation model and orbits", "enhanced_spectral_diversity": "coregistered bursts and orbits",
-    "topo_phase_removal": "an elevation model", "phase_to_elevation": "an elevation model", "phase_to_height": "orbit state vectors", "snaphu_export": "an external unwrapper",
-    "snaphu_import": "an external unwrapper", "stamps_export": "an external time-series tool", "eap_phase_correction": "antenna pattern files", "smac_op": "atmospheric coefficient files",
+    "stamps_export": "an external time-series tool", "eap_phase_correction": "antenna pattern files", "smac_op": "atmospheric coefficient files",
     "aatsr_sst": "sea surface temperature coefficient files", "c2rcc_msi": "trained networks", "c2rcc_olci": "trained networks", "biophysical": "trained networks", "cloud_prob": "trained networks",
     "sm_dielectric_modeling": "soil maps and inversion tables", "wind_field_estimation": "a geophysical model function",
 }

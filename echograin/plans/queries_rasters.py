@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import domain_losses as dl
 from ..operators import footprints as fp
 from ..operators import geocoding as gc
 from ..operators import geometry as gm
@@ -342,3 +343,26 @@ def manifest_footprints(spark, d) -> DataFrame:
     text = F.concat(F.lit('<x xmlns:s="http://www.esa.int/safe/sentinel-1.0" xmlns:g="http://www.opengis.net/gml"><s:footPrint><g:coordinates>'), coords, F.lit("</g:coordinates></s:footPrint></x>"))
     files = spark.read.parquet(f"{d}/events.parquet").select(e.cast("string").alias("path"), text.alias("value"))
     return fp.manifest_footprints(files).select(F.col("path").cast("long").alias("event_id"), fp.ring_wkt(F.col("ring")).alias("wkt"))
+
+
+@query("polarimetric_loss", """
+SELECT l_returnflag, round(avg((l_discount - l_tax) ** 2 + (l_tax - l_discount * 0.5) ** 2 + (l_quantity / 50 - l_tax) ** 2 + (l_discount - 0.05) ** 2), 8) AS loss FROM lineitem GROUP BY 1""")
+def polarimetric_loss(spark, d) -> DataFrame:
+    """Loss of two polarimetric channels by flag."""
+    a, b, q = F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 50
+    return spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_returnflag").agg(F.round(dl.polarimetric_loss([(a, b, b, a * 0.5), (q, a, b, F.lit(0.05))]), 8).alias("loss"))
+
+
+@query("displacement_chain", f"""
+WITH z AS (SELECT tile, r, c, 0.5 * r + 0.3 * c + v * 0.04 AS z FROM {_RASTER}), f AS (SELECT tile, arg_min(z, r * 50 + c) AS z0 FROM z GROUP BY tile)
+SELECT tile, r, c, round(-0.0555 * (z - z0 + {_wrap('z0')}) / (4 * pi()), 7) + 0.0 AS displacement FROM z JOIN f USING (tile)""")
+def displacement_chain(spark, d) -> DataFrame:
+    """An interferogram freed of the phase of heights, unwrapped, as displacement: steps of one recipe."""
+    pixels = _raster(spark, d).select("tile", F.col("r").alias("row"), F.col("c").alias("col"), "v")
+    heights = pixels.select("tile", "row", "col", (F.col("v") * 30).alias("height"), F.lit(8e5).alias("slant_range"), F.lit(35.0).alias("incidence"), F.lit(90.0).alias("perpendicular"))
+    topography = itf.topographic_phase(F.col("v") * 30, 0.0555, F.lit(8e5), F.lit(35.0), F.lit(90.0))
+    phase = 0.5 * F.col("row") + 0.3 * F.col("col") + F.col("v") * 0.04 + topography
+    made = pixels.select("tile", "row", "col", F.cos(phase).alias("re"), F.sin(phase).alias("im"))
+    steps = (rc.remove_topography("heights", ["tile", "row", "col"], 0.0555), rc.unwrap(["tile"]), rc.displacement("unwrapped", 0.0555))
+    out = rc.run(made, steps, heights=heights)
+    return out.select("tile", F.col("row").alias("r"), F.col("col").alias("c"), (F.round("displacement", 7) + 0.0).alias("displacement"))

@@ -20,9 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.guards import to_db as decibels
+from ..operators import geocoding as gc
+from ..operators import interferometry as itf
 from ..operators import neighbourhoods as nb
 from ..operators import product_ops as po
 from ..operators import relational as rl
+from ..operators import unwrapping as uw
 
 
 class Workspace(NamedTuple):
@@ -216,6 +219,46 @@ def smooth_phase(w: Workspace, keys: Sequence[str], row: str, col: str, alpha: f
     return po.goldstein_filter(w.table, keys, row, col, alpha, block)
 
 
+# geometry; orbits, elevation and ground are tables put aside
+
+
+@step
+def terrain_correct(w: Workspace, ground: str, orbits: str, keys: Sequence[str], band: str, first_time: float, line_time: float, near_range: float, spacing: float, method: str = "bilinear") -> DataFrame:
+    """The band on ground pixels (row, col, lat, lon, height) by zero-Doppler positions over the orbits."""
+    return gc.terrain_corrected(w.table, w.other(ground), w.other(orbits), keys, band, first_time, line_time, near_range, spacing, method=method)
+
+
+@step
+def ellipsoid_correct(w: Workspace, ground: str, orbits: str, keys: Sequence[str], band: str, first_time: float, line_time: float, near_range: float, spacing: float, height: float = 0.0) -> DataFrame:
+    """The band on ground pixels (row, col, lat, lon) at one height over the ellipsoid."""
+    return gc.ellipsoid_corrected(w.table, w.other(ground), w.other(orbits), keys, band, first_time, line_time, near_range, spacing, height)
+
+
+@step
+def back_geocode(w: Workspace, reference: str, orbits: str, keys: Sequence[str], bands: Sequence[str], first_time: float, line_time: float, near_range: float, spacing: float) -> DataFrame:
+    """Bands of a second image on the pixels of a reference whose ground is known (row, col, lat, lon, height)."""
+    parts = [gc.back_geocoded(w.table.select(*keys, "row", "col", b), w.other(reference), w.other(orbits), keys, b, first_time, line_time, near_range, spacing) for b in bands]
+    return reduce(lambda a, b: a.join(b.select(*keys, "row", "col", b.columns[-1]), [*keys, "row", "col"]), parts)
+
+
+@step
+def remove_topography(w: Workspace, heights: str, keys: Sequence[str], wavelength: float, slant_range: str = "slant_range", incidence: str = "incidence", baseline: str = "perpendicular") -> DataFrame:
+    """An interferogram (re, im) without the phase of the heights that a table holds with their geometry; its phase follows."""
+    own = w.other(heights).select(*keys, itf.topographic_phase(F.col("height"), wavelength, F.col(slant_range), F.col(incidence), F.col(baseline)).alias("__topography"))
+    out = itf.without_phase(w.table.join(own, list(keys)), "re", "im", F.col("__topography")).drop("__topography")
+    return out.withColumn("phase", F.atan2("im", "re"))
+
+
+@step
+def unwrap(w: Workspace, keys: Sequence[str], row: str = "row", col: str = "col", phase: str = "phase") -> DataFrame:
+    return uw.unwrapped(w.table, keys, row, col, phase)
+
+
+@step
+def displacement(w: Workspace, phase: str, wavelength: float, out: str = "displacement") -> DataFrame:
+    return w.table.withColumn(out, nb.phase_to_displacement(F.col(phase), wavelength))
+
+
 # tables beside each other
 
 

@@ -152,3 +152,18 @@ def test_simulated_image_of_flat_and_sloping_ground(spark, orbits):
     assert abs(sums[0.0] / want - 1) < 0.02
     # the sensor lies to the west: ground that falls to the west faces it
     assert sums[0.2] > 1.3 * sums[0.0] > 1.3 * sums[-0.2]
+
+
+def test_steps_of_recipes(spark, ground, orbits):
+    from echograin.plans import recipes
+
+    image = spark.range(40).selectExpr("'one' AS product", "cast(id as int) AS row").crossJoin(spark.range(60).selectExpr("cast(id as int) AS col")).withColumns({"i": F.col("row") * 2.0, "q": F.col("col") * 1.0})
+    place = {"first_time": -15.0, "line_time": 1.0, "near_range": 700000.0, "spacing": 5000.0}
+    own = ground.where("product = 'one'")
+    aside = {"ground": own, "orbits": orbits}
+    got = recipes.run(image, [recipes.back_geocode("ground", "orbits", ["product"], ["i", "q"], **place)], **aside).collect()
+    assert len(got) == 600 and all(r["i"] is None or abs(r["i"] / 2 - r["y"]) < 1e-9 and abs(r["q"] - r["x"]) < 1e-9 for r in got) and any(r["i"] is not None for r in got)
+    one = recipes.run(image, recipes.from_json('[{"terrain_correct": {"ground": "ground", "orbits": "orbits", "keys": ["product"], "band": "q", "first_time": -15.0, "line_time": 1.0, "near_range": 700000.0, "spacing": 5000.0}}]'), **aside)
+    assert {(r["row"], r["col"]): r["q"] for r in one.collect()} == {(r["row"], r["col"]): r["q"] for r in got}
+    flat = recipes.run(image, [recipes.ellipsoid_correct("ground", "orbits", ["product"], "q", **place, height=50.0)], ground=own.drop("height"), orbits=orbits).collect()
+    assert len(flat) == 600 and all(r["height"] == 50.0 for r in flat)

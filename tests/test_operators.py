@@ -645,7 +645,7 @@ def test_model_slots(spark):
     run = slots.processor("biophysical", lambda p: p["a"] + p["b"])
     assert [r["lai"] for r in run(df, ["a", "b"], "lai").collect()] == [3.0, 7.0]
     with pytest.raises(NotImplementedError, match="elevation"):
-        slots.processor("terrain_correction")
+        slots.processor("smac_op")
 
 
 def test_focus_measures(spark):
