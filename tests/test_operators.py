@@ -644,7 +644,7 @@ def test_model_slots(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "a double, b double")
     run = slots.processor("biophysical", lambda p: p["a"] + p["b"])
     assert [r["lai"] for r in run(df, ["a", "b"], "lai").collect()] == [3.0, 7.0]
-    with pytest.raises(NotImplementedError, match="elevation"):
+    with pytest.raises(NotImplementedError, match="coefficient"):
         slots.processor("smac_op")
 
 
