@@ -19,11 +19,13 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where that is unset, as in tests, a folder of its own in the warehouse,
-    which all executors share too; that one goes when the process ends."""
+    """spark.checkpoint.dir of the session; where that is unset, as in tests, a folder of its own in the warehouse, which
+    on a cluster mustn't be a folder of one machine; that one goes when the process ends."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/echograin-{uuid.uuid4().hex}"
+        if found.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set, and the warehouse is a folder of one machine")
         spark.sparkContext.setCheckpointDir(found)
 
         def clean() -> None:
