@@ -183,15 +183,21 @@ def ordered_ring(points: Column) -> Column:
 
 
 def inside(lon: Column, lat: Column, ring: list[tuple[float, float]]) -> Column:
-    """Whether a point is strictly within a ring that the plan knows: a count of crossings, one comparison an edge."""
-    crossings = F.lit(0)
+    """Whether a point is strictly within a ring that the plan knows: a count of crossings, and it lies on no edge.
+
+    An edge is the line lon - slope * lat = limit with constants of the plan, so a point that lies on it by that sum is on it.
+    """
+    crossings, on_edge = F.lit(0), F.lit(False)
     closed = ring if ring[0] == ring[-1] else [*ring, ring[0]]
     for (x0, y0), (x1, y1) in zip(closed, closed[1:], strict=False):
         if y0 == y1:
+            on_edge = on_edge | ((lat == y0) & lon.between(min(x0, x1), max(x0, x1)))
             continue
-        straddles = (lat > min(y0, y1)) & (lat <= max(y0, y1))
-        crossings = crossings + F.when(straddles & (lon < x0 + (lat - y0) * ((x1 - x0) / (y1 - y0))), 1).otherwise(0)
-    return crossings % 2 == 1
+        slope = (x1 - x0) / (y1 - y0)
+        at, limit = lon - lat * slope, x0 - y0 * slope
+        on_edge = on_edge | ((at == limit) & lat.between(min(y0, y1), max(y0, y1)))
+        crossings = crossings + F.when((lat > min(y0, y1)) & (lat <= max(y0, y1)) & (at < limit), 1).otherwise(0)
+    return (crossings % 2 == 1) & ~on_edge
 
 
 def points_within(points: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
