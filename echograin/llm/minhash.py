@@ -9,9 +9,10 @@ into a signature.  Within a bucket two signatures are compared by counting
 equal bit pairs, and the share is corrected for pairs that are equal by chance:
 ``(share - 1/4) / (3/4)``.  Sizes that rule a link out are passed over.
 
-A bucket isn't expanded into all pairs.  Every row travels; the members with
-most near partners become hubs, each other member is tied to its hub and to its
-three likeliest partners, and these candidates are confirmed on the full sets
+A bucket isn't expanded into all pairs.  Every row travels; the member of the
+smallest id becomes the hub of those near it, then the next that has no hub, so
+that the buckets of one crowd name the same hubs.  Each member is tied to its
+hub and to its likeliest partner, and these candidates are confirmed on the full sets
 (a hub's set is made once a task for all its partners).  The confirmed links
 make components.  A bucket of more than a few, in which other likely pairs were
 passed over, stays open: if its members lie in more than one component, they
@@ -51,7 +52,7 @@ PERCENT = 75
 #: Estimates of the similarity: below LOW a link is ruled out (4.5 standard errors); from NEAR on a hub takes a member.
 LOW, NEAR = 0.54, 0.70
 #: Buckets of at most SMALL members give all their likely links; in larger ones a member gives its NEAREST and its hub's, and the rest in the second pass.
-SMALL, NEAREST = 8, 3
+SMALL, NEAREST = 8, 1
 #: Members of a bucket that meet in one task; more are cut into parts.
 PER_PART = 4096
 #: Shingles of the sets that meet in one task in the second pass, residents and visitors each.
@@ -140,19 +141,20 @@ def lead(ids: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> tuple[set[tup
     """(candidate links, were likely pairs passed over) of one bucket.
 
     In a small bucket all likely partners are links.  In a larger one the member
-    with most near partners is a hub and takes them, then the next among those
-    left, and so on; each hub is tied to its own, and each member to its
-    NEAREST likeliest partners.
+    of the smallest id is a hub and takes those near it, then the next among
+    those left, and so on; each hub is tied to its own, and each member to its
+    NEAREST likeliest partners.  Hubs by id are mostly the same in all buckets
+    of a crowd, so a member has a few links, not some for each of its buckets.
     """
     n = len(ids)
-    near_counts = np.zeros(n, np.int64)
+    free = np.zeros(n, bool)
     links: set[tuple[int, int]] = set()
     passed = False
     for rows, found in _likely(ids, sizes, signs):
         if n <= SMALL:
             i, j = np.nonzero(found >= LOW)
         else:
-            near_counts[rows] = (found >= NEAR).sum(1)
+            free[rows] = (found >= NEAR).any(1)
             passed = passed or bool(((found >= LOW).sum(1) > NEAREST).any())
             top = np.argpartition(-found, NEAREST, 1)[:, :NEAREST]
             i, k = np.nonzero(np.take_along_axis(found, top, 1) >= LOW)
@@ -160,8 +162,7 @@ def lead(ids: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> tuple[set[tup
         links.update(zip(ids[rows[i]].tolist(), ids[j].tolist(), strict=True))
     if n <= SMALL:
         return links, False
-    free = near_counts > 0
-    for hub in np.lexsort((ids, -near_counts)).tolist():
+    for hub in np.argsort(ids).tolist():
         if not free[hub]:
             continue
         free[hub] = False
@@ -408,6 +409,17 @@ def _joined_up(texts: DataFrame, rows: DataFrame, found: DataFrame, per_part: in
     return rows.repartition("key", "part").sortWithinPartitions("key", "part", "id").mapInArrow(_join_up, "a long, b long").distinct()
 
 
+def _merged(found: DataFrame, more: DataFrame) -> DataFrame:
+    """(id, component) of found with the components that the links more join, found again among the components alone."""
+    root = lambda end: more.select("a", "b").join(found.select(F.col("id").alias(end), F.col("component").alias(f"{end}_root")), end, "left")
+    ends = root("a").withColumn("a_root", F.coalesce("a_root", "a")).join(root("b").withColumn("b_root", F.coalesce("b_root", "b")), ["a", "b"])
+    joined = components(shared_table(ends.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).where("a != b").distinct()))
+    joined = joined.select(F.col("id").alias("component"), F.col("component").alias("top"))
+    alone = joined.select(F.col("component").alias("id"), "component").join(found, "id", "left_anti")  # had no link before
+    every = found.select("id", "component").union(alone)
+    return shared_table(spread_join(every, joined, "component", hot_keys(every, "component"), "id").select("id", F.coalesce("top", "component").alias("component")))
+
+
 def _shared_ids(known: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) between the classes that rows of one doc_id belong to."""
     several = known.groupBy("doc_id").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("doc_id")
@@ -439,7 +451,7 @@ def near_duplicates(docs: DataFrame, per_part: int = PER_PART) -> DataFrame:
     found = components(confirmed)
     more = shared_table(_joined_up(texts, members, found, per_part))
     if more.limit(1).count():
-        found = components(confirmed.union(more))
+        found = _merged(found, more)
     member = shared_table(classes.select("class", "id").join(found, "id", "left").select("class", F.coalesce("component", "id").alias("component_id")))
     out = spread_join(described.drop("minima"), member, "class", hot_keys(described, "class"), "doc_id")
     out = out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).cast(kind).alias("component_id"))
