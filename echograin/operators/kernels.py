@@ -1,37 +1,51 @@
 """Signal kernels over arrays and over lines of a raster.
 
 A line of a raster is an array column (re, im); kernels run on batches of lines
-as Arrow-backed Pandas functions, so a task holds some lines, never an image.
+as Arrow functions, on views of the batch's numbers, so a task holds some lines, never an image.
 A two-dimensional transform is two passes with a transpose between: lines by
 row, then lines by column.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COMPLEX_LINE = "struct<re: array<double>, im: array<double>>"
 
 
+def _rows(column: pa.Array) -> Iterator[np.ndarray | None]:
+    """Views of the lists of an Arrow column, numbers as double and null ones as NaN; None for a null list."""
+    if pa.types.is_null(column.type):
+        yield from (None for _ in range(len(column)))
+        return
+    flat = column.values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    offsets = column.offsets.to_numpy()
+    for k, known in enumerate(column.is_valid().to_numpy(zero_copy_only=False)):
+        yield flat[offsets[k] : offsets[k + 1]] if known else None
+
+
+def _lists(found: Sequence[np.ndarray | None]) -> pa.Array:
+    """Arrays as one Arrow column of lists; None is a null list."""
+    offsets = np.append(0, np.cumsum([0 if x is None else len(x) for x in found])).astype(np.int32)
+    flat = np.concatenate([x for x in found if x is not None] or [np.zeros(0)])
+    null = pa.array([x is None for x in found], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.float64()), mask=null)
+
+
 def complex_kernel(kernel: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column, Column], Column]:
     """A function of one complex line as a column function of (re, im) arrays; null lines stay null."""
 
-    @F.pandas_udf(COMPLEX_LINE)
-    def run(re: pd.Series, im: pd.Series) -> pd.DataFrame:
-        out_re, out_im = [], []
-        for a, b in zip(re, im, strict=True):
-            if a is None:
-                out_re.append(None), out_im.append(None)
-                continue
-            z = np.asarray(a, float) + (1j * np.asarray(b, float) if b is not None else 0)
-            z = np.asarray(kernel(z), complex)
-            out_re.append(z.real), out_im.append(z.imag)
-        return pd.DataFrame({"re": out_re, "im": out_im})
+    @F.arrow_udf(COMPLEX_LINE)
+    def run(re: pa.Array, im: pa.Array) -> pa.Array:
+        out = []
+        for a, b in zip(_rows(re), _rows(im), strict=True):
+            out.append(None if a is None else np.asarray(kernel(a + (1j * b if b is not None else 0)), complex))
+        return pa.StructArray.from_arrays([_lists([z if z is None else z.real for z in out]), _lists([z if z is None else z.imag for z in out])], names=["re", "im"])
 
     return run
 
@@ -39,9 +53,9 @@ def complex_kernel(kernel: Callable[[np.ndarray], np.ndarray]) -> Callable[[Colu
 def real_kernel(kernel: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
     """A function of one real line as a column function of an array."""
 
-    @F.pandas_udf("array<double>")
-    def run(x: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else np.asarray(kernel(np.asarray(v, float)), float) for v in x])
+    @F.arrow_udf("array<double>")
+    def run(x: pa.Array) -> pa.Array:
+        return _lists([None if v is None else np.asarray(kernel(v), float) for v in _rows(x)])
 
     return run
 
@@ -128,9 +142,9 @@ def autocorrelated(max_lag: int | None = None) -> Callable:
 
 
 def cross_correlated(a: Column, b: Column, mode: str = "full") -> Column:
-    @F.pandas_udf("array<double>")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else np.correlate(np.asarray(p, float), np.asarray(q, float), mode) for p, q in zip(x, y, strict=True)])
+    @F.arrow_udf("array<double>")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        return _lists([None if p is None or q is None else np.correlate(p, q, mode) for p, q in zip(_rows(x), _rows(y), strict=True)])
 
     return run(a, b)
 
