@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,42 +145,55 @@ def rectangles(contained: DataFrame, row: str = "row", col: str = "col") -> Data
 # polygons: arrays of (lon, lat)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value made once a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def ring_of_wkt(wkt: Column) -> Column:
     """Points of the outer ring of a POLYGON text."""
     body = F.regexp_extract(wkt, r"\(\(([^()]*)\)", 1)
     pairs = F.filter(F.split(body, r"\s*,\s*"), lambda p: F.length(F.trim(p)) > 0)
-    number = lambda p, k: F.element_at(F.split(F.trim(p), r"\s+"), k).cast("double")
-    return F.transform(pairs, lambda p: F.struct(number(p, 1).alias("lon"), number(p, 2).alias("lat")))
+    point = lambda q: F.struct(F.element_at(q, 1).cast("double").alias("lon"), F.element_at(q, 2).cast("double").alias("lat"))
+    return F.transform(pairs, lambda p: _once(F.split(F.trim(p), r"\s+"), point))
 
 
 def ring_of_gml(text: Column, lat_first: bool = True) -> Column:
     """Points of `lat,lon lat,lon` text."""
     a, b = (2, 1) if lat_first else (1, 2)
-    return F.transform(F.filter(F.split(F.trim(text), r"\s+"), lambda p: p.contains(",")), lambda p: F.struct(F.element_at(F.split(p, ","), a).cast("double").alias("lon"), F.element_at(F.split(p, ","), b).cast("double").alias("lat")))
+    point = lambda q: F.struct(F.element_at(q, a).cast("double").alias("lon"), F.element_at(q, b).cast("double").alias("lat"))
+    return F.transform(F.filter(F.split(F.trim(text), r"\s+"), lambda p: p.contains(",")), lambda p: _once(F.split(p, ","), point))
 
 
 def ring_of_pos_list(text: Column, lat_first: bool = True) -> Column:
     """Points of flat numbers."""
     numbers = F.transform(F.filter(F.split(F.trim(text), r"\s+"), lambda p: p != ""), lambda p: p.cast("double"))
     first, second = (1, 0) if lat_first else (0, 1)
-    return F.when(F.size(numbers) >= 2, F.transform(F.sequence(F.lit(0), F.floor(F.size(numbers) / 2).cast("int") - 1), lambda i: F.struct(F.get(numbers, 2 * i + first).alias("lon"), F.get(numbers, 2 * i + second).alias("lat"))))
+    point = lambda x, i: F.struct(F.get(x, 2 * i + first).alias("lon"), F.get(x, 2 * i + second).alias("lat"))
+    return _once(numbers, lambda x: F.when(F.size(x) >= 2, F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / 2).cast("int") - 1), lambda i: point(x, i))))
 
 
 def wkt_of_ring(ring: Column) -> Column:
     """POLYGON text of a ring, closed if it isn't."""
-    text = F.array_join(F.transform(ring, lambda p: F.concat_ws(" ", p["lon"].cast("string"), p["lat"].cast("string"))), ", ")
-    first = F.element_at(ring, 1)
-    end = F.when(first == F.element_at(ring, -1), "").otherwise(F.concat(F.lit(", "), first["lon"].cast("string"), F.lit(" "), first["lat"].cast("string")))
-    return F.concat(F.lit("POLYGON (("), text, end, F.lit("))"))
+
+    def text(r: Column) -> Column:
+        pairs = F.array_join(F.transform(r, lambda p: F.concat_ws(" ", p["lon"].cast("string"), p["lat"].cast("string"))), ", ")
+        first = F.get(r, 0)
+        end = F.when(first == F.try_element_at(r, F.lit(-1)), "").otherwise(F.concat(F.lit(", "), first["lon"].cast("string"), F.lit(" "), first["lat"].cast("string")))
+        return F.concat(F.lit("POLYGON (("), pairs, end, F.lit("))"))
+
+    return _once(ring, text)
 
 
 def ordered_ring(points: Column) -> Column:
     """Distinct points counter-clockwise around their mean."""
-    p = F.array_distinct(points)
-    n = F.size(p)
-    mean = lambda f: F.aggregate(p, F.lit(0.0), lambda s, x: s + x[f]) / n
-    angled = F.array_sort(F.transform(p, lambda x: F.struct(F.atan2(x["lat"] - mean("lat"), x["lon"] - mean("lon")).alias("a"), x["lon"].alias("lon"), x["lat"].alias("lat"))))
-    return F.transform(angled, lambda x: F.struct(x["lon"].alias("lon"), x["lat"].alias("lat")))
+
+    def ordered(p: Column) -> Column:
+        mean = lambda f: F.try_divide(F.aggregate(p, F.lit(0.0), lambda s, x: s + x[f]), F.size(p))
+        angle = lambda x, m: F.struct(F.atan2(x["lat"] - m["lat"], x["lon"] - m["lon"]).alias("a"), x["lon"].alias("lon"), x["lat"].alias("lat"))
+        return _once(F.struct(mean("lon").alias("lon"), mean("lat").alias("lat")), lambda m: F.sort_array(F.transform(p, lambda x: angle(x, m))))
+
+    return F.transform(_once(F.array_distinct(points), ordered), lambda x: F.struct(x["lon"].alias("lon"), x["lat"].alias("lat")))
 
 
 def inside(lon: Column, lat: Column, ring: list[tuple[float, float]]) -> Column:

@@ -325,8 +325,10 @@ def rings(spark, d):
     pair = lambda x, y: F.concat(x.cast("string"), F.lit(","), y.cast("string"))
     gml = geo.ring_of_gml(F.concat_ws(" ", pair(a, b), pair(a, b + 1), pair(a + 1, b + 1), pair(a, b)))
     pos = geo.ring_of_pos_list(F.concat_ws(" ", a.cast("string"), b.cast("string"), a.cast("string"), (b + 1).cast("string")))
-    read = geo.ring_of_wkt(geo.wkt_of_ring(ring))
-    return e.select("event_id", geo.wkt_of_ring(ring).alias("wkt"), F.get(read, 0)["lon"].alias("lon1"), F.get(read, 0)["lat"].alias("lat1"), F.size(gml).alias("n_gml"), F.get(gml, 0)["lat"].alias("lat_gml"), F.size(pos).alias("n_pos"), F.get(pos, 1)["lon"].alias("lon_pos"))
+    # rings and texts are columns of their own, or each use would make them again
+    e = e.select("event_id", geo.wkt_of_ring(ring).alias("wkt"), gml.alias("gml"), pos.alias("pos")).withColumn("read", geo.ring_of_wkt(F.col("wkt")))
+    read, gml, pos = F.col("read"), F.col("gml"), F.col("pos")
+    return e.select("event_id", "wkt", F.get(read, 0)["lon"].alias("lon1"), F.get(read, 0)["lat"].alias("lat1"), F.size(gml).alias("n_gml"), F.get(gml, 0)["lat"].alias("lat_gml"), F.size(pos).alias("n_pos"), F.get(pos, 1)["lon"].alias("lon_pos"))
 
 
 @query("utm_forward", """
