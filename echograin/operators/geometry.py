@@ -40,12 +40,18 @@ def sampled(image: DataFrame, targets: DataFrame, row: str, col: str, value: str
     if method != "bilinear":
         raise ValueError(f"no such method: {method}")
     wy, wx = F.col(y) - fy, F.col(x) - fx
-    corner = lambda i, j: F.struct((fy + i).alias("i"), (fx + j).alias("j"), ((wy if i else 1 - wy) * (wx if j else 1 - wx)).alias("w"))
-    around = F.filter(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)]), lambda c: c["w"] > 0)
-    spread = targets.withColumn("__c", F.explode(around)).withColumns({"__i": F.col("__c.i"), "__j": F.col("__c.j"), "__w": F.col("__c.w")}).drop("__c")
-    met = spread.join(source, [*keys, "__i", "__j"], "left")
-    whole = F.when(F.count("__v") == F.count("*"), F.sum(F.col("__w") * F.col("__v")))
-    return met.groupBy(*targets.columns).agg(whole.alias(value))
+    # a pixel goes to the four cells that it is a corner of; a target meets its cell once, so its own columns move once
+    corners = [(i, j) for i in (0, 1) for j in (0, 1)]
+    spread = source.withColumn("__c", F.explode(F.array(*[F.struct((F.col("__i") - i).alias("i"), (F.col("__j") - j).alias("j"), F.lit(1 << k).alias("k")) for k, (i, j) in enumerate(corners)])))
+    own = [F.when(F.col("__c.k") == 1 << k, F.col("__v")) for k in range(4)]
+    unknown = F.bit_or(F.when(F.col("__v").isNull(), F.col("__c.k")).otherwise(0))
+    cells = spread.groupBy(*keys, F.col("__c.i").alias("__i"), F.col("__c.j").alias("__j")).agg(*[F.sum(v).alias(f"__v{k}") for k, v in enumerate(own)], unknown.alias("__unknown"))
+    placed = targets.where(F.col(y).isNotNull() & F.col(x).isNotNull()).withColumns({"__i": fy, "__j": fx})
+    whole = F.lit(0.0)
+    for k, (i, j) in enumerate(corners):
+        w = (wy if i else 1 - wy) * (wx if j else 1 - wx)
+        whole = whole + F.when(w > 0, w * F.when(F.col("__unknown").bitwiseAND(1 << k) == 0, F.col(f"__v{k}"))).otherwise(0.0)
+    return placed.join(cells, [*keys, "__i", "__j"], "left").select(*targets.columns, whole.alias(value))
 
 
 def warped(image: DataFrame, row: str, col: str, value: str, height: int, width: int, y: Column, x: Column, method: str = "bilinear") -> DataFrame:
