@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.complexes import conj_product, magnitude, phase, power, wrap
 from ..functions.guards import nan
+from .joins import join_large_groups
 
 EPS = 1e-12
 
@@ -248,12 +249,13 @@ def bin_index(x: Column, low: Column, high: Column, bins: int) -> Column:
 def normalized_mutual_information(df: DataFrame, x: str, y: str, keys: list[str] | None = None, bins: int = 64) -> DataFrame:
     """2 (Hx + Hy - Hxy) / (Hx + Hy) by keys, over equal-width bins; NaN if one variable doesn't vary.
 
-    One pass for the ranges and one for the joint counts; the counts hold at
-    most bins * bins rows a key, whatever the input is.
+    Passes for the ranges and for the joint counts, which hold at most bins *
+    bins rows a key, whatever the input is; rows of large keys aren't shuffled.
     """
     keys = keys or []
-    ranges = df.groupBy(*keys).agg(F.min(x).alias("lx"), F.max(x).alias("hx"), F.min(y).alias("ly"), F.max(y).alias("hy"))
-    df = df.join(ranges, keys) if keys else df.withColumn("every", F.lit(1)).join(F.broadcast(ranges.withColumn("every", F.lit(1))), "every")
+    ranges = df.groupBy(*keys).agg(F.min(x).alias("lx"), F.max(x).alias("hx"), F.min(y).alias("ly"), F.max(y).alias("hy"), F.count("*").alias("__rows"))
+    df = df.select(*dict.fromkeys([*keys, x, y]))
+    df = join_large_groups(df, ranges, keys, "__rows") if keys else df.withColumn("every", F.lit(1)).join(F.broadcast(ranges.withColumn("every", F.lit(1))), "every")
     cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, bin_index(F.col(x), F.col("lx"), F.col("hx"), bins).alias("bx"), bin_index(F.col(y), F.col("ly"), F.col("hy"), bins).alias("by")).agg(F.count("*").alias("n"))
 
     def entropy(counts: DataFrame, name: str) -> DataFrame:

@@ -19,6 +19,17 @@ def join_back(df: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFram
     return df.join(groups, same, "left").drop(*[f"__{k}" for k in keys])
 
 
+def join_large_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str], rows: str, large: int = 10_000) -> DataFrame:
+    """df with the other columns of groups (one row a key), of rows whose keys are in both and not null.
+
+    ``rows`` is the column of groups that counts a key's rows.  The ``large`` largest keys are broadcast, so that their rows
+    stay where they are; the rows of the others, each at most one in ``large`` of all, meet their groups by an equi join.
+    """
+    top = groups.orderBy(F.desc(rows), *keys).limit(large)  # a total order, as it is made twice
+    rest = df.join(F.broadcast(top.select(*keys)), list(keys), "left_anti").join(groups, list(keys))
+    return df.join(F.broadcast(top), list(keys)).unionByName(rest).drop(rows)
+
+
 def in_ranges(df: DataFrame, order: str, ranges: int | None = None, out: str = "__range", like: DataFrame | None = None) -> DataFrame:
     """df with the number of the range that each row is in: parts of about the same number of rows, between approximate
     quantiles of the order.  Equal values share a range; null is in the first one.
