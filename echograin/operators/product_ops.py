@@ -72,16 +72,22 @@ def mosaic(products: DataFrame, keys: Sequence[str], value: str, source: str, co
 def merge_iq(product: DataFrame, looks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """A product with the complex bands of its sub-aperture looks (look, i, q) as further bands i_SA<look> and q_SA<look>.
 
-    The looks are brought side by side by one grouped aggregation over their
-    distinct numbers, which a small job finds; bands that the product has
-    already stay as they are.
+    Product and looks are one table, sorted once by key, in which each row of the
+    product takes its looks' bands; a small job finds the looks' distinct numbers.
+    Bands that the product has already stay as they are.
     """
     numbers = sorted(r[0] for r in looks.select("look").distinct().collect())  # a few sub-apertures
     new = [(b, n) for n in numbers for b in ("i", "q") if f"{b}_SA{n}" not in product.columns]
     if not new:
         return product
-    wide = looks.groupBy(*keys).agg(*[F.max(F.when(F.col("look") == n, F.col(b))).alias(f"{b}_SA{n}") for b, n in new])
-    return product.join(wide, list(keys), "left")
+    both = product.withColumn("__own", F.lit(True)).unionByName(looks.select(*keys, *[F.col(c).alias(f"__{c}") for c in ("look", "i", "q")]), allowMissingColumns=True)
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()  # a row without a key has no looks
+    alike = W.partitionBy(*keys)
+    bands = [F.when(known, F.max(F.when(F.col("__look") == n, F.col(f"__{b}"))).over(alike)).alias(f"{b}_SA{n}") for b, n in new]
+    own = [*keys, *[c for c in product.columns if c not in keys]]
+    return both.select(*own, "__own", *bands).where("__own").drop("__own").select(*[F.col(k).cast(product.schema[k].dataType).alias(k) for k in keys], *own[len(keys) :], *[f"{b}_SA{n}" for b, n in new])
 
 
 def assembled_slices(slices: Sequence[DataFrame], row: str) -> DataFrame:
